@@ -82,13 +82,15 @@ def role_of_years(years: Column) -> Column:
 
 
 def survey_rates(survey: DataFrame, country: str = "United States of America",
-                 first_rows: int = 9999, minimum: int = 50) -> DataFrame:
-    """Mean hourly pay per role from the leading survey rows.
+                 first_rows: int | None = 9999, minimum: int = 50) -> DataFrame:
+    """Mean hourly pay per role from the leading survey rows; ``first_rows=None`` takes them all.
 
     ``survey``: seq (1-based row of the file), country, compensation, years.
     """
-    used = survey.filter((F.col("seq") <= first_rows) & (F.col("country") == country)
-                         & (F.col("compensation") > 0) & (F.col("compensation") < 1_000_000))
+    used = survey.filter((F.col("country") == country) & (F.col("compensation") > 0)
+                         & (F.col("compensation") < 1_000_000))
+    if first_rows is not None:
+        used = used.filter(F.col("seq") <= first_rows)
     sums = used.groupBy(role_of_years(F.coalesce("years", F.lit(0.0))).alias("band")).agg(
         F.count("*").alias("n"), F.sum(F.col("compensation").cast("decimal(18,2)")).alias("pay"))
     one = sums.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("sample_size"), *[
