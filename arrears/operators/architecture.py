@@ -1,10 +1,10 @@
 """Structure rules: oversized modules, import fan-out and import cycles."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from arrears import constants as C
-from arrears.functions.paths import python_module
+from arrears.functions.paths import python_module, under_skip_dir
 from arrears.operators.common import cut_lineage, salted_join
 from arrears.operators.items import debt_items
 
@@ -18,8 +18,6 @@ def oversized_modules(facts: DataFrame) -> DataFrame:
 
 
 def known_modules(source_files: DataFrame) -> DataFrame:
-    from arrears.functions.paths import under_skip_dir
-
     path = F.col("path")
     return source_files.filter(path.endswith(".py") & ~under_skip_dir(path)).select(
         "repo_id", python_module(path).alias("module")).distinct()
@@ -66,35 +64,46 @@ def _inside(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges
 
 
-def _trim(edges: DataFrame, rounds: int) -> DataFrame:
+def _measured_cut(df: DataFrame, **metrics) -> tuple[DataFrame, dict]:
+    """Cut the lineage and read a few counts from the same job."""
+    watch = Observation()
+    cut = cut_lineage(df.observe(watch, *[value.alias(name) for name, value in metrics.items()]))
+    return cut, watch.get
+
+
+def _trim(edges: DataFrame, rounds: int) -> tuple[DataFrame, int]:
     """Repeatedly drop nodes without incoming or outgoing edges: they are on no cycle."""
-    size = edges.count()
+    size = None
     for _ in range(rounds):
         targets = edges.select("repo_id", F.col("dst").alias("node"))
         sources = edges.select("repo_id", F.col("src").alias("node"))
-        edges = cut_lineage(_inside(edges, targets.intersect(sources)))
-        left = edges.count()
-        if left == size:
+        edges, counts = _measured_cut(_inside(edges, targets.intersect(sources)),
+                                      left=F.count(F.lit(1)))
+        if counts["left"] in (0, size):
             break
-        size = left
-    return edges
+        size = counts["left"]
+    return edges, counts["left"]
+
+
+HOPS = 3  # label steps between two lineage cuts
 
 
 def _spread_labels(edges: DataFrame, labels: DataFrame, start: str, end: str,
                    rounds: int) -> DataFrame:
     """Carry the smallest label along the edges until nothing changes."""
     for _ in range(rounds):
-        offered = edges.join(
-            labels.select("repo_id", F.col("node").alias(start), "label"), ["repo_id", start]
-        ).groupBy("repo_id", F.col(end).alias("node")).agg(F.min("label").alias("offer"))
-        merged = labels.join(offered, ["repo_id", "node"], "left")
-        lower = F.coalesce(F.col("offer") < F.col("label"), F.lit(False))
-        labels = cut_lineage(merged.select(
-            "repo_id", "node", F.when(lower, F.col("offer")).otherwise(F.col("label")).alias("label"),
-            lower.alias("moved")))
-        if labels.filter("moved").isEmpty():
-            return labels.drop("moved")
-        labels = labels.drop("moved")
+        moved = labels.withColumn("before", F.col("label"))
+        for _ in range(HOPS):
+            offered = edges.join(
+                moved.select("repo_id", F.col("node").alias(start), "label"), ["repo_id", start]
+            ).groupBy("repo_id", F.col(end).alias("node")).agg(F.min("label").alias("offer"))
+            moved = moved.join(offered, ["repo_id", "node"], "left").withColumn(
+                "label", F.least("label", "offer")).drop("offer")
+        moved, counts = _measured_cut(
+            moved, changed=F.count_if(F.col("label") != F.col("before")))
+        labels = moved.drop("before")
+        if counts["changed"] == 0:
+            return labels
     raise RuntimeError(f"labels still move after {rounds} rounds; raise max_rounds")
 
 
@@ -113,8 +122,8 @@ def import_cycles(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     rest = edges.filter("src <> dst")
     found = []
     for _ in range(max_rounds):
-        rest = _trim(rest, max_rounds)
-        if rest.isEmpty():
+        rest, left = _trim(rest, max_rounds)
+        if left == 0:
             break
         nodes = rest.select("repo_id", F.col("src").alias("node")).distinct()
         colours = _spread_labels(rest, nodes.withColumn("label", F.col("node")), "src", "dst",

@@ -88,7 +88,7 @@ def _file_facts(source: str):
     """Fact rows of one parsed file; a file that does not parse yields nothing."""
     try:
         tree = ast.parse(source)
-    except (SyntaxError, ValueError, RecursionError):
+    except (SyntaxError, ValueError, MemoryError):
         return
     measured = _measured(tree)
     functions = has_try = 0
@@ -127,12 +127,20 @@ def _file_facts(source: str):
     yield dict(kind="file", n1=len(source.splitlines()), n2=functions, flag=bool(has_try))
 
 
+def _safe_facts(source: str) -> list:
+    """All facts of a file, or none when it is nested too deeply to walk."""
+    try:
+        return list(_file_facts(source))
+    except RecursionError:
+        return []
+
+
 def _parse(batches):
     columns = [part.split()[0] for part in FACTS.split(", ")]
     for batch in batches:
         rows = [{"repo_id": repo, "path": path, **fact}
                 for repo, path, text in batch.itertuples(index=False)
-                for fact in _file_facts(text)]
+                for fact in _safe_facts(text)]
         yield pd.DataFrame(rows, columns=columns, dtype=object)
 
 
