@@ -3,13 +3,12 @@
 The SQL check never parses: it states, per template, which findings a file of that kind has.
 """
 
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from arrears.catalog.base import D, R, query
 from arrears.catalog.scalars import PRICE_SQL
 from arrears.operators import architecture, smells
-from arrears.operators.facts import python_facts
+from arrears.operators.facts import staged_facts
 from arrears.operators.items import price_items
 from arrears.sources.schemas import SOURCE_FILES
 
@@ -62,8 +61,7 @@ def source_files(t):
 
 
 def facts(t):
-    """Several rules read the facts: keep them on executor disks instead of parsing per rule."""
-    return python_facts(source_files(t)).persist(StorageLevel.DISK_ONLY)
+    return staged_facts(source_files(t))
 
 
 def _items(df, *columns):

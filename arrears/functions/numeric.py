@@ -19,13 +19,17 @@ def clamp(value: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(value, F.lit(high)))
 
 
+def _literal(value) -> str:
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{value!r}D" if isinstance(value, float) else repr(value)
+
+
 def lookup(key: Column, table: dict, default=None) -> Column:
-    """Constant-table lookup as a CASE expression; absent keys give ``default``."""
-    case = None
-    for name, value in table.items():
-        cond = key == F.lit(name)
-        case = F.when(cond, F.lit(value)) if case is None else case.when(cond, F.lit(value))
-    return case if default is None else case.otherwise(F.lit(default))
+    """Constant-table lookup; absent keys give ``default``. The table is one folded map literal."""
+    entries = ", ".join(f"{_literal(k)}, {_literal(v)}" for k, v in table.items())
+    found = F.try_element_at(F.expr(f"map({entries})"), key)
+    return found if default is None else F.coalesce(found, F.lit(default))
 
 
 def percent(part: Column, whole: Column, digits: int = 1) -> Column:

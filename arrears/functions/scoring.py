@@ -26,21 +26,24 @@ def complexity_severity(complexity: Column) -> Column:
 
 
 def churn_multiplier(changes: Column) -> Column:
-    case = F.when(F.lit(False), 1.0)
+    case = None
     for threshold, factor in sorted(C.CHURN_STEPS, reverse=True):
-        case = case.when(changes >= threshold, factor)
+        hit = changes >= threshold
+        case = F.when(hit, factor) if case is None else case.when(hit, factor)
     return case.otherwise(1.0)
 
 
-def confidence(category: Column, used_fallback: Column | None = None,
+def confidence(category: Column | str, used_fallback: Column | None = None,
                has_history: Column | None = None) -> Column:
-    by_category = lookup(category, C.CONFIDENCE, C.CONFIDENCE["static_analysis"])
-    weak = F.lit(False)
-    if used_fallback is not None:
-        weak = weak | used_fallback
+    """Confidence of a category, given by name or as a column."""
+    default = C.CONFIDENCE["static_analysis"]
+    value = (F.lit(C.CONFIDENCE.get(category, default)) if isinstance(category, str)
+             else lookup(category, C.CONFIDENCE, default))
     if has_history is not None:
-        weak = weak | ~has_history
-    return F.when(weak, C.CONFIDENCE["fallback"]).otherwise(by_category)
+        value = F.when(has_history, value).otherwise(C.CONFIDENCE["fallback"])
+    if used_fallback is not None:
+        value = F.when(used_fallback, C.CONFIDENCE["fallback"]).otherwise(value)
+    return value
 
 
 def business_impact(severity: Column, churn: Column | None = None,

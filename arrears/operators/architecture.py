@@ -56,12 +56,7 @@ def high_fanout(edges: DataFrame, files: DataFrame) -> DataFrame:
                       hours=5.0, impact="medium", detail=F.col("module"))
 
 
-def _inside(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges whose two ends are both among ``nodes``."""
-    for end in ("src", "dst"):
-        edges = edges.join(nodes.select("repo_id", F.col("node").alias(end)), ["repo_id", end],
-                           "left_semi")
-    return edges
+HOPS = 3  # graph steps between two lineage cuts
 
 
 def _measured_cut(df: DataFrame, **metrics) -> tuple[DataFrame, dict]:
@@ -71,39 +66,47 @@ def _measured_cut(df: DataFrame, **metrics) -> tuple[DataFrame, dict]:
     return cut, watch.get
 
 
-def _trim(edges: DataFrame, rounds: int) -> tuple[DataFrame, int]:
-    """Repeatedly drop nodes without incoming or outgoing edges: they are on no cycle."""
-    size = None
-    for _ in range(rounds):
-        targets = edges.select("repo_id", F.col("dst").alias("node"))
-        sources = edges.select("repo_id", F.col("src").alias("node"))
-        edges, counts = _measured_cut(_inside(edges, targets.intersect(sources)),
-                                      left=F.count(F.lit(1)))
-        if counts["left"] in (0, size):
-            break
-        size = counts["left"]
-    return edges, counts["left"]
+def _trim(edges: DataFrame) -> DataFrame:
+    """Drop edges out of nodes nothing enters and into nodes nothing leaves, a few steps deep.
 
+    Such edges are on no cycle. This only saves work: most of an import graph falls away here.
+    """
+    for _ in range(HOPS):
+        entered = edges.select("repo_id", F.col("dst").alias("src")).distinct()
+        left = edges.select("repo_id", F.col("src").alias("dst")).distinct()
+        edges = edges.join(entered, ["repo_id", "src"], "left_semi").join(
+            left, ["repo_id", "dst"], "left_semi")
+    return edges
 
-HOPS = 3  # label steps between two lineage cuts
 
+def _smallest_reaching(edges: DataFrame, rounds: int) -> DataFrame:
+    """Per node the smallest node that reaches it (``fore``) and that it reaches (``back``).
 
-def _spread_labels(edges: DataFrame, labels: DataFrame, start: str, end: str,
-                   rounds: int) -> DataFrame:
-    """Carry the smallest label along the edges until nothing changes."""
+    Both directions run together: a node carries one label per direction, and one join and one
+    minimum per step move all labels along all edges.
+    """
+    moves = edges.select("repo_id", F.lit("fore").alias("way"), F.col("src").alias("node"),
+                         F.col("dst").alias("next")).unionByName(
+        edges.select("repo_id", F.lit("back").alias("way"), F.col("dst").alias("node"),
+                     F.col("src").alias("next")))
+    key = ["repo_id", "way", "node"]
+    labels = (moves.select(*key).unionByName(moves.select("repo_id", "way", F.col("next").alias("node")))
+              .distinct().withColumn("label", F.col("node")))
     for _ in range(rounds):
         moved = labels.withColumn("before", F.col("label"))
         for _ in range(HOPS):
-            offered = edges.join(
-                moved.select("repo_id", F.col("node").alias(start), "label"), ["repo_id", start]
-            ).groupBy("repo_id", F.col(end).alias("node")).agg(F.min("label").alias("offer"))
-            moved = moved.join(offered, ["repo_id", "node"], "left").withColumn(
+            offered = (moves.join(moved.select(*key, "label"), key)
+                       .groupBy("repo_id", "way", F.col("next").alias("node"))
+                       .agg(F.min("label").alias("offer")))
+            moved = moved.join(offered, key, "left").withColumn(
                 "label", F.least("label", "offer")).drop("offer")
         moved, counts = _measured_cut(
             moved, changed=F.count_if(F.col("label") != F.col("before")))
         labels = moved.drop("before")
         if counts["changed"] == 0:
-            return labels
+            return labels.groupBy("repo_id", "node").agg(*[
+                F.max(F.when(F.col("way") == way, F.col("label"))).alias(way)
+                for way in ("fore", "back")])
     raise RuntimeError(f"labels still move after {rounds} rounds; raise max_rounds")
 
 
@@ -111,51 +114,41 @@ def import_cycles(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """Members of every import cycle: rows (repo_id, component, module).
 
     A cycle is a strongly connected component with two or more modules, or a module that imports
-    itself; its name is its smallest module. Works by colouring: the smallest label that reaches a
-    node splits the graph, and the nodes of a colour that reach the node which gave it form one
-    component. State stays linear in nodes and edges - no reachability pairs are built - and
-    lineage is cut each round. The driver only sees row counts.
+    itself; its name is its smallest module. Each round finds, per node, the smallest node that
+    reaches it and the smallest it reaches. Where both agree the node shares a component with it;
+    edges between nodes whose pairs differ are on no cycle and go. State stays linear in nodes and
+    edges - no reachability pairs are built - and lineage is cut each round. The driver only sees
+    counts.
     """
     edges = cut_lineage(edges.select("repo_id", "src", "dst").distinct())
-    loops = edges.filter("src = dst").select(
+    components = edges.filter("src = dst").select(
         "repo_id", F.col("src").alias("component"), F.col("src").alias("module"))
-    rest = edges.filter("src <> dst")
-    found = []
+    rest, counts = _measured_cut(_trim(edges.filter("src <> dst")), left=F.count(F.lit(1)))
     for _ in range(max_rounds):
-        rest, left = _trim(rest, max_rounds)
-        if left == 0:
+        if counts["left"] == 0:
             break
-        nodes = rest.select("repo_id", F.col("src").alias("node")).distinct()
-        colours = _spread_labels(rest, nodes.withColumn("label", F.col("node")), "src", "dst",
-                                 max_rounds)
-        same = rest
+        pairs = _smallest_reaching(rest, max_rounds)
+        components = components.unionByName(pairs.filter("fore = back").select(
+            "repo_id", F.col("fore").alias("component"), F.col("node").alias("module")))
+        open_pairs = pairs.filter("fore <> back")
         for end in ("src", "dst"):
-            same = same.join(colours.select("repo_id", F.col("node").alias(end),
-                                            F.col("label").alias(f"{end}_label")), ["repo_id", end])
-        same = cut_lineage(same.filter("src_label = dst_label").select("repo_id", "src", "dst"))
-        marks = colours.select("repo_id", "node", "label", (F.col("node") != F.col("label"))
-                               .cast("int").alias("away"))
-        back = _spread_labels(same, marks.select("repo_id", "node", F.col("away").alias("label")),
-                              "dst", "src", max_rounds)
-        members = (back.filter("label = 0").drop("label").join(
-            colours, ["repo_id", "node"]).select("repo_id", F.col("label").alias("component"),
-                                                 F.col("node").alias("module")))
-        members = cut_lineage(members)
-        found.append(members)
-        gone = members.select("repo_id", F.col("module").alias("node"))
-        rest = cut_lineage(_inside(rest, nodes.join(gone, ["repo_id", "node"], "left_anti")))
+            rest = rest.join(open_pairs.select(
+                "repo_id", F.col("node").alias(end),
+                F.struct("fore", "back").alias(f"{end}_pair")), ["repo_id", end])
+        rest, counts = _measured_cut(
+            rest.filter("src_pair = dst_pair").select("repo_id", "src", "dst"),
+            left=F.count(F.lit(1)))
     else:
-        raise RuntimeError(f"components remain after {max_rounds} rounds; raise max_rounds")
-    components = loops
-    for part in found:
-        components = components.unionByName(part)
-    # A self-importing module inside a larger component belongs to that component.
-    sizes = components.groupBy("repo_id", "component").agg(F.count_distinct("module").alias("size"))
-    large = components.join(sizes.filter("size > 1"), ["repo_id", "component"], "left_semi")
-    single = components.join(sizes.filter("size = 1"), ["repo_id", "component"], "left_semi")
-    covered = large.select("repo_id", "module").distinct()
-    return (large.unionByName(single.join(covered, ["repo_id", "module"], "left_anti"))
-            .distinct())
+        raise RuntimeError(f"edges remain after {max_rounds} rounds; raise max_rounds")
+    # Single modules count only when they import themselves.
+    loops = edges.filter("src = dst").select("repo_id", F.col("src").alias("module"))
+    components = components.distinct()
+    sizes = components.groupBy("repo_id", "component").agg(F.count("*").alias("size"))
+    sized = components.join(sizes, ["repo_id", "component"])
+    large = sized.filter("size > 1").drop("size")
+    alone = sized.filter("size = 1").drop("size").join(loops, ["repo_id", "module"], "left_semi")
+    inside = large.select("repo_id", "module").distinct()
+    return large.unionByName(alone.join(inside, ["repo_id", "module"], "left_anti"))
 
 
 def cyclic_dependencies(cycles: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
 """Skew-safe building blocks used by the other operators."""
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SPREAD = 32
@@ -45,19 +46,36 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str,
         repeated, [*on, "_salt"], how).drop("_salt")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise in the cluster's shared checkpoint folder, so iterations survive lost executors."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder; only a local session may fall back to one of its own."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not context.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise in the shared checkpoint folder, so iterations survive lost executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stage(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """Write an intermediate that several jobs read and continue from the written table.
+
+    Readers prune its columns and partitions, their plans start at this table, and a lost executor
+    costs no recomputation. The table lies in the shared checkpoint folder and is as short-lived.
+    """
+    path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.partitionBy(*partition_by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
 def keep_last(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """One row per key, the one with the greatest ``order`` (a later duplicate replaces an earlier)."""
     return top_per_group(df, keys, [F.col(order).desc()], 1).drop("position")

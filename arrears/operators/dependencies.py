@@ -46,7 +46,7 @@ def _hygiene_items(df: DataFrame) -> DataFrame:
     return debt_items(
         df.filter("issue IS NOT NULL"), "dependency_hygiene", category="dependency",
         severity=severity, kind=F.col("issue"), hours=F.when(severity == "medium", 0.75)
-        .otherwise(1.5), impact="medium", trust=confidence(F.lit("dependency")),
+        .otherwise(1.5), impact="medium", trust=confidence("dependency"),
         file=paths.base_name(F.col("path")), line=F.col("line"), package=F.col("package"),
         version_specifier=F.col("spec"), detail=F.col("section"))
 
@@ -108,7 +108,7 @@ def vulnerabilities(files: DataFrame, records: DataFrame) -> DataFrame:
     low = F.lower(severity)
     return debt_items(
         hits, "vulnerabilities", category="dependency", severity=low, kind="vulnerability",
-        hours=hours, impact=business_impact(low), trust=confidence(F.lit("dependency")),
+        hours=hours, impact=business_impact(low), trust=confidence("dependency"),
         file="requirements.txt", package=F.col("package"), cve_id=F.col("cve_id"),
         cvss_score=F.col("cvss_score"), fixed_version=F.col("fixed_version"),
         version_specifier=F.col("version"), fixed_cost=cents(hours * C.VULNERABILITY_RATE))

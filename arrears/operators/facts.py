@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arrears.functions import paths
+from arrears.operators.common import stage
 
 FACTS = ("repo_id string, path string, kind string, name string, line int, ord int, group_ord int, "
          "n1 int, n2 int, flag boolean, text string")
@@ -147,14 +148,19 @@ def _parse(batches):
 def python_facts(source_files: DataFrame) -> DataFrame:
     """Facts of all Python files outside excluded folders.
 
-    Only the columns the parser needs reach the Python worker. Callers that run several rules
-    should ``persist`` or write the result: it is far smaller than the text.
+    Only the columns the parser needs reach the Python worker. Callers that run several rules use
+    ``staged_facts``: the facts are far smaller than the text.
     """
     path = F.col("path")
     return (source_files.filter(path.endswith(".py") & ~paths.under_skip_dir(path))
             .select("repo_id", "path", "text").mapInPandas(_parse, FACTS))
 
 
+def staged_facts(source_files: DataFrame) -> DataFrame:
+    """Facts written once, in one partition per kind: each rule reads only its kind."""
+    return stage(python_facts(source_files), ("kind",))
+
+
 def scanned(facts: DataFrame, kind: str) -> DataFrame:
     """Facts of one kind outside generated and lock files (structure rules read those as well)."""
     return facts.filter((F.col("kind") == kind) & ~paths.is_skipped_file(F.col("path")))

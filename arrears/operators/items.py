@@ -35,11 +35,12 @@ def debt_items(df: DataFrame, step: str, *, category: str, severity, kind, hours
         "repo_id": F.col("repo_id"), "step": F.lit(STEPS[step]), "file": F.col("path"),
         "category": F.lit(category), "severity": column(severity), "type": column(kind),
         "remediation_hours": column(hours), "business_impact": column(impact),
-        "confidence": confidence(F.lit("static_analysis")) if trust is None else trust,
+        "confidence": confidence("static_analysis") if trust is None else trust,
         **{name: column(value) for name, value in extra.items()},
     }
-    return df.select(*[
-        values.get(name, F.lit(None)).cast(dtype).alias(name)
+    given = df.select(*[value.alias(name) for name, value in values.items()])
+    return given.selectExpr(*[
+        f"CAST({name if name in values else 'NULL'} AS {dtype}) AS {name}"
         for name, dtype in ITEM_FIELDS.items()])
 
 

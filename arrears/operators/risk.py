@@ -68,7 +68,7 @@ def risky_files(functions: DataFrame, hotspots: DataFrame, minutes: DataFrame,
                     "severity"))
     churn = churn_multiplier(F.col("change_count"))
     fallback = F.lit(used_fallback)
-    trust = confidence(F.lit("git_history"), fallback, ~fallback)
+    trust = confidence("git_history", fallback, ~fallback)
     impact = business_impact(F.col("severity"), churn, F.col("change_count"))
     hours = F.col("minutes") * churn / 60
     cost = price(hours, F.lit(rate), impact, trust)

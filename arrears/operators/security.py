@@ -31,6 +31,6 @@ def security_items(results: DataFrame, rate=C.ROLE_RATES["mid"],
                                  F.lit(breach_probability))["total_security_cost"]
     return debt_items(
         kept, "security", category="security", severity=severity, kind="security_hotspot",
-        hours=hours, impact=business_impact(severity), trust=confidence(F.lit("security_scan")),
+        hours=hours, impact=business_impact(severity), trust=confidence("security_scan"),
         file=normalize_repo_path(F.col("filename")), line=F.col("line_number"),
         issue_text=F.col("issue_text"), detail=F.col("test_id"), fixed_cost=cost)

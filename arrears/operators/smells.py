@@ -49,7 +49,7 @@ def missing_docstrings(facts: DataFrame) -> DataFrame:
     return debt_items(found, "documentation", category="documentation", severity="low",
                       kind="missing_docstring", impact="low",
                       hours=hours_from_minutes(F.lit(C.RULE_SEVERITY_MINUTES["MINOR"])),
-                      trust=confidence(F.lit("documentation")), function=F.col("name"),
+                      trust=confidence("documentation"), function=F.col("name"),
                       line=F.col("line"), doc_type=F.col("doc_type"))
 
 

@@ -64,7 +64,7 @@ def test_gaps(files: DataFrame, hotspot_paths: DataFrame) -> DataFrame:
         gaps, "test_debt", category="test_debt", kind="missing_tests",
         severity=F.when(hot, "high").otherwise("medium"),
         hours=F.when(hot, 4.0).otherwise(2.0), impact=F.when(hot, "high").otherwise("medium"),
-        trust=confidence(F.lit("test_debt")), fixed_rate=C.TEST_GAP_RATE,
+        trust=confidence("test_debt"), fixed_rate=C.TEST_GAP_RATE,
         detail=F.when(hot, "hotspot_without_tests").otherwise("source_without_tests"))
 
 

@@ -2,7 +2,6 @@
 
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +10,7 @@ from arrears.functions.numeric import cents, places
 from arrears.operators import (
     architecture, dependencies, facts as python, findings, history, risk, security, smells, testgap,
 )
+from arrears.operators.common import stage
 from arrears.operators.items import price_items, union_items
 
 
@@ -79,7 +79,7 @@ def collect_items(inputs: Inputs, parsed: DataFrame, hotspots: DataFrame, functi
     """Priced items of all rules, in step order."""
     suspects = smells.generated_code(inputs.commit_files, parsed, inputs.source_files)
     minutes = risk.minutes_by_complexity(inputs.rules)
-    risky_items = risky(functions, hotspots, minutes, suspects)
+    risky_items = stage(risky(functions, hotspots, minutes, suspects))
     spots = risky_items.select("repo_id", F.col("file").alias("path"))
     parts = [
         risky_items, architecture_items(parsed, inputs.source_files, cycles),
@@ -104,15 +104,15 @@ def collect_items(inputs: Inputs, parsed: DataFrame, hotspots: DataFrame, functi
 def estimate(inputs: Inputs, cycles: bool = True) -> Estimate:
     """Findings, modules, roadmap, category costs and totals of every repository.
 
-    The parsed facts are the only intermediate kept: they feed nine rules and are far smaller than
-    the text. They stay on executor disks and are recomputed from the files if an executor is lost.
+    Four results that several later steps read are written on the way: the parsed facts, the
+    hotspots, the risky files and the priced items. The rest stays lazy.
     """
-    parsed = python.python_facts(inputs.source_files).persist(StorageLevel.DISK_ONLY)
+    parsed = python.staged_facts(inputs.source_files)
     functions = smells.measured_functions(parsed)
-    hotspots = history.hotspots(inputs.commit_files)
+    hotspots = stage(history.hotspots(inputs.commit_files))
     repos = (inputs.source_files.select("repo_id").distinct())
     settings = _settings(repos, inputs.settings)
-    items = collect_items(inputs, parsed, hotspots, functions, settings, cycles)
+    items = stage(collect_items(inputs, parsed, hotspots, functions, settings, cycles))
     ownership = history.file_ownership(inputs.commit_files)
     owned = findings.with_file_owners(items, ownership)
     found = findings.normalize_findings(owned)
