@@ -24,8 +24,8 @@ def source_tree(spark: SparkSession, root: str, pattern: str | None = None) -> D
         F.regexp_replace(relative, r"^[^/]*/", "").alias("path"), "content")
     path = F.col("path")
     return files.filter(~paths.under_skip_dir(path) & ~paths.is_skipped_file(path)).select(
-        "repo_id", "path", F.replace(F.decode(F.col("content"), "UTF-8"), F.lit("�"), F.lit(""))
-        .alias("text"))
+        "repo_id", "path", F.replace(F.make_valid_utf8(F.col("content").cast("string")),
+                                     F.lit("\ufffd"), F.lit("")).alias("text"))
 
 
 def _quoted(text: str) -> str:
