@@ -72,8 +72,7 @@ def hotspots(t):
            WHERE position <= 10""", ("commit_files",))
 def top_hotspots(t):
     return top_per_group(history.hotspots(t.commit_files), ["repo_id"],
-                         [F.col("change_count").desc(), F.col("path")], 10,
-                         spread_by=["path"]).select("repo_id", "path", "change_count", "position")
+                         [F.col("change_count").desc(), F.col("path")], 10).select("repo_id", "path", "change_count", "position")
 
 
 @query("agg3_complexity_hotspots", "AGG3",
@@ -107,7 +106,7 @@ def worst_files(t):
     from arrears.operators.smells import file_complexity
 
     return top_per_group(file_complexity(t.functions), ["repo_id"],
-                         [F.col("max_complexity").desc(), F.col("path")], 5, spread_by=["path"])
+                         [F.col("max_complexity").desc(), F.col("path")], 5)
 
 
 @query("agg4_max_severity", "AGG4",
@@ -152,8 +151,7 @@ def bus_factor(t):
 def ownership_hotspots(t):
     files = history.ownership_hotspots(history.file_ownership(t.commit_files),
                                        history.hotspots(t.commit_files))
-    return top_per_group(files, ["repo_id"], history.hotspot_order(), 20,
-                         spread_by=["path"]).select("repo_id", "path", "ownership_risk", "position")
+    return top_per_group(files, ["repo_id"], history.hotspot_order(), 20).select("repo_id", "path", "ownership_risk", "position")
 
 
 @query("agg7_ownership_summary", "AGG7 CMP12 DTE1",

@@ -309,5 +309,4 @@ def generated_report(t):
 def top_suspects(t):
     from arrears.operators.common import top_per_group
 
-    return top_per_group(generated_code(t), ["repo_id"], [F.col("probability").desc(), F.col("path")], 50,
-                         spread_by=["path"]).select("repo_id", "path", "position")
+    return top_per_group(generated_code(t), ["repo_id"], [F.col("probability").desc(), F.col("path")], 50).select("repo_id", "path", "position")

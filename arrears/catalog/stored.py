@@ -390,8 +390,7 @@ def portfolio(t):
            = 'complete') WHERE position <= 25""", ("scans",))
 def portfolio_order(t):
     return top_per_group(store.complete(t.scans), ["user_id"],
-                         [F.col("debt_score").desc(), F.col("scan_id")], 25,
-                         spread_by=["scan_id"]).select("scan_id", "debt_score", "position")
+                         [F.col("debt_score").desc(), F.col("scan_id")], 25).select("scan_id", "debt_score", "position")
 
 
 @query("agg21_portfolio_summary", "AGG21 QRY15",

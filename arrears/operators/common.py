@@ -15,18 +15,18 @@ def salt(columns, buckets: int = SPREAD) -> Column:
 
 
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], limit: int, *,
-                  rank: str = "row_number", spread_by: list[str] | None = None,
-                  position: str = "position") -> DataFrame:
+                  rank: str = "row_number", position: str = "position") -> DataFrame:
     """First ``limit`` ranks of every group, with their position.
 
-    A rank filter directly above the window lets Spark prune inside each map task. The window runs
-    first inside hashed slices of a group and then over the survivors, so a group that holds most
-    of the rows is still split: the last task sees at most SPREAD * limit ranks of it. Rows that tie
-    under ``dense_rank`` must share ``spread_by`` values.
+    A rank filter directly above a window lets Spark prune each group inside the map task, before
+    the shuffle. What is left of a group - one set of leaders per map task - is ranked in two
+    steps: first in slices of map tasks, then over the slices' leaders. So a group that holds most
+    of the rows never meets in one task. A row that leads its group leads every slice it is in, so
+    slices may cut through ties.
     """
     function = getattr(F, rank)
-    if spread_by:
-        df = df.withColumn("_slice", salt(spread_by))
+    if limit > 1:
+        df = df.withColumn("_slice", F.spark_partition_id() % SPREAD)
         inner = Window.partitionBy(*keys, "_slice").orderBy(*order)
         df = (df.withColumn("_inner", function().over(inner))
               .filter(F.col("_inner") <= limit).drop("_inner", "_slice"))

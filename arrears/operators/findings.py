@@ -126,8 +126,7 @@ def roadmap(findings: DataFrame, keys: tuple[str, ...] = ("repo_id",), *,
     """First findings of each bucket in finding order, with their position."""
     title = F.concat(title_label(F.col("category")), F.lit(" in "), F.col("file_path"))
     bucketed = findings.withColumn("bucket", roadmap_bucket())
-    top = top_per_group(bucketed, [*keys, "bucket"], finding_order(*ties), limit,
-                        spread_by=["id", "file_path"])
+    top = top_per_group(bucketed, [*keys, "bucket"], finding_order(*ties), limit)
     return top.select(*keys, "bucket", "position", F.col("id").alias("finding_id"),
                       title.alias("title"), "file_path", "module", "severity", "business_impact",
                       "effort_hours", "cost_usd", "confidence")

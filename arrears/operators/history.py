@@ -12,7 +12,7 @@ from arrears.operators.common import top_per_group
 def first_commits(commit_files: DataFrame, limit: int) -> DataFrame:
     """All rows of the ``limit`` oldest commits of every repository."""
     return top_per_group(commit_files, ["repo_id"], [F.col("commit_seq")], limit,
-                         rank="dense_rank", spread_by=["commit_seq"]).drop("position")
+                         rank="dense_rank").drop("position")
 
 
 def changed_files(commit_files: DataFrame) -> DataFrame:
@@ -31,12 +31,16 @@ def hotspots(commit_files: DataFrame, max_commits: int = 50) -> DataFrame:
     """
     changes = changed_files(first_commits(commit_files, max_commits))
     per_author = changes.groupBy("repo_id", "path", "author_email").agg(
-        F.count("*").alias("changes"),
-        F.max(F.struct("commit_seq", "author_date")).alias("latest"))
+        F.count("*").alias("changes"), *_latest("commit_seq", "author_date"))
     return per_author.groupBy("repo_id", "path").agg(
         F.sum("changes").alias("change_count"),
         F.count("author_email").alias("unique_authors"),
-        F.max("latest")["author_date"].alias("last_changed"))
+        F.max_by("last_changed", "last_seq").alias("last_changed"))
+
+
+def _latest(order: str, moment: str) -> list[Column]:
+    """Order and date of the last change; both stay fixed-width, which keeps hash aggregation."""
+    return [F.max(order).alias("last_seq"), F.max_by(moment, order).alias("last_changed")]
 
 
 def complexity_hotspots(functions: DataFrame) -> DataFrame:
@@ -56,9 +60,9 @@ def concentration(counts: DataFrame, keys: list[str], carry_latest: bool = False
     Contributors with the same count are interchangeable, so they are first folded into a histogram
     (changes -> contributors). A key has at most sqrt(2 * total changes) distinct counts, which
     bounds the rows the running sum sees however many contributors share the key.
-    ``carry_latest`` keeps the greatest ``latest`` value of a key.
+    ``carry_latest`` keeps the last change (``last_seq``, ``last_changed``) of a key.
     """
-    latest = [F.max("latest").alias("latest")] if carry_latest else []
+    latest = _latest("last_seq", "last_changed") if carry_latest else []
     histogram = counts.groupBy(*keys, "changes").agg(F.count("*").alias("people"), *latest)
     volume = F.col("people") * F.col("changes")
     group = Window.partitionBy(*keys)
@@ -95,11 +99,8 @@ def _with_risk(profile: DataFrame) -> DataFrame:
 def file_ownership(commit_files: DataFrame, max_commits: int = 250) -> DataFrame:
     changes = changed_files(_identified(commit_files, max_commits).filter("author <> ''"))
     counts = changes.groupBy("repo_id", "path", "author").agg(
-        F.count("*").alias("changes"),
-        F.max(F.struct("commit_seq", "author_date")).alias("latest"))
-    profile = concentration(counts, ["repo_id", "path"], carry_latest=True)
-    return (_with_risk(profile).withColumn("last_changed", F.col("latest.author_date"))
-            .drop("latest"))
+        F.count("*").alias("changes"), *_latest("commit_seq", "author_date"))
+    return _with_risk(concentration(counts, ["repo_id", "path"], carry_latest=True)).drop("last_seq")
 
 
 def module_ownership(commit_files: DataFrame, max_commits: int = 250) -> DataFrame:
@@ -159,19 +160,21 @@ def team_profile(commit_files: DataFrame, as_of) -> DataFrame:
     cutoff = F.lit(as_of).cast("timestamp") - F.expr("INTERVAL 90 DAYS")
     commits = (commit_files.groupBy("repo_id", "commit_seq")
                .agg(F.max("author_email").alias("author"), F.max("author_date").alias("author_date")))
-    point = F.struct("commit_seq", "author_date")
     per_author = (commits.groupBy("repo_id", "author")
                   .agg(F.count("*").alias("changes"),
                        F.max((F.col("author_date") > cutoff).cast("int")).alias("active"),
-                       F.min(point).alias("first"), F.max(point).alias("last")))
+                       F.min("commit_seq").alias("first_seq"),
+                       F.min_by("author_date", "commit_seq").alias("first_date"),
+                       *_latest("commit_seq", "author_date")))
     named = F.col("author").isNotNull() & (F.col("author") != "")
     totals = per_author.groupBy("repo_id").agg(
         F.count(F.when(named, 1)).alias("team_size"),
         F.sum(F.when(named, F.col("active")).otherwise(0)).alias("active_contributors"),
         F.sum("changes").alias("total_commits"),
-        F.floor((_seconds(F.max("last")["author_date"])
-                 - _seconds(F.min("first")["author_date"])) / 86400).alias("repo_age_days"))
-    people = concentration(per_author, ["repo_id"]).select("repo_id", "bus_factor")
+        F.floor((_seconds(F.max_by("last_changed", "last_seq"))
+                 - _seconds(F.min_by("first_date", "first_seq"))) / 86400).alias("repo_age_days"))
+    people = concentration(per_author.select("repo_id", "author", "changes"), ["repo_id"]).select(
+        "repo_id", "bus_factor")
     weeks = F.greatest(F.col("repo_age_days") / 7, F.lit(1.0))
     return (totals.join(people, "repo_id")
             .withColumn("is_solo", F.col("bus_factor") == 1)

@@ -34,7 +34,7 @@ def action_hint(category: Column) -> Column:
 def triage_rows(findings: DataFrame, keys: list[str], order: list[Column],
                 limit: int = 5) -> DataFrame:
     """Deterministic triage of the leading findings."""
-    top = top_per_group(findings, keys, order, limit, spread_by=["finding_key"])
+    top = top_per_group(findings, keys, order, limit)
     category = F.coalesce("category", F.lit("unknown"))
     return top.select(
         *keys, "position", F.col("finding_key").alias("finding_id"), category.alias("debt_type"),
@@ -47,7 +47,7 @@ def triage_rows(findings: DataFrame, keys: list[str], order: list[Column],
 def priority_actions(findings: DataFrame, triage: DataFrame, keys: list[str],
                      order: list[Column], limit: int = 3) -> DataFrame:
     """Leading findings as actions; the reason comes from their triage row when there is one."""
-    top = top_per_group(findings, keys, order, limit, spread_by=["finding_key"])
+    top = top_per_group(findings, keys, order, limit)
     hints = triage.groupBy(*keys, F.col("finding_id").alias("finding_key")).agg(
         F.max_by("action_hint", "position").alias("action_hint"))
     where = F.coalesce(F.nullif("module", F.lit("")), F.col("file_path"))
@@ -65,7 +65,7 @@ def priority_actions(findings: DataFrame, triage: DataFrame, keys: list[str],
 
 
 def _first_of(df: DataFrame, keys: list[str], order: list[Column], column: str) -> DataFrame:
-    return top_per_group(df, keys, order, 1, spread_by=[column]).select(*keys, column)
+    return top_per_group(df, keys, order, 1).select(*keys, column)
 
 
 def architecture_reviews(scans: DataFrame, modules: DataFrame, findings: DataFrame,
@@ -174,8 +174,7 @@ def profile_rows(profiles: DataFrame) -> DataFrame:
 
 def top_items(items: DataFrame, keys: list[str], limit: int = 20) -> DataFrame:
     """Most expensive items with the short forms shown in a report."""
-    top = top_per_group(items, keys, [F.col("cost_usd").desc(), F.col("seq")], limit,
-                        spread_by=["seq"])
+    top = top_per_group(items, keys, [F.col("cost_usd").desc(), F.col("seq")], limit)
     shown = F.when(F.coalesce("file", F.lit("")) == "", "unknown").otherwise(
         paths.truncate(paths.clean_path(F.col("file")), 45, 45))
     minutes = F.coalesce(F.col("adjusted_minutes").cast("double"), F.lit(0.0))
@@ -195,7 +194,7 @@ def tickets(items: DataFrame, keys: list[str], min_severity: str = "medium",
     floor = C.SEVERITY_RANK[min_severity]
     rank = severity_rank(F.coalesce("severity", F.lit("low")))
     top = top_per_group(items.filter(rank >= floor), keys,
-                        [F.col("cost_usd").desc(), F.col("seq")], limit, spread_by=["seq"])
+                        [F.col("cost_usd").desc(), F.col("seq")], limit)
     col = F.col
     file = paths.clean_path(F.coalesce("file", F.lit("unknown")))
     category = paths.title_label(F.coalesce("category", F.lit("code_quality")))

@@ -22,8 +22,7 @@ def complete(scans: DataFrame, user_id=None) -> DataFrame:
 
 def history(scans: DataFrame, limit: int, user_id=None, key: str = "repo_id") -> DataFrame:
     """Newest ``limit`` complete scans of every repository; position 1 is the latest."""
-    return top_per_group(complete(scans, user_id), [key], newest_first(), limit,
-                         spread_by=["scan_id"])
+    return top_per_group(complete(scans, user_id), [key], newest_first(), limit)
 
 
 def latest_scans(scans: DataFrame, user_id=None, key: str = "repo_id") -> DataFrame:
@@ -123,8 +122,7 @@ def category_counts(findings: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def top_unresolved(findings: DataFrame, keys: list[str], limit: int = 20) -> DataFrame:
-    return top_per_group(findings.filter(unresolved()), keys, finding_order("seq"), limit,
-                         spread_by=["seq"])
+    return top_per_group(findings.filter(unresolved()), keys, finding_order("seq"), limit)
 
 
 # --- comparison -----------------------------------------------------------------------------------
@@ -197,7 +195,7 @@ def change_rollup(changes: DataFrame, cap: int | None = None) -> DataFrame:
         "seq", F.coalesce("latest_seq", "previous_seq"))
     if cap is not None:
         rows = top_per_group(rows.filter("state <> 'existing'"), ["repo_id", "state"],
-                             [F.col("seq")], cap, spread_by=["seq"]).drop("position").unionByName(
+                             [F.col("seq")], cap).drop("position").unionByName(
             rows.filter("state = 'existing'"))
     return rows.groupBy("repo_id", "state").agg(F.count("*").alias("findings"),
                                                 sum_cents("cost", "cost_usd"))
@@ -207,7 +205,7 @@ def change_items(changes: DataFrame, change: str, limit: int) -> DataFrame:
     """First findings of one kind of change per repository, in scan order."""
     seq = F.coalesce("latest_seq", "previous_seq")
     return top_per_group(changes.filter(F.col("change") == change).withColumn("seq", seq),
-                         ["repo_id"], [F.col("seq")], limit, spread_by=["seq"])
+                         ["repo_id"], [F.col("seq")], limit)
 
 
 def first_scan_rollup(pairs: DataFrame, findings: DataFrame) -> DataFrame:
@@ -328,12 +326,10 @@ def portfolio(scans: DataFrame, repositories: DataFrame, categories: DataFrame,
     repositories, so a repository with very many scans is joined once per address.
     """
     done = complete(scans, user_id)
-    newest = top_per_group(done, ["user_id", "repo_id", "payload_url"], newest_first(), 1,
-                           spread_by=["scan_id"]).drop("position")
+    newest = top_per_group(done, ["user_id", "repo_id", "payload_url"], newest_first(), 1).drop("position")
     keyed = with_urls(newest, repositories).withColumn(
         "key", F.when(F.col("url") != "", paths.repo_key(F.col("url"))).otherwise(F.col("repo_id")))
-    latest = top_per_group(keyed, ["user_id", "key"], newest_first(), 1,
-                           spread_by=["scan_id"]).drop("position")
+    latest = top_per_group(keyed, ["user_id", "key"], newest_first(), 1).drop("position")
     score = F.coalesce(F.col("debt_score").cast("double"), F.lit(0.0))
     top = top_category(categories)
     return latest.join(top, "scan_id", "left").select(
@@ -411,7 +407,7 @@ def summary_rollup(scans: DataFrame, findings: DataFrame, modules: DataFrame,
 
 
 def top_modules(modules: DataFrame, keys: list[str], limit: int = 5) -> DataFrame:
-    return top_per_group(modules, keys, module_order(), limit, spread_by=["module"])
+    return top_per_group(modules, keys, module_order(), limit)
 
 
 def roadmap_rows(roadmap: DataFrame, scan_ids: DataFrame | None = None) -> DataFrame:

@@ -101,12 +101,12 @@ def test_top_per_group_splits_hot_groups(spark):
         (F.col("id") * 7919 % 20011).alias("v"), "id")
     order = [F.col("v").desc(), F.col("id")]
     plain = top_per_group(df, ["k"], order, 5).select("k", "id", "position")
-    split = top_per_group(df, ["k"], order, 5, spread_by=["id"]).select("k", "id", "position")
+    split = top_per_group(df, ["k"], order, 5).select("k", "id", "position")
     assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, split.collect()))
     plan = split._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
     ranked = df.withColumn("v", F.col("v") % 100)
-    dense = top_per_group(ranked, ["k"], [F.col("v")], 3, rank="dense_rank", spread_by=["v"])
+    dense = top_per_group(ranked, ["k"], [F.col("v")], 3, rank="dense_rank")
     want = top_per_group(ranked, ["k"], [F.col("v")], 3, rank="dense_rank")
     assert dense.count() == want.count()
 
