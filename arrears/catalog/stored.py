@@ -381,7 +381,20 @@ def top_category(t):
            ORDER BY cost_usd DESC, category) AS q FROM cats) WHERE q = 1) c USING (scan_id)""",
        ("scans", "repositories"))
 def portfolio(t):
-    return store.portfolio(t.scans, t.repositories, scan_categories(t))
+    return store.portfolio(t.scans, t.repositories, scan_categories(t)).drop("scanned_at")
+
+
+@query("srt9_portfolio_sort", "SRT9 SRT8 QRY14",
+       f"""WITH {URLS}, newest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id,
+           coalesce(nullif(repo_key, ''), repo_id) ORDER BY created_at DESC, scan_id DESC) AS p FROM
+           urls WHERE status = 'complete') WHERE p = 1)
+           SELECT user_id, repo_key, {D('total_cost_usd')} AS total_cost, strftime(created_at,
+           '%Y-%m-%dT%H:%M:%S') AS scanned_at FROM newest ORDER BY total_cost_usd, repo_key LIMIT 40""",
+       ("scans", "repositories"))
+def portfolio_sort(t):
+    rows = store.portfolio(t.scans, t.repositories, scan_categories(t))
+    return store.sort_portfolio(rows, "total_cost", descending=False).limit(40).select(
+        "user_id", "repo_key", "total_cost", "scanned_at")
 
 
 @query("srt8_portfolio_order", "SRT8 SRT9",
@@ -424,6 +437,37 @@ def repository_list(t):
                            for c in ("latest_cost", "latest_score")])
 
 
+@query("srt10_recent_repositories", "SRT10 QRY9",
+       f"""WITH {RECENT.format(n=1)} SELECT r.repo_id, coalesce(strftime(created_at, '%Y-%m-%d'), '') AS
+           last_scanned FROM repositories r LEFT JOIN recent x USING (repo_id) ORDER BY created_at DESC
+           NULLS LAST, r.repo_id LIMIT 50""", ("scans", "repositories"))
+def recent_repositories(t):
+    listed = store.recently_scanned(store.repository_list(t.repositories, t.scans), 50)
+    return listed.select("repo_id", F.coalesce(F.date_format("last_scanned", "yyyy-MM-dd"), F.lit(""))
+                         .alias("last_scanned"))
+
+
+@query("qry2_scan_summary", "QRY2 QRY1 JSN1",
+       f"""SELECT scan_id, repo_id, job_id, strftime(created_at, '%Y-%m-%dT%H:%M:%S') AS created_at,
+           {D('total_cost_usd')} AS total_cost_usd, {D('debt_score')} AS debt_score, {D('total_hours')} AS
+           total_hours, {D('total_sprints')} AS total_sprints, CASE WHEN scan_id % 2 = 0 THEN
+           '{{"issues":' || scan_id || '}}' ELSE '{{}}' END AS summary FROM scans""", ("scans",))
+def scan_summary(t):
+    payload = F.when(F.col("scan_id") % 2 == 0, F.concat(
+        F.lit('{"raw_analysis":{"summary":{"issues":'), "scan_id", F.lit("}}}"))).otherwise("{}")
+    return store.scan_summary(t.scans.withColumn("payload", payload))
+
+
+@query("jsn2_profile_fields", "JSN2",
+       """SELECT scan_id, CASE WHEN scan_id % 3 = 0 THEN 'go' ELSE coalesce(primary_language, 'Unknown') END
+          AS language FROM scans""", ("scans",))
+def profile_fields(t):
+    payload = F.when(F.col("scan_id") % 3 == 0, F.lit(
+        '{"repo_profile":{"tech_stack":{"primary_language":"go"}}}')).otherwise("{}")
+    return t.scans.select("scan_id", store.profile_field(
+        payload, "tech_stack.primary_language", F.col("primary_language"), "Unknown").alias("language"))
+
+
 @query("qry18_all_scans", "QRY18 JON11 STR5",
        f"""WITH {URLS} SELECT scan_id, repo_id, coalesce(repository_url, '') AS repository_url,
            repo_key AS normalized FROM urls""", ("scans", "repositories"))

@@ -339,6 +339,7 @@ def portfolio(scans: DataFrame, repositories: DataFrame, categories: DataFrame,
         score.alias("debt_score"),
         F.coalesce(F.col("total_cost_usd").cast("double"), F.lit(0.0)).alias("total_cost"),
         F.coalesce(F.col("total_hours").cast("double"), F.lit(0.0)).alias("remediation_hours"),
+        F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss").alias("scanned_at"),
         F.coalesce("primary_language", F.lit("Unknown")).alias("language"),
         F.coalesce("top_category", F.lit("unknown")).alias("top_category"),
         risk_level(score).alias("risk_level"))
@@ -374,15 +375,54 @@ def portfolio_trends(scans: DataFrame, user_id=None) -> DataFrame:
 
 
 def repository_list(repositories: DataFrame, scans: DataFrame) -> DataFrame:
-    """Repositories with latest cost and score and their number of scans of any status."""
+    """Repositories with last scan, latest cost and score and their number of scans of any status.
+
+    The store is append-only: when a repository was last scanned is read from its scans.
+    """
     counts = scans.groupBy("repo_id").agg(F.count("*").alias("total_scans"))
     latest = latest_scans(scans).select(
-        "repo_id", F.col("total_cost_usd").alias("latest_cost"),
-        F.col("debt_score").alias("latest_score"))
+        "repo_id", F.col("created_at").alias("last_scanned"),
+        F.col("total_cost_usd").alias("latest_cost"), F.col("debt_score").alias("latest_score"))
     return (repositories.join(counts, "repo_id", "left").join(latest, "repo_id", "left")
             .fillna(0, ["total_scans"]))
 
 
+def recently_scanned(listed: DataFrame, limit: int) -> DataFrame:
+    """Most recently scanned repositories; those never scanned come last."""
+    return listed.orderBy(F.col("last_scanned").desc_nulls_last(), "repo_id").limit(limit)
+
+
+PORTFOLIO_SORTS = ("debt_score", "total_cost", "scanned_at")
+
+
+def sort_portfolio(rows: DataFrame, by: str = "debt_score", descending: bool = True) -> DataFrame:
+    """Portfolio rows in a chosen order; follow with ``limit`` to read the leading rows."""
+    if by not in PORTFOLIO_SORTS:
+        raise ValueError(f"sort by one of {PORTFOLIO_SORTS}")
+    column = F.col(by)
+    return rows.orderBy(column.desc() if descending else column.asc(), "repo_key")
+
+
+def scan_by_id(scans: DataFrame, scan_id, user_id=None) -> DataFrame:
+    found = scans.filter(F.col("scan_id") == scan_id)
+    return found if user_id is None else found.filter(F.col("user_id") == user_id)
+
+
+def scan_summary(scans: DataFrame) -> DataFrame:
+    """Headline fields of scans; the free summary comes from the stored payload."""
+    return scans.select(
+        "scan_id", "repo_id", "job_id",
+        F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss").alias("created_at"), "total_cost_usd",
+        "debt_score", "total_hours", "total_sprints",
+        F.coalesce(payload_analysis(F.col("payload"), "summary"), F.lit("{}")).alias("summary"))
+
+
+def profile_field(payload: Column, path: str, column: Column, default) -> Column:
+    """Field of the stored profile, else the scan's own column, else a default."""
+    return F.coalesce(payload_analysis(payload, f"repo_profile.{path}"), column.cast("string"),
+                      F.lit(default))
+
+
 def scans_with_keys(scans: DataFrame, repositories: DataFrame) -> DataFrame:
     return with_urls(scans, repositories).select(
         "scan_id", "repo_id", "repository_url", paths.repo_key(F.col("url")).alias("normalized"),

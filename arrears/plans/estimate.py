@@ -12,6 +12,7 @@ from arrears.operators import (
 )
 from arrears.operators.common import stage
 from arrears.operators.items import price_items, union_items
+from arrears.sources import scan_store
 
 
 @dataclass
@@ -143,3 +144,22 @@ def with_baseline(categories: DataFrame, repos: DataFrame) -> DataFrame:
     return joined.withColumn("cost_usd", cents(plus("cost_usd", F.col("_cost")), wide=True)
                              ).withColumn("hours", places(plus("hours", F.col("_hours")), 2, wide=True)
                                           ).drop("_hours", "_cost")
+
+
+def save(result: Estimate, root: str, batch_id: str, created_at, user_id: str | None = None) -> None:
+    """Write an estimate to the scan store as one complete scan per repository.
+
+    Scan ids follow from repository and batch, so a repeated save replaces the same rows.
+    """
+    scan_id = F.substring(F.sha1(F.concat_ws("|", "repo_id", F.lit(batch_id))), 1, 12)
+
+    def keyed(df: DataFrame) -> DataFrame:
+        return df.withColumn("scan_id", scan_id)
+
+    scans = keyed(result.totals).select(
+        "repo_id", "scan_id", F.lit(batch_id).alias("job_id"), F.lit(user_id).alias("user_id"),
+        F.lit(created_at).cast("timestamp").alias("created_at"), F.lit("complete").alias("status"),
+        "total_cost_usd", "debt_score", "total_hours", "total_sprints")
+    found = keyed(result.findings).withColumn("finding_key", F.col("id"))
+    scan_store.save_scan(root, batch_id, scans, keyed(result.items), found, keyed(result.modules),
+                         keyed(result.roadmap))

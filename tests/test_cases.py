@@ -11,7 +11,7 @@ from arrears.operators import (
 )
 from arrears.operators.facts import python_facts
 from arrears.operators.items import price_items
-from arrears.plans.estimate import Inputs, estimate
+from arrears.plans.estimate import Inputs, estimate, save
 from arrears.sources import scan_store
 
 
@@ -221,7 +221,7 @@ def test_rules_defaults(spark):
     assert rows == {"low": 10.0, "medium": 20.0, "high": 60.0, "critical": 120.0}
 
 
-def test_full_estimate(spark, tree, commits):
+def test_full_estimate(spark, tree, commits, tmp_path):
     dup = "def {}(a):\n    b = a + 1\n    return b\n"
     files = tree({"app/a.py": "import app.b\n" + dup.format("one"),
                   "app/b.py": "import app.a\n" + dup.format("two"), "requirements.txt": "flask\n"})
@@ -251,3 +251,10 @@ def test_full_estimate(spark, tree, commits):
     quality = result.categories.filter("category = 'code_quality'").first()
     assert quality["item_count"] == 3
     assert price_items(smells.missing_docstrings(result.facts)).count() == 2
+    for _ in range(2):
+        save(result, str(tmp_path), "batch-1", "2025-03-01")
+    saved = {t: scan_store.read_table(spark, str(tmp_path), t) for t in
+             ("scans", "debt_items", "findings", "module_summaries", "roadmap_items")}
+    assert {t: df.count() for t, df in saved.items()} == {
+        "scans": 1, "debt_items": 10, "findings": 10, "module_summaries": 2, "roadmap_items": 10}
+    assert store.latest_scans(saved["scans"]).first()["total_cost_usd"] == totals["total_cost_usd"]
