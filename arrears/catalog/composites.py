@@ -6,11 +6,14 @@ from arrears import constants as C
 from arrears.catalog import python_code as pc
 from arrears.catalog import stored as st
 from arrears.catalog.base import CATEGORY_OF_PART, D, NAME, R, RANK, SEQ, TITLE, query
-from arrears.catalog.histories import MINUTES, landed_rules
+from arrears.catalog.histories import CONCENTRATION, MINUTES, landed_rules
+from arrears.catalog.rating import BLENDED, blended_table
 from arrears.catalog.scalars import IMPACT_SQL, PRICE_SQL
 from arrears.operators import findings as fops
 from arrears.operators import reports, store
+from arrears.operators.risk import parsed_rules
 from arrears.plans import estimate as est
+from arrears.plans.profile import profile
 
 # --- full estimate over the Python files -----------------------------------------------------------
 
@@ -23,8 +26,6 @@ def inputs(t):
         "repo_id", "commit_seq", "'c' || commit_seq AS commit_id",
         "'dev' || (commit_seq % 4) AS author_email", "author_date", "new_path", "old_path",
         "added_lines")
-    from arrears.operators.risk import parsed_rules
-
     settings = sources.select("repo_id").distinct().selectExpr(
         "repo_id", f"{BASE} AS base_rate", f"{BASE} AS security_rate", f"{DOC} AS documentation_rate",
         f"{MULTIPLIER} AS multiplier", "433.0 AS benchmark")
@@ -101,12 +102,40 @@ def estimate_roadmap(t):
     return est.estimate(inputs(t)).roadmap.select("repo_id", "bucket", "position", "title", "cost_usd")
 
 
-@query("cmp13_repository_profile", "CMP13 AGG14 AGG12 AGG32 PRJ16")
+CYCLES = """reach AS (SELECT repo_id, src, dst FROM edges WHERE dst % 10 = 8 UNION SELECT r.repo_id, r.src,
+e.dst FROM reach r JOIN edges e ON e.repo_id = r.repo_id AND e.src = r.dst WHERE e.dst % 10 = 8),
+cycles AS (SELECT repo_id, count(DISTINCT component) AS n FROM (SELECT a.repo_id, min(b.src) AS component, a.src
+FROM reach a JOIN reach b ON a.repo_id = b.repo_id AND a.src = b.dst AND a.dst = b.src GROUP BY a.repo_id,
+a.src) GROUP BY repo_id)"""
+
+
+@query("cmp8_estimate_findings", "CMP8 CMP7 GRF1 SET1 PRJ8",
+       f"""WITH RECURSIVE {ALL_ITEMS}, {CYCLES} SELECT repo_id, type AS subcategory, count(*) AS findings,
+           {D('sum(cost)')} AS cost_usd FROM all_items GROUP BY ALL UNION ALL SELECT repo_id,
+           'cyclic_dependency', n, n * {PRICE_SQL('10', f'{BASE}::DOUBLE * 1.2::DOUBLE', "'high'", '0.7')} FROM
+           cycles""")
+def estimate_findings(t):
+    return est.estimate(inputs(t)).findings.groupBy("repo_id", "subcategory").agg(
+        F.count("*").alias("findings"), F.sum("cost_usd").alias("cost_usd"))
+
+
+@query("cmp13_repository_profile", "CMP13 AGG14 AGG12 AGG32 PRJ16",
+       f"""WITH {pc.FILES}, {pc.SUSPECTS}, {BLENDED}, commits AS (SELECT repo_id, commit_seq, 'dev' ||
+           (commit_seq % 4) AS author, day FROM changes), counts AS (SELECT repo_id, author, count(*) AS n FROM
+           commits GROUP BY ALL), found AS (SELECT repo_id, count(*) AS n FROM suspects WHERE probability > 0.3
+           GROUP BY repo_id), team AS (SELECT repo_id, count(DISTINCT author) AS team_size, arg_max(day,
+           commit_seq) - arg_min(day, commit_seq) AS age FROM commits GROUP BY repo_id)
+           SELECT repo_id, 'py' AS primary_language, team_size, bus_factor, {R('''CAST(CASE WHEN age < 180 THEN
+           0.8 ELSE 1 END AS DOUBLE) * CAST(CASE WHEN bus_factor = 1 THEN 2.0 WHEN bus_factor = 2 THEN 1.5 WHEN
+           bus_factor <= 4 THEN 1.2 ELSE 1.0 END AS DOUBLE) * CAST(CASE WHEN team_size = 1 THEN 1.5 WHEN
+           team_size <= 3 THEN 1.2 ELSE 1.0 END AS DOUBLE)''')} AS combined_multiplier, (SELECT mid_rate FROM
+           blended WHERE technology = 'Py') AS base_rate, coalesce(n, 0) AS total_suspected, CASE WHEN n IS NULL
+           THEN 'No obvious AI-generated code patterns' WHEN n > 20 THEN 'High AI usage detected - consider code
+review' ELSE 'Review suspected files for quality issues' END AS recommendation FROM team JOIN
+           {CONCENTRATION('counts', 'repo_id')} c USING (repo_id) LEFT JOIN found USING (repo_id)"""
+       .replace("consider code\nreview", "consider code review"))
 def repository_profile(t):
     """One row per repository from stack, team, rates and generated-code results."""
-    from arrears.catalog.rating import blended_table
-    from arrears.plans.profile import profile
-
     given = inputs(t)
     found = profile(given.source_files, given.commit_files, pc.facts(t), blended_table(t), "2020-02-01")
     return found.select("repo_id", "primary_language", "team_size", "bus_factor",
