@@ -290,7 +290,7 @@ no_error_handling::INT) / 4.0::DOUBLE AS probability FROM signals)"""
            lines_added, single_large_commit, no_docstrings, generic_names, no_error_handling FROM suspects
            WHERE probability > 0.3""")
 def generated_code(t):
-    return smells.generated_code(code_changes(t), facts(t), source_files(t))
+    return smells.generated_code(code_changes(t), facts(t))
 
 
 @query("agg16_generated_report", "AGG16 SRT13",

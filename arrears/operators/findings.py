@@ -133,17 +133,20 @@ def roadmap(findings: DataFrame, keys: tuple[str, ...] = ("repo_id",), *,
 
 
 def category_costs(items: DataFrame, keys: tuple[str, ...] = ("repo_id",)) -> DataFrame:
-    """Cost, hours and items per category; the six fixed categories always appear."""
+    """Cost, hours and items per category; the six fixed categories always appear.
+
+    The empty categories are added to the aggregated rows, so the items are read once.
+    """
     totals = items.groupBy(*keys, "category").agg(
-        sum_cents("cost_usd"), F.sum("remediation_hours").alias("hours"),
+        sum_cents("cost_usd"), F.sum("remediation_hours").cast("decimal(28,6)").alias("hours"),
         F.count("*").alias("item_count"))
-    groups = items.select(*keys).distinct().withColumn(
-        "category", F.explode(F.array(*[F.lit(name) for name in C.CATEGORIES])))
-    return (groups.join(totals, [*keys, "category"], "full")
-            .select(*keys, "category",
-                    F.coalesce("cost_usd", F.lit(0)).cast("decimal(18,2)").alias("cost_usd"),
-                    places(F.coalesce("hours", F.lit(0)), 2, wide=True).alias("hours"),
-                    F.coalesce("item_count", F.lit(0)).alias("item_count")))
+    empty = totals.select(*keys).distinct().select(
+        *keys, F.explode(F.array(*[F.lit(name) for name in C.CATEGORIES])).alias("category"),
+        F.lit(0).cast("decimal(28,2)").alias("cost_usd"), F.lit(0).cast("decimal(28,6)").alias("hours"),
+        F.lit(0).cast("long").alias("item_count"))
+    return totals.unionByName(empty).groupBy(*keys, "category").agg(
+        sum_cents("cost_usd"), places(F.sum("hours"), 2, wide=True).alias("hours"),
+        F.sum("item_count").alias("item_count"))
 
 
 def category_report(categories: DataFrame, totals: DataFrame,

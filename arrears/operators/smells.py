@@ -7,7 +7,6 @@ from arrears import constants as C
 from arrears.functions import paths
 from arrears.functions.numeric import places
 from arrears.functions.scoring import complexity_severity, confidence
-from arrears.functions.text import generic_share
 from arrears.operators.common import salted_join
 from arrears.operators.facts import scanned
 from arrears.operators.items import debt_items, hours_from_minutes
@@ -150,8 +149,11 @@ def file_stats(facts: DataFrame) -> DataFrame:
             .withColumn("mostly_documented", F.col("documented") > F.col("functions") * 0.5))
 
 
-def generated_code(commit_files: DataFrame, facts: DataFrame, source_files: DataFrame) -> DataFrame:
-    """Python files with at least two of four signals of generated code."""
+def generated_code(commit_files: DataFrame, facts: DataFrame) -> DataFrame:
+    """Python files with at least two of four signals of generated code.
+
+    All figures of the text come from the facts; the text itself is not read again.
+    """
     path = F.coalesce(F.nullif("new_path", F.lit("")), F.nullif("old_path", F.lit("")))
     changes = (commit_files.withColumn("path", path)
                .filter(F.col("path").endswith(".py") & ~paths.mentions_skip_name(F.col("path"))))
@@ -162,8 +164,8 @@ def generated_code(commit_files: DataFrame, facts: DataFrame, source_files: Data
     history = per_date.groupBy("repo_id", "path").agg(
         F.sum("commits").alias("commit_count"), F.sum("added").alias("lines_added"),
         F.count("author_date").alias("dates"), F.max("last_added").alias("largest"))
-    names = source_files.filter(F.col("path").endswith(".py")).select(
-        "repo_id", "path", generic_share(F.col("text")).alias("generic_share"))
+    names = facts.filter("kind = 'words'").select(
+        "repo_id", "path", F.when(F.col("n1") > 0, F.col("n2") / F.col("n1")).alias("generic_share"))
     key = ["repo_id", "path"]
     joined = history.join(file_stats(facts), key, "left").join(names, key, "left")
     lines, functions = F.col("lines_added"), F.coalesce("functions", F.lit(0))

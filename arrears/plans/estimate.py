@@ -78,7 +78,7 @@ def architecture_items(parsed: DataFrame, source_files: DataFrame,
 def collect_items(inputs: Inputs, parsed: DataFrame, hotspots: DataFrame, functions: DataFrame,
                   settings: DataFrame, cycles: bool = True) -> DataFrame:
     """Priced items of all rules, in step order."""
-    suspects = smells.generated_code(inputs.commit_files, parsed, inputs.source_files)
+    suspects = smells.generated_code(inputs.commit_files, parsed)
     minutes = risk.minutes_by_complexity(inputs.rules)
     risky_items = stage(risky(functions, hotspots, minutes, suspects))
     spots = risky_items.select("repo_id", F.col("file").alias("path"))

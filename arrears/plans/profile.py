@@ -14,7 +14,7 @@ def profile(source_files: DataFrame, commit_files: DataFrame, facts: DataFrame,
     team = history.with_multipliers(history.default_team(
         stack, history.team_profile(commit_files, as_of)))
     suspects = smells.generated_code_report(
-        smells.generated_code(commit_files, facts, source_files))
+        smells.generated_code(commit_files, facts))
     stack_rates = rates.stack_rates(stack, blended)
     return (stack.join(team, "repo_id").join(stack_rates, "repo_id", "left")
             .join(suspects, "repo_id", "left")
