@@ -298,16 +298,14 @@ def flagship(t):
 
 # --- test gaps ------------------------------------------------------------------------------------
 
-FILES = """SELECT CASE WHEN p_partkey % 3 = 0 THEN 'hub' ELSE 'repo_' || (p_partkey % 10) END AS repo_id,
-CASE p_partkey % 8
- WHEN 0 THEN 'src/mod_' || (p_partkey {div} 8 % 60) || '.py'
- WHEN 1 THEN 'tests/test_mod_' || (p_partkey {div} 8 % 90) || '.py'
- WHEN 2 THEN 'web/View' || (p_partkey {div} 8 % 40) || '.tsx'
- WHEN 3 THEN 'web/view' || (p_partkey {div} 8 % 70) || '.test.tsx'
- WHEN 4 THEN 'lib/part_' || (p_partkey {div} 8 % 50) || '/core.js'
- WHEN 5 THEN 'spec/part_' || (p_partkey {div} 8 % 30) || '/check.js'
- WHEN 6 THEN 'lib/job_' || (p_partkey {div} 8 % 25) || '.ts'
- ELSE 'lib/my_job_' || (p_partkey {div} 8 % 35) || '_test.py' END AS path FROM part"""
+FILES = """SELECT CASE WHEN i % 3 = 0 THEN 'hub' ELSE 'repo_' || (i % 10) END AS repo_id,
+CASE k
+ WHEN 0 THEN 'src/mod_' || i || '.py' WHEN 1 THEN 'tests/test_mod_' || i || '.py'
+ WHEN 2 THEN 'web/View' || i || '.tsx' WHEN 3 THEN 'web/view' || i || '.test.tsx'
+ WHEN 4 THEN 'lib/part_' || i || '/core.js' WHEN 5 THEN 'spec/core/check_' || i || '.js'
+ WHEN 6 THEN 'lib/job_' || i || '.ts' ELSE 'lib/my_job_' || i || '_test.py' END AS path
+FROM (SELECT p_partkey % 8 AS k, CASE WHEN p_partkey % 2 = 1 THEN p_partkey {div} 8 * 3 {div} 2
+ELSE p_partkey {div} 8 END AS i FROM part)"""
 
 
 def tree_files(t):

@@ -6,10 +6,11 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SPREAD = 32
+SPREAD = 32  # slices of a ranked group
+JOIN_SPREAD = 16  # copies of the small side of a salted join
 
 
-def salt(columns, buckets: int = SPREAD) -> Column:
+def salt(columns, buckets: int = JOIN_SPREAD) -> Column:
     """Deterministic bucket of a row, so that a recomputed task repeats its placement."""
     return F.pmod(F.xxhash64(*columns), F.lit(buckets)).cast("int")
 
@@ -36,7 +37,7 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[Column], limit: in
 
 
 def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str,
-                spread_by: list[str], buckets: int = SPREAD) -> DataFrame:
+                spread_by: list[str], buckets: int = JOIN_SPREAD) -> DataFrame:
     """Join whose left keys may be hot: left rows are spread, the small right side is repeated.
 
     ``right`` must be the aggregated, much smaller side; it grows by ``buckets``.

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arrears import constants as C
-from arrears.functions.numeric import cents, lookup
+from arrears.functions.numeric import cents
 from arrears.functions.paths import normalize_repo_path
 from arrears.functions.scoring import (
     business_impact, churn_multiplier, confidence, effort_minutes, price, severity_name,
@@ -56,9 +56,10 @@ def functions_per_file(functions: DataFrame) -> DataFrame:
 
 
 def risky_files(functions: DataFrame, hotspots: DataFrame, minutes: DataFrame,
-                rate: float = C.ROLE_RATES["mid"], used_fallback: bool = False,
+                rate: float = C.ROLE_RATES[C.CATEGORY_ROLE["code_quality"]],
+                used_fallback: bool = False,
                 suspects: DataFrame | None = None) -> DataFrame:
-    """Files with measured functions and change history, priced at the mid role rate.
+    """Files with measured functions and change history, priced at their category's role rate.
 
     Functions are reduced to one row per file before the join. ``minutes`` has four rows (one per
     severity), so it is broadcast. ``suspects`` are files whose cost is raised by half.
@@ -82,7 +83,3 @@ def risky_files(functions: DataFrame, hotspots: DataFrame, minutes: DataFrame,
         complexity=F.col("max_complexity"), change_count=F.col("change_count"),
         churn_multiplier=churn, base_minutes=cents(F.col("minutes")),
         adjusted_minutes=cents(F.col("minutes") * churn), used_fallback=fallback, fixed_cost=cost)
-
-
-def rate_role(category):
-    return lookup(category, C.CATEGORY_ROLE, "mid")

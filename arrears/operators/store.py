@@ -450,11 +450,6 @@ def top_modules(modules: DataFrame, keys: list[str], limit: int = 5) -> DataFram
     return top_per_group(modules, keys, module_order(), limit)
 
 
-def roadmap_rows(roadmap: DataFrame, scan_ids: DataFrame | None = None) -> DataFrame:
-    """Roadmap of scans in long form: bucket and position instead of nested lists."""
-    return roadmap if scan_ids is None else roadmap.join(scan_ids, "scan_id", "left_semi")
-
-
 def payload_analysis(payload: Column, field: str) -> Column:
     """Field of a stored payload: of its ``raw_analysis`` document if present, else of the whole."""
     nested = F.get_json_object(payload, "$.raw_analysis")

@@ -189,6 +189,9 @@ def test_triage(spark):
     muted = scan_store.suppression_event(spark, "r", "s2", "b", "noise", "me", now)
     notes = scan_store.feedback_event(spark, "r", "s2", "c", "accepted_risk", now)
     rows = store.with_triage(found, muted, notes)
+    assert scan_store.find_finding(found, "s2", "b").first()["cost_usd"] == 5
+    assert store.scan_by_id(scans(spark), "s1", "u").count() == 1
+    assert store.scan_by_id(scans(spark), "s1", "other").count() == 0
     stats = store.triage_stats(rows, ["scan_id"]).first()
     assert tuple(stats)[1:5] == (3, 1, 1, 1) and stats["suppression_rate"] == Decimal("33.3")
     assert [r["finding_key"] for r in store.top_unresolved(rows, ["scan_id"]).collect()] == ["a"]
