@@ -22,27 +22,36 @@ _WORD = re.compile(r"\w+")
 _GENERIC = frozenset(C.GENERIC_NAMES)
 _DEFS = (ast.FunctionDef, ast.AsyncFunctionDef)
 _LOOPS = (ast.For, ast.While)
+_SCOPES = {*_DEFS, ast.ClassDef}
+_ONE_POINT = {ast.If, ast.IfExp, ast.Assert}
+_ITERATIONS = {ast.For, ast.AsyncFor, ast.While}
+_TRIES = {ast.Try, ast.TryStar}
+_LEAVES = {ast.Name, ast.Constant, ast.Load, ast.Store, ast.alias}
 _JUMPS = (ast.Return, ast.Raise, ast.Continue, ast.Break)
 
 
-def _decisions(node) -> int:
-    """McCabe points of a subtree; nested functions and classes count on their own."""
-    if isinstance(node, (*_DEFS, ast.ClassDef)):
-        return 0
-    points = sum(_decisions(child) for child in ast.iter_child_nodes(node))
-    if isinstance(node, (ast.If, ast.IfExp, ast.Assert)):
-        points += 1
-    elif isinstance(node, (ast.For, ast.AsyncFor, ast.While)):
-        points += 1 + bool(node.orelse)
-    elif isinstance(node, (ast.Try, ast.TryStar)):
-        points += len(node.handlers) + bool(node.orelse)
-    elif isinstance(node, ast.BoolOp):
-        points += len(node.values) - 1
-    elif isinstance(node, ast.comprehension):
-        points += 1 + len(node.ifs)
-    elif isinstance(node, ast.Match):
-        wildcard = any(getattr(case.pattern, "pattern", False) is None for case in node.cases)
-        points += max(0, len(node.cases) - wildcard)
+def _decisions(nodes) -> int:
+    """McCabe points below the nodes; nested functions and classes count on their own."""
+    points, pending = 0, list(nodes)
+    while pending:
+        node = pending.pop()
+        kind = type(node)
+        if kind in _SCOPES:
+            continue
+        if kind in _ONE_POINT:
+            points += 1
+        elif kind in _ITERATIONS:
+            points += 1 + bool(node.orelse)
+        elif kind in _TRIES:
+            points += len(node.handlers) + bool(node.orelse)
+        elif kind is ast.BoolOp:
+            points += len(node.values) - 1
+        elif kind is ast.comprehension:
+            points += 1 + len(node.ifs)
+        elif kind is ast.Match:
+            wildcard = any(getattr(case.pattern, "pattern", False) is None for case in node.cases)
+            points += max(0, len(node.cases) - wildcard)
+        pending.extend(child for child in ast.iter_child_nodes(node) if type(child) not in _LEAVES)
     return points
 
 
@@ -64,9 +73,8 @@ def _measured(tree) -> set:
 def _function_fact(node, measured):
     body = ast.dump(ast.Module(body=node.body, type_ignores=[]), annotate_fields=False)
     mutable = any(isinstance(d, (ast.List, ast.Dict, ast.Set)) for d in node.args.defaults)
-    points = 1 + sum(_decisions(child) for child in node.body)
     return dict(kind="function", name=node.name, line=node.lineno,
-                n1=points if node in measured else None, n2=len(node.body),
+                n1=1 + _decisions(node.body) if node in measured else None, n2=len(node.body),
                 flag=ast.get_docstring(node) is not None, group_ord=int(mutable),
                 text=hashlib.sha256(body.encode()).hexdigest())
 
