@@ -76,6 +76,14 @@ def test_import_cycles_match_reachability(spark):
     assert got == want
 
 
+def test_no_cycles_to_find(spark):
+    empty = spark.createDataFrame([], "repo_id string, src string, dst string")
+    assert architecture.import_cycles(empty).count() == 0
+    line = spark.createDataFrame([("r", "a", "b"), ("r", "b", "c"), ("r", "c", "c")],
+                                 "repo_id string, src string, dst string")
+    assert [r["module"] for r in architecture.import_cycles(line).collect()] == ["c"]
+
+
 def test_cycles_of_long_chains(spark):
     ring = [("r", f"n{i:02d}", f"n{(i + 1) % 20:02d}") for i in range(20)]
     chain = [("r", f"z{i:02d}", f"z{i + 1:02d}") for i in range(20)] + [("r", "n03", "z00")]
