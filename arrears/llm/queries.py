@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arrears.llm import curriculum, near_embeddings, personal, toxicity
+from arrears.llm import curriculum, language, multi_index, near_embeddings, partenum, personal, sampling, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_near_embeddings(spark, sf_dir):
     return near_embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op2_sampled_segmentations(spark, sf_dir):
+    return sampling.encode(_table(spark, sf_dir, "documents"), digest=True)
+
+
 def op3_toxicity(spark, sf_dir):
     return toxicity.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -23,9 +27,23 @@ def op4_source_mixing(spark, sf_dir):
     return curriculum.report(_table(spark, sf_dir, "documents"))
 
 
+def op5_ngram_join(spark, sf_dir):
+    return partenum.similarity_classes(_table(spark, sf_dir, "documents"))
+
+
+def op6_multi_index(spark, sf_dir):
+    return multi_index.nearest(_table(spark, sf_dir, "embeddings"))
+
+
+def op7_language(spark, sf_dir):
+    return language.report(_table(spark, sf_dir, "documents"))
+
+
 def op9_personal_data(spark, sf_dir):
     return personal.report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_embeddings, op3_toxicity, op4_source_mixing, op9_personal_data)}
+QUERIES = {f.__name__: f for f in (
+    op1_near_embeddings, op2_sampled_segmentations, op3_toxicity, op4_source_mixing, op5_ngram_join, op6_multi_index, op7_language,
+    op9_personal_data)}
 ORACLE_SQL: dict[str, str] = {}
