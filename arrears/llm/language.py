@@ -44,10 +44,10 @@ def prior(size: int) -> np.ndarray:
     return np.r_[weight / weight.sum(), UNKNOWN_SHARE]
 
 
-def expected(found: dict[str, int], weight: np.ndarray, known: dict[str, int]) -> np.ndarray:
+def expected(found: dict[str, int], weight: np.ndarray, path: str = VOCABULARY) -> np.ndarray:
     """Expected count of each piece (unknown last) over all segmentations of the counted words."""
     out = np.zeros(len(weight))
-    lattices = Lattices(list(found), known)
+    lattices = Lattices(list(found), path)
     if not len(lattices):
         return out
     arcs = weight[lattices.piece][:, None]
@@ -81,12 +81,11 @@ def learn(documents: DataFrame, rounds: int = 2, path: str = VOCABULARY) -> Mode
         weights = dict(current)
 
         def step(batches):
-            known = pieces(path)[0]
             totals: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(size + 1))
             seen: dict[str, Counter] = defaultdict(Counter)
 
             def flush(lang):
-                totals[lang] += expected(seen.pop(lang), weights[lang], known)
+                totals[lang] += expected(seen.pop(lang), weights[lang], path)
 
             for frame in batches:
                 for lang, text in zip(frame["lang"], frame["text"]):
@@ -114,7 +113,7 @@ class Scorer:
     """Log probability of texts in every language; remembers a bounded number of words."""
 
     def __init__(self, model: Model):
-        self.model, self.known, self.row, self.logs = model, pieces(model.path)[0], {}, np.zeros((0, len(model.languages)))
+        self.model, self.row, self.logs = model, {}, np.zeros((0, len(model.languages)))
 
     def _learn(self, new: list[str]) -> None:
         if len(self.row) + len(new) > KEPT_WORDS:
@@ -122,7 +121,7 @@ class Scorer:
         parts = [self.logs]
         for lo in range(0, len(new), FLUSH_WORDS // 2):
             some = new[lo:lo + FLUSH_WORDS // 2]
-            lattices = Lattices(some, self.known)
+            lattices = Lattices(some, self.model.path)
             parts.append(np.log(lattices.forward(self.model.weights.T[lattices.piece])[lattices.offset[1:] - 1]))
             for w in some:
                 self.row[w] = len(self.row)

@@ -31,59 +31,111 @@ def byte_ids(path: str = VOCABULARY) -> np.ndarray:
     return np.array([found[f"<0x{b:02X}>"] for b in range(256)])
 
 
+class Trie:
+    """The pieces as a trie whose steps are looked up for many letters at once.
+
+    Steps lie in an open hash table: key ``state << 21 | letter``, probed onwards until found or empty.
+    """
+
+    def __init__(self, known: dict[str, int]):
+        steps, ends = {}, [-1]
+        for text, piece in known.items():
+            state = 0
+            for letter in text:
+                key = state << 21 | ord(letter)
+                if key not in steps:
+                    steps[key] = len(ends)
+                    ends.append(-1)
+                state = steps[key]
+            ends[state] = piece
+        self.ends = np.array(ends, dtype=np.int64)
+        self.mask = (1 << (len(steps) * 4).bit_length()) - 1
+        self.keys, self.next = np.full(self.mask + 1, -1, np.int64), np.full(self.mask + 1, -1, np.int64)
+        for key, state in steps.items():
+            at = int(self._hash(np.array([key]))[0])
+            while self.keys[at] >= 0:
+                at = (at + 1) & self.mask
+            self.keys[at], self.next[at] = key, state
+
+    def _hash(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) & self.mask
+
+    def step(self, states: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        """Next states, -1 where there is none."""
+        keys = states << 21 | letters
+        at = self._hash(keys)
+        found = self.keys[at]
+        while True:
+            again = np.flatnonzero((found != keys) & (found >= 0))
+            if not len(again):
+                return np.where(found == keys, self.next[at], -1)
+            at[again] = (at[again] + 1) & self.mask
+            found[again] = self.keys[at[again]]
+
+
+@functools.lru_cache(maxsize=2)
+def trie(path: str = VOCABULARY) -> Trie:
+    return Trie(pieces(path)[0])
+
+
 class Lattices:
-    """Arcs of the lattices of some words, by ascending end.
+    """Arcs of the lattices of some words.
 
     Node of letter p of word w is ``offset[w] + p``; a letter that no piece covers alone gets an arc of
     its own with id -1, which stands for its bytes.
     """
 
-    def __init__(self, words: list[str], known: dict[str, int]):
-        self.words = words
-        self.length = np.array([len(w) for w in words], dtype=np.int64)
+    def __init__(self, words: list[str], path: str = VOCABULARY):
+        walk = trie(path)
+        self.length = np.fromiter(map(len, words), np.int64, len(words))
         self.offset = np.r_[0, np.cumsum(self.length + 1)]
-        word, start, end, piece = [], [], [], []
-        get = known.get
-        for k, w in enumerate(words):
-            n = len(w)
-            for i in range(n):
-                alone = False
-                for j in range(i + 1, min(n, i + LONGEST) + 1):
-                    p = get(w[i:j])
-                    if p is not None:
-                        word.append(k), start.append(i), end.append(j), piece.append(p)
-                        alone = alone or j == i + 1
-                if not alone:
-                    word.append(k), start.append(i), end.append(i + 1), piece.append(-1)
-        word, start, end, piece = (np.array(x, dtype=np.int64) for x in (word, start, end, piece))
-        order = np.lexsort((word, end))
-        self.word, self.start, self.end, self.piece = word[order], start[order], end[order], piece[order]
-        self.source, self.target = self.offset[self.word] + self.start, self.offset[self.word] + self.end
+        letters = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        word = np.repeat(np.arange(len(words)), self.length)
+        inside = np.arange(len(letters)) - np.repeat(np.cumsum(self.length) - self.length, self.length)
+        left = self.length[word] - inside
+        at, state, arcs = np.arange(len(letters)), np.zeros(len(letters), np.int64), []
+        for size in range(1, LONGEST + 1):
+            state = walk.step(state, letters[at + size - 1])
+            piece = walk.ends[state]
+            whole = (state >= 0) & (piece >= 0)
+            if size == 1:
+                arcs.append((at, np.where(whole, piece, -1), 1))
+            else:
+                arcs.append((at[whole], piece[whole], size))
+            go_on = (state >= 0) & (left[at] > size)
+            at, state = at[go_on], state[go_on]
+            if not len(at):
+                break
+        start = np.concatenate([a for a, _, _ in arcs]) if arcs else np.zeros(0, np.int64)
+        self.piece = np.concatenate([p for _, p, _ in arcs]) if arcs else np.zeros(0, np.int64)
+        size = np.repeat([n for _, _, n in arcs], [len(a) for a, _, _ in arcs]).astype(np.int64)
+        self.word, self.start = word[start], inside[start]
+        self.end = self.start + size
+        self.source = self.offset[self.word] + self.start
+        self.target = self.source + size
 
     def __len__(self):
-        return len(self.words)
+        return len(self.length)
+
+    def _spread(self, by, weight, source, target, seeds, descending=False):
+        """Sums over arcs taken in groups of equal ``by``."""
+        sums = np.zeros((weight.shape[1], int(self.offset[-1])))
+        sums[:, seeds] = 1.0
+        order = np.argsort(by.astype(np.uint8), kind="stable")
+        bounds = np.r_[0, np.cumsum(np.bincount(by, minlength=1))]
+        groups = range(len(bounds) - 1)
+        for g in reversed(groups) if descending else groups:
+            some = order[bounds[g]:bounds[g + 1]]
+            if len(some):
+                to, origin = target[some], source[some]
+                for column in range(weight.shape[1]):
+                    np.add.at(sums[column], to, sums[column][origin] * weight[some, column])
+        return sums.T
 
     def forward(self, weight: np.ndarray) -> np.ndarray:
         """Summed weight of the ways from the first letter to each node; ``weight``: arcs x models."""
-        alpha = np.zeros((int(self.offset[-1]), weight.shape[1]))
-        alpha[self.offset[:-1]] = 1.0
-        bounds = np.searchsorted(self.end, np.arange(1, (self.length.max() if len(self) else 0) + 2))
-        for lo, hi in zip(bounds[:-1], bounds[1:]):
-            if hi > lo:
-                first = np.flatnonzero(np.r_[True, self.word[lo + 1:hi] != self.word[lo:hi - 1]])
-                alpha[self.target[lo:hi][first]] = np.add.reduceat(alpha[self.source[lo:hi]] * weight[lo:hi], first)
-        return alpha
+        return self._spread(self.end, weight, self.source, self.target, self.offset[:-1])
 
     def backward(self, weight: np.ndarray) -> np.ndarray:
         """Summed weight of the ways from each node to the last letter."""
-        beta = np.zeros((int(self.offset[-1]), weight.shape[1]))
-        beta[self.offset[1:] - 1] = 1.0
-        order = np.lexsort((self.word, -self.start))
-        word, start, source, target = self.word[order], self.start[order], self.source[order], self.target[order]
-        weight = weight[order]
-        bounds = np.searchsorted(-start, np.arange(-(self.length.max() if len(self) else 0), 2))
-        for lo, hi in zip(bounds[:-1], bounds[1:]):
-            if hi > lo:
-                first = np.flatnonzero(np.r_[True, word[lo + 1:hi] != word[lo:hi - 1]])
-                beta[source[lo:hi][first]] = np.add.reduceat(beta[target[lo:hi]] * weight[lo:hi], first)
-        return beta
+        return self._spread(self.start, weight, self.target, self.source, self.offset[1:] - 1, descending=True)

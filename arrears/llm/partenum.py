@@ -67,8 +67,8 @@ class Shingler:
 
 def set_key(shingles: np.ndarray) -> int:
     """64-bit key of a set, null-safe: equal sets have equal keys."""
-    total = mix(shingles).sum(dtype=np.uint64) + np.uint64(len(shingles)) * M1
-    return int(mix(np.array([total]))[0].view(np.int64))
+    total = mix(shingles).sum(dtype=np.uint64, keepdims=True) + np.array([len(shingles)], np.uint64) * M1
+    return int(mix(total).view(np.int64)[0])
 
 
 class Signer:
@@ -96,7 +96,7 @@ class Signer:
     def __call__(self, shingles: np.ndarray) -> np.ndarray:
         found = []
         for band, parts, spare in self.instances(len(shingles)):
-            h = mix(shingles + np.uint64(band) * M1)
+            h = mix(shingles + np.array([band], np.uint64) * M1)
             part = ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
             cell = (part * np.uint64(3) + (h & np.uint64(0xFFFFFFFF)) % np.uint64(3)).astype(np.int64)
             count = np.bincount(cell, minlength=3 * parts).reshape(parts, 3)
@@ -213,18 +213,19 @@ def verified(texts: DataFrame, base: DataFrame, grouped: DataFrame, width: int,
     other = chunks.select("comp", F.col("block").alias("block2"), F.col("salt").alias("salt2"))
     # Sizes a link allows differ by one band at most.
     near = chunks.join(other, "comp").filter("abs(block - block2) <= 1")
-    keyed = nodes.join(plan.select("comp", "band", "block", "_c"), ["comp", "band"]).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("_c")))
+    keyed = nodes.join(plan.select("comp", "band", "block", "_c"), ["comp", "band"]).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("_c")).cast("int"))
     few = keyed.count() <= BROADCAST_ROWS
     slim = keyed.select("doc_id", "node", "comp", "block", "salt")
     whole = texts.filter("doc_id is not null").join(F.broadcast(slim) if few else slim, "doc_id")
-    mine, theirs = F.struct("block", "salt"), F.struct("block2", "salt2")
+    # A block's number: its size band above, its salt below.
+    mine, theirs = ((F.col(f"block{x}").cast("long") + 1) * 2**31 + F.col(f"salt{x}") for x in ("", "2"))
     dealt = (whole.join(near, ["comp", "block", "salt"]).withColumn("lo", F.least(mine, theirs)).withColumn("hi", F.greatest(mine, theirs))
-             .select("comp", F.concat_ws("/", "lo.block", "lo.salt", "hi.block", "hi.salt").alias("pair"), "node", "text")
-             .repartition("comp", "pair").sortWithinPartitions("comp", "pair"))
+             .select("comp", "lo", "hi", "node", "text")
+             .repartition("comp", "lo", "hi").sortWithinPartitions("comp", "lo", "hi"))
 
     def checked(batches):
         shingle = Shingler(width)
-        for group in groups_of(batches, ["comp", "pair"]):
+        for group in groups_of(batches, ["comp", "lo", "hi"]):
             if len(group) < 2:
                 continue
             sets = [shingle(t) for t in group["text"]]

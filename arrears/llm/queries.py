@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arrears.llm import curriculum, language, multi_index, near_embeddings, partenum, personal, sampling, toxicity
+from arrears.llm import (
+    curriculum, gru_lm, language, multi_index, near_embeddings, packing, partenum, personal, sampling, toxicity,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,11 +41,19 @@ def op7_language(spark, sf_dir):
     return language.report(_table(spark, sf_dir, "documents"))
 
 
+def op8_gru_scores(spark, sf_dir):
+    return gru_lm.report(_table(spark, sf_dir, "documents"))
+
+
 def op9_personal_data(spark, sf_dir):
     return personal.report(_table(spark, sf_dir, "documents"))
 
 
+def op10_packing(spark, sf_dir):
+    return packing.packed(_table(spark, sf_dir, "documents"), digest=True)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_near_embeddings, op2_sampled_segmentations, op3_toxicity, op4_source_mixing, op5_ngram_join, op6_multi_index, op7_language,
-    op9_personal_data)}
+    op8_gru_scores, op9_personal_data, op10_packing)}
 ORACLE_SQL: dict[str, str] = {}

@@ -53,7 +53,7 @@ def decode(ids, path: str = VOCABULARY) -> str:
 
 def uniform(key: np.ndarray, a: np.ndarray, b) -> np.ndarray:
     """Numbers in (0, 1) from a 64-bit key and two counters."""
-    x = key + a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(b) * np.uint64(0xD6E8FEB86659FD93)
+    x = key + a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(b * 0xD6E8FEB86659FD93 & (1 << 64) - 1)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
@@ -69,8 +69,8 @@ def cut_gumbel(phi: np.ndarray, most: np.ndarray, u: np.ndarray) -> np.ndarray:
 class Chain:
     """Lattices of distinct words with the chance of each arc given its node, ready for drawing."""
 
-    def __init__(self, words: list[str], known: dict[str, int], weight: np.ndarray):
-        self.lattices = lat = Lattices(words, known)
+    def __init__(self, words: list[str], weight: np.ndarray, path: str):
+        self.lattices = lat = Lattices(words, path)
         arcs = weight[lat.piece]
         beta = lat.backward(arcs[:, None])[:, 0]
         order = np.argsort(lat.source, kind="stable")
@@ -238,11 +238,10 @@ def segmentations(texts: list[str], keys: list[int], samples: int = SAMPLES, pat
     ``inclusion`` is the chance that a segmentation of this probability is above the threshold, the
     perturbed score of the first one left out; with nothing left out it is 1.
     """
-    known = pieces(path)[0]
     found = [units(t) for t in texts]
     index: dict[str, int] = {}
     unit = np.array([index.setdefault(u, len(index)) for us in found for u in us], dtype=np.int64)
-    chain = Chain(list(index), known, weights(path, temperature))
+    chain = Chain(list(index), weights(path, temperature), path)
     bounds = np.r_[0, np.cumsum([len(us) for us in found])]
     search = Search(chain, unit, bounds, np.array(keys, dtype=np.uint64))
     by_byte = byte_ids(path)
