@@ -60,7 +60,7 @@ def time_of(demand: Column, slope: Column) -> Column:
         2.0 * demand / (flat + F.sqrt(F.greatest(flat * flat + 4.0 * slope * demand, F.lit(0.0)))))
 
 
-def plan(documents: DataFrame, cap: int = CAP, slices: int = SLICES) -> DataFrame:
+def plan(documents: DataFrame, cap: int = CAP, slices: int = SLICES, carry=None) -> DataFrame:
     """Each document with its size, its source's size and target, how often it is used and where.
 
     Within a source documents stand in the order of a hash of their id. Their running sum of words
@@ -70,9 +70,10 @@ def plan(documents: DataFrame, cap: int = CAP, slices: int = SLICES) -> DataFram
 
     Null text has no words and is never used; null source is a source of its own; an empty table
     gives no rows. Repeated rows stand side by side, each with its own share. Other columns are not
-    looked at.
+    looked at, but ``carry``, a list of columns, goes along as ``_row``.
     """
-    rows = stage(documents.select("doc_id", "source", words(F.col("text")).alias("size")).withColumn(
+    kept = [] if carry is None else [F.struct(*carry).alias("_row")]
+    rows = stage(documents.select("doc_id", "source", words(F.col("text")).alias("size"), *kept).withColumn(
         "_h", F.xxhash64("doc_id")).withColumn("_slice", F.shiftrightunsigned("_h", 64 - slices)))
     per_slice = rows.groupBy("source", "_slice").agg(F.sum("size").alias("_sum"))
     ahead = Window.partitionBy("source").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -86,8 +87,23 @@ def plan(documents: DataFrame, cap: int = CAP, slices: int = SLICES) -> DataFram
     middle = start + F.col("size") / 2.0
     copies = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.greatest(F.lit(0), F.least(
         F.lit(cap), F.ceil((F.col("target") - middle) / F.col("source_size")))))
+    keep = [] if carry is None else ["_row"]
     return joined.select("doc_id", F.col("_s").alias("source"), "size", "source_size", "weight", "target",
-                         middle.alias("middle"), copies.cast("int").alias("copies"))
+                         middle.alias("middle"), copies.cast("int").alias("copies"), *keep)
+
+
+def level(planned: DataFrame, cap: int = CAP) -> DataFrame:
+    """Bring each source nearer to its target: one document whose size comes closest to what is
+    missing is used once more, or to what is too much once less, if that helps at all."""
+    off = planned.groupBy("source").agg((F.max("target") - F.sum(F.col("size") * F.col("copies"))).alias("_off"))
+    near = planned.join(off.withColumnRenamed("source", "_of"), F.col("source").eqNullSafe(F.col("_of"))).drop("_of")
+    fits = (F.col("size") > 0) & F.when(F.col("_off") > 0, F.col("copies") < cap).otherwise(F.col("copies") > 0)
+    miss = F.abs(F.col("size") - F.abs("_off"))
+    chosen = near.filter(fits & (miss < F.abs("_off"))).groupBy(F.col("source").alias("_of")).agg(
+        F.min(F.struct(miss.alias("miss"), "middle", "doc_id")).alias("_at"), F.max(F.signum("_off")).alias("_sign"))
+    change = F.when((F.col("middle") == F.col("_at.middle")) & F.col("doc_id").eqNullSafe(F.col("_at.doc_id")), F.col("_sign")).otherwise(0)
+    return (planned.join(chosen, F.col("source").eqNullSafe(F.col("_of")), "left")
+            .withColumn("copies", (F.col("copies") + F.coalesce(change, F.lit(0))).cast("int")).drop("_of", "_at", "_sign"))
 
 
 def positions(planned: DataFrame) -> DataFrame:
@@ -97,14 +113,16 @@ def positions(planned: DataFrame) -> DataFrame:
     return copy.withColumn("position", time_of(demand, slope_of(F.col("weight")))).orderBy("position", "doc_id", "copy")
 
 
-def mix(documents: DataFrame, cap: int = CAP) -> DataFrame:
-    """The whole mixture: doc_id, source, copy, position in training order."""
-    return positions(plan(documents, cap)).select("doc_id", "source", "copy", "position")
+def mix(documents: DataFrame, carry=None, cap: int = CAP) -> DataFrame:
+    """The whole mixture: doc_id, source, copy, position in training order; with ``carry``, these
+    columns of each document instead, in that order."""
+    copies = positions(level(plan(documents, cap, carry=carry), cap))
+    return copies.select("doc_id", "source", "copy", "position") if carry is None else copies.select("_row.*")
 
 
 def report(documents: DataFrame, cap: int = CAP) -> DataFrame:
     """One row per document, sorted by the time of its first use; unused documents come last."""
     first = time_of(F.least(F.lit(1.0), F.try_divide("middle", "target")), slope_of(F.col("weight")))
-    return plan(documents, cap).select(
+    return level(stage(plan(documents, cap)), cap).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"),
         F.when(F.col("copies") > 0, first).alias("position")).orderBy(F.col("position").asc_nulls_last(), "doc_id")

@@ -7,7 +7,7 @@ ranked by their exact cosine.
 
 The codebooks are fitted on a bounded sample; every row is indexed. The share decides recall: random
 vectors have no near neighbours that a cell would gather, so it is large. With the default, recall of
-the five nearest measured against brute force is about 0.95 on unclustered vectors of 64 components.
+the five nearest measured against brute force is about 0.96 on unclustered vectors of 64 components.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from arrears.llm.near_embeddings import unit_rows, unpack, usable
 
 SAMPLE_ROWS = 20_000   # vectors the codebooks are fitted on
 CENTROIDS = 64         # of each half; a query's cells of one first centroid fit into one long
-SHARE = 0.42           # of all rows whose cells a query walks
+SHARE = 0.5            # of all rows whose cells a query walks
 ROW_BLOCK, QUERY_BLOCK = 8192, 1024
 
 
@@ -67,7 +67,7 @@ def fit(vectors: DataFrame, seed: int = 11) -> Codebooks:
         frame = (vectors.filter(F.size("embedding") == size).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS)
                  .select("embedding").toPandas())
         unit = unit_rows(unpack(frame["embedding"]))
-        k = max(1, min(CENTROIDS, int(rows ** 0.5 / 2)))
+        k = max(1, min(CENTROIDS, rows // 4))
         by_length[size] = tuple(k_means(part, k, seed) for part in (unit[:, :size // 2], unit[:, size // 2:]))
     return Codebooks(by_length)
 

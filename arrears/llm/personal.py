@@ -162,6 +162,8 @@ def expectation_maximisation(votes: np.ndarray, counts: np.ndarray, rounds: int
     for _ in range(rounds):
         logs = [np.log(p) + sum(np.log(tables[i, y][votes[:, i] + 1]) for i in range(labelers)) for y, p in ((0, 1 - prior), (1, prior))]
         post = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500)))
+        # The first labeler's answers are no opinions: a base match holds, a failed checksum does not.
+        post = np.where(votes[:, 0] > 0, 1.0, np.where(votes[:, 0] < 0, 0.0, post))
         prior = float(np.clip((post @ counts + 1) / (counts.sum() + 2), 0.01, 0.99))
         for i in range(labelers):
             for y, weight in ((0, (1 - post) * counts), (1, post * counts)):
@@ -183,10 +185,10 @@ def train(patterns: list[tuple[int, tuple[int, ...], int]], rounds: int = 300) -
         x = np.hstack([np.ones((len(rows), 1)), np.stack([votes > 0, votes < 0], axis=2).reshape(len(rows), -1)]) if rows else np.zeros((0, weights.shape[1]))
         mass = counts / max(counts.sum(), 1)
         w = np.zeros(x.shape[1])
-        w[0] = -1.0
+        w[0], w[2] = -1.0, -4.0   # without examples a failed checksum still says no
         for _ in range(rounds):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            w -= 2.0 * (x.T @ (mass * (p - post)) + 0.002 * np.r_[0, w[1:]])
+            w -= 2.0 * (x.T @ (mass * (p - post)) + 0.0005 * np.r_[0, w[1:]])
         weights[kind] = w
     return Model(weights, reliability)
 

@@ -24,9 +24,7 @@ def redact_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the curriculum takes them, in training order."""
-    order = curriculum.mix(docs)
-    return (docs.select(*COLUMNS).join(order.select("doc_id", "position", "copy"), "doc_id")
-            .orderBy("position", "doc_id", "copy").select(*COLUMNS))
+    return curriculum.mix(docs.select(*COLUMNS), carry=COLUMNS)
 
 
 STAGES = [("toxicity", drop_toxic), ("personal_data", redact_personal), ("mixing", mix_sources)]
