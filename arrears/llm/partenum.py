@@ -244,3 +244,19 @@ def verified(texts: DataFrame, base: DataFrame, grouped: DataFrame, width: int,
                 yield pd.DataFrame({"a": ids[moved], "b": ids[root[moved]]})
 
     return stage(dealt.mapInPandas(checked, "a long, b long"))
+
+
+def deduplicated(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The documents without those that are linked, directly or not, to one with a smaller doc_id.
+
+    Of rows that agree in doc_id and text one stays. Texts without words and null ids always stay.
+    """
+    classes = similarity_classes(documents, width, percent)
+    gone = stage(classes.filter("component_id < doc_id").select("doc_id").distinct())
+    few = gone.count() <= BROADCAST_ROWS
+    left = documents.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
+    twice = stage(documents.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"))
+    if twice.isEmpty():
+        return left
+    again = left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(twice, "doc_id", "left_anti").unionByName(again)

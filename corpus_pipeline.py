@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arrears.llm import curriculum, personal, toxicity
+from arrears.llm import curriculum, partenum, personal, sampling, toxicity
 from arrears.operators.common import stage
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -17,6 +17,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.scores(docs.select(*COLUMNS), model).filter("toxicity < 0.5").drop("toxicity")
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked at 0.8 or more on five-word shingles the one with the smallest id stays."""
+    return partenum.deduplicated(docs.select(*COLUMNS))
+
+
 def redact_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays; personal data in it is replaced, its length follows."""
     return personal.redact(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long"))
@@ -27,7 +32,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return curriculum.mix(docs.select(*COLUMNS), carry=COLUMNS)
 
 
-STAGES = [("toxicity", drop_toxic), ("personal_data", redact_personal), ("mixing", mix_sources)]
+def sample_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sampled segmentations of every document, with their scores."""
+    return sampling.encode(docs)
+
+
+STAGES = [("toxicity", drop_toxic), ("ngram_jaccard", drop_near_duplicates), ("personal_data", redact_personal),
+          ("mixing", mix_sources), ("sentencepiece", sample_pieces)]
 ORACLE_SQL = None
 
 
