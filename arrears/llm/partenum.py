@@ -184,9 +184,10 @@ def similarity_classes(documents: DataFrame, width: int = 3, percent: int = 90)
     grouped = components(signatures.select("node", lowest.alias("low")).filter("node <> low")
                          .select(F.col("node").alias("a"), F.col("low").alias("b")))
     edges = verified(texts, base, stage(grouped), width, percent)
-    joined = components(edges).withColumnRenamed("id", "node").withColumnRenamed("component_id", "root")
+    # Both tables are written: a join of plain scans is one whose hot keys adaptive execution splits.
+    joined = stage(components(edges).withColumnRenamed("id", "node").withColumnRenamed("component_id", "root"))
     rooted = base.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    first = rooted.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("first"))
+    first = stage(rooted.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("first")))
     return rooted.join(first, "root", "left").select("doc_id", F.col("n").alias("n_shingles"),
                                                      F.when(F.col("doc_id").isNotNull(), F.coalesce("first", "doc_id")).alias("component_id"))
 
