@@ -101,8 +101,7 @@ def _finding_columns() -> list[str]:
         "CAST(l_quantity / 4 AS DECIMAL(18,2)) AS effort_hours",
         "CAST(l_extendedprice AS DECIMAL(18,2)) AS cost_usd",
         "CAST(1 - l_discount AS DECIMAL(18,2)) AS confidence",
-        "CASE WHEN l_linestatus = 'F' THEN 'open' WHEN l_returnflag = 'A' THEN 'reviewed' "
-        "WHEN l_returnflag = 'R' THEN 'suppressed' ELSE 'open' END AS status",
+        "'open' AS status",
         SEQ + " AS seq",
     ]
 
@@ -127,7 +126,8 @@ def _scan_columns() -> list[str]:
 def _repository_columns() -> list[str]:
     slug = "'org' || (c_custkey % 10) || '/repo' || c_custkey"
     return [
-        "CASE WHEN c_custkey = 0 THEN 'hub' ELSE 'r' || c_custkey END AS repo_id",
+        "CASE WHEN c_custkey = 0 THEN 'hub' WHEN c_custkey % 3 = 0 THEN 'idle' || c_custkey "
+        "ELSE 'r' || c_custkey END AS repo_id",
         f"CASE c_custkey % 6 WHEN 0 THEN 'https://github.com/' || {slug} "
         f"WHEN 1 THEN 'http://github.com/' || {slug} || '/' WHEN 2 THEN 'github.com/' || {slug} "
         f"WHEN 3 THEN {slug} WHEN 4 THEN 'https://gitlab.com/' || {slug} || '/' "
@@ -137,7 +137,6 @@ def _repository_columns() -> list[str]:
     ]
 
 
-_STORED_REPOSITORY = "c_custkey = 0 OR c_custkey % 3 <> 0"
 _SUPPRESSED = "event_type IN ('click', 'view')"
 _EVENT_KEYS = ["event_id AS scan_id", "'f-' || (user_id % 25) AS finding_key"]
 _SUPPRESSION = [*_EVENT_KEYS, "'reason ' || (user_id % 7) AS reason",
@@ -203,7 +202,7 @@ class Tables:
 
     @cached_property
     def repositories(self) -> DataFrame:
-        return self.read("customer").filter(_STORED_REPOSITORY).selectExpr(*_repository_columns())
+        return self.read("customer").selectExpr(*_repository_columns())
 
     @cached_property
     def suppressions(self) -> DataFrame:
@@ -230,7 +229,7 @@ CTES = {
                  "'critical' END AS severity FROM (" + _select(_function_columns(), "part") + ")",
     "scans": _select(_scan_columns(), "orders"),
     "findings": _select(_finding_columns(), "lineitem"),
-    "repositories": _select(_repository_columns(), f"customer WHERE {_STORED_REPOSITORY}"),
+    "repositories": _select(_repository_columns(), "customer"),
     "suppressions": _select(_SUPPRESSION, f"events WHERE {_SUPPRESSED}"),
     "feedback": _select(_FEEDBACK, f"events WHERE NOT {_SUPPRESSED}"),
     "items": _select(_ITEM, "lineitem"),

@@ -33,12 +33,12 @@ def inputs(t):
 
 
 ALL_ITEMS = f"""{pc.FILES}, {MINUTES}, {pc.MEASURED}, {pc.DOCS}, {pc.BODIES}, {pc.EDGES}, {pc.SUSPECTS},
-ranked AS (SELECT *, dense_rank() OVER (PARTITION BY repo_id ORDER BY commit_seq) AS r FROM changes),
-spots AS (SELECT repo_id, new_path AS path, count(*) AS n FROM ranked WHERE r <= 50 AND NOT
+spots AS (SELECT repo_id, new_path AS path, count(*) AS n FROM changes WHERE NOT
   regexp_matches(new_path, '(^|/)vendor/') GROUP BY ALL),
 per_file AS (SELECT repo_id, path, {NAME(f'''max({RANK("CASE WHEN complexity <= 5 THEN 'low' WHEN complexity <= 10 THEN 'medium' WHEN complexity <= 15 THEN 'high' ELSE 'critical' END")})''')}
   AS severity FROM measured GROUP BY repo_id, path),
-with_spots AS (SELECT repo_id, path, severity, minutes, CAST(CASE WHEN n >= 3 THEN 1.3 ELSE 1.0 END AS DOUBLE)
+with_spots AS (SELECT repo_id, path, severity, minutes, CAST(CASE WHEN n >= 20 THEN 3.0 WHEN n >= 11 THEN 2.2 WHEN n >= 6 THEN
+  1.7 WHEN n >= 3 THEN 1.3 ELSE 1.0 END AS DOUBLE)
   AS churn, n FROM per_file JOIN spots USING (repo_id, path) JOIN minutes USING (severity)),
 risky AS (SELECT repo_id, path, ROUND(CAST({PRICE_SQL('minutes * churn / 60', '84.55',
   IMPACT_SQL('severity', 'churn', 'n'), '0.8')} * CASE WHEN probability > 0.3 THEN 1.5::DOUBLE ELSE 1 END AS

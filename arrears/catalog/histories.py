@@ -20,10 +20,10 @@ def FIRST(n):
 CHANGED = f"""SELECT *, regexp_replace(regexp_replace(raw, '/(?:\\.?/)+', '/', 'g'), '^[./]+', '') AS path
 FROM (SELECT *, coalesce(nullif(new_path, ''), nullif(old_path, '')) AS raw FROM {{src}})
 WHERE raw IS NOT NULL AND NOT regexp_matches(raw, '(?:^|/)(?:{SKIP})(?:/|$)')"""
-HOTSPOTS = f"""first50 AS ({FIRST(50)}), changed50 AS ({CHANGED.format(src='first50')}),
-hotspots AS (SELECT repo_id, path, count(*) AS change_count,
+SPOTS = """hotspots AS (SELECT repo_id, path, count(*) AS change_count,
   count(DISTINCT author_email) AS unique_authors, arg_max(author_date, commit_seq) AS last_changed
-  FROM changed50 GROUP BY ALL)"""
+  FROM changed GROUP BY ALL)"""
+HOTSPOTS = f"changed AS ({CHANGED.format(src='commit_files')}), {SPOTS}"
 MODULE = ("CASE WHEN regexp_extract(path, '^(.*)/[^/]*$', 1) = '' THEN '.' "
           "ELSE regexp_extract(path, '^(.*)/[^/]*$', 1) END")
 
@@ -42,15 +42,15 @@ RISK_SQL = """CASE WHEN total_changes <= 1 THEN 'low' WHEN owner_count <= 1 AND
 THEN 'critical' WHEN top_contributor_share >= 0.85 THEN 'critical' WHEN owner_count <= 2 OR
 top_contributor_share >= 0.7 THEN 'high' WHEN owner_count <= 3 OR top_contributor_share >= 0.55
 THEN 'medium' ELSE 'low' END"""
-OWNED = f"""first250 AS (SELECT *, lower(trim(author_email)) AS author FROM ({FIRST(250)})),
-changed250 AS ({CHANGED.format(src="(SELECT * FROM first250 WHERE author <> '')")}),
-file_counts AS (SELECT repo_id, path, author, count(*) AS n FROM changed250 GROUP BY ALL),
+OWNED = f"""named AS (SELECT *, lower(trim(author_email)) AS author FROM commit_files),
+owned AS ({CHANGED.format(src="(SELECT * FROM named WHERE author <> '')")}),
+file_counts AS (SELECT repo_id, path, author, count(*) AS n FROM owned GROUP BY ALL),
 files AS (SELECT f.*, {RISK_SQL} AS ownership_risk, l.last_changed FROM
   {CONCENTRATION('file_counts', 'repo_id, path')} f JOIN (SELECT repo_id, path,
-  arg_max(author_date, commit_seq) AS last_changed FROM changed250 GROUP BY ALL) l
+  arg_max(author_date, commit_seq) AS last_changed FROM owned GROUP BY ALL) l
   USING (repo_id, path)),
 module_counts AS (SELECT repo_id, {MODULE} AS module, author, count(*) AS n FROM (SELECT DISTINCT
-  repo_id, commit_seq, path, author FROM changed250) GROUP BY ALL),
+  repo_id, commit_seq, path, author FROM owned) GROUP BY ALL),
 modules AS (SELECT *, {RISK_SQL} AS ownership_risk FROM
   {CONCENTRATION('module_counts', 'repo_id, module')})"""
 
@@ -59,20 +59,28 @@ def _date(column):
     return F.date_format(column, "yyyy-MM-dd")
 
 
-@query("agg1_hotspots", "AGG1 SRC3 STR1 FLT1b",
+@query("agg1_hotspots", "AGG1 STR1 FLT1b",
        f"""WITH {HOTSPOTS} SELECT repo_id, path, change_count, unique_authors,
            strftime(last_changed, '%Y-%m-%d') AS last_changed FROM hotspots""", ("commit_files",))
 def hotspots(t):
     return history.hotspots(t.commit_files).withColumn("last_changed", _date("last_changed"))
 
 
+@query("src3_first_commits", "SRC3",
+       f"""WITH first50 AS ({FIRST(50)}), changed AS ({CHANGED.format(src='first50')}), {SPOTS} SELECT repo_id,
+           path, change_count, unique_authors FROM hotspots""", ("commit_files",))
+def hotspots_of_first_commits(t):
+    """A stated number of commits, for repositories whose early history is the question."""
+    return history.hotspots(t.commit_files, 50).drop("last_changed")
+
+
 @query("srt4_top_hotspots", "SRT4",
-       f"""WITH {HOTSPOTS} SELECT repo_id, path, change_count, position FROM (SELECT *, row_number()
-           OVER (PARTITION BY repo_id ORDER BY change_count DESC, path) AS position FROM hotspots)
-           WHERE position <= 10""", ("commit_files",))
+       f"""WITH {HOTSPOTS} SELECT repo_id, path, change_count, row_number() OVER (PARTITION BY repo_id ORDER BY
+           change_count DESC, path) AS position FROM hotspots""", ("commit_files",))
 def top_hotspots(t):
     return top_per_group(history.hotspots(t.commit_files), ["repo_id"],
-                         [F.col("change_count").desc(), F.col("path")], 10).select("repo_id", "path", "change_count", "position")
+                         [F.col("change_count").desc(), F.col("path")], None).select(
+        "repo_id", "path", "change_count", "position")
 
 
 @query("agg3_complexity_hotspots", "AGG3",
@@ -157,7 +165,7 @@ def ownership_hotspots(t):
 @query("agg7_ownership_summary", "AGG7 CMP12 DTE1",
        f"""WITH {HOTSPOTS}, {OWNED},
         commits AS (SELECT repo_id, commit_seq, max(author) AS author, max(author_date) AS author_date
-          FROM first250 GROUP BY ALL),
+          FROM named GROUP BY ALL),
         counts AS (SELECT repo_id, author, count(*) AS n FROM commits WHERE author <> '' GROUP BY ALL),
         spots AS (SELECT repo_id, count(*) FILTER (owner_count <= 1 OR top_contributor_share >= 0.8)
           AS siloed, count(*) FILTER (owner_count >= 4) AS handoff FROM files SEMI JOIN hotspots

@@ -210,26 +210,23 @@ m.repo_id = e.repo_id AND m.p = e.dst)"""
 
 
 def _edges(t):
-    files = source_files(t)
+    """Edges by file; the known modules are paths and need no parsing."""
     return architecture.local_imports(architecture.import_rows(facts(t)),
-                                      architecture.known_modules(files))
+                                      architecture.known_modules(source_files(t)))
 
 
 @query("jon6_local_imports", "JON6 AST15 STR2",
        f"""WITH {FILES}, {EDGES} SELECT repo_id, 'app.t8.m_' || src AS src, 'app.t' || (dst % 10) || '.m_' ||
            dst AS dst FROM edges""")
 def local_imports(t):
-    return _edges(t)
+    return _edges(t).select("repo_id", "src", "dst").distinct()
 
 
 @query("ast5_high_fanout", "AST5",
        f"""WITH {FILES}, {EDGES} SELECT repo_id, 'app/t8/m_' || src || '.py' AS file, 'medium' AS severity
            FROM edges GROUP BY repo_id, src HAVING count(DISTINCT dst) >= 10""")
 def high_fanout(t):
-    parsed = facts(t)
-    files = parsed.filter("kind = 'file'").select(
-        "repo_id", "path", architecture.python_module(F.col("path")).alias("module"))
-    return _items(architecture.high_fanout(_edges(t), files), "severity")
+    return _items(architecture.high_fanout(_edges(t)), "severity")
 
 
 @query("grf1_import_cycles", "GRF1",

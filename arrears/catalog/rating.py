@@ -116,7 +116,7 @@ def SURVEY(limit):
 
 
 @query("rat3_survey_rates", "RAT3 AGG24 JON16",
-       f"WITH {SURVEY(9999)} SELECT role, {R('rate', 6)} AS rate, live, sample_size FROM survey")
+       f"WITH {SURVEY(None)} SELECT role, {R('rate', 6)} AS rate, live, sample_size FROM survey")
 def survey_rates(t):
     return rates.survey_rates(survey(t)).withColumn("rate", rates.places(F.col("rate"), 6))
 
@@ -140,7 +140,7 @@ def search_rates(t):
         "rate", rates.places(F.col("rate"), 6))
 
 
-BLEND = f"""{OFFERS}, {WAGES}, {SURVEY(9999)}, {SEARCH}, grid AS (SELECT s.technology, r.role, coalesce(w.rate,
+BLEND = f"""{OFFERS}, {WAGES}, {SURVEY(None)}, {SEARCH}, grid AS (SELECT s.technology, r.role, coalesce(w.rate,
 fallback) AS bls, coalesce(w.live, false) AS bls_live, coalesce(o.rate, fallback * 1.05::DOUBLE) AS levels,
 coalesce(o.live, false) AS levels_live, coalesce(v.rate, fallback) AS so, coalesce(v.live, false) AS so_live,
 s.rate * factor AS ddg FROM searches s CROSS JOIN {ROLES.replace('roles(', 'r(')} LEFT JOIN wages w ON w.role =

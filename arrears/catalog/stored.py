@@ -1,7 +1,10 @@
 """Questions over stored scans: triage, comparison, trends, portfolio, findings and roadmap."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from arrears import constants as C
 from arrears.catalog.base import CATEGORY_OF_PART, D, NAME, R, RANK, TITLE, query
 from arrears.operators import findings as fops
 from arrears.operators import store
@@ -26,34 +29,41 @@ from_severity, coalesce(l.cost_usd, p.cost_usd) AS cost, coalesce(l.category, p.
 coalesce(l.seq, p.seq) AS seq, coalesce(l.file_path, p.file_path) AS file_path
 FROM {SINGLE.format(side='latest')} l FULL JOIN {SINGLE.format(side='previous')} p
 ON l.repo_id = p.repo_id AND l.finding_key = p.finding_key)"""
-TRIAGED = """triaged AS (SELECT f.*, coalesce(s.suppressed, false) AS suppressed,
+MARKS = """marks AS (SELECT scan_id, finding_key, arg_max(mark, created_at) AS mark FROM (SELECT scan_id,
+finding_key, created_at, 'suppressed' AS mark FROM suppressions UNION ALL SELECT scan_id, finding_key,
+created_at, 'reviewed' FROM feedback WHERE feedback_type IN ('false_positive', 'accepted_risk'))
+GROUP BY ALL)"""
+TRIAGED = f"""{MARKS}, triaged AS (SELECT f.* REPLACE (coalesce(m.mark, f.status) AS status), coalesce(s.suppressed, false) AS suppressed,
 coalesce(s.n, 0) AS suppression_count, coalesce(b.n, 0) AS feedback_count,
 coalesce(b.last_feedback, '') AS last_feedback FROM findings f LEFT JOIN (SELECT scan_id, finding_key,
 bool_or(active) AS suppressed, count(*) AS n FROM suppressions GROUP BY ALL) s USING (scan_id,
 finding_key) LEFT JOIN (SELECT scan_id, finding_key, count(*) AS n, arg_max(feedback_type, created_at)
-AS last_feedback FROM feedback GROUP BY ALL) b USING (scan_id, finding_key))"""
+AS last_feedback FROM feedback GROUP BY ALL) b USING (scan_id, finding_key) LEFT JOIN marks m USING (scan_id,
+finding_key))"""
 MODULES = f"""modules AS (SELECT scan_id, module, count(*) AS finding_count, sum(cost_usd) AS
 total_cost_usd, {NAME(f'max({RANK("severity")})')} AS max_severity FROM findings GROUP BY scan_id,
 module)"""
 BUCKET = f"""CASE WHEN effort_hours <= 4 AND confidence >= 0.6 AND {RANK('severity')} >= 2 THEN
 'quick_wins' WHEN effort_hours >= 8 OR {RANK('severity')} >= 4 THEN 'strategic' ELSE 'next_up' END"""
-ROADMAP = f"""roadmap AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scan_id, bucket
-ORDER BY {ORDER}, seq) AS position FROM (SELECT *, {BUCKET} AS bucket FROM findings))
-WHERE position <= 10)"""
+ROADMAP = f"""roadmap AS (SELECT *, row_number() OVER (PARTITION BY scan_id, bucket ORDER BY {ORDER}, seq) AS
+position FROM (SELECT *, {BUCKET} AS bucket FROM findings))"""
 T3 = ("findings", "suppressions", "feedback")
 
 
-def triaged(t):
-    return store.with_triage(t.findings, t.suppressions, t.feedback)
+def triaged(t, scans=None):
+    """Findings with triage; with ``scans``, only theirs, picked before events are counted."""
+    parts = (t.findings, t.suppressions, t.feedback)
+    return store.with_triage(*(parts if scans is None else [store.of_scans(p, scans) for p in parts]))
 
 
-def modules(t):
-    return fops.summarize_modules(t.findings, ("scan_id",))
+def modules(t, scans=None):
+    findings = t.findings if scans is None else store.of_scans(t.findings, scans)
+    return fops.summarize_modules(findings, ("scan_id",))
 
 
-def roadmap(t):
+def roadmap(t, limit=None):
     found = t.findings.withColumn("id", F.col("finding_key"))
-    return fops.roadmap(found, ("scan_id",), ties=("seq",))
+    return fops.roadmap(found, ("scan_id",), limit=limit, ties=("seq",))
 
 
 @query("win2_latest_scans", "WIN2 SRC9 FLT7",
@@ -63,7 +73,7 @@ def latest_scans(t):
     return store.latest_scans(t.scans).select("repo_id", "scan_id", "total_cost_usd")
 
 
-@query("win2_latest_scans_of_user", "FLT7 QRY1",
+@query("win2_latest_scans_of_user", "FLT7",
        f"""WITH mine AS (SELECT * FROM scans WHERE user_id = 3),
            {RECENT.format(n=1).replace('FROM scans', 'FROM mine')}
            SELECT repo_id, scan_id, job_id, user_id FROM recent""", ("scans",))
@@ -105,11 +115,7 @@ def findings_with_triage(t):
 
 
 @query("dml2_derived_status", "DML2 DML3",
-       """WITH marks AS (SELECT scan_id, finding_key, arg_max(mark, created_at) AS mark FROM (
-          SELECT scan_id, finding_key, created_at, 'suppressed' AS mark FROM suppressions UNION ALL
-          SELECT scan_id, finding_key, created_at, 'reviewed' FROM feedback WHERE feedback_type IN
-          ('false_positive', 'accepted_risk')) GROUP BY ALL)
-          SELECT scan_id, seq, coalesce(mark, status) AS status FROM findings LEFT JOIN marks
+       f"""WITH {MARKS} SELECT scan_id, seq, coalesce(mark, status) AS status FROM findings LEFT JOIN marks
           USING (scan_id, finding_key)""", T3)
 def derived_status(t):
     return store.derived_status(t.findings, t.suppressions, t.feedback).select(
@@ -117,12 +123,9 @@ def derived_status(t):
 
 
 @query("dml5_finding_lookup", "DML5",
-       """SELECT scan_id, finding_key, severity, seq FROM findings WHERE finding_key = 'f-7' AND
-          scan_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')""", ("findings",))
+       "SELECT scan_id, finding_key, severity, seq FROM findings WHERE finding_key = 'f-7'", ("findings",))
 def finding_lookup(t):
-    done = t.read("orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("scan_id"))
-    return t.findings.filter(F.col("finding_key") == "f-7").join(done, "scan_id", "left_semi").select(
-        "scan_id", "finding_key", "severity", "seq")
+    return t.findings.filter(F.col("finding_key") == "f-7").select("scan_id", "finding_key", "severity", "seq")
 
 
 @query("flt4_query_findings", "FLT4 QRY3 SRT1",
@@ -155,7 +158,7 @@ def findings_page(t):
        (*T3, "scans"))
 def triage_stats(t):
     latest = store.latest_scans(t.scans).select("repo_id", "scan_id")
-    return store.triage_stats(triaged(t).join(latest, "scan_id"), ["repo_id"])
+    return store.triage_stats(triaged(t, latest).join(latest, "scan_id"), ["repo_id"])
 
 
 @query("agg17_category_counts", "AGG17 QRY11",
@@ -173,8 +176,62 @@ def category_counts(t):
            NOT suppressed) WHERE position <= 20""", (*T3, "scans"))
 def unresolved(t):
     latest = store.latest_scans(t.scans).select("repo_id", "scan_id")
-    rows = store.with_triage(t.findings.join(latest, "scan_id"), t.suppressions, t.feedback)
-    return store.top_unresolved(rows, ["repo_id"]).select("repo_id", "position", "seq", "severity")
+    return store.top_unresolved(triaged(t, latest).join(latest, "scan_id"), ["repo_id"]).select("repo_id", "position", "seq", "severity")
+
+
+@query("jon7_triage_rows", "JON7",
+       """SELECT f.scan_id, f.seq, e.kind, e.detail, strftime(e.created_at, '%Y-%m-%dT%H:%M:%S') AS created_at FROM
+          findings f JOIN (SELECT scan_id, finding_key, 'suppression' AS kind, reason AS detail, created_at FROM
+          suppressions UNION ALL SELECT scan_id, finding_key, 'feedback', feedback_type, created_at FROM feedback)
+          e USING (scan_id, finding_key)""", T3)
+def triage_rows(t):
+    return store.triage_rows(t.findings, t.suppressions, t.feedback).select(
+        "scan_id", "seq", "kind", "detail", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss").alias("created_at"))
+
+
+# --- one scan -------------------------------------------------------------------------------------
+
+ONE = 7  # the scan asked for
+
+
+@query("qry1_scan_by_id", "QRY1",
+       f"SELECT scan_id, repo_id, job_id, status, {D('total_cost_usd')} AS total_cost_usd FROM scans WHERE scan_id = {ONE}",
+       ("scans",))
+def scan_by_id(t):
+    return store.scan_by_id(t.scans, ONE).select("scan_id", "repo_id", "job_id", "status", "total_cost_usd")
+
+
+@query("qry17_scan_by_job", "QRY17",
+       f"SELECT scan_id, repo_id, job_id, status FROM scans WHERE job_id = 'job-{ONE}'", ("scans",))
+def scan_by_job(t):
+    return store.scan_by_job(t.scans, f"job-{ONE}").select("scan_id", "repo_id", "job_id", "status")
+
+
+@query("qry3_scan_findings", "QRY3 FLT4 SRT1 SRT12",
+       f"""WITH {TRIAGED} SELECT scan_id, seq, severity, status, suppressed, {D('cost_usd')} AS cost_usd FROM triaged
+           WHERE scan_id = {ONE} AND lower(severity) IN ('medium', 'high', 'critical') ORDER BY {ORDER}, seq LIMIT
+           50""", T3)
+def scan_findings(t):
+    one = store.scan_by_id(t.scans, ONE)
+    kept = store.query_findings(triaged(t, one), severity="medium")
+    return store.page(kept, fops.finding_order("seq"), 50).select(
+        "scan_id", "seq", "severity", "status", "suppressed", "cost_usd")
+
+
+@query("qry4_scan_modules", "QRY4 SRT2",
+       f"""WITH {MODULES} SELECT scan_id, module, finding_count, {D('total_cost_usd')} AS total_cost_usd,
+           max_severity FROM modules WHERE scan_id = {ONE}""", ("findings",))
+def scan_modules(t):
+    return modules(t, store.scan_by_id(t.scans, ONE)).orderBy(*fops.module_order()).select(
+        "scan_id", "module", "finding_count", "total_cost_usd", "max_severity")
+
+
+@query("qry5_scan_roadmap", "QRY5",
+       f"""WITH {ROADMAP} SELECT scan_id, bucket, position, finding_key AS finding_id FROM roadmap WHERE scan_id =
+           {ONE}""", ("findings",))
+def scan_roadmap(t):
+    found = store.of_scans(t.findings, store.scan_by_id(t.scans, ONE)).withColumn("id", F.col("finding_key"))
+    return fops.roadmap(found, ("scan_id",), ties=("seq",)).select("scan_id", "bucket", "position", "finding_id")
 
 
 # --- comparison -----------------------------------------------------------------------------------
@@ -200,8 +257,10 @@ def scan_comparison(t):
            LEFT JOIN n a ON a.scan_id = latest_scan_id LEFT JOIN n b ON b.scan_id = previous_scan_id""",
        ("scans", "findings"))
 def compare_summary(t):
-    counts = t.findings.groupBy("scan_id").agg(F.count("*").alias("findings"))
-    return store.compare_summary(store.scan_pairs(t.scans), counts).withColumn(
+    pairs = store.scan_pairs(t.scans)
+    shown = pairs.select(F.explode(F.array("latest_scan_id", "previous_scan_id")).alias("scan_id"))
+    counts = store.of_scans(t.findings, shown).groupBy("scan_id").agg(F.count("*").alias("findings"))
+    return store.compare_summary(pairs, counts).withColumn(
         "previous_scan_id", F.coalesce("previous_scan_id", F.lit(-1)))
 
 
@@ -216,14 +275,6 @@ def change_rollup(t):
     return store.change_rollup(store.compare(store.scan_pairs(t.scans), t.findings))
 
 
-@query("agg19_change_rollup_capped", "AGG19 QRY13 SRT11",
-       f"""WITH {CHANGES} {ROLLUP.format(src='''(SELECT * FROM (SELECT *, row_number() OVER (PARTITION
-           BY repo_id, change ORDER BY seq) AS pos FROM changes) WHERE pos <= 2 OR change =
-           'common')''')}""", ("scans", "findings"))
-def change_rollup_capped(t):
-    return store.change_rollup(store.compare(store.scan_pairs(t.scans), t.findings), cap=2)
-
-
 @query("agg19_first_scan", "AGG19 QRY13",
        f"""WITH {PAIRS} SELECT repo_id, 'new' AS state, count(*) AS findings, {D('sum(cost_usd)')} AS
            cost_usd FROM findings JOIN pairs ON scan_id = latest_scan_id WHERE previous_scan_id IS
@@ -232,6 +283,15 @@ def first_scan(t):
     return store.first_scan_rollup(store.scan_pairs(t.scans), t.findings)
 
 
+@query("qry13_changes", "QRY13 AGG19",
+       f"""WITH {CHANGES} {ROLLUP.format(src='changes JOIN pairs USING (repo_id) WHERE previous_scan_id IS NOT NULL')}
+           UNION ALL SELECT repo_id, 'new', count(*), {D('sum(cost_usd)')} FROM findings JOIN pairs ON scan_id =
+           latest_scan_id WHERE previous_scan_id IS NULL GROUP BY repo_id""", ("scans", "findings"))
+def all_changes(t):
+    """First scans and scan pairs in one result."""
+    return store.whole_change_rollup(store.scan_pairs(t.scans), t.findings)
+
+
 @query("agg20_category_deltas", "AGG20",
        f"""WITH {CHANGES} SELECT repo_id, category, count(*) FILTER (change = 'added') AS new,
            count(*) FILTER (change = 'removed') AS resolved, count(*) FILTER (change = 'added') -
@@ -251,6 +311,18 @@ def listed_changes(t):
         "repo_id", "position", "finding_key", F.col("latest_file_path").alias("file_path"))
 
 
+@query("qry6_change_lists", "QRY6 WIN12",
+       f"""WITH {CHANGES}, kinds AS (SELECT *, CASE WHEN change <> 'common' THEN change WHEN {RANK('to_severity')} >
+           {RANK('from_severity')} THEN 'worsened' WHEN {RANK('to_severity')} < {RANK('from_severity')} THEN
+           'improved' END AS kind FROM changes) SELECT repo_id, kind, position, finding_key FROM (SELECT *,
+           row_number() OVER (PARTITION BY repo_id, kind ORDER BY seq) AS position FROM kinds WHERE kind IS NOT
+           NULL) WHERE position <= 50""", ("scans", "findings"))
+def change_lists(t):
+    """Added, removed, worsened and improved findings, the first fifty of each."""
+    return store.change_lists(store.compare(store.scan_pairs(t.scans), t.findings), 50).select(
+        "repo_id", "kind", "position", "finding_key")
+
+
 # --- trends ---------------------------------------------------------------------------------------
 
 @query("agg18_category_trend", "AGG18 QRY8",
@@ -267,7 +339,8 @@ def category_trend(t):
            (SELECT scan_id, count(*) AS n, sum(cost_usd) AS cost FROM triaged WHERE status = 'open'
            AND NOT suppressed GROUP BY scan_id) a USING (scan_id)""", (*T3, "scans"))
 def active_trend(t):
-    return store.active_trend(store.history(t.scans, 20), triaged(t)).drop("created_at")
+    recent = store.history(t.scans, 20)
+    return store.active_trend(recent, triaged(t, recent)).drop("created_at")
 
 
 @query("win6_category_first_last", "WIN6 QRY8",
@@ -282,7 +355,7 @@ def category_first_last(t):
     return store.first_last_delta(points, ["repo_id", "category"], "findings", "cost_usd")
 
 
-@query("win6_module_first_last", "WIN6 AGG18 QRY8 QRY4",
+@query("win6_module_first_last", "WIN6 AGG18 QRY8",
        f"""WITH {RECENT.format(n=20)}, {MODULES}, points AS (SELECT repo_id, created_at, m.* FROM
            modules m JOIN recent USING (scan_id))
            SELECT DISTINCT repo_id, module, last_value(finding_count) OVER w -
@@ -292,13 +365,14 @@ def category_first_last(t):
            created_at, scan_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""",
        ("scans", "findings"))
 def module_first_last(t):
-    points = store.module_trend(store.history(t.scans, 20), modules(t))
+    recent = store.history(t.scans, 20)
+    points = store.module_trend(recent, modules(t, recent))
     deltas = store.first_last_delta(points, ["repo_id", "module"], "finding_count",
                                     "total_cost_usd")
     return deltas.join(store.latest_module_severity(points), ["repo_id", "module"])
 
 
-@query("qry8_rich_trend", "QRY8 QRY5",
+@query("qry8_rich_trend", "QRY8",
        f"""WITH {RECENT.format(n=20)}, {MODULES}, {ROADMAP} SELECT repo_id, r.scan_id,
            strftime(created_at, '%b %d') AS date_display, coalesce(f.n, 0) AS finding_count,
            coalesce(m.n, 0) AS module_count, coalesce(p.q, 0) AS quick_wins, coalesce(p.s, 0) AS
@@ -308,7 +382,8 @@ def module_first_last(t):
            'quick_wins') AS q, count(*) FILTER (bucket = 'strategic') AS s FROM roadmap GROUP BY
            scan_id) p USING (scan_id)""", ("scans", "findings"))
 def rich_trend(t):
-    return store.rich_trend(store.history(t.scans, 20), t.findings, modules(t), roadmap(t)).select(
+    recent = store.history(t.scans, 20)
+    return store.rich_trend(recent, t.findings, modules(t, recent), roadmap(t)).select(
         "repo_id", "scan_id", "date_display", "finding_count", "module_count", "quick_wins",
         "strategic_items")
 
@@ -325,7 +400,8 @@ def rich_trend(t):
            count(*) FILTER (bucket = 'strategic') AS s FROM roadmap GROUP BY scan_id) p
            USING (scan_id)""", (*T3, "scans"))
 def summary_rollup(t):
-    return store.summary_rollup(t.scans, triaged(t), modules(t), roadmap(t)).select(
+    latest = store.latest_scans(t.scans)
+    return store.summary_rollup(t.scans, triaged(t, latest), modules(t, latest), roadmap(t)).select(
         "repo_id", "scan_id", "total_cost_usd", "total_findings", "active_findings",
         "suppressed_findings", "module_count", "quick_wins", "strategic_items")
 
@@ -389,21 +465,20 @@ def portfolio(t):
            coalesce(nullif(repo_key, ''), repo_id) ORDER BY created_at DESC, scan_id DESC) AS p FROM
            urls WHERE status = 'complete') WHERE p = 1)
            SELECT user_id, repo_key, {D('total_cost_usd')} AS total_cost, strftime(created_at,
-           '%Y-%m-%dT%H:%M:%S') AS scanned_at FROM newest ORDER BY total_cost_usd, repo_key LIMIT 40""",
+           '%Y-%m-%dT%H:%M:%S') AS scanned_at FROM newest""",
        ("scans", "repositories"))
 def portfolio_sort(t):
     rows = store.portfolio(t.scans, t.repositories, scan_categories(t))
-    return store.sort_portfolio(rows, "total_cost", descending=False).limit(40).select(
+    return store.sort_portfolio(rows, "total_cost", descending=False).select(
         "user_id", "repo_key", "total_cost", "scanned_at")
 
 
 @query("srt8_portfolio_order", "SRT8 SRT9",
-       f"""SELECT scan_id, {D('debt_score')} AS debt_score, position FROM (SELECT *, row_number() OVER
-           (PARTITION BY user_id ORDER BY debt_score DESC, scan_id) AS position FROM scans WHERE status
-           = 'complete') WHERE position <= 25""", ("scans",))
+       f"""SELECT scan_id, {D('debt_score')} AS debt_score, row_number() OVER (PARTITION BY user_id ORDER BY
+           debt_score DESC, scan_id) AS position FROM scans WHERE status = 'complete'""", ("scans",))
 def portfolio_order(t):
     return top_per_group(store.complete(t.scans), ["user_id"],
-                         [F.col("debt_score").desc(), F.col("scan_id")], 25).select("scan_id", "debt_score", "position")
+                         [F.col("debt_score").desc(), F.col("scan_id")], None).select("scan_id", "debt_score", "position")
 
 
 @query("agg21_portfolio_summary", "AGG21 QRY15",
@@ -439,15 +514,14 @@ def repository_list(t):
 
 @query("srt10_recent_repositories", "SRT10 QRY9",
        f"""WITH {RECENT.format(n=1)} SELECT r.repo_id, coalesce(strftime(created_at, '%Y-%m-%d'), '') AS
-           last_scanned FROM repositories r LEFT JOIN recent x USING (repo_id) ORDER BY created_at DESC
-           NULLS LAST, r.repo_id LIMIT 50""", ("scans", "repositories"))
+           last_scanned FROM repositories r LEFT JOIN recent x USING (repo_id)""", ("scans", "repositories"))
 def recent_repositories(t):
-    listed = store.recently_scanned(store.repository_list(t.repositories, t.scans), 50)
+    listed = store.recently_scanned(store.repository_list(t.repositories, t.scans))
     return listed.select("repo_id", F.coalesce(F.date_format("last_scanned", "yyyy-MM-dd"), F.lit(""))
                          .alias("last_scanned"))
 
 
-@query("qry2_scan_summary", "QRY2 QRY1 JSN1",
+@query("qry2_scan_summary", "QRY2 JSN1",
        f"""SELECT scan_id, repo_id, job_id, strftime(created_at, '%Y-%m-%dT%H:%M:%S') AS created_at,
            {D('total_cost_usd')} AS total_cost_usd, {D('debt_score')} AS debt_score, {D('total_hours')} AS
            total_hours, {D('total_sprints')} AS total_sprints, CASE WHEN scan_id % 2 = 0 THEN
@@ -488,8 +562,7 @@ def remove_repository(t):
 
 @query("dml1_repository_upsert", "DML1 STR3",
        """WITH known AS (SELECT 'https://github.com/org' || (c_custkey % 10) || '/repo' || c_custkey AS
-          url, CASE WHEN c_custkey % 2 = 0 THEN c_custkey % 10 END AS user_id FROM customer WHERE
-          c_custkey % 3 = 0), seen AS (SELECT 'https://github.com/org' || (o_custkey % 10) || '/repo' ||
+          url, CASE WHEN c_custkey % 2 = 0 THEN c_custkey % 10 END AS user_id FROM customer), seen AS (SELECT 'https://github.com/org' || (o_custkey % 10) || '/repo' ||
           o_custkey AS url, min(o_custkey % 4) AS user_id FROM orders GROUP BY ALL)
           SELECT coalesce(k.url, s.url) AS github_url, string_split(coalesce(k.url, s.url), '/')[-1] AS
           repo_name, string_split(coalesce(k.url, s.url), '/')[-2] AS repo_owner,
@@ -498,7 +571,7 @@ def remove_repository(t):
 def repository_upsert(t):
     from arrears.sources.scan_store import merge_repositories
 
-    known = t.read("customer").filter("c_custkey % 3 = 0").selectExpr(
+    known = t.read("customer").selectExpr(
         "'https://github.com/org' || (c_custkey % 10) || '/repo' || c_custkey AS github_url",
         "CAST(NULL AS STRING) AS repo_name", "CAST(NULL AS STRING) AS repo_owner",
         "CASE WHEN c_custkey % 2 = 0 THEN c_custkey % 10 END AS user_id")
@@ -562,9 +635,17 @@ def module_summaries(t):
 @query("cmp9_roadmap", "CMP9 WIN7 STR7 SRT1",
        f"""WITH {ROADMAP} SELECT scan_id, bucket, position, finding_key AS finding_id,
            {TITLE('category')} || ' in ' || file_path AS title, {D('cost_usd')} AS cost_usd
-           FROM roadmap""", ("findings",))
+           FROM roadmap WHERE position <= 10""", ("findings",))
 def roadmap_items(t):
-    return roadmap(t).select("scan_id", "bucket", "position", "finding_id", "title", "cost_usd")
+    """The listing: the first ten of each bucket."""
+    return roadmap(t, C.ROADMAP_LIMIT).select("scan_id", "bucket", "position", "finding_id", "title", "cost_usd")
+
+
+@query("cmp9_roadmap_all", "CMP9",
+       f"""WITH {ROADMAP} SELECT scan_id, bucket, position, finding_key AS finding_id, {D('cost_usd')} AS
+           cost_usd FROM roadmap""", ("findings",))
+def whole_roadmap(t):
+    return roadmap(t).select("scan_id", "bucket", "position", "finding_id", "cost_usd")
 
 
 @query("cmp9_repo_roadmap", "CMP9 CMP8 WIN7",
@@ -575,7 +656,7 @@ def roadmap_items(t):
 def repo_roadmap(t):
     found = t.items.withColumn("effort_hours", F.round("remediation_hours", 2)).withColumn(
         "file_path", F.col("file")).withColumn("id", F.col("seq")).withColumn("module", F.col("file"))
-    return fops.roadmap(found, ties=("seq",)).select(
+    return fops.roadmap(found, limit=C.ROADMAP_LIMIT, ties=("seq",)).select(
         "repo_id", "bucket", "position", "file_path", "severity", "cost_usd")
 
 
@@ -626,7 +707,7 @@ def repo_totals(t):
         "total_hours", "total_sprints", "debt_score")
 
 
-@query("snk1_store_limits", "SNK1 SRT11",
+@query("snk1_store_limits", "SRT11",
        f"""SELECT 'findings' AS kind, repo_id, count(*) AS kept, {D('sum(cost_usd)')} AS cost FROM (
            SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY {ORDER}, seq) AS p FROM items)
            WHERE p <= 250 GROUP BY repo_id""", ("items",))
@@ -634,12 +715,12 @@ def store_limits(t):
     from arrears.sources.scan_store import stored_findings
 
     rows = t.items.withColumn("scan_id", F.lit(1)).withColumn("file_path", F.col("file"))
-    return stored_findings(rows, ties=("seq",)).groupBy("repo_id").agg(
+    return stored_findings(rows, C.STORE_LIMITS["findings"], ("seq",)).groupBy("repo_id").agg(
         F.count("*").alias("kept"), F.sum("cost_usd").alias("cost")).withColumn(
         "kind", F.lit("findings"))
 
 
-@query("jsn1_payload_analysis", "JSN1 JON8 SNK2 QRY17",
+@query("jsn1_payload_analysis", "JSN1",
        """SELECT event_id, coalesce(CASE WHEN event_id % 3 = 0 THEN json_extract_string(props, '$.k')
           WHEN event_id % 3 = 1 THEN json_extract_string(props, '$.k') END, '0') AS k FROM events""")
 def payload_analysis(t):
@@ -648,3 +729,45 @@ def payload_analysis(t):
                      ).when(F.col("event_id") % 3 == 1, F.col("props")).otherwise("{}")
     return t.read("events").select("event_id", F.coalesce(
         store.payload_analysis(payload, "k"), F.lit("0")).alias("k"))
+
+
+@query("jon8_payload_owners", "JON8 QRY3",
+       """SELECT scan_id, seq, coalesce(CASE WHEN finding_key = 'f-' || (scan_id % 25) THEN scan_id % 7 WHEN
+          finding_key = 'f-' || ((scan_id + 3) % 25) THEN 1 END, -1) AS owner_count FROM findings""", ("findings", "scans"))
+def payload_owners(t):
+    payload = F.concat(F.lit('{"raw_analysis":{"findings":[{"id":"f-'), F.col("scan_id") % 25, F.lit('","owner_count":'),
+                       F.col("scan_id") % 7, F.lit('},{"id":"f-'), (F.col("scan_id") + 3) % 25,
+                       F.lit('","owner_count":1,"ownership_risk":"high"}]}}'))
+    return store.with_payload_owners(t.findings, t.scans.withColumn("payload", payload)).select(
+        "scan_id", "seq", F.coalesce("owner_count", F.lit(-1).cast("long")).alias("owner_count"))
+
+
+@query("snk1_store_round_trip", "SNK1 SRC9",
+       f"""WITH {RECENT.format(n=1)}, {ROADMAP} SELECT r.repo_id, CAST(r.scan_id AS VARCHAR) AS scan_id,
+           {D('r.total_cost_usd')} AS total_cost_usd, coalesce(n, 0) AS findings, coalesce({D('cost')}, 0) AS
+           cost_usd, coalesce(first_key, '') AS first_finding, coalesce(q, 0) AS quick_wins FROM recent r LEFT JOIN
+           (SELECT scan_id, count(*) AS n, sum(cost_usd) AS cost FROM findings GROUP BY scan_id) USING (scan_id)
+           LEFT JOIN (SELECT scan_id, file_path AS first_key FROM (SELECT *, row_number() OVER (PARTITION BY scan_id
+           ORDER BY {ORDER}, seq, file_path) AS p FROM findings) WHERE p = 1) USING (scan_id) LEFT JOIN (SELECT
+           scan_id, count(*) FILTER (bucket = 'quick_wins') AS q FROM roadmap GROUP BY scan_id) USING (scan_id)""",
+       ("scans", "findings"))
+def store_round_trip(t):
+    """Scans are written to a store in the shared folder; the answers come from what is read back."""
+    from arrears.operators.common import shared_folder
+    from arrears.sources import scan_store
+
+    repos = t.scans.select("scan_id", "repo_id")
+    found = t.findings.join(repos, "scan_id").withColumns({
+        "step": F.col("seq"), "line_start": F.lit(None).cast("int"), "symbol_name": F.lit(""), "subcategory": F.lit(""),
+        "id": F.col("finding_key")})
+    root = f"{shared_folder(t.spark)}/store-{uuid.uuid4().hex}"
+    items = found.select("repo_id", "scan_id", F.col("file_path").alias("file"), "category", "severity", "cost_usd")
+    scan_store.save_scan(root, "batch", t.scans, items, found, modules(t).join(repos, "scan_id"),
+                         roadmap(t).join(repos, "scan_id"))
+    scans, findings, plan = (scan_store.read_table(t.spark, root, name) for name in ("scans", "findings", "roadmap_items"))
+    latest = store.latest_scans(scans)
+    counts = store.of_scans(findings, latest).groupBy("scan_id").agg(
+        F.count("*").alias("findings"), F.sum("cost_usd").alias("cost_usd"), F.min_by("file_path", "seq").alias("first_finding"))
+    wins = store.of_scans(plan, latest).groupBy("scan_id").agg(F.count_if(F.col("bucket") == "quick_wins").alias("quick_wins"))
+    return latest.select("repo_id", "scan_id", "total_cost_usd").join(counts, "scan_id", "left").join(wins, "scan_id", "left").fillna(
+        {"findings": 0, "first_finding": "", "quick_wins": 0}).withColumn("cost_usd", F.coalesce("cost_usd", F.lit(0)))

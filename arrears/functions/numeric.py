@@ -4,15 +4,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def places(value: Column, digits: int, wide: bool = False) -> Column:
+def places(value: Column, digits: int) -> Column:
     """Round half-up to ``digits``; the detour over an 8-digit decimal removes binary noise."""
-    precision = 38 if wide else 18
-    return F.round(value.cast(f"decimal({precision},8)"), digits).cast(f"decimal(18,{digits})")
+    return F.round(value.cast("decimal(38,8)"), digits).cast(f"decimal(18,{digits})")
 
 
-def cents(value: Column, wide: bool = False) -> Column:
+def cents(value: Column) -> Column:
     """Amount rounded to two places, exact to sum in any order."""
-    return places(value, 2, wide)
+    return places(value, 2)
 
 
 def clamp(value: Column, low: float, high: float) -> Column:

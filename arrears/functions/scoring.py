@@ -81,9 +81,9 @@ def sanity_columns(total: Column, functions: Column, benchmark: Column) -> dict[
     for factor, wording in C.ASSESSMENTS[:-1]:
         text = text.when(per_function < bench * factor, wording)
     return {
-        "cost_per_function": places(per_function, 2, wide=True),
+        "cost_per_function": places(per_function, 2),
         "industry_avg": bench,
-        "variance_pct": places(variance, 2, wide=True),
+        "variance_pct": places(variance, 2),
         "is_reasonable": (per_function <= bench) | (variance < C.VARIANCE_LIMIT),
         "assessment": text.otherwise(C.ASSESSMENTS[-1][1]),
     }
@@ -134,27 +134,27 @@ def effort_minutes(effort: Column) -> Column:
     """Minutes from '10min', '2h', '1.5d'; anything else is the MAJOR default."""
     text = F.lower(F.trim(effort))
     number = r"(\d+(?:\.\d+)?)"
-    minutes = F.nullif(F.regexp_extract(text, r"(\d+)\s*min", 1), F.lit("")).cast("int")
+    minutes = F.nullif(F.regexp_extract(text, r"(\d+)\s*min", 1), F.lit("")).try_cast("int")
     hours = F.nullif(F.regexp_extract(text, number + r"\s*h", 1), F.lit("")).cast("double")
     days = F.nullif(F.regexp_extract(text, number + r"\s*d", 1), F.lit("")).cast("double")
-    return F.coalesce(minutes, F.floor(hours * 60).cast("int"), F.floor(days * 480).cast("int"),
+    return F.coalesce(minutes, F.floor(hours * 60).try_cast("int"), F.floor(days * 480).try_cast("int"),
                       F.lit(C.RULE_SEVERITY_MINUTES["MAJOR"]))
 
 
 def roi_columns(total: Column) -> dict[str, Column]:
     amount = F.coalesce(total.cast("double"), F.lit(0.0))
-    savings = cents(amount * 0.40, wide=True)
+    savings = cents(amount * 0.40)
     payback = F.when(savings == 0, F.lit(99)).otherwise(
         F.round((amount / savings.cast("double") * 12).cast("decimal(28,8)"), 0).cast("int"))
     roi = F.when(amount == 0, F.lit(0)).otherwise(
         F.round(((savings.cast("double") * 3 - amount) / amount * 100).cast("decimal(28,8)"), 0)
         .cast("int"))
     return {
-        "total_fix_cost": cents(amount, wide=True),
+        "total_fix_cost": cents(amount),
         "annual_maintenance_savings": savings,
         "payback_months": payback,
         "three_year_roi_pct": roi,
-        "recommended_budget": cents(amount / 4, wide=True),
+        "recommended_budget": cents(amount / 4),
         "recommendation": F.when(roi > 0, C.ROI_POSITIVE).otherwise(C.ROI_OTHER),
     }
 

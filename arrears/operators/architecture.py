@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from arrears import constants as C
 from arrears.functions.paths import python_module, under_skip_dir
-from arrears.operators.common import cut_lineage, salted_join
+from arrears.operators.common import cut_lineage
 from arrears.operators.items import debt_items
 
 
@@ -24,12 +24,15 @@ def known_modules(source_files: DataFrame) -> DataFrame:
 
 
 def local_imports(imports: DataFrame, modules: DataFrame) -> DataFrame:
-    """Edges (importer -> longest known dotted prefix) from rows (repo_id, importer, name).
+    """Edges (importer -> longest known dotted prefix) from rows (repo_id, [path,] importer, name).
 
-    Names are resolved once per repository, not once per import; the edge join spreads the rows of
-    a name that most modules import.
+    With ``path`` an edge belongs to its file: ``a/b.py`` and ``a/b/__init__.py`` are one module.
+
+    Names are resolved once per repository, not once per import; a name that most modules import
+    is a skewed key of a plain join, which adaptive execution splits.
     """
     imports = imports.distinct()
+    files = [c for c in imports.columns if c == "path"]
     names = imports.select("repo_id", "name").distinct()
     parts = F.split("name", r"\.")
     candidates = names.withColumn("depth", F.explode(F.sequence(F.lit(1), F.size(parts)))).select(
@@ -37,21 +40,21 @@ def local_imports(imports: DataFrame, modules: DataFrame) -> DataFrame:
         F.array_join(F.slice(parts, F.lit(1), F.col("depth")), ".").alias("module"))
     resolved = (candidates.join(modules, ["repo_id", "module"])
                 .groupBy("repo_id", "name").agg(F.max_by("module", "depth").alias("target")))
-    return (salted_join(imports, resolved, ["repo_id", "name"], "inner", ["importer"])
-            .select("repo_id", F.col("importer").alias("src"), F.col("target").alias("dst"))
+    return (imports.join(resolved, ["repo_id", "name"])
+            .select("repo_id", *files, F.col("importer").alias("src"), F.col("target").alias("dst"))
             .distinct())
 
 
 def import_rows(facts: DataFrame) -> DataFrame:
     return facts.filter("kind = 'import'").select(
-        "repo_id", python_module(F.col("path")).alias("importer"), "name")
+        "repo_id", "path", python_module(F.col("path")).alias("importer"), "name")
 
 
-def high_fanout(edges: DataFrame, files: DataFrame) -> DataFrame:
-    """Modules with ten or more distinct local imports; ``files`` maps module to path."""
-    wide = (edges.groupBy("repo_id", F.col("src").alias("module"))
+def high_fanout(edges: DataFrame) -> DataFrame:
+    """Files with ten or more distinct local imports."""
+    wide = (edges.groupBy("repo_id", "path", F.col("src").alias("module"))
             .agg(F.count("*").alias("fanout")).filter(F.col("fanout") >= C.FANOUT_IMPORTS))
-    return debt_items(wide.join(files, ["repo_id", "module"]), "architecture",
+    return debt_items(wide, "architecture",
                       category="architecture", severity="medium", kind="high_fanout_module",
                       hours=5.0, impact="medium", detail=F.col("module"))
 
@@ -79,11 +82,12 @@ def _trim(edges: DataFrame) -> DataFrame:
     return edges
 
 
-def _smallest_reaching(edges: DataFrame, rounds: int) -> DataFrame:
+def _smallest_reaching(edges: DataFrame) -> DataFrame:
     """Per node the smallest node that reaches it (``fore``) and that it reaches (``back``).
 
     Both directions run together: a node carries one label per direction, and one join and one
-    minimum per step move all labels along all edges.
+    minimum per step move all labels along all edges. Each round ends with a jump - what holds for
+    the label of a node holds for the node - so rounds grow with the logarithm of the longest path.
     """
     moves = edges.select("repo_id", F.lit("fore").alias("way"), F.col("src").alias("node"),
                          F.col("dst").alias("next")).unionByName(
@@ -92,7 +96,7 @@ def _smallest_reaching(edges: DataFrame, rounds: int) -> DataFrame:
     key = ["repo_id", "way", "node"]
     labels = (moves.select(*key).unionByName(moves.select("repo_id", "way", F.col("next").alias("node")))
               .distinct().withColumn("label", F.col("node")))
-    for _ in range(rounds):
+    while True:
         moved = labels.withColumn("before", F.col("label"))
         for _ in range(HOPS):
             offered = (moves.join(moved.select(*key, "label"), key)
@@ -100,6 +104,9 @@ def _smallest_reaching(edges: DataFrame, rounds: int) -> DataFrame:
                        .agg(F.min("label").alias("offer")))
             moved = moved.join(offered, key, "left").withColumn(
                 "label", F.least("label", "offer")).drop("offer")
+        far = moved.select("repo_id", "way", F.col("node").alias("label"), F.col("label").alias("far"))
+        moved = moved.join(far, ["repo_id", "way", "label"], "left").withColumn(
+            "label", F.least("label", "far")).drop("far")
         moved, counts = _measured_cut(
             moved, changed=F.count_if(F.col("label") != F.col("before")))
         labels = moved.drop("before")
@@ -107,10 +114,9 @@ def _smallest_reaching(edges: DataFrame, rounds: int) -> DataFrame:
             return labels.groupBy("repo_id", "node").agg(*[
                 F.max(F.when(F.col("way") == way, F.col("label"))).alias(way)
                 for way in ("fore", "back")])
-    raise RuntimeError(f"labels still move after {rounds} rounds; raise max_rounds")
 
 
-def import_cycles(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def import_cycles(edges: DataFrame) -> DataFrame:
     """Members of every import cycle: rows (repo_id, component, module).
 
     A cycle is a strongly connected component with two or more modules, or a module that imports
@@ -124,10 +130,8 @@ def import_cycles(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     components = edges.filter("src = dst").select(
         "repo_id", F.col("src").alias("component"), F.col("src").alias("module"))
     rest, counts = _measured_cut(_trim(edges.filter("src <> dst")), left=F.count(F.lit(1)))
-    for _ in range(max_rounds):
-        if counts["left"] == 0:
-            break
-        pairs = _smallest_reaching(rest, max_rounds)
+    while counts["left"]:
+        pairs = _smallest_reaching(rest)
         components = components.unionByName(pairs.filter("fore = back").select(
             "repo_id", F.col("fore").alias("component"), F.col("node").alias("module")))
         open_pairs = pairs.filter("fore <> back")
@@ -138,8 +142,6 @@ def import_cycles(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
         rest, counts = _measured_cut(
             rest.filter("src_pair = dst_pair").select("repo_id", "src", "dst"),
             left=F.count(F.lit(1)))
-    else:
-        raise RuntimeError(f"edges remain after {max_rounds} rounds; raise max_rounds")
     # Single modules count only when they import themselves.
     loops = edges.filter("src = dst").select("repo_id", F.col("src").alias("module"))
     components = components.distinct()

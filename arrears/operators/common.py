@@ -7,53 +7,44 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SPREAD = 32  # slices of a ranked group
-JOIN_SPREAD = 16  # copies of the small side of a salted join
 
 
-def salt(columns, buckets: int = JOIN_SPREAD) -> Column:
+def salt(columns, buckets: int) -> Column:
     """Deterministic bucket of a row, so that a recomputed task repeats its placement."""
     return F.pmod(F.xxhash64(*columns), F.lit(buckets)).cast("int")
 
 
-def top_per_group(df: DataFrame, keys: list[str], order: list[Column], limit: int, *,
+def top_per_group(df: DataFrame, keys: list[str], order: list[Column], limit: int | None, *,
                   rank: str = "row_number", position: str = "position") -> DataFrame:
-    """First ``limit`` ranks of every group, with their position.
+    """First ``limit`` ranks of every group, with their position; ``limit=None`` ranks all rows.
 
     A rank filter directly above a window lets Spark prune each group inside the map task, before
     the shuffle. What is left of a group - one set of leaders per map task - is ranked in two
     steps: first in slices of map tasks, then over the slices' leaders. So a group that holds most
     of the rows never meets in one task. A row that leads its group leads every slice it is in, so
-    slices may cut through ties.
+    slices may cut through ties. A position for every row is another question: it needs the whole
+    group in order.
     """
     function = getattr(F, rank)
-    if limit > 1:
-        df = df.withColumn("_slice", F.spark_partition_id() % SPREAD)
-        inner = Window.partitionBy(*keys, "_slice").orderBy(*order)
-        df = (df.withColumn("_inner", function().over(inner))
-              .filter(F.col("_inner") <= limit).drop("_inner", "_slice"))
+    outer = Window.partitionBy(*keys).orderBy(*order)
+    if limit is None:
+        return df.withColumn(position, function().over(outer).cast("long"))
+    df = df.withColumn("_slice", F.spark_partition_id() % SPREAD)
+    inner = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    df = (df.withColumn("_inner", function().over(inner))
+          .filter(F.col("_inner") <= limit).drop("_inner", "_slice"))
     outer = Window.partitionBy(*keys).orderBy(*order)
     ranked = df.withColumn(position, function().over(outer)).filter(F.col(position) <= limit)
     return ranked.withColumn(position, F.col(position).cast("long"))
 
 
-def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str,
-                spread_by: list[str], buckets: int = JOIN_SPREAD) -> DataFrame:
-    """Join whose left keys may be hot: left rows are spread, the small right side is repeated.
-
-    ``right`` must be the aggregated, much smaller side; it grows by ``buckets``.
-    """
-    repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
-    return left.withColumn("_salt", salt(spread_by, buckets)).join(
-        repeated, [*on, "_salt"], how).drop("_salt")
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; only a local session may fall back to one of its own."""
+    """The cluster's checkpoint folder; only a session without executors may make one of its own."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not context.master.startswith("local"):
+            if context.master != "local" and not context.master.startswith("local["):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="checkpoint-")
         context.setCheckpointDir(folder)

@@ -9,7 +9,7 @@ from arrears.functions.numeric import cents
 from arrears.functions.scoring import (
     business_impact, confidence, cvss_severity, vulnerability_hours,
 )
-from arrears.operators.common import keep_last, salted_join
+from arrears.operators.common import keep_last
 from arrears.operators.items import debt_items
 
 NPM_MANIFEST = ("struct<dependencies:map<string,string>,devDependencies:map<string,string>>")
@@ -97,8 +97,8 @@ def vulnerability_facts(records: DataFrame) -> DataFrame:
 
 
 def vulnerable_packages(packages: DataFrame, facts: DataFrame) -> DataFrame:
-    """Packages joined to advisories; popular packages are spread by repository."""
-    return salted_join(packages, facts, ["package", "version"], "inner", ["repo_id"])
+    """Packages joined to advisories."""
+    return packages.join(facts, ["package", "version"])
 
 
 def vulnerabilities(files: DataFrame, records: DataFrame) -> DataFrame:

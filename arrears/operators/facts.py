@@ -27,6 +27,8 @@ _ONE_POINT = {ast.If, ast.IfExp, ast.Assert}
 _ITERATIONS = {ast.For, ast.AsyncFor, ast.While}
 _TRIES = {ast.Try, ast.TryStar}
 _LEAVES = {ast.Name, ast.Constant, ast.Load, ast.Store, ast.alias}
+_CLOSE = object()
+_PIECE = 5_000  # facts per frame that leaves the worker
 _JUMPS = (ast.Return, ast.Raise, ast.Continue, ast.Break)
 
 
@@ -70,13 +72,34 @@ def _measured(tree) -> set:
     return found
 
 
+def _fingerprint(body: list) -> str:
+    """Digest of the structure of statements, without positions; any nesting depth."""
+    digest, pending = hashlib.sha256(), [body]
+    while pending:
+        item = pending.pop()
+        if isinstance(item, ast.AST):
+            digest.update(f"({type(item).__name__}".encode())
+            pending.append(_CLOSE)
+            pending.extend(getattr(item, name, None) for name in reversed(item._fields))
+        elif isinstance(item, list):
+            digest.update(b"[")
+            pending.append(_CLOSE)
+            pending.extend(reversed(item))
+        elif item is _CLOSE:
+            digest.update(b")")
+        else:
+            # Numbers of any length; repr refuses very long ones.
+            shown = f"{item:x}" if type(item) is int else repr(item)
+            digest.update(f"{type(item).__name__} {shown};".encode("utf-8", "surrogatepass"))
+    return digest.hexdigest()
+
+
 def _function_fact(node, measured):
-    body = ast.dump(ast.Module(body=node.body, type_ignores=[]), annotate_fields=False)
     mutable = any(isinstance(d, (ast.List, ast.Dict, ast.Set)) for d in node.args.defaults)
     return dict(kind="function", name=node.name, line=node.lineno,
                 n1=1 + _decisions(node.body) if node in measured else None, n2=len(node.body),
                 flag=ast.get_docstring(node) is not None, group_ord=int(mutable),
-                text=hashlib.sha256(body.encode()).hexdigest())
+                text=_fingerprint(node.body))
 
 
 def _loop_facts(loop, number):
@@ -98,10 +121,11 @@ def _loop_facts(loop, number):
 
 
 def _file_facts(source: str):
-    """Fact rows of one parsed file; a file that does not parse yields nothing."""
+    """Fact rows of one parsed file; a file that does not parse yields that it does not."""
     try:
         tree = ast.parse(source)
-    except (SyntaxError, ValueError, MemoryError):
+    except (SyntaxError, ValueError, MemoryError, RecursionError) as error:
+        yield dict(kind="parse_error", name=type(error).__name__)
         return
     measured = _measured(tree)
     functions = has_try = 0
@@ -146,21 +170,27 @@ def _word_fact(source: str) -> dict:
     return dict(kind="words", n1=len(words), n2=sum(w in _GENERIC for w in words))
 
 
-def _safe_facts(source: str) -> list:
-    """All facts of a file; only its words when it does not parse or is nested too deeply to walk."""
-    try:
-        return [_word_fact(source), *_file_facts(source)]
-    except RecursionError:
-        return [_word_fact(source)]
+def _all_facts(source: str | None):
+    """All facts of a file; a file without text is counted as one that does not parse."""
+    if source is None:
+        yield dict(kind="parse_error", name="null")
+        return
+    yield _word_fact(source)
+    yield from _file_facts(source)
 
 
 def _parse(batches):
     columns = [part.split()[0] for part in FACTS.split(", ")]
     for batch in batches:
-        rows = [{"repo_id": repo, "path": path, **fact}
-                for repo, path, text in batch.itertuples(index=False)
-                for fact in _safe_facts(text)]
-        yield pd.DataFrame(rows, columns=columns, dtype=object)
+        rows = []
+        for repo, path, text in batch.itertuples(index=False):
+            for fact in _all_facts(text):
+                rows.append({"repo_id": repo, "path": path, **fact})
+                if len(rows) >= _PIECE:
+                    yield pd.DataFrame(rows, columns=columns, dtype=object)
+                    rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=columns, dtype=object)
 
 
 def python_facts(source_files: DataFrame) -> DataFrame:

@@ -122,8 +122,8 @@ def roadmap_bucket() -> Column:
 
 
 def roadmap(findings: DataFrame, keys: tuple[str, ...] = ("repo_id",), *,
-            limit: int = C.ROADMAP_LIMIT, ties: tuple[str, ...] = FINDING_TIES) -> DataFrame:
-    """First findings of each bucket in finding order, with their position."""
+            limit: int | None = None, ties: tuple[str, ...] = FINDING_TIES) -> DataFrame:
+    """Findings of each bucket in finding order, with their position; all, or the first ``limit``."""
     title = F.concat(title_label(F.col("category")), F.lit(" in "), F.col("file_path"))
     bucketed = findings.withColumn("bucket", roadmap_bucket())
     top = top_per_group(bucketed, [*keys, "bucket"], finding_order(*ties), limit)
@@ -145,7 +145,7 @@ def category_costs(items: DataFrame, keys: tuple[str, ...] = ("repo_id",)) -> Da
         F.lit(0).cast("decimal(28,2)").alias("cost_usd"), F.lit(0).cast("decimal(28,6)").alias("hours"),
         F.lit(0).cast("long").alias("item_count"))
     return totals.unionByName(empty).groupBy(*keys, "category").agg(
-        sum_cents("cost_usd"), places(F.sum("hours"), 2, wide=True).alias("hours"),
+        sum_cents("cost_usd"), places(F.sum("hours"), 2).alias("hours"),
         F.sum("item_count").alias("item_count"))
 
 
@@ -158,7 +158,7 @@ def category_report(categories: DataFrame, totals: DataFrame,
 
     def share(whole):
         return F.when(F.col(whole) != 0, places(
-            F.col("cost_usd").cast("double") / F.col(whole).cast("double") * 100, 1, wide=True)
+            F.col("cost_usd").cast("double") / F.col(whole).cast("double") * 100, 1)
         ).otherwise(F.lit(0).cast("decimal(18,1)"))
 
     return (joined.withColumn("label", title_label(F.col("category")))
@@ -193,8 +193,8 @@ def repo_totals(items: DataFrame, repos: DataFrame) -> DataFrame:
     sanity = sanity_columns(col("_cost"), col("functions"), col("benchmark"))
     return joined.select(
         "repo_id", col("functions").alias("functions_analyzed"), "issues_found", "baseline_cost",
-        cents(col("_cost"), wide=True).alias("total_cost_usd"),
-        cents(col("_hours"), wide=True).alias("total_hours"),
-        cents(col("_hours") / C.HOURS_PER_SPRINT, wide=True).alias("total_sprints"),
+        cents(col("_cost")).alias("total_cost_usd"),
+        cents(col("_hours")).alias("total_hours"),
+        cents(col("_hours") / C.HOURS_PER_SPRINT).alias("total_sprints"),
         debt_score(col("_cost"), col("functions"), col("benchmark")).alias("debt_score"),
         *[value.alias(name) for name, value in sanity.items()])

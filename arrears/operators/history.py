@@ -9,10 +9,16 @@ from arrears.functions.scoring import ownership_risk, repo_multipliers
 from arrears.operators.common import top_per_group
 
 
-def first_commits(commit_files: DataFrame, limit: int) -> DataFrame:
-    """All rows of the ``limit`` oldest commits of every repository."""
-    return top_per_group(commit_files, ["repo_id"], [F.col("commit_seq")], limit,
-                         rank="dense_rank").drop("position")
+def first_commits(commit_files: DataFrame, limit: int | None = None) -> DataFrame:
+    """All rows of the ``limit`` oldest commits of every repository; without a limit, everything.
+
+    Commits are ranked without their files: two narrow columns, one row per commit.
+    """
+    if limit is None:
+        return commit_files
+    commits = commit_files.select("repo_id", "commit_seq").distinct()
+    first = top_per_group(commits, ["repo_id"], [F.col("commit_seq")], limit).drop("position")
+    return commit_files.join(first, ["repo_id", "commit_seq"], "left_semi")
 
 
 def changed_files(commit_files: DataFrame) -> DataFrame:
@@ -23,8 +29,8 @@ def changed_files(commit_files: DataFrame) -> DataFrame:
             .withColumn("path", paths.normalize_repo_path(F.col("path"))))
 
 
-def hotspots(commit_files: DataFrame, max_commits: int = 50) -> DataFrame:
-    """Change count, distinct authors and last change per file over the oldest commits.
+def hotspots(commit_files: DataFrame, max_commits: int | None = None) -> DataFrame:
+    """Change count, distinct authors and last change per file, over all or the oldest commits.
 
     The distinct author count aggregates by (path, author) before path, so one file that holds most
     changes is reduced on many tasks.
@@ -86,7 +92,7 @@ def concentration(counts: DataFrame, keys: list[str], carry_latest: bool = False
         .drop("_top"))
 
 
-def _identified(commit_files: DataFrame, max_commits: int) -> DataFrame:
+def _identified(commit_files: DataFrame, max_commits: int | None) -> DataFrame:
     author = F.lower(F.trim(F.coalesce("author_email", F.lit(""))))
     return first_commits(commit_files, max_commits).withColumn("author", author)
 
@@ -96,14 +102,14 @@ def _with_risk(profile: DataFrame) -> DataFrame:
         F.col("owner_count"), F.col("top_contributor_share"), F.col("total_changes")))
 
 
-def file_ownership(commit_files: DataFrame, max_commits: int = 250) -> DataFrame:
+def file_ownership(commit_files: DataFrame, max_commits: int | None = None) -> DataFrame:
     changes = changed_files(_identified(commit_files, max_commits).filter("author <> ''"))
     counts = changes.groupBy("repo_id", "path", "author").agg(
         F.count("*").alias("changes"), *_latest("commit_seq", "author_date"))
     return _with_risk(concentration(counts, ["repo_id", "path"], carry_latest=True)).drop("last_seq")
 
 
-def module_ownership(commit_files: DataFrame, max_commits: int = 250) -> DataFrame:
+def module_ownership(commit_files: DataFrame, max_commits: int | None = None) -> DataFrame:
     """Every commit counts a touched file once for its folder."""
     changes = changed_files(_identified(commit_files, max_commits).filter("author <> ''"))
     touched = changes.select("repo_id", "commit_seq", "path", "author").distinct()
@@ -125,7 +131,7 @@ def hotspot_order() -> list[Column]:
 
 
 def ownership_summary(commit_files: DataFrame, files: DataFrame, hotspot_paths: DataFrame,
-                      as_of, max_commits: int = 250) -> DataFrame:
+                      as_of, max_commits: int | None = None) -> DataFrame:
     """One row per repository: sample size, contributors, bus factor, siloed and handed-over hotspots."""
     cutoff = F.lit(as_of).cast("timestamp") - F.expr("INTERVAL 90 DAYS")
     commits = (_identified(commit_files, max_commits)

@@ -82,8 +82,8 @@ def role_of_years(years: Column) -> Column:
 
 
 def survey_rates(survey: DataFrame, country: str = "United States of America",
-                 first_rows: int | None = 9999, minimum: int = 50) -> DataFrame:
-    """Mean hourly pay per role from the leading survey rows; ``first_rows=None`` takes them all.
+                 first_rows: int | None = None, minimum: int = 50) -> DataFrame:
+    """Mean hourly pay per role from the survey, or from its leading ``first_rows`` rows.
 
     ``survey``: seq (1-based row of the file), country, compensation, years.
     """
@@ -183,7 +183,7 @@ def language_benchmarks(snippets: DataFrame) -> DataFrame:
     """
     def total(values):
         return F.aggregate(values, F.lit(0).cast("decimal(28,4)"),
-                           lambda acc, v: (acc + v.cast("decimal(18,4)")).cast("decimal(28,4)"))
+                           lambda acc, v: (acc + F.coalesce(v.try_cast("decimal(18,4)"), F.lit(0))).cast("decimal(28,4)"))
 
     body = F.col("body")
     days, ratios = text.day_figures(body), text.percent_figures(body, 1, 50)

@@ -18,7 +18,7 @@ def roi_projection(scans: DataFrame, months: int = 12) -> DataFrame:
     """Cumulative savings for each of the next months beside the fix cost."""
     annual = F.col("annual_maintenance_savings").cast("double")
     return with_roi(scans).withColumn("month", F.explode(F.sequence(F.lit(1), F.lit(months)))).select(
-        "scan_id", "month", places(annual / 12 * F.col("month"), 0, wide=True).alias("savings"),
+        "scan_id", "month", places(annual / 12 * F.col("month"), 0).alias("savings"),
         F.col("total_fix_cost").alias("fix_cost"))
 
 

@@ -7,7 +7,6 @@ from arrears import constants as C
 from arrears.functions import paths
 from arrears.functions.numeric import places
 from arrears.functions.scoring import complexity_severity, confidence
-from arrears.operators.common import salted_join
 from arrears.operators.facts import scanned
 from arrears.operators.items import debt_items, hours_from_minutes
 
@@ -123,7 +122,7 @@ def duplicate_occurrences(fragments: DataFrame, fingerprint: str = "fingerprint"
     quadratic in the copies.
     """
     groups = duplicate_groups(fragments, fingerprint)
-    return salted_join(fragments, groups, ["repo_id", fingerprint], "inner", ["path", "line"])
+    return fragments.join(groups, ["repo_id", fingerprint])
 
 
 def duplication_effort(copies):

@@ -42,6 +42,11 @@ def scan_pairs(scans: DataFrame, user_id=None) -> DataFrame:
         *[at(2, name).alias(f"previous_{name}") for name in figures])
 
 
+def of_scans(rows: DataFrame, scans: DataFrame) -> DataFrame:
+    """Rows of the given scans only; applied before any aggregation, so old scans are never rolled up."""
+    return rows.join(scans.select("scan_id").distinct(), "scan_id", "left_semi")
+
+
 # --- triage ---------------------------------------------------------------------------------------
 
 FINDING_KEY = ["scan_id", "finding_key"]
@@ -62,11 +67,12 @@ def derived_status(findings: DataFrame, suppressions: DataFrame, feedback: DataF
 
 
 def with_triage(findings: DataFrame, suppressions: DataFrame, feedback: DataFrame) -> DataFrame:
-    """Findings with suppression and feedback state.
+    """Findings with the status their events give them, and their suppression and feedback state.
 
     The events of a finding are counted, not collected: a list per finding has no bound, and the
     event tables already hold the rows in long form.
     """
+    findings = derived_status(findings, suppressions, feedback)
     muted = suppressions.groupBy(*FINDING_KEY).agg(
         F.max("active").alias("suppressed"), F.count("*").alias("suppression_count"),
         F.max_by("reason", F.struct("created_at", "reason")).alias("last_reason"))
@@ -77,6 +83,27 @@ def with_triage(findings: DataFrame, suppressions: DataFrame, feedback: DataFram
             .fillna({"suppressed": False, "suppression_count": 0, "feedback_count": 0}))
 
 
+def triage_rows(findings: DataFrame, suppressions: DataFrame, feedback: DataFrame) -> DataFrame:
+    """Every suppression and feedback of a finding as a row of its own."""
+    events = suppressions.select(*FINDING_KEY, F.lit("suppression").alias("kind"), F.col("reason").alias("detail"), "created_at")
+    events = events.unionByName(feedback.select(*FINDING_KEY, F.lit("feedback").alias("kind"),
+                                                F.col("feedback_type").alias("detail"), "created_at"))
+    return findings.join(events, FINDING_KEY)
+
+
+OWNER_DOCUMENT = "array<struct<id:string,owner_count:bigint,top_contributor_share:double,ownership_risk:string>>"
+
+
+def with_payload_owners(findings: DataFrame, scans: DataFrame) -> DataFrame:
+    """Findings with the owner columns their scan's payload holds, for scans stored without them."""
+    listed = F.from_json(payload_analysis(F.col("payload"), "findings"), OWNER_DOCUMENT)
+    rows = scans.select("scan_id", F.explode(listed).alias("o"))
+    owners = rows.groupBy("scan_id", F.col("o.id").alias("finding_key")).agg(*[
+        F.max(f"o.{name}").alias(name) for name in ("owner_count", "top_contributor_share", "ownership_risk")])
+    kept = findings.drop("owner_count", "top_contributor_share", "ownership_risk")
+    return kept.join(owners, FINDING_KEY, "left")
+
+
 def unresolved() -> Column:
     return (F.col("status") == "open") & ~F.col("suppressed")
 
@@ -171,7 +198,7 @@ def compare_summary(pairs: DataFrame, finding_counts: DataFrame) -> DataFrame:
     def delta(name):
         change = (F.coalesce(F.col(f"latest_{name}"), F.lit(0)).cast("double")
                   - F.coalesce(F.col(f"previous_{name}"), F.lit(0)).cast("double"))
-        return places(change, 2, wide=True)
+        return places(change, 2)
 
     return joined.select(
         "repo_id", "latest_scan_id", "previous_scan_id",
@@ -182,21 +209,12 @@ def compare_summary(pairs: DataFrame, finding_counts: DataFrame) -> DataFrame:
         .alias("finding_count_delta"))
 
 
-def change_rollup(changes: DataFrame, cap: int | None = None) -> DataFrame:
-    """Count and cost of new, existing and resolved findings per repository.
-
-    Counts are complete. ``cap`` limits new and resolved to the first ``cap`` findings of the
-    scan, the listing limit of the dashboards.
-    """
+def change_rollup(changes: DataFrame) -> DataFrame:
+    """Count and cost of new, existing and resolved findings per repository, over all of them."""
     state = (F.when(F.col("change") == "added", "new").when(F.col("change") == "removed", "resolved")
              .otherwise("existing"))
     rows = changes.withColumn("state", state).withColumn(
-        "cost", F.coalesce("latest_cost_usd", "previous_cost_usd")).withColumn(
-        "seq", F.coalesce("latest_seq", "previous_seq"))
-    if cap is not None:
-        rows = top_per_group(rows.filter("state <> 'existing'"), ["repo_id", "state"],
-                             [F.col("seq")], cap).drop("position").unionByName(
-            rows.filter("state = 'existing'"))
+        "cost", F.coalesce("latest_cost_usd", "previous_cost_usd"))
     return rows.groupBy("repo_id", "state").agg(F.count("*").alias("findings"),
                                                 sum_cents("cost", "cost_usd"))
 
@@ -216,6 +234,20 @@ def first_scan_rollup(pairs: DataFrame, findings: DataFrame) -> DataFrame:
         F.lit("new").alias("state"), F.count("*").alias("findings"), sum_cents("cost_usd"))
 
 
+def whole_change_rollup(pairs: DataFrame, findings: DataFrame) -> DataFrame:
+    """New, existing and resolved findings of every repository; with a first scan all are new."""
+    both = compare(pairs.filter("previous_scan_id IS NOT NULL"), findings)
+    return change_rollup(both).unionByName(first_scan_rollup(pairs, findings))
+
+
+def change_lists(changes: DataFrame, limit: int) -> DataFrame:
+    """First findings of each kind of change per repository, in scan order."""
+    kind = F.when(F.col("change") != "common", F.col("change")).otherwise(F.col("severity_change"))
+    rows = changes.withColumn("kind", kind).filter("kind IS NOT NULL").withColumn(
+        "seq", F.coalesce("latest_seq", "previous_seq"))
+    return top_per_group(rows, ["repo_id", "kind"], [F.col("seq")], limit)
+
+
 def category_deltas(changes: DataFrame) -> DataFrame:
     """New, resolved and net findings per category."""
     category = F.coalesce("latest_category", "previous_category", F.lit("unknown"))
@@ -241,7 +273,7 @@ def debt_trend(scans: DataFrame, limit: int = 20, user_id=None) -> DataFrame:
     change = F.when((F.col("total_scans") < 2) | (F.col("previous_cost") == 0), F.lit(0.0)).otherwise(
         (F.col("latest_cost") - F.col("previous_cost")) / F.col("previous_cost") * 100)
     return ends.select(
-        "repo_id", places(change, 1, wide=True).alias("change_pct"),
+        "repo_id", places(change, 1).alias("change_pct"),
         F.when(change > 2, "up").when(change < -2, "down").otherwise("stable").alias("direction"),
         "total_scans", "first_scan_cost", "latest_cost")
 
@@ -264,7 +296,7 @@ def scan_category_trend(recent: DataFrame, findings: DataFrame) -> DataFrame:
 
 def active_trend(recent: DataFrame, findings: DataFrame) -> DataFrame:
     """Open, unsuppressed findings and their cost per scan; scans without any count zero."""
-    active = findings.filter(unresolved()).groupBy("scan_id").agg(
+    active = of_scans(findings, recent).filter(unresolved()).groupBy("scan_id").agg(
         F.count("*").alias("active_finding_count"), sum_cents("cost_usd", "active_cost_usd"))
     return (recent.select("repo_id", "scan_id", "created_at").join(active, "scan_id", "left")
             .withColumn("active_finding_count", F.coalesce("active_finding_count", F.lit(0)))
@@ -297,9 +329,9 @@ def rich_trend(recent: DataFrame, findings: DataFrame, modules: DataFrame,
                roadmap: DataFrame) -> DataFrame:
     """Headline figures with finding, module and roadmap counts per scan of a history."""
     base = trend_points(recent)
-    counts = findings.groupBy("scan_id").agg(F.count("*").alias("finding_count"))
-    areas = modules.groupBy("scan_id").agg(F.count("*").alias("module_count"))
-    plan = roadmap.groupBy("scan_id").agg(
+    counts = of_scans(findings, recent).groupBy("scan_id").agg(F.count("*").alias("finding_count"))
+    areas = of_scans(modules, recent).groupBy("scan_id").agg(F.count("*").alias("module_count"))
+    plan = of_scans(roadmap, recent).groupBy("scan_id").agg(
         F.count_if(F.col("bucket") == "quick_wins").alias("quick_wins"),
         F.count_if(F.col("bucket") == "strategic").alias("strategic_items"))
     joined = base
@@ -313,6 +345,8 @@ def rich_trend(recent: DataFrame, findings: DataFrame, modules: DataFrame,
 def with_urls(scans: DataFrame, repositories: DataFrame) -> DataFrame:
     """Scan address: the payload's own, else the repository's, else empty."""
     urls = repositories.select("repo_id", F.col("github_url").alias("repository_url"))
+    if "payload_url" not in scans.columns:   # a saved scan keeps it in its payload
+        scans = scans.withColumn("payload_url", F.get_json_object("payload", "$.github_url"))
     joined = scans.join(urls, "repo_id", "left")
     return joined.withColumn("url", F.coalesce(
         F.nullif("payload_url", F.lit("")), F.nullif("repository_url", F.lit("")), F.lit("")))
@@ -325,13 +359,15 @@ def portfolio(scans: DataFrame, repositories: DataFrame, categories: DataFrame,
     Scans are reduced to the newest per (user, repository, own address) before the join with
     repositories, so a repository with very many scans is joined once per address.
     """
+    if "payload_url" not in scans.columns:
+        scans = scans.withColumn("payload_url", F.get_json_object("payload", "$.github_url"))
     done = complete(scans, user_id)
     newest = top_per_group(done, ["user_id", "repo_id", "payload_url"], newest_first(), 1).drop("position")
     keyed = with_urls(newest, repositories).withColumn(
         "key", F.when(F.col("url") != "", paths.repo_key(F.col("url"))).otherwise(F.col("repo_id")))
     latest = top_per_group(keyed, ["user_id", "key"], newest_first(), 1).drop("position")
     score = F.coalesce(F.col("debt_score").cast("double"), F.lit(0.0))
-    top = top_category(categories)
+    top = top_category(of_scans(categories, latest))
     return latest.join(top, "scan_id", "left").select(
         "user_id", F.col("key").alias("repo_key"), "scan_id",
         F.when(F.col("url").startswith("http"), F.col("url"))
@@ -387,9 +423,9 @@ def repository_list(repositories: DataFrame, scans: DataFrame) -> DataFrame:
             .fillna(0, ["total_scans"]))
 
 
-def recently_scanned(listed: DataFrame, limit: int) -> DataFrame:
-    """Most recently scanned repositories; those never scanned come last."""
-    return listed.orderBy(F.col("last_scanned").desc_nulls_last(), "repo_id").limit(limit)
+def recently_scanned(listed: DataFrame) -> DataFrame:
+    """Repositories, the most recently scanned first; those never scanned come last."""
+    return listed.orderBy(F.col("last_scanned").desc_nulls_last(), "repo_id")
 
 
 PORTFOLIO_SORTS = ("debt_score", "total_cost", "scanned_at")
@@ -408,6 +444,11 @@ def scan_by_id(scans: DataFrame, scan_id, user_id=None) -> DataFrame:
     return found if user_id is None else found.filter(F.col("user_id") == user_id)
 
 
+def scan_by_job(scans: DataFrame, job_id, user_id=None) -> DataFrame:
+    found = scans.filter(F.col("job_id") == job_id)
+    return found if user_id is None else found.filter(F.col("user_id") == user_id)
+
+
 def scan_summary(scans: DataFrame) -> DataFrame:
     """Headline fields of scans; the free summary comes from the stored payload."""
     return scans.select(
@@ -433,9 +474,9 @@ def summary_rollup(scans: DataFrame, findings: DataFrame, modules: DataFrame,
                    roadmap: DataFrame) -> DataFrame:
     """High-level figures of the latest scan of every repository."""
     latest = latest_scans(scans)
-    stats = triage_stats(findings, ["scan_id"])
-    areas = modules.groupBy("scan_id").agg(F.count("*").alias("module_count"))
-    plan = roadmap.groupBy("scan_id").agg(
+    stats = triage_stats(of_scans(findings, latest), ["scan_id"])
+    areas = of_scans(modules, latest).groupBy("scan_id").agg(F.count("*").alias("module_count"))
+    plan = of_scans(roadmap, latest).groupBy("scan_id").agg(
         F.count_if(F.col("bucket") == "quick_wins").alias("quick_wins"),
         F.count_if(F.col("bucket") == "strategic").alias("strategic_items"))
     joined = latest.select("repo_id", "scan_id", "total_cost_usd", "debt_score", "total_hours")

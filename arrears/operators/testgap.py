@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from arrears import constants as C
 from arrears.functions import paths
 from arrears.functions.scoring import confidence
-from arrears.operators.common import salted_join
 from arrears.operators.items import debt_items
 
 _TEST_SUFFIX = r"(?:_test\.py|\.(?:test|spec)\.(?:tsx|ts|js))$"
@@ -47,9 +46,9 @@ def untested_sources(files: DataFrame) -> DataFrame:
     """Source files (repo_id, path) no test of the same repository covers."""
     path = F.col("path")
     kept = files.filter(~paths.under_skip_dir(path)).select("repo_id", "path")
-    stems = tested_stems(kept.filter(paths.is_test_path(path)))
     sources = kept.filter(paths.is_source_path(path)).withColumn("stem", F.lower(paths.stem(path)))
-    return salted_join(sources, stems, ["repo_id", "stem"], "left_anti", ["path"]).drop("stem")
+    stems = tested_stems(kept.filter(paths.is_test_path(path)))
+    return sources.join(stems, ["repo_id", "stem"], "left_anti").drop("stem")
 
 
 def flag_hotspots(sources: DataFrame, hotspot_paths: DataFrame) -> DataFrame:

@@ -65,10 +65,7 @@ def architecture_items(parsed: DataFrame, source_files: DataFrame,
                        cycles: bool = True) -> DataFrame:
     modules = architecture.known_modules(source_files)
     edges = architecture.local_imports(architecture.import_rows(parsed), modules)
-    files = parsed.filter("kind = 'file'").select(
-        "repo_id", "path", architecture.python_module(F.col("path")).alias("module"))
-    items = union_items(architecture.oversized_modules(parsed),
-                        architecture.high_fanout(edges, files))
+    items = union_items(architecture.oversized_modules(parsed), architecture.high_fanout(edges))
     if cycles:
         items = items.unionByName(
             architecture.cyclic_dependencies(architecture.import_cycles(edges)))
@@ -105,8 +102,8 @@ def collect_items(inputs: Inputs, parsed: DataFrame, hotspots: DataFrame, functi
 def estimate(inputs: Inputs, cycles: bool = True) -> Estimate:
     """Findings, modules, roadmap, category costs and totals of every repository.
 
-    Four results that several later steps read are written on the way: the parsed facts, the
-    hotspots, the risky files and the priced items. The rest stays lazy.
+    Results that several later steps read are written on the way: the parsed facts, the hotspots, the
+    risky files, the priced items, ownership, findings and modules. The rest stays lazy.
     """
     parsed = python.staged_facts(inputs.source_files)
     functions = smells.measured_functions(parsed)
@@ -114,11 +111,11 @@ def estimate(inputs: Inputs, cycles: bool = True) -> Estimate:
     repos = (inputs.source_files.select("repo_id").distinct())
     settings = _settings(repos, inputs.settings)
     items = stage(collect_items(inputs, parsed, hotspots, functions, settings, cycles))
-    ownership = history.file_ownership(inputs.commit_files)
+    ownership = stage(history.file_ownership(inputs.commit_files))
     owned = findings.with_file_owners(items, ownership)
-    found = findings.normalize_findings(owned)
-    modules = findings.with_module_owners(
-        findings.summarize_modules(found), history.module_ownership(inputs.commit_files))
+    found = stage(findings.normalize_findings(owned))
+    modules = stage(findings.with_module_owners(
+        findings.summarize_modules(found), history.module_ownership(inputs.commit_files)))
     counts = functions.groupBy("repo_id").agg(F.count("*").alias("functions"))
     base = settings.join(counts, "repo_id", "left").fillna({"functions": 0}).withColumn(
         "rate", F.col("base_rate"))
@@ -141,25 +138,42 @@ def with_baseline(categories: DataFrame, repos: DataFrame) -> DataFrame:
         extra = F.when(applies, F.coalesce(extra, F.lit(0.0))).otherwise(F.lit(0.0))
         return F.col(column).cast("double") + extra
 
-    return joined.withColumn("cost_usd", cents(plus("cost_usd", F.col("_cost")), wide=True)
-                             ).withColumn("hours", places(plus("hours", F.col("_hours")), 2, wide=True)
+    return joined.withColumn("cost_usd", cents(plus("cost_usd", F.col("_cost")))
+                             ).withColumn("hours", places(plus("hours", F.col("_hours")), 2)
                                           ).drop("_hours", "_cost")
 
 
-def save(result: Estimate, root: str, batch_id: str, created_at, user_id: str | None = None) -> None:
+def _payload(result: Estimate) -> DataFrame:
+    """The stored document of each repository: its analysis, as readers of the store expect it."""
+    costs = result.categories.groupBy("repo_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(
+        "category", F.struct(F.col("cost_usd").cast("double").alias("cost_usd"), F.col("hours").cast("double").alias("hours"),
+                             F.col("item_count")))))).alias("cost_by_category"))   # at most one entry per category
+    checks = [c for c in result.totals.columns if c in ("cost_per_function", "industry_benchmark", "variance_pct", "assessment")]
+    known = result.totals.select("repo_id", F.struct(*[F.col(c).cast("string").alias(c) for c in checks]).alias("sanity_check")
+                                 if checks else F.lit(None).alias("sanity_check"))
+    return known.join(costs, "repo_id", "left").select("repo_id", F.to_json(F.struct(
+        F.struct("cost_by_category", "sanity_check").alias("raw_analysis"))).alias("payload"))
+
+
+def save(result: Estimate, root: str, batch_id: str, created_at, user_id: str | None = None,
+         repositories: DataFrame | None = None) -> None:
     """Write an estimate to the scan store as one complete scan per repository.
 
     Scan ids follow from repository and batch, so a repeated save replaces the same rows.
+    ``repositories`` (repo_id, github_url) adds addresses to the stored ones.
     """
     scan_id = F.substring(F.sha1(F.concat_ws("|", "repo_id", F.lit(batch_id))), 1, 12)
 
     def keyed(df: DataFrame) -> DataFrame:
         return df.withColumn("scan_id", scan_id)
 
-    scans = keyed(result.totals).select(
-        "repo_id", "scan_id", F.lit(batch_id).alias("job_id"), F.lit(user_id).alias("user_id"),
-        F.lit(created_at).cast("timestamp").alias("created_at"), F.lit("complete").alias("status"),
-        "total_cost_usd", "debt_score", "total_hours", "total_sprints")
+    scans = keyed(result.totals.join(_payload(result), "repo_id", "left")).withColumns({
+        "job_id": F.lit(batch_id), "user_id": F.lit(user_id), "created_at": F.lit(created_at).cast("timestamp"),
+        "status": F.lit("complete")})
     found = keyed(result.findings).withColumn("finding_key", F.col("id"))
     scan_store.save_scan(root, batch_id, scans, keyed(result.items), found, keyed(result.modules),
                          keyed(result.roadmap))
+    if repositories is not None:
+        seen = repositories.withColumns({"repo_name": F.element_at(F.split("github_url", "/"), -1),
+                                         "last_scanned_at": F.lit(created_at).cast("timestamp"), "user_id": F.lit(user_id)})
+        scan_store.write_batch(seen, root, "repositories", batch_id)

@@ -30,3 +30,29 @@ FEEDBACK = ("repo_id string, scan_id string, finding_key string, feedback_type s
             "severity_override string, notes string, created_by string, created_at timestamp")
 REPOSITORIES = ("repo_id string, github_url string, repo_name string, repo_owner string, "
                 "language string, last_scanned_at timestamp, user_id string")
+
+#: Stored tables. ``seq`` rises in finding order within a scan.
+STORE = {
+    "scans": SCANS,
+    "debt_items": (
+        "repo_id string, scan_id string, step int, file string, category string, severity string, type string, "
+        "function string, line int, remediation_hours decimal(18,6), cost_usd decimal(18,2), confidence decimal(18,2), "
+        "business_impact string, complexity int, change_count long, detail string"),
+    "findings": (
+        "repo_id string, scan_id string, finding_key string, seq long, file_path string, module string, category string, "
+        "subcategory string, symbol_name string, line_start int, line_end int, severity string, business_impact string, "
+        "effort_hours decimal(18,2), cost_usd decimal(18,2), confidence decimal(18,2), source_tool string, status string, "
+        "evidence array<struct<source:string,summary:string>>, owner_count long, top_contributor_share decimal(18,2), "
+        "ownership_risk string"),
+    "module_summaries": (
+        "repo_id string, scan_id string, module string, finding_count long, total_cost_usd decimal(28,2), "
+        "total_effort_hours decimal(28,2), max_severity string, avg_confidence decimal(18,2), owner_count long, "
+        "top_contributor_share decimal(18,2), ownership_risk string"),
+    "roadmap_items": (
+        "repo_id string, scan_id string, bucket string, position long, finding_id string, title string, file_path string, "
+        "module string, severity string, business_impact string, effort_hours decimal(18,2), cost_usd decimal(18,2), "
+        "confidence decimal(18,2)"),
+    "repositories": REPOSITORIES,
+    "suppressions": SUPPRESSIONS,
+    "feedback": FEEDBACK,
+}

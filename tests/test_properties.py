@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from arrears.operators import architecture, history, rates, testgap
-from arrears.operators.common import keep_last, salted_join, top_per_group
+from arrears.operators.common import keep_last, top_per_group
 
 
 def test_bus_factor_matches_ranking(spark):
@@ -92,6 +92,12 @@ def test_cycles_of_long_chains(spark):
         f"n{i:02d}" for i in range(20)}
 
 
+def test_a_ring_of_any_length_is_one_cycle(spark):
+    ring = spark.range(2000).selectExpr("'r' AS repo_id", "'n' || id AS src", "'n' || ((id + 1) % 2000) AS dst")
+    found = architecture.import_cycles(ring)
+    assert found.count() == 2000 and found.select("component").distinct().count() == 1
+
+
 def test_upper_median(spark):
     rng = random.Random(4)
     rows = [(f"k{k}", round(rng.uniform(0, 5000), 2)) for k in range(20)
@@ -108,25 +114,20 @@ def test_top_per_group_splits_hot_groups(spark):
         F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("k"),
         (F.col("id") * 7919 % 20011).alias("v"), "id")
     order = [F.col("v").desc(), F.col("id")]
-    plain = top_per_group(df, ["k"], order, 5).select("k", "id", "position")
-    split = top_per_group(df, ["k"], order, 5).select("k", "id", "position")
-    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, split.collect()))
-    plan = split._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan
-    ranked = df.withColumn("v", F.col("v") % 100)
-    dense = top_per_group(ranked, ["k"], [F.col("v")], 3, rank="dense_rank")
-    want = top_per_group(ranked, ["k"], [F.col("v")], 3, rank="dense_rank")
-    assert dense.count() == want.count()
-
-
-def test_salted_join_equals_join(spark):
-    left = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 40).alias("k"),
-                                    F.col("id").alias("v"))
-    right = spark.range(0, 60, 3).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
-    for how in ("inner", "left", "left_semi", "left_anti"):
-        a = left.join(right, "k", how)
-        b = salted_join(left, right, ["k"], how, ["v"]).select(*a.columns)
-        assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    rows = [tuple(r) for r in df.collect()]
+    groups = {}
+    for k, v, i in sorted(rows, key=lambda r: (r[0], -r[1], r[2])):
+        groups.setdefault(k, []).append(i)
+    for limit in (1, 5, 1500, None):
+        got = top_per_group(df, ["k"], order, limit)
+        assert sorted((r["k"], r["position"], r["id"]) for r in got.collect()) == sorted(
+            (k, n, i) for k, ids in groups.items() for n, i in enumerate(ids[:limit], 1))
+    assert "WindowGroupLimit" in top_per_group(df, ["k"], order, 5)._jdf.queryExecution().executedPlan().toString()
+    dense = top_per_group(df.withColumn("v", F.col("v") % 100), ["k"], [F.col("v")], 3, rank="dense_rank")
+    least = {}
+    for k, v, i in rows:
+        least.setdefault(k, set()).add(v % 100)
+    assert sorted(r["id"] for r in dense.collect()) == sorted(i for k, v, i in rows if v % 100 in sorted(least[k])[:3])
 
 
 def test_keep_last(spark):

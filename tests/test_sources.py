@@ -52,7 +52,10 @@ def test_store_round_trip_is_idempotent(spark, tmp_path):
     one = scan_store.read_table(spark, root, "scans", "r3")
     assert one.count() == 8
     plan = one._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(repo_bucket" in plan
+    assert "EqualTo(repo_id,r3)" in plan
+    scan_store.write_batch(scans.filter("repo_id = 'r1'"), root, "scans", "b1")   # a smaller rerun leaves nothing behind
+    assert scan_store.read_table(spark, root, "scans").count() == 24
+    scan_store.write_batch(scans, root, "scans", "b1")
     assert store.latest_scans(scan_store.read_table(spark, root, "scans")).count() == 5
 
 
@@ -61,9 +64,9 @@ def test_store_limits_keep_the_leading_rows(spark):
         F.lit("r").alias("repo_id"), F.lit("s").alias("scan_id"), F.lit("high").alias("severity"),
         F.col("id").cast("decimal(18,2)").alias("cost_usd"), F.lit(0.5).alias("confidence"),
         F.concat(F.lit("f"), "id").alias("file_path"), F.col("id").alias("seq"))
-    kept = scan_store.stored_findings(rows, ties=("seq",))
+    kept = scan_store.stored_findings(rows, 250, ("seq",))
     assert kept.count() == 250 and kept.agg(F.min("cost_usd")).first()[0] == 50
-    assert scan_store.stored_findings(rows, limit=None).count() == 300
+    assert scan_store.stored_findings(rows).count() == 300
 
 
 def test_repository_payloads(spark):
