@@ -17,7 +17,16 @@ from arrears.plans.profile import profile
 
 # --- full estimate over the Python files -----------------------------------------------------------
 
-BASE, DOC, MULTIPLIER = 100.0, 50.0, 2.0
+# What the profile and the rates say of the repositories below: all are Python without a framework.
+BASE, DOC = "(SELECT base FROM step0)", "(SELECT doc FROM step0)"
+STEP0 = f"""{BLENDED}, step0 AS (SELECT max(mid_rate) AS base, max(junior_rate) AS doc FROM blended WHERE technology =
+'Py'), team_commits AS (SELECT repo_id, commit_seq, 'dev' || (commit_seq % 4) AS author, day FROM changes),
+team_counts AS (SELECT repo_id, author, count(*) AS n FROM team_commits GROUP BY ALL), team AS (SELECT repo_id, {R('''CAST(CASE
+WHEN age < 180 THEN 0.8 ELSE 1 END AS DOUBLE) * CAST(CASE WHEN bus_factor = 1 THEN 2.0 WHEN bus_factor = 2 THEN 1.5
+WHEN bus_factor <= 4 THEN 1.2 ELSE 1.0 END AS DOUBLE) * CAST(CASE WHEN team_size = 1 THEN 1.5 WHEN team_size <= 3
+THEN 1.2 ELSE 1.0 END AS DOUBLE)''')} AS multiplier FROM (SELECT repo_id, count(DISTINCT author) AS team_size,
+arg_max(day, commit_seq) - arg_min(day, commit_seq) AS age FROM team_commits GROUP BY repo_id) JOIN
+{CONCENTRATION('team_counts', 'repo_id')} c USING (repo_id))"""
 
 
 def inputs(t):
@@ -26,13 +35,11 @@ def inputs(t):
         "repo_id", "commit_seq", "'c' || commit_seq AS commit_id",
         "'dev' || (commit_seq % 4) AS author_email", "author_date", "new_path", "old_path",
         "added_lines")
-    settings = sources.select("repo_id").distinct().selectExpr(
-        "repo_id", f"{BASE} AS base_rate", f"{BASE} AS security_rate", f"{DOC} AS documentation_rate",
-        f"{MULTIPLIER} AS multiplier", "433.0 AS benchmark")
-    return est.Inputs(sources, commits, parsed_rules(landed_rules(t)), settings)
+    return est.Inputs(sources, commits, parsed_rules(landed_rules(t)), as_of="2020-02-01", blended=blended_table(t),
+                      benchmark=t.spark.range(1).selectExpr("433.0D AS cost_per_function_usd"))
 
 
-ALL_ITEMS = f"""{pc.FILES}, {MINUTES}, {pc.MEASURED}, {pc.DOCS}, {pc.BODIES}, {pc.EDGES}, {pc.SUSPECTS},
+ALL_ITEMS = f"""{pc.FILES}, {MINUTES}, {pc.MEASURED}, {pc.DOCS}, {pc.BODIES}, {pc.EDGES}, {pc.SUSPECTS}, {STEP0},
 spots AS (SELECT repo_id, new_path AS path, count(*) AS n FROM changes WHERE NOT
   regexp_matches(new_path, '(^|/)vendor/') GROUP BY ALL),
 per_file AS (SELECT repo_id, path, {NAME(f'''max({RANK("CASE WHEN complexity <= 5 THEN 'low' WHEN complexity <= 10 THEN 'medium' WHEN complexity <= 15 THEN 'high' ELSE 'critical' END")})''')}
@@ -85,8 +92,8 @@ def items_by_rule(t):
        f"""WITH {ALL_ITEMS}, fns AS (SELECT repo_id, count(*) AS n FROM measured GROUP BY repo_id), sums AS (
            SELECT repo_id, count(*) AS items, sum(cost)::DOUBLE AS c, sum(hours)::DOUBLE AS h FROM all_items
            GROUP BY repo_id), x AS (SELECT repo_id, items, n, (c + {R(f'''n::DOUBLE * 0.2::DOUBLE *
-           {BASE}::DOUBLE * 0.9::DOUBLE * 0.35::DOUBLE''')}) * {MULTIPLIER}::DOUBLE AS cost, h + n::DOUBLE *
-           0.2::DOUBLE * {MULTIPLIER}::DOUBLE AS hours FROM sums JOIN fns USING (repo_id))
+           {BASE}::DOUBLE * 0.9::DOUBLE * 0.35::DOUBLE''')}) * multiplier::DOUBLE AS cost, h + n::DOUBLE *
+           0.2::DOUBLE * multiplier::DOUBLE AS hours FROM sums JOIN fns USING (repo_id) JOIN team USING (repo_id))
            SELECT repo_id, n AS functions_analyzed, items AS issues_found, {R('cost')} AS total_cost_usd,
            {R('hours')} AS total_hours, {R('hours / 80')} AS total_sprints,
            {R('least(10::DOUBLE, cost / n::DOUBLE / 433.0::DOUBLE * 10)')} AS debt_score FROM x""")

@@ -12,21 +12,29 @@ from arrears.operators import (
 )
 from arrears.operators.common import stage
 from arrears.operators.items import price_items, union_items
+from arrears.plans.profile import profile
 from arrears.sources import scan_store
 
 
 @dataclass
 class Inputs:
-    """``settings`` has one row per repository: repo_id, base_rate, security_rate,
-    documentation_rate, multiplier, benchmark. Missing rows use the published defaults."""
+    """What an estimate reads.
+
+    ``settings`` has one row per repository: repo_id, base_rate, security_rate, documentation_rate,
+    multiplier, benchmark. Without it the settings come from the profile of each repository: its stack
+    and ``blended`` rates (technology, mid_rate, junior_rate), its team, and ``benchmark`` (one row:
+    cost_per_function_usd). What neither gives takes the published defaults.
+    """
 
     source_files: DataFrame
     commit_files: DataFrame
     rules: DataFrame
-    settings: DataFrame
+    settings: DataFrame | None = None
     scanner_results: DataFrame | None = None
     advisories: DataFrame | None = None
     as_of: str = "2026-01-01"
+    blended: DataFrame | None = None
+    benchmark: DataFrame | None = None
 
 
 @dataclass
@@ -38,17 +46,30 @@ class Estimate:
     categories: DataFrame
     totals: DataFrame
     ownership: DataFrame
+    profile: DataFrame | None = None
     facts: DataFrame = field(repr=False, default=None)
 
 
-def _settings(repos: DataFrame, settings: DataFrame) -> DataFrame:
+def _settings(repos: DataFrame, settings: DataFrame | None) -> DataFrame:
     defaults = {"base_rate": C.ROLE_RATES["mid"], "security_rate": C.ROLE_RATES["mid"],
                 "documentation_rate": C.ROLE_RATES["junior"], "multiplier": C.DEFAULT_MULTIPLIER,
                 "benchmark": C.FUNCTION_BENCHMARK}
+    if settings is None:
+        return repos.select("repo_id", *[F.lit(float(v)).alias(c) for c, v in defaults.items()])
     known = settings.select("repo_id", *[F.col(c).cast("double").alias(c) for c in defaults])
     return repos.join(known, "repo_id", "left").fillna(defaults)
 
 
+def profile_settings(found: DataFrame, benchmark: DataFrame | None) -> DataFrame:
+    """Settings of each repository from its profile and the benchmark of one function."""
+    cost = F.lit(C.FUNCTION_BENCHMARK)
+    if benchmark is not None:
+        found = found.join(F.broadcast(benchmark.select("cost_per_function_usd").limit(1)), how="left")   # one row
+        cost = F.coalesce("cost_per_function_usd", cost)
+    return found.select("repo_id", F.col("code_quality_rate").alias("base_rate"), "security_rate", "documentation_rate",
+                        F.col("combined_multiplier").alias("multiplier"), cost.alias("benchmark"))
+
+
 def risky(functions: DataFrame, hotspots: DataFrame, minutes: DataFrame,
           suspects: DataFrame | None) -> DataFrame:
     """Risky files; repositories without any history use complexity in place of changes."""
@@ -109,20 +130,23 @@ def estimate(inputs: Inputs, cycles: bool = True) -> Estimate:
     functions = smells.measured_functions(parsed)
     hotspots = stage(history.hotspots(inputs.commit_files))
     repos = (inputs.source_files.select("repo_id").distinct())
-    settings = _settings(repos, inputs.settings)
+    found = None
+    if inputs.settings is None and inputs.blended is not None:
+        found = stage(profile(inputs.source_files, inputs.commit_files, parsed, inputs.blended, inputs.as_of))
+    settings = stage(_settings(repos, inputs.settings if found is None else profile_settings(found, inputs.benchmark)))
     items = stage(collect_items(inputs, parsed, hotspots, functions, settings, cycles))
     ownership = stage(history.file_ownership(inputs.commit_files))
     owned = findings.with_file_owners(items, ownership)
-    found = stage(findings.normalize_findings(owned))
+    normalized = stage(findings.normalize_findings(owned))
     modules = stage(findings.with_module_owners(
-        findings.summarize_modules(found), history.module_ownership(inputs.commit_files)))
+        findings.summarize_modules(normalized), history.module_ownership(inputs.commit_files)))
     counts = functions.groupBy("repo_id").agg(F.count("*").alias("functions"))
     base = settings.join(counts, "repo_id", "left").fillna({"functions": 0}).withColumn(
         "rate", F.col("base_rate"))
     return Estimate(
-        items=owned, findings=found, modules=modules, roadmap=findings.roadmap(found),
+        items=owned, findings=normalized, modules=modules, roadmap=findings.roadmap(normalized),
         categories=with_baseline(findings.category_costs(items), base),
-        totals=findings.repo_totals(items, base), ownership=ownership, facts=parsed)
+        totals=findings.repo_totals(items, base), ownership=ownership, profile=found, facts=parsed)
 
 
 def with_baseline(categories: DataFrame, repos: DataFrame) -> DataFrame:
@@ -167,7 +191,12 @@ def save(result: Estimate, root: str, batch_id: str, created_at, user_id: str |
     def keyed(df: DataFrame) -> DataFrame:
         return df.withColumn("scan_id", scan_id)
 
-    scans = keyed(result.totals.join(_payload(result), "repo_id", "left")).withColumns({
+    totals = result.totals
+    if result.profile is not None:
+        totals = totals.join(result.profile.select(
+            "repo_id", F.col("team_size").cast("int"), F.col("bus_factor").cast("int"), F.col("repo_age_days").cast("int"),
+            "combined_multiplier", "primary_language", F.col("code_quality_rate").alias("hourly_rate")), "repo_id", "left")
+    scans = keyed(totals.join(_payload(result), "repo_id", "left")).withColumns({
         "job_id": F.lit(batch_id), "user_id": F.lit(user_id), "created_at": F.lit(created_at).cast("timestamp"),
         "status": F.lit("complete")})
     found = keyed(result.findings).withColumn("finding_key", F.col("id"))
