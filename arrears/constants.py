@@ -71,8 +71,10 @@ SKIP_DIRS = (
     "venv", "node_modules", ".git", "__pycache__", "dist", "build", ".next", "__generated__",
     "vendor", ".tox", "eggs", ".eggs", ".venv", "env", ".env",
 )
-SKIP_FILE_SUFFIXES = (".min.js", ".bundle.js", "_pb2.py", ".lock", ".sum", ".map")
-SKIP_FILE_PARTS = ("package-lock.json", "yarn.lock", "poetry.lock")
+SKIP_FILE_PATTERNS = (
+    "*.min.js", "*.bundle.js", "*_pb2.py", "*.lock", "*.sum", "*.map",
+    "package-lock.json", "yarn.lock", "poetry.lock",
+)
 TEST_NAME_PARTS = ("test_", "_test.", ".test.", ".spec.")
 TEST_DIRS = ("tests", "test", "__tests__", "spec")
 SOURCE_SUFFIXES = (".py", ".js", ".jsx", ".ts", ".tsx")
@@ -80,6 +82,28 @@ NON_CODE_EXTENSIONS = (
     "txt", "md", "rst", "json", "yml", "yaml", "toml", "lock", "cfg", "ini", "pyc",
 )
 
+# Figures in free text.
+DOLLAR_FIGURE = r"\$([\d,]+(?:\.\d+)?)"
+DAY_FIGURE = r"(\d+(?:\.\d+)?)\s*(?:days|debt days)"
+PERCENT_FIGURE = r"(\d+(?:\.\d+)?)\s*%"
+MILLION_FIGURE = r"(?i)\$?([\d,\.]+)\s*(?:million|m)"
+HOURLY_FIGURE = r"(?i)\$(\d+(?:\.\d+)?)\s*(?:per hour|/hr|hourly)"
+THOUSANDS_FIGURE = r"(?i)\$(\d+(?:,\d+)?(?:\.\d+)?)[kK]\s*(?:per year|annual|/yr)"
+YEARLY_FIGURE = r"(?i)\$(\d+(?:,\d+)+)\s*(?:per year|annual)"
+DOLLAR_RANGE = (100, 10000)
+MILLION_RANGE = (1, 20)
+HOURLY_RANGE = (20, 300)
+
+# Risk, multipliers and generated-code signals.
+RISK_LEVELS = ((7, "critical"), (5, "high"), (3, "medium"))
+OWNERSHIP_SHARES = {"critical": 0.85, "high": 0.7, "medium": 0.55}
+AGE_MULTIPLIERS = ((3650, 1.4), (2000, 1.3), (1000, 1.1))
+YOUNG_DAYS, YOUNG_MULTIPLIER = 180, 0.8
+BUS_FACTOR_MULTIPLIERS = ((1, 2.0), (2, 1.5), (4, 1.2))
+TEAM_MULTIPLIERS = ((1, 1.5), (3, 1.2), (10, 1.0))
+LARGE_TEAM_MULTIPLIER = 0.9
+GENERATED_PROBABILITY = 0.3
+
 # Structure thresholds.
 OVERSIZED_LINES = 400
 OVERSIZED_FUNCTIONS = 8

@@ -60,8 +60,11 @@ def mentions_skip_name(path: Column) -> Column:
 
 
 def is_skipped_file(path: Column) -> Column:
+    """A pattern with an asterisk is an ending of the name, one without occurs anywhere in it."""
     name = base_name(path)
-    return name.rlike(rf"(?:{_any_of(C.SKIP_FILE_SUFFIXES)})$|{_any_of(C.SKIP_FILE_PARTS)}")
+    endings = [p.lstrip("*") for p in C.SKIP_FILE_PATTERNS if p.startswith("*")]
+    parts = [p for p in C.SKIP_FILE_PATTERNS if not p.startswith("*")]
+    return name.rlike(rf"(?:{_any_of(endings)})$|{_any_of(parts)}")
 
 
 def is_test_path(path: Column) -> Column:

@@ -89,9 +89,16 @@ def sanity_columns(total: Column, functions: Column, benchmark: Column) -> dict[
     }
 
 
+def _steps(table, holds, otherwise) -> Column:
+    """Value of the first step of a table whose bound holds."""
+    case = F.when(F.lit(False), F.lit(otherwise))
+    for bound, value in table:
+        case = case.when(holds(bound), F.lit(value))
+    return case.otherwise(F.lit(otherwise))
+
+
 def risk_level(score: Column) -> Column:
-    return (F.when(score >= 7, "critical").when(score >= 5, "high")
-            .when(score >= 3, "medium").otherwise("low"))
+    return _steps(C.RISK_LEVELS, lambda floor: score >= floor, "low")
 
 
 def score_band(score: Column) -> Column:
@@ -100,19 +107,19 @@ def score_band(score: Column) -> Column:
 
 
 def ownership_risk(owners: Column, share: Column, changes: Column) -> Column:
+    shares = C.OWNERSHIP_SHARES
     return (F.when(changes <= 1, "low")
-            .when(((owners <= 1) & (changes >= 3)) | (share >= 0.85), "critical")
-            .when((owners <= 2) | (share >= 0.7), "high")
-            .when((owners <= 3) | (share >= 0.55), "medium")
+            .when(((owners <= 1) & (changes >= 3)) | (share >= shares["critical"]), "critical")
+            .when((owners <= 2) | (share >= shares["high"]), "high")
+            .when((owners <= 3) | (share >= shares["medium"]), "medium")
             .otherwise("low"))
 
 
 def repo_multipliers(age_days: Column, bus_factor: Column, team: Column) -> dict[str, Column]:
-    age = (F.when(age_days > 3650, 1.4).when(age_days > 2000, 1.3).when(age_days > 1000, 1.1)
-           .when(age_days < 180, 0.8).otherwise(1.0))
-    bus = (F.when(bus_factor == 1, 2.0).when(bus_factor == 2, 1.5)
-           .when(bus_factor <= 4, 1.2).otherwise(1.0))
-    size = F.when(team == 1, 1.5).when(team <= 3, 1.2).when(team <= 10, 1.0).otherwise(0.9)
+    age = F.when(age_days < C.YOUNG_DAYS, C.YOUNG_MULTIPLIER).otherwise(
+        _steps(C.AGE_MULTIPLIERS, lambda days: age_days > days, 1.0))
+    bus = _steps(C.BUS_FACTOR_MULTIPLIERS, lambda people: bus_factor <= people, 1.0)
+    size = _steps(C.TEAM_MULTIPLIERS, lambda people: team <= people, C.LARGE_TEAM_MULTIPLIER)
     return {
         "repo_age_multiplier": age,
         "bus_factor_multiplier": bus,

@@ -20,33 +20,33 @@ def _within(values: Column, low: float, high: float) -> Column:
 
 def dollar_figures(text: Column) -> Column:
     """Dollar amounts between 100 and 10,000."""
-    return _within(_figures(text, r"\$([\d,]+(?:\.\d+)?)"), 100, 10000)
+    return _within(_figures(text, C.DOLLAR_FIGURE), *C.DOLLAR_RANGE)
 
 
 def day_figures(text: Column) -> Column:
-    return _within(_figures(text, r"(\d+(?:\.\d+)?)\s*(?:days|debt days)"), 0, float("inf"))
+    return _within(_figures(text, C.DAY_FIGURE), 0, float("inf"))
 
 
 def percent_figures(text: Column, low: float, high: float) -> Column:
-    return _within(_figures(text, r"(\d+(?:\.\d+)?)\s*%"), low, high)
+    return _within(_figures(text, C.PERCENT_FIGURE), low, high)
 
 
 def million_figures(text: Column) -> Column:
     """Amounts stated in millions (1 to 20), in units."""
-    found = _within(_figures(text, r"(?i)\$?([\d,\.]+)\s*(?:million|m)"), 1, 20)
+    found = _within(_figures(text, C.MILLION_FIGURE), *C.MILLION_RANGE)
     return F.transform(found, lambda v: v * 1_000_000)
 
 
 def hourly_figures(text: Column) -> Column:
     """Hourly pay between 20 and 300 from hourly, thousands-per-year and yearly mentions."""
-    hourly = _figures(text, r"(?i)\$(\d+(?:\.\d+)?)\s*(?:per hour|/hr|hourly)")
-    thousands = _figures(text, r"(?i)\$(\d+(?:,\d+)?(?:\.\d+)?)[kK]\s*(?:per year|annual|/yr)")
-    yearly = _figures(text, r"(?i)\$(\d+(?:,\d+)+)\s*(?:per year|annual)")
+    hourly = _figures(text, C.HOURLY_FIGURE)
+    thousands = _figures(text, C.THOUSANDS_FIGURE)
+    yearly = _figures(text, C.YEARLY_FIGURE)
     per_hour = F.concat(
         hourly,
         F.transform(thousands, lambda v: F.when(v < 1000, v * 1000).otherwise(v) / C.HOURS_PER_YEAR),
         F.transform(yearly, lambda v: v / C.HOURS_PER_YEAR))
-    return _within(per_hour, 20, 300)
+    return _within(per_hour, *C.HOURLY_RANGE)
 
 
 def identifier_tokens(text: Column) -> Column:

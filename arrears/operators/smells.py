@@ -179,7 +179,7 @@ def generated_code(commit_files: DataFrame, facts: DataFrame) -> DataFrame:
     flagged = joined.withColumns({k: F.coalesce(v, F.lit(False)) for k, v in signals.items()})
     total = sum((F.col(name).cast("int") for name in signals), F.lit(0))
     return (flagged.withColumn("probability", places(F.least(F.lit(1.0), total / 4), 2))
-            .filter(F.col("probability") > 0.3)
+            .filter(F.col("probability") > C.GENERATED_PROBABILITY)
             .select(*key, "probability", "lines_added", *signals))
 
 

@@ -172,7 +172,7 @@ def _payload(result: Estimate) -> DataFrame:
     costs = result.categories.groupBy("repo_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(
         "category", F.struct(F.col("cost_usd").cast("double").alias("cost_usd"), F.col("hours").cast("double").alias("hours"),
                              F.col("item_count")))))).alias("cost_by_category"))   # at most one entry per category
-    checks = [c for c in result.totals.columns if c in ("cost_per_function", "industry_benchmark", "variance_pct", "assessment")]
+    checks = [c for c in result.totals.columns if c in ("cost_per_function", "industry_avg", "variance_pct", "is_reasonable", "assessment")]
     known = result.totals.select("repo_id", F.struct(*[F.col(c).cast("string").alias(c) for c in checks]).alias("sanity_check")
                                  if checks else F.lit(None).alias("sanity_check"))
     return known.join(costs, "repo_id", "left").select("repo_id", F.to_json(F.struct(
