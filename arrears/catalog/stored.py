@@ -406,6 +406,29 @@ def summary_rollup(t):
         "suppressed_findings", "module_count", "quick_wins", "strategic_items")
 
 
+@query("qry10_summary", "QRY10 AGG31",
+       f"""WITH {CHANGES}, {TRIAGED}, roll AS ({ROLLUP.format(src='changes JOIN pairs USING (repo_id) WHERE previous_scan_id IS NOT NULL')}
+           UNION ALL SELECT repo_id, 'new', count(*), 0 FROM findings JOIN pairs ON scan_id = latest_scan_id WHERE
+           previous_scan_id IS NULL GROUP BY repo_id), counts AS (SELECT repo_id, CAST(coalesce(sum(findings) FILTER
+           (state = 'new'), 0) AS BIGINT) AS n, CAST(coalesce(sum(findings) FILTER (state = 'existing'), 0) AS BIGINT) AS e,
+           CAST(coalesce(sum(findings) FILTER (state = 'resolved'), 0) AS BIGINT) AS r FROM roll GROUP BY repo_id), stats AS
+           (SELECT scan_id, count(*) AS total, count(*) FILTER (suppressed) AS muted, count(*) FILTER (status = 'reviewed')
+           AS reviewed FROM triaged GROUP BY scan_id)
+           SELECT p.repo_id, latest_scan_id AS scan_id, 'bus' || latest_scan_id AS ownership_summary,
+           coalesce({R('muted::DOUBLE / total * 100', 1)}, 0) AS suppression_rate,
+           coalesce({R('reviewed::DOUBLE / total * 100', 1)}, 0) AS review_rate, coalesce(n, 0) AS new_findings,
+           coalesce(e, 0) AS existing_findings, coalesce(r, 0) AS resolved_findings FROM pairs p LEFT JOIN stats ON scan_id
+           = latest_scan_id LEFT JOIN counts USING (repo_id)""", (*T3, "scans"))
+def summary(t):
+    scans = t.scans.withColumn("payload", F.concat(F.lit('{"ownership_summary":"bus'), "scan_id", F.lit('"}')))
+    latest = store.latest_scans(scans)
+    rollup = store.summary_rollup(scans, triaged(t, latest), modules(t, latest), roadmap(t))
+    changes = store.whole_change_rollup(store.scan_pairs(scans), t.findings)
+    return store.with_changes(rollup, changes).select(
+        "repo_id", "scan_id", "ownership_summary", "suppression_rate", "review_rate", "new_findings", "existing_findings",
+        "resolved_findings")
+
+
 @query("agg31_top_modules", "AGG31 SRT2 SRT11",
        f"""WITH {MODULES} SELECT scan_id, module, position, max_severity, {D('total_cost_usd')} AS
            total_cost_usd FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY
@@ -450,14 +473,19 @@ def top_category(t):
            SELECT user_id, repo_key, n.scan_id, CASE WHEN url LIKE 'http%' THEN url ELSE
            'https://github.com/' || repo_key END AS github_url, {D('debt_score')} AS debt_score,
            {D('total_cost_usd')} AS total_cost, {D('total_hours')} AS remediation_hours,
-           coalesce(primary_language, 'Unknown') AS language, coalesce({TITLE('c.category')},
+           CASE WHEN n.scan_id % 3 = 0 THEN 'go' ELSE coalesce(primary_language, 'Unknown') END AS language,
+           CASE WHEN n.scan_id % 3 = 0 THEN 4 ELSE 0 END AS team_size, 0 AS bus_factor, n.scan_id % 3 = 0 AS has_tests,
+           false AS has_ci_cd, coalesce({TITLE('c.category')},
            'unknown') AS top_category, CASE WHEN debt_score >= 7 THEN 'critical' WHEN debt_score >= 5
            THEN 'high' WHEN debt_score >= 3 THEN 'medium' ELSE 'low' END AS risk_level
            FROM newest n LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scan_id
            ORDER BY cost_usd DESC, category) AS q FROM cats) WHERE q = 1) c USING (scan_id)""",
        ("scans", "repositories"))
 def portfolio(t):
-    return store.portfolio(t.scans, t.repositories, scan_categories(t)).drop("scanned_at")
+    document = F.when(F.col("scan_id") % 3 == 0, F.lit(
+        '{"raw_analysis":{"repo_profile":{"tech_stack":{"primary_language":"go","has_tests":true},"team":'
+        '{"estimated_team_size":4}}}}')).otherwise("{}")
+    return store.portfolio(t.scans.withColumn("payload", document), t.repositories, scan_categories(t)).drop("scanned_at")
 
 
 @query("srt9_portfolio_sort", "SRT9 SRT8 QRY14",
@@ -525,10 +553,12 @@ def recent_repositories(t):
        f"""SELECT scan_id, repo_id, job_id, strftime(created_at, '%Y-%m-%dT%H:%M:%S') AS created_at,
            {D('total_cost_usd')} AS total_cost_usd, {D('debt_score')} AS debt_score, {D('total_hours')} AS
            total_hours, {D('total_sprints')} AS total_sprints, CASE WHEN scan_id % 2 = 0 THEN
-           '{{"issues":' || scan_id || '}}' ELSE '{{}}' END AS summary FROM scans""", ("scans",))
+           '{{"issues":' || scan_id || '}}' ELSE '{{}}' END AS summary, CASE WHEN scan_id % 2 = 0 THEN
+           '{{"security":{{"cost_usd":1}}}}' ELSE '{{}}' END AS cost_by_category FROM scans""", ("scans",))
 def scan_summary(t):
     payload = F.when(F.col("scan_id") % 2 == 0, F.concat(
-        F.lit('{"raw_analysis":{"summary":{"issues":'), "scan_id", F.lit("}}}"))).otherwise("{}")
+        F.lit('{"raw_analysis":{"cost_by_category":{"security":{"cost_usd":1}},"summary":{"issues":'), "scan_id",
+        F.lit("}}}"))).otherwise("{}")
     return store.scan_summary(t.scans.withColumn("payload", payload))
 
 

@@ -367,6 +367,8 @@ def portfolio(scans: DataFrame, repositories: DataFrame, categories: DataFrame,
         "key", F.when(F.col("url") != "", paths.repo_key(F.col("url"))).otherwise(F.col("repo_id")))
     latest = top_per_group(keyed, ["user_id", "key"], newest_first(), 1).drop("position")
     score = F.coalesce(F.col("debt_score").cast("double"), F.lit(0.0))
+    document = payload_analysis(F.col("payload"), "repo_profile") if "payload" in latest.columns else F.lit(None).cast("string")
+    latest = latest.withColumn("profile", F.from_json(document, PROFILE_DOCUMENT))
     top = top_category(of_scans(categories, latest))
     return latest.join(top, "scan_id", "left").select(
         "user_id", F.col("key").alias("repo_key"), "scan_id",
@@ -376,11 +378,24 @@ def portfolio(scans: DataFrame, repositories: DataFrame, categories: DataFrame,
         F.coalesce(F.col("total_cost_usd").cast("double"), F.lit(0.0)).alias("total_cost"),
         F.coalesce(F.col("total_hours").cast("double"), F.lit(0.0)).alias("remediation_hours"),
         F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss").alias("scanned_at"),
-        F.coalesce("primary_language", F.lit("Unknown")).alias("language"),
+        F.coalesce("profile.tech_stack.primary_language", "primary_language", F.lit("Unknown")).alias("language"),
+        F.coalesce("profile.team.estimated_team_size", _own(latest, "team_size"), F.lit(0)).alias("team_size"),
+        F.coalesce("profile.team.bus_factor", _own(latest, "bus_factor"), F.lit(0)).alias("bus_factor"),
+        F.coalesce("profile.tech_stack.has_tests", F.lit(False)).alias("has_tests"),
+        F.coalesce("profile.tech_stack.has_ci_cd", F.lit(False)).alias("has_ci_cd"),
         F.coalesce("top_category", F.lit("unknown")).alias("top_category"),
         risk_level(score).alias("risk_level"))
 
 
+PROFILE_DOCUMENT = ("struct<tech_stack:struct<primary_language:string,has_tests:boolean,has_ci_cd:boolean>,"
+                    "team:struct<estimated_team_size:int,bus_factor:int>>")
+
+
+def _own(df: DataFrame, name: str) -> Column:
+    """A column of the scan itself, null where the frame has none."""
+    return (F.col(name) if name in df.columns else F.lit(None)).cast("int")
+
+
 def top_category(categories: DataFrame) -> DataFrame:
     """Most expensive category of every scan; equal costs go to the first name."""
     order = F.struct(-F.col("cost_usd"), F.col("category"))
@@ -455,6 +470,7 @@ def scan_summary(scans: DataFrame) -> DataFrame:
         "scan_id", "repo_id", "job_id",
         F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss").alias("created_at"), "total_cost_usd",
         "debt_score", "total_hours", "total_sprints",
+        F.coalesce(payload_analysis(F.col("payload"), "cost_by_category"), F.lit("{}")).alias("cost_by_category"),
         F.coalesce(payload_analysis(F.col("payload"), "summary"), F.lit("{}")).alias("summary"))
 
 
@@ -470,21 +486,34 @@ def scans_with_keys(scans: DataFrame, repositories: DataFrame) -> DataFrame:
         "debt_score", "total_cost_usd", "created_at")
 
 
+CHANGE_STATES = ("new", "existing", "resolved")
+
+
+def with_changes(rollup: DataFrame, changes: DataFrame) -> DataFrame:
+    """A summary with the counts of a whole change rollup: new, existing and resolved findings."""
+    counts = changes.groupBy("repo_id").agg(*[
+        F.sum(F.when(F.col("state") == state, F.col("findings")).otherwise(0)).alias(f"{state}_findings") for state in CHANGE_STATES])
+    return rollup.join(counts, "repo_id", "left").fillna(0, [f"{state}_findings" for state in CHANGE_STATES])
+
+
 def summary_rollup(scans: DataFrame, findings: DataFrame, modules: DataFrame,
                    roadmap: DataFrame) -> DataFrame:
-    """High-level figures of the latest scan of every repository."""
+    """High-level figures of the latest scan of every repository, the stored ownership summary among them."""
     latest = latest_scans(scans)
     stats = triage_stats(of_scans(findings, latest), ["scan_id"])
     areas = of_scans(modules, latest).groupBy("scan_id").agg(F.count("*").alias("module_count"))
     plan = of_scans(roadmap, latest).groupBy("scan_id").agg(
         F.count_if(F.col("bucket") == "quick_wins").alias("quick_wins"),
         F.count_if(F.col("bucket") == "strategic").alias("strategic_items"))
-    joined = latest.select("repo_id", "scan_id", "total_cost_usd", "debt_score", "total_hours")
+    owners = payload_analysis(F.col("payload"), "ownership_summary") if "payload" in latest.columns else F.lit(None).cast("string")
+    joined = latest.select("repo_id", "scan_id", "total_cost_usd", "debt_score", "total_hours",
+                           F.coalesce(owners, F.lit("{}")).alias("ownership_summary"))
     for part in (stats, areas, plan):
         joined = joined.join(part, "scan_id", "left")
     whole = ("total_findings", "active_findings", "suppressed_findings", "reviewed_findings",
              "module_count", "quick_wins", "strategic_items")
-    return joined.fillna(0, list(whole))
+    return joined.fillna(0, list(whole)).withColumns({
+        rate: F.coalesce(rate, F.lit(0).cast("decimal(18,1)")) for rate in ("suppression_rate", "review_rate")})
 
 
 def top_modules(modules: DataFrame, keys: list[str], limit: int = 5) -> DataFrame:
