@@ -29,13 +29,16 @@ SLICE_CHARS = 1_000_000
 
 
 def words(text: str | None) -> list[str]:
-    """Runs of letters in lower case, marked as word starts and cut to lattice length."""
-    found = WORD.findall(text.lower()) if text else []
-    out = []
-    for w in found:
-        w = SPACE + w
-        out.extend([w] if len(w) <= CUT else [w[i:i + CUT] for i in range(0, len(w), CUT)])
-    return out
+    """Runs of letters in lower case."""
+    return WORD.findall(text.lower()) if text else []
+
+
+def parts(words: list[str]) -> tuple[list[str], np.ndarray]:
+    """Words marked as word starts and cut to lattice length, and the word each part belongs to."""
+    if max(map(len, words), default=0) < CUT:
+        return [SPACE + w for w in words], np.arange(len(words))
+    cut = [[(SPACE + w)[i:i + CUT] for i in range(0, len(w) + 1, CUT)] for w in words]
+    return [p for ps in cut for p in ps], np.repeat(np.arange(len(words)), [len(ps) for ps in cut])
 
 
 def prior(size: int) -> np.ndarray:
@@ -47,14 +50,15 @@ def prior(size: int) -> np.ndarray:
 def expected(found: dict[str, int], weight: np.ndarray, path: str = VOCABULARY) -> np.ndarray:
     """Expected count of each piece (unknown last) over all segmentations of the counted words."""
     out = np.zeros(len(weight))
-    lattices = Lattices(list(found), path)
+    pieces_of, owner = parts(list(found))
+    lattices = Lattices(pieces_of, path)
     if not len(lattices):
         return out
     arcs = weight[lattices.piece][:, None]
     alpha, beta = lattices.forward(arcs)[:, 0], lattices.backward(arcs)[:, 0]
     total = beta[lattices.offset[:-1]]
     share = alpha[lattices.source] * arcs[:, 0] * beta[lattices.target] / total[lattices.word]
-    count = np.fromiter(found.values(), float)[lattices.word]
+    count = np.fromiter(found.values(), float)[owner][lattices.word]
     np.add.at(out, lattices.piece, share * count)   # -1 is the last
     return out
 
@@ -114,18 +118,21 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model, self.row, self.logs = model, {}, np.zeros((0, len(model.languages)))
+        self.weights = np.ascontiguousarray(model.weights.T)
 
     def _learn(self, new: list[str]) -> None:
         if len(self.row) + len(new) > KEPT_WORDS:
             self.row, self.logs = {}, np.zeros((0, len(self.model.languages)))
-        parts = [self.logs]
+        found = [self.logs]
         for lo in range(0, len(new), FLUSH_WORDS // 2):
             some = new[lo:lo + FLUSH_WORDS // 2]
-            lattices = Lattices(some, self.model.path)
-            parts.append(np.log(lattices.forward(self.model.weights.T[lattices.piece])[lattices.offset[1:] - 1]))
+            cut, owner = parts(some)
+            lattices = Lattices(cut, self.model.path)
+            logs = np.log(lattices.forward(self.weights[lattices.piece])[lattices.offset[1:] - 1])
+            found.append(logs if len(cut) == len(some) else np.add.reduceat(logs, np.searchsorted(owner, np.arange(len(some)))))
             for w in some:
                 self.row[w] = len(self.row)
-        self.logs = np.concatenate(parts)
+        self.logs = np.concatenate(found)
 
     def __call__(self, texts) -> np.ndarray:
         out, lo, texts = [], 0, list(texts)
@@ -135,12 +142,10 @@ class Scorer:
                 found.append(words(texts[hi]))
                 chars += len(texts[hi] or "")
                 hi += 1
-            every = sorted(set().union(*found))
-            if any(w not in self.row for w in every):
-                new = [w for w in every if w not in self.row]
-                if len(self.row) + len(new) > KEPT_WORDS:
-                    new = every
-                self._learn(new)
+            every = set().union(*found)
+            new = [w for w in every if w not in self.row]
+            if new:
+                self._learn(new if len(self.row) + len(new) <= KEPT_WORDS else list(every))
             for ws in found:
                 out.append(self.logs[np.fromiter(map(self.row.__getitem__, ws), np.int64, len(ws))].sum(axis=0))
             lo = hi

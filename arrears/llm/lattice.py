@@ -117,25 +117,24 @@ class Lattices:
     def __len__(self):
         return len(self.length)
 
-    def _spread(self, by, weight, source, target, seeds, descending=False):
-        """Sums over arcs taken in groups of equal ``by``."""
-        sums = np.zeros((weight.shape[1], int(self.offset[-1])))
-        sums[:, seeds] = 1.0
-        order = np.argsort(by.astype(np.uint8), kind="stable")
-        bounds = np.r_[0, np.cumsum(np.bincount(by, minlength=1))]
-        groups = range(len(bounds) - 1)
-        for g in reversed(groups) if descending else groups:
-            some = order[bounds[g]:bounds[g + 1]]
-            if len(some):
-                to, origin = target[some], source[some]
-                for column in range(weight.shape[1]):
-                    np.add.at(sums[column], to, sums[column][origin] * weight[some, column])
-        return sums.T
+    def _spread(self, weight, source, target, seeds, descending=False):
+        """Sums over arcs, taken by start and length: within such a group no node is met twice."""
+        sums = np.zeros((int(self.offset[-1]), weight.shape[1]))
+        sums[seeds] = 1.0
+        group = self.start * LONGEST + (self.end - self.start - 1)
+        order = np.argsort(group.astype(np.uint16), kind="stable")
+        bounds = np.r_[0, np.cumsum(np.bincount(group, minlength=1))]
+        source, target, weight = source[order], target[order], weight[order]
+        filled = np.flatnonzero(np.diff(bounds))
+        for g in filled[::-1] if descending else filled:
+            lo, hi = bounds[g], bounds[g + 1]
+            sums[target[lo:hi]] += sums[source[lo:hi]] * weight[lo:hi]
+        return sums
 
     def forward(self, weight: np.ndarray) -> np.ndarray:
         """Summed weight of the ways from the first letter to each node; ``weight``: arcs x models."""
-        return self._spread(self.end, weight, self.source, self.target, self.offset[:-1])
+        return self._spread(weight, self.source, self.target, self.offset[:-1])
 
     def backward(self, weight: np.ndarray) -> np.ndarray:
         """Summed weight of the ways from each node to the last letter."""
-        return self._spread(self.start, weight, self.target, self.source, self.offset[1:] - 1, descending=True)
+        return self._spread(weight, self.target, self.source, self.offset[1:] - 1, descending=True)
