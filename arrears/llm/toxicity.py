@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -33,7 +34,8 @@ LINE = re.compile(r"[^\S\n]+|(\n)")
 FEATURES = ("insult", "insult at target", "negated insult", "reported insult", "threat", "threat at target", "negated threat", "reported threat")
 SAMPLE_ROWS = 20_000   # labelled rows a classifier is fitted on, the first by a hash of the id
 STEM = (4, 8)          # letters of a learned stem
-MIN_ROWS, MIN_ODDS = 3, 4.0
+MIN_CONTEXTS = 6       # different words before a learned stem
+MIN_ODDS, MIN_PURITY = 3.0, 50   # its log odds in toxic rows, and toxic rows for each other one
 
 
 @dataclass
@@ -161,27 +163,46 @@ def sample(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) ->
     return documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
 
 
-def stems_of(text: str) -> set[str]:
-    words = {STRIP.sub("", w) for w in set(text.lower().split())}
-    return {w[:n] for w in words for n in range(STEM[0], min(STEM[1], len(w)) + 1)}
+def stems_of(text: str) -> dict[str, int]:
+    """Stems of the words of a text, each with a bit set of the words that stood before it."""
+    found, before = {}, ""
+    for raw in text.lower().split():
+        found[raw] = found.get(raw, 0) | 1 << zlib.crc32(before.encode("utf-8", "surrogatepass")) % 62
+        before = raw
+    out: dict[str, int] = {}
+    for raw, bits in found.items():
+        word = STRIP.sub("", raw)
+        for n in range(STEM[0], min(STEM[1], len(word)) + 1):
+            out[word[:n]] = out.get(word[:n], 0) | bits
+    return out
 
 
 def learned_stems(rows: DataFrame) -> frozenset:
-    """Shortest stems that stand far more often in toxic rows than in others."""
+    """Shortest stems that stand far more often in toxic rows than in others.
+
+    Copies of one toxic text share all their rare words; a stem must follow several different words,
+    which no number of copies brings about.
+    """
     def counted(batches):
         for frame in batches:
-            seen = (Counter(), Counter())
+            seen, bits = (Counter(), Counter()), {}
             for text, toxic in zip(frame["text"], frame["toxic"]):
-                seen[int(toxic)].update(stems_of(text or ""))
-            every = seen[0].keys() | seen[1].keys()
-            yield pd.DataFrame({"stem": list(every), "t": [seen[1][s] for s in every], "c": [seen[0][s] for s in every]}).astype({"t": int, "c": int})
+                found = stems_of(text or "")
+                seen[int(toxic)].update(found.keys())
+                if toxic:
+                    for stem, mask in found.items():
+                        bits[stem] = bits.get(stem, 0) | mask
+            every = list(seen[0].keys() | seen[1].keys())
+            yield pd.DataFrame({"stem": every, "t": [seen[1][s] for s in every], "c": [seen[0][s] for s in every],
+                                "before": [bits.get(s, 0) for s in every]}).astype({"t": int, "c": int, "before": int})
 
     totals = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
     odds = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean + 1))
     # Of a bounded sample, these are few: a stem must stand in several toxic rows and hardly elsewhere.
-    found = (rows.mapInPandas(counted, "stem string, t long, c long").groupBy("stem").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-             .filter(F.col("t") >= MIN_ROWS).filter(odds >= MIN_ODDS).filter("t >= 4 * c").select("stem").collect())
+    found = (rows.mapInPandas(counted, "stem string, t long, c long, before long").groupBy("stem")
+             .agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.expr("bit_count(bit_or(before))").alias("contexts"))
+             .filter(F.col("contexts") >= MIN_CONTEXTS).filter(F.col("t") >= MIN_PURITY * F.col("c")).filter(odds >= MIN_ODDS).select("stem").collect())
     stems = {r.stem for r in found}
     return frozenset(s for s in stems if not any(s[:n] in stems for n in range(STEM[0], len(s))))
 
@@ -205,11 +226,19 @@ def fit(documents: DataFrame, labels: DataFrame, rounds: int = 60) -> Model:
     # The prior pulls towards the grammar's own weights, so that an unlabelled corpus is scored by them.
     prior = np.array([-3.0, 6.0, 7.0, 3.0, 3.0, 5.0, 7.0, 1.0, 2.0])
     w = prior.copy()
+
+    def loss(w):
+        z = x @ w
+        return float(n @ (np.logaddexp(0, z) - y * z)) + 0.25 * float((w - prior) @ (w - prior))
+
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         gradient = x.T @ (n * (p - y)) + 0.5 * (w - prior)
-        w = w - np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(len(w)), gradient)
-        if np.abs(gradient).max() < 1e-6:
+        step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(len(w)), gradient)
+        # Where the classes part cleanly a whole step can overshoot: halve it until the loss falls.
+        size = next((s for s in 0.5 ** np.arange(30) if loss(w - s * step) < loss(w)), 0.0)
+        w = w - size * step
+        if size == 0 or np.abs(gradient).max() < 1e-6:
             break
     return Model(stems, np.r_[w[0], np.maximum(w[1:], 0)])  # a match never lowers a score
 
