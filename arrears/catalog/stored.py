@@ -773,7 +773,8 @@ def payload_owners(t):
 
 
 @query("snk1_store_round_trip", "SNK1 SRC9",
-       f"""WITH {RECENT.format(n=1)}, {ROADMAP} SELECT r.repo_id, CAST(r.scan_id AS VARCHAR) AS scan_id,
+       f"""WITH {RECENT.format(n=1).replace('scan_id DESC', 'CAST(scan_id AS VARCHAR) DESC')}, {ROADMAP} SELECT
+           r.repo_id, CAST(r.scan_id AS VARCHAR) AS scan_id,
            {D('r.total_cost_usd')} AS total_cost_usd, coalesce(n, 0) AS findings, coalesce({D('cost')}, 0) AS
            cost_usd, coalesce(first_key, '') AS first_finding, coalesce(q, 0) AS quick_wins FROM recent r LEFT JOIN
            (SELECT scan_id, count(*) AS n, sum(cost_usd) AS cost FROM findings GROUP BY scan_id) USING (scan_id)
