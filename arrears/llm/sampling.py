@@ -13,6 +13,8 @@ Draws are hashes of the row key, the sample and the place in the text, so a reru
 
 from __future__ import annotations
 
+import functools
+import itertools
 import re
 
 import numpy as np
@@ -38,17 +40,18 @@ def units(text: str) -> list[str]:
     return UNIT.findall(SPACE + (text.translate(MARK) if rare else text.replace(" ", SPACE)))
 
 
+@functools.lru_cache(maxsize=2)
+def spelled(path: str = VOCABULARY) -> list[bytes]:
+    """What each piece stands for in a text."""
+    out = [t.replace(SPACE, " ").encode() for t in pieces(path)[1]]
+    for value, piece in enumerate(byte_ids(path).tolist()):
+        out[piece] = bytes([value])
+    return out
+
+
 def decode(ids, path: str = VOCABULARY) -> str:
     """The text of piece ids; inverse of any segmentation that this module draws."""
-    texts, first_byte = pieces(path)[1], int(byte_ids(path)[0])
-    out = bytearray()
-    space = SPACE.encode()
-    for i in ids:
-        if first_byte <= i < first_byte + 256:
-            out.append(i - first_byte)
-        else:
-            out += texts[i].encode().replace(space, b" ")
-    return out[1:].decode("utf-8", "surrogatepass")
+    return b"".join(map(spelled(path).__getitem__, ids))[1:].decode("utf-8", "surrogatepass")
 
 
 def uniform(key: np.ndarray, a: np.ndarray, b) -> np.ndarray:
@@ -66,6 +69,14 @@ def cut_gumbel(phi: np.ndarray, most: np.ndarray, u: np.ndarray) -> np.ndarray:
         return phi - np.log(np.exp(phi - most) - np.log(u))
 
 
+class Index(dict):
+    """Numbers of different keys in the order they are asked for."""
+
+    def __missing__(self, key):
+        self[key] = number = len(self)
+        return number
+
+
 class Chain:
     """Lattices of distinct words with the chance of each arc given its node, ready for drawing."""
 
@@ -92,8 +103,23 @@ class Chain:
         end[lat.offset[1:] - 1] = True
         self.is_end = end
 
+        # The likeliest arc of each node and its part of the keys: most draws fall there.
+        self.best = np.zeros(nodes, np.int64)
+        some = np.flatnonzero(self.first[1:] > self.first[:-1])
+        most = np.zeros(nodes)
+        most[some] = np.maximum.reduceat(self.chance, self.first[some]) if len(some) else 0.0
+        top = np.flatnonzero(self.chance == most[self.source])
+        self.best[self.source[top]] = top
+        self.low, self.high = np.zeros(nodes), np.zeros(nodes)
+        arc = self.best[some]
+        self.low[some] = np.where(arc > self.first[some], self.key[np.maximum(arc - 1, 0)], some)
+        self.high[some] = self.key[arc]
+
     def pick(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
-        return np.minimum(np.searchsorted(self.key, node + u, "right"), self.first[node + 1] - 1)
+        at, arc = node + u, self.best[node]
+        rest = np.flatnonzero((at < self.low[node]) | (at >= self.high[node]))
+        arc[rest] = np.minimum(np.searchsorted(self.key, at[rest], "right"), self.first[node[rest] + 1] - 1)
+        return arc
 
 
 def draw(chain: Chain, node: np.ndarray, key: np.ndarray, place: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
@@ -239,8 +265,8 @@ def segmentations(texts: list[str], keys: list[int], samples: int = SAMPLES, pat
     perturbed score of the first one left out; with nothing left out it is 1.
     """
     found = [units(t) for t in texts]
-    index: dict[str, int] = {}
-    unit = np.array([index.setdefault(u, len(index)) for us in found for u in us], dtype=np.int64)
+    index = Index()
+    unit = np.fromiter(map(index.__getitem__, itertools.chain.from_iterable(found)), np.int64)
     chain = Chain(list(index), weights(path, temperature), path)
     bounds = np.r_[0, np.cumsum([len(us) for us in found])]
     search = Search(chain, unit, bounds, np.array(keys, dtype=np.uint64))
