@@ -16,7 +16,8 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 SAMPLE = ("prj5_calculate_cost", "str3_repository_urls", "agg1_hotspots", "agg5_file_ownership",
           "jon5_test_gaps", "qry14_portfolio", "jon9_scan_comparison", "cmp9_roadmap",
           "cmp3_dependency_hygiene", "rat5_blended_rates", "ast10_performance_smells",
-          "exp3_tickets")
+          "exp3_tickets", "src3_first_commits", "agg17_triage_stats", "qry3_scan_findings", "qry13_changes",
+          "qry10_summary", "cmp9_roadmap_all", "jon8_payload_owners", "snk1_store_round_trip")
 HERE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
