@@ -56,4 +56,26 @@ def op10_packing(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     op1_near_embeddings, op2_sampled_segmentations, op3_toxicity, op4_source_mixing, op5_ngram_join, op6_multi_index, op7_language,
     op8_gru_scores, op9_personal_data, op10_packing)}
-ORACLE_SQL: dict[str, str] = {}
+_REACH = """reach AS (SELECT id AS a, id AS b FROM nodes UNION SELECT a, y FROM reach JOIN links ON x = b)"""
+
+#: Links of all pairs and what is reachable over them, by the definitions; for tables of some thousand rows.
+ORACLE_SQL: dict[str, str] = {
+    "op1_near_embeddings": f"""WITH RECURSIVE nodes AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+usable AS (SELECT * FROM nodes WHERE len(list_filter(v, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND
+  len(list_filter(v, lambda c: c <> 0)) > 0),
+links AS (SELECT p.id AS x, q.id AS y FROM usable p JOIN usable q ON p.id <> q.id AND len(p.v) = len(q.v) WHERE
+  list_cosine_similarity(p.v, q.v) >= 0.95), {_REACH},
+counts AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT a AS vec_id, coalesce(any_value(n), 0) AS n_links, min(b) AS component_id, a = min(b) AS kept FROM reach LEFT JOIN counts
+  ON x = a GROUP BY a""",
+    "op5_ngram_join": f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) < 3 THEN array_to_string(ws, ' ') ELSE ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]
+  END AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT p.doc_id AS x, q.doc_id AS y, count(*) AS k FROM s p JOIN s q ON p.g = q.g AND p.doc_id <> q.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM common JOIN sizes m ON m.doc_id = x JOIN sizes o ON o.doc_id = y WHERE 100 * k >= 90 * (m.n + o.n - k)),
+nodes AS (SELECT doc_id AS id FROM documents), {_REACH}
+SELECT a AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(b) AS component_id FROM reach LEFT JOIN sizes ON doc_id = a
+  GROUP BY a""",
+}
