@@ -7,8 +7,11 @@ one part differs in at most one element. Each part is cut in three, and leaving
 gives three signatures, one of which both sets share. A set also signs for the next band when its
 partner can lie there. Nothing is missed.
 
-A projection without elements is shared by unrelated sets. With s spare parts, 1 + s parts agree, so
-a set with at most s empty projections may leave these out; a set with more keeps them all.
+A projection without elements, or of common shingles only, is shared by unrelated sets. With s spare
+parts, 1 + s parts agree. So a set with at most s parts that have such a projection may leave these
+signatures out: in one more part it agrees with its partner on a telling one, which both sign. A set
+with more keeps them all. Which shingles are common is read off a sample of documents; it only
+decides how many candidates there are, never which links are found.
 
 Sets that share signatures form candidate groups, joined through the smallest member of each bucket,
 so their number is linear in the signatures. Groups are then checked exactly, in blocks of documents.
@@ -16,6 +19,8 @@ so their number is linear in the signatures. Groups are then checked exactly, in
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -26,6 +31,8 @@ from arrears.llm.common import components, groups_of, local_roots, stage, words_
 
 BAND = 1.5            # ratio of the sizes in a band
 GROUP_ROWS = 1024     # documents of a block
+SAMPLE = 16           # one in so many documents tells which shingles are common
+COMMON = 100_000      # common shingles that are told apart, 8 bytes each
 SEEN = 200_000        # set keys a task remembers, to sign equal sets once
 RARE = 8              # a shingle of at most so many documents of a block is counted pair by pair
 BROADCAST_ROWS = 1_000_000   # candidates (16 bytes each) sent to every executor; more are joined by shuffle
@@ -72,8 +79,9 @@ def set_key(shingles: np.ndarray) -> int:
 
 
 class Signer:
-    def __init__(self, percent: int):
+    def __init__(self, percent: int, common: np.ndarray | None = None):
         self.percent = percent
+        self.common = np.sort(common) if common is not None and len(common) else np.zeros(1, np.uint64)
         lows, top = [1], 1.0
         while lows[-1] < 2**40:
             top *= BAND
@@ -90,16 +98,19 @@ class Signer:
             k = 2 * most * (100 - self.percent) // (100 + self.percent)
             if k:
                 parts = k // 2 + 1
-                spare = 1 + parts // 25
+                # Parts with an empty projection, of the smallest set that signs for the band.
+                mean = 3 * parts * math.exp(-2 / 3 * int(self.lows[band]) * self.percent / 100 / parts)
+                spare = 2 + math.ceil(mean + 3 * math.sqrt(mean))
                 yield band, parts + spare, spare
 
     def __call__(self, shingles: np.ndarray) -> np.ndarray:
         found = []
+        rare = self.common[np.minimum(np.searchsorted(self.common, shingles), len(self.common) - 1)] != shingles
         for band, parts, spare in self.instances(len(shingles)):
             h = mix(shingles + np.array([band], np.uint64) * M1)
             part = ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
             cell = (part * np.uint64(3) + (h & np.uint64(0xFFFFFFFF)) % np.uint64(3)).astype(np.int64)
-            count = np.bincount(cell, minlength=3 * parts).reshape(parts, 3)
+            count = np.bincount(cell[rare], minlength=3 * parts).reshape(parts, 3)
             sums = np.zeros(3 * parts, np.uint64)
             np.add.at(sums, cell, mix(h))
             sums = sums.reshape(parts, 3)
@@ -156,8 +167,10 @@ def similarity_classes(documents: DataFrame, width: int = 3, percent: int = 90)
             yield pd.DataFrame({"doc_id": frame["doc_id"].array, "n": [len(s) for s in sets],
                                 "node": pd.array([set_key(s) if len(s) else None for s in sets], dtype="Int64")})
 
+    common = common_shingles(texts, width)
+
     def signed(batches):
-        shingle, sign, seen = Shingler(width), Signer(percent), set()
+        shingle, sign, seen = Shingler(width), Signer(percent, common), set()
         for frame in batches:
             keys, found, held = [], [], 0
             for text in frame["text"]:
@@ -192,6 +205,22 @@ def similarity_classes(documents: DataFrame, width: int = 3, percent: int = 90)
                                                      F.when(F.col("doc_id").isNotNull(), F.coalesce("first", "doc_id")).alias("component_id"))
 
 
+def common_shingles(texts: DataFrame, width: int) -> np.ndarray:
+    """Shingles of three or more of one in ``SAMPLE`` documents, the most frequent ``COMMON`` of them."""
+    def counted(batches):
+        shingle = Shingler(width)
+        for frame in batches:
+            for lo in range(0, len(frame), 500):
+                sets = [shingle(t) for t in frame["text"].iloc[lo:lo + 500]]
+                values, n = np.unique(np.concatenate(sets), return_counts=True)
+                yield pd.DataFrame({"shingle": values.view(np.int64), "n": n})
+
+    sample = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("text")
+    table = (sample.mapInPandas(counted, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter("n >= 3")
+             .orderBy(F.desc("n"), "shingle").limit(COMMON).select("shingle").collect())
+    return np.array([r.shingle for r in table], dtype=np.int64).view(np.uint64)
+
+
 def _rows(keys, found) -> pd.DataFrame:
     return pd.DataFrame({"sig": np.concatenate(found).view(np.int64), "node": np.repeat(np.array(keys, dtype=np.int64), [len(f) for f in found])})
 
