@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from arrears.llm.common import fold, stage, words_of
 
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 10_000_000
 HEAD = 200            # words with a symbol of their own
 BINS = 44             # shared symbols for counts from 2, by power of two
 RARE = HEAD + BINS + 1
