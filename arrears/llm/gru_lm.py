@@ -2,9 +2,10 @@
 
 Counts of all words of all training documents give the base score and the symbols: the most frequent
 words have one each, all others share the symbol of their count's power of two, and words seen once
-or never share the last. The network predicts the next symbol as class, then symbol within the class;
-a word within a shared symbol has its share of the symbol's count. So probabilities are proper, and
-the network stays small however many words the corpus has.
+or never share the last. How many words have their own grows with the square root of the different
+words (``head_size``). The network predicts the next symbol as class, then symbol within the class,
+about as many classes as symbols in one; a word within a shared symbol has its share of the symbol's
+count. So probabilities are proper, and a step costs about the square root of the symbols.
 
 The path: (1) blocks of documents are coded against a dictionary of their own, so that one row per
 block and different word is shuffled instead of one per token; (2) counts are summed by word and sent
@@ -27,15 +28,16 @@ from pyspark.sql import functions as F
 from arrears.llm.common import fold, stage, words_of
 
 BLOCK_CHARS = 10_000_000
-HEAD = 200            # words with a symbol of their own
+HEAD = 200            # words with a symbol of their own, at least
+HEAD_GROWTH = 8       # times the square root of the different words
 BINS = 44             # shared symbols for counts from 2, by power of two
-RARE = HEAD + BINS + 1
-SYMBOLS = RARE + 1    # 0: end of a document
-CLASSES = 16
+SYMBOLS = HEAD + BINS + 2   # of the least network; 0: end of a document
 HIDDEN = 24
 TOGETHER = 1024       # documents that run side by side
 WINDOW = 64           # steps of a window when scoring
 TRAIN_WINDOW = 24     # steps back that training looks
+STRETCH = 65_536      # parameters averaged together
+SLICE = 4096          # rows of logits at a time
 TRAIN_SHARE = 16      # one in so many training documents, by a hash of its id, trains the network
 ROUNDS = 3
 
@@ -49,6 +51,15 @@ def unsqueeze(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
+def head_size(different: int) -> int:
+    """How many words have a symbol of their own, if the corpus has so many different ones."""
+    return max(HEAD, round(HEAD_GROWTH * different ** 0.5))
+
+
+def code_type(symbols: int) -> np.dtype:
+    return np.dtype("<u2" if symbols <= 1 << 16 else "<u4")
+
+
 @dataclass(frozen=True)
 class Counts:
     """What the corpus says: tokens and different tokens, documents, counts of symbols."""
@@ -65,7 +76,13 @@ class Counts:
         return np.log10((count + 1.0) / (self.tokens + self.different + 1.0))
 
     def symbol_tokens(self) -> np.ndarray:
-        return np.r_[self.documents, self.head, np.zeros(HEAD - len(self.head)), self.bin_tokens, self.once].astype(float)
+        return np.r_[self.documents, self.head, self.bin_tokens, self.once].astype(float)
+
+    def codes(self, head: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Symbols of words by their head number (0: none) and count."""
+        last = len(self.head) + BINS + 1
+        level = np.clip(np.log2(np.maximum(count, 1)).astype(np.int64), 1, BINS)
+        return np.where(head > 0, head, np.where(count > 1, len(self.head) + level, last)).astype(code_type(last + 1))
 
     def within(self, count: np.ndarray) -> np.ndarray:
         """log10 share of a word of that count in its shared symbol."""
@@ -81,30 +98,32 @@ class Network:
     """Gated recurrent network in float32; parameters live in one flat vector."""
 
     def __init__(self, tokens: np.ndarray, flat: np.ndarray | None = None, seed: int = 5):
+        symbols, classes = len(tokens), round(len(tokens) ** 0.5)
         order = np.argsort(-tokens, kind="stable")
         share = np.cumsum(np.sqrt(tokens[order] + 1.0))
-        klass = np.minimum((share / share[-1] * CLASSES).astype(np.int64), CLASSES - 1)
-        self.klass = np.empty(SYMBOLS, np.int64)
-        self.klass[order] = klass
-        self.members = [np.flatnonzero(self.klass == c) for c in range(CLASSES)]
-        self.rank = np.empty(SYMBOLS, np.int64)
-        for m in self.members:
-            self.rank[m] = np.arange(len(m))
-        shapes = {"x": (SYMBOLS, 3 * HIDDEN), "u": (HIDDEN, 3 * HIDDEN), "wc": (HIDDEN, CLASSES), "bc": (CLASSES,), "ws": (HIDDEN, SYMBOLS), "bs": (SYMBOLS,)}
-        size = sum(int(np.prod(s)) for s in shapes.values())
+        klass = np.minimum((share / share[-1] * classes).astype(np.int64), classes - 1)
+        self.klass, self.place = np.empty(symbols, np.int64), np.empty(symbols, np.int64)
+        self.klass[order], self.place[order] = klass, np.arange(symbols)   # classes lie side by side in ws and bs
+        self.first = np.searchsorted(klass, np.arange(classes + 1))
+        self.shapes = {"x": (symbols, 3 * HIDDEN), "u": (HIDDEN, 3 * HIDDEN), "wc": (HIDDEN, classes), "bc": (classes,), "ws": (symbols, HIDDEN), "bs": (symbols,)}
+        size = sum(int(np.prod(s)) for s in self.shapes.values())
         fresh = flat is None
         self.flat = (np.random.default_rng(seed).normal(0, 0.1, size) if fresh else flat).astype(np.float32)
-        at = 0
-        for name, shape in shapes.items():
-            n = int(np.prod(shape))
-            setattr(self, name, self.flat[at:at + n].reshape(shape))
-            at += n
+        for name, part in self._parts(self.flat).items():
+            setattr(self, name, part)
         if fresh:   # start from the counts
             p = (tokens + 0.5) / (tokens + 0.5).sum()
-            of_class = np.bincount(self.klass, p, CLASSES)
+            of_class = np.bincount(self.klass, p, classes)
             self.bc[:] = np.log(np.maximum(of_class, 1e-12))
-            self.bs[:] = np.log(p / of_class[self.klass])
-        self.shapes = shapes
+            self.bs[self.place] = np.log(p / of_class[self.klass])
+
+    def _parts(self, flat: np.ndarray) -> dict[str, np.ndarray]:
+        out, at = {}, 0
+        for name, shape in self.shapes.items():
+            size = int(np.prod(shape))
+            out[name] = flat[at:at + size].reshape(shape)
+            at += size
+        return out
 
     def step(self, h, x):
         g = self.x[x]
@@ -114,19 +133,30 @@ class Network:
         n = np.tanh(g[:, 2 * HIDDEN:] + r * un)
         return n + z * (h - n), z, r, n, un
 
-    def _log_softmax(self, logits):
-        logits = logits - logits.max(axis=1, keepdims=True)
-        return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+    def _by_class(self, target):
+        """Order of the targets by class, and (class, from, to) in it of each class that occurs."""
+        klass = self.klass[target]
+        order = np.argsort(klass, kind="stable")
+        bounds = np.searchsorted(klass[order], np.arange(len(self.first)))
+        return order, [(c, bounds[c], bounds[c + 1]) for c in np.flatnonzero(np.diff(bounds))]
 
     def log_prob(self, h, target):
         """Natural log probability of each target after the states ``h``."""
-        klass = self.klass[target]
-        out = self._log_softmax(h @ self.wc + self.bc)[np.arange(len(h)), klass].astype(float)
-        for c, m in enumerate(self.members):
-            rows = np.flatnonzero(klass == c)
-            if len(rows) and len(m) > 1:
-                out[rows] += self._log_softmax(h[rows] @ self.ws[:, m] + self.bs[m])[np.arange(len(rows)), self.rank[target[rows]]]
-        return out
+        order, groups = self._by_class(target)
+        h, place, out = h[order], self.place[target[order]], np.empty(len(h))
+        klass = self.klass[target[order]]
+        for lo in range(0, len(h), SLICE):
+            some = slice(lo, lo + SLICE)
+            out[some] = _log_share(h[some] @ self.wc + self.bc, klass[some])
+        for c, lo, hi in groups:
+            m = slice(self.first[c], self.first[c + 1])
+            if m.stop - m.start > 1:
+                for at in range(lo, hi, SLICE):
+                    some = slice(at, min(at + SLICE, hi))
+                    out[some] += _log_share(h[some] @ self.ws[m].T + self.bs[m], place[some] - m.start)
+        back = np.empty(len(h))
+        back[order] = out
+        return back
 
     def scores(self, documents: list[np.ndarray]) -> np.ndarray:
         """Natural log probability of each document of symbols; the last one is its end."""
@@ -147,9 +177,18 @@ class Network:
             out[group] = total
         return out
 
-    def train(self, documents: list[np.ndarray], rate: float = 0.01, together: int = 64) -> None:
+    def train(self, documents: list[np.ndarray], rate: float = 0.01, together: int = 256) -> None:
         """One pass of truncated backpropagation with Adam."""
         m, v, count = np.zeros_like(self.flat), np.zeros_like(self.flat), 0
+        rows, rest = self.x.size, slice(self.x.size, None)
+
+        def moved(flat, m, v, gradient, some):
+            """Adam on some of the entries; ``some`` is an index of the first axis."""
+            first = m[some] * np.float32(0.9) + np.float32(0.1) * gradient
+            second = v[some] * np.float32(0.99) + np.float32(0.01) * (gradient * gradient)
+            m[some], v[some] = first, second
+            flat[some] -= np.float32(rate / (1 - 0.9 ** count)) * first / (np.sqrt(second * np.float32(1 / (1 - 0.99 ** count))) + np.float32(1e-8))
+
         order = np.argsort([-len(d) for d in documents], kind="stable")
         groups = [order[lo:lo + together] for lo in range(0, len(order), together)]
         for group in groups:
@@ -158,12 +197,12 @@ class Network:
             for at in range(0, int(length[0]), TRAIN_WINDOW):
                 n0 = int(np.searchsorted(-length, -at, "left"))
                 gradient, h = self._window(h[:n0], flat, start, length, at)
-                norm = float(np.sqrt((gradient ** 2).sum()))
-                gradient *= min(1.0, 1.0 / (norm + 1e-9))
+                scale = np.float32(min(1.0, 1.0 / (float(np.sqrt(gradient @ gradient)) + 1e-9)))
                 count += 1
-                m += 0.1 * (gradient - m)
-                v += 0.01 * (gradient ** 2 - v)
-                self.flat -= np.float32(rate) * (m / (1 - 0.9 ** count)) / (np.sqrt(v / (1 - 0.99 ** count)) + 1e-8)
+                # Rows of symbols that the window lacks rest, so a step does not grow with the symbols' number of inputs.
+                of_x = gradient[:rows].reshape(self.x.shape)
+                moved(self.x, m[:rows].reshape(self.x.shape), v[:rows].reshape(self.x.shape), of_x[self.seen] * scale, self.seen)
+                moved(self.flat, m, v, gradient[rest] * scale, rest)
 
     def _window(self, h, flat, start, length, at):
         kept, states, targets = [], [], []
@@ -176,28 +215,27 @@ class Network:
             states.append(h), targets.append(flat[start[:n] + t + 1])
         every, goal = np.concatenate(states), np.concatenate(targets)
         grad = np.zeros_like(self.flat)
-        g, at_ = {}, 0
-        for name, shape in self.shapes.items():
-            size = int(np.prod(shape))
-            g[name] = grad[at_:at_ + size].reshape(shape)
-            at_ += size
-        klass, scale = self.klass[goal], np.float32(1 / len(goal))
-        d = np.exp(self._log_softmax(every @ self.wc + self.bc))
-        d[np.arange(len(goal)), klass] -= 1
+        g = self._parts(grad)
+        order, groups = self._by_class(goal)
+        ranked, place, scale = every[order], self.place[goal[order]], np.float32(1 / len(goal))
+        d = _softmax(ranked @ self.wc + self.bc)
+        d[np.arange(len(goal)), self.klass[goal[order]]] -= 1
         d *= scale
-        g["wc"] += every.T @ d
+        g["wc"] += ranked.T @ d
         g["bc"] += d.sum(axis=0)
-        dh = d @ self.wc.T
-        for c, m in enumerate(self.members):
-            rows = np.flatnonzero(klass == c)
-            if len(rows) and len(m) > 1:
-                e = np.exp(self._log_softmax(every[rows] @ self.ws[:, m] + self.bs[m]))
-                e[np.arange(len(rows)), self.rank[goal[rows]]] -= 1
+        by_class = d @ self.wc.T
+        for c, lo, hi in groups:
+            m = slice(self.first[c], self.first[c + 1])
+            if m.stop - m.start > 1:
+                e = _softmax(ranked[lo:hi] @ self.ws[m].T + self.bs[m])
+                e[np.arange(hi - lo), place[lo:hi] - m.start] -= 1
                 e *= scale
-                g["ws"][:, m] += every[rows].T @ e
-                g["bs"][m] += e.sum(axis=0)
-                dh[rows] += e @ self.ws[:, m].T
-        end, carried, last = len(every), np.zeros((0, HIDDEN), np.float32), h
+                g["ws"][m] = e.T @ ranked[lo:hi]
+                g["bs"][m] = e.sum(axis=0)
+                by_class[lo:hi] += e @ self.ws[m]
+        dh = np.empty_like(by_class)
+        dh[order] = by_class
+        end, carried, last, into = len(every), np.zeros((0, HIDDEN), np.float32), h, []
         for (x, before, z, r, c, un) in reversed(kept):
             n = len(x)
             d = dh[end - n:end]
@@ -206,14 +244,32 @@ class Network:
             dz = d * (before - c) * z * (1 - z)
             dn = d * (1 - z) * (1 - c * c)
             dr = dn * un * r * (1 - r)
-            dx = np.concatenate([dz, dr, dn], axis=1)
+            into.append(np.concatenate([dz, dr, dn], axis=1))
             du = np.concatenate([dz, dr, dn * r], axis=1)
-            np.add.at(g["x"], x, dx)
             g["u"] += before.T @ du
             carried = d * z + du @ self.u.T
+        x = np.concatenate([k[0] for k in reversed(kept)])
+        order = np.argsort(x, kind="stable")
+        self.seen, starts = np.unique(x[order], return_index=True)
+        g["x"][self.seen] = np.add.reduceat(np.concatenate(into)[order], starts)
         return grad, last
 
 
+def _softmax(logits):
+    logits -= logits.max(axis=1, keepdims=True)
+    np.exp(logits, out=logits)
+    logits /= logits.sum(axis=1, keepdims=True)
+    return logits
+
+
+def _log_share(logits, at):
+    """Natural log of the softmax at one place of each row."""
+    logits -= logits.max(axis=1, keepdims=True)
+    chosen = logits[np.arange(len(logits)), at].astype(float)
+    np.exp(logits, out=logits)
+    return chosen - np.log(logits.sum(axis=1))
+
+
 def _flat(documents: list[np.ndarray]):
     """Documents in one array, each behind an end symbol that starts it: array, starts, lengths."""
     length = np.array([len(d) for d in documents])
@@ -274,7 +330,8 @@ def count(coded: DataFrame) -> tuple[DataFrame, Counts]:
     counted = stage(words.select("block", "idx", "word", F.sum("n").over(by_word).alias("c"),
                                  (F.row_number().over(by_word.orderBy("block")) == 1).alias("first")))
     distinct = counted.filter("first and c > 0")
-    head = distinct.filter("c > 1").orderBy(F.desc("c"), "word").limit(HEAD).select("word", "c").collect()
+    size = head_size(distinct.count())
+    head = distinct.filter("c > 1").orderBy(F.desc("c"), "word").limit(size).select("word", "c").collect()
     session = coded.sparkSession
     numbers = session.createDataFrame([(bytes(r.word), i) for i, r in enumerate(head, 1)], "word binary, head int")
     marked = counted.join(F.broadcast(numbers), "word", "left")
@@ -302,15 +359,14 @@ def symbols(coded: DataFrame, counted: DataFrame, found: Counts) -> DataFrame:
         size = int(words["idx"].max()) + 1 if len(words) else 0
         c, head = np.zeros(size, np.int64), np.zeros(size, np.int64)
         c[words["idx"]], head[words["idx"]] = words["c"], words["head"]
-        level = np.clip(np.log2(np.maximum(c, 1)).astype(np.int64), 1, BINS)
-        code = np.where(head > 0, head, np.where(c > 1, HEAD + level, RARE)).astype(np.uint8)
+        code = found.codes(head, c)
         base, within = found.base(c), np.where(head > 0, 0.0, found.within(c))
         end_base = float(found.base(np.array([found.documents]))[0])
         rows = []
         for doc, train, ids in zip(docs["doc_id"].astype("Int64"), docs["train"], docs["ids"]):
             i = unsqueeze(ids)
             rows.append((doc, train, len(i) + 1, int((c[i] > 0).sum()) + (found.documents > 0), float(base[i].sum()) + end_base,
-                         float(within[i].sum()), code[i].tobytes() + b"\0"))
+                         float(within[i].sum()), np.append(code[i], code.dtype.type(0)).tobytes()))
         out = pd.DataFrame(rows, columns=["doc_id", "train", "n_tokens", "n_known", "base_score", "within", "codes"])
         out["doc_id"] = out["doc_id"].astype("Int64")
         return out
@@ -322,29 +378,37 @@ def symbols(coded: DataFrame, counted: DataFrame, found: Counts) -> DataFrame:
 def learn(coded: DataFrame, found: Counts, rounds: int = ROUNDS, share: int = TRAIN_SHARE) -> np.ndarray:
     """Weights after some rounds: every task trains on its rows, tasks are averaged by their tokens.
 
-    The average is a sum by parameter in Spark; the driver sees one value per parameter.
+    There are as many tasks as cores, so that what they send does not grow with the rows. The average
+    is taken by stretches of parameters in Spark; the driver sees one value per parameter.
     """
     tokens = found.symbol_tokens()
-    flat = Network(tokens).flat
+    kind, flat = code_type(len(tokens)), Network(tokens).flat
     rows = coded.filter(F.col("train") & (F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0)).select("codes")
+    tasks = coded.sparkSession.sparkContext.defaultParallelism
     for _ in range(rounds):
         start = flat.copy()
 
         def trained(batches):
             network, weight = Network(tokens, start.copy()), 0
             for frame in batches:
-                some = [np.frombuffer(c, np.uint8).astype(np.int64) for c in frame["codes"]]
+                some = [np.frombuffer(c, kind).astype(np.int64) for c in frame["codes"]]
                 if some:
                     network.train(some)
                     weight += sum(map(len, some))
             if weight:
-                yield pd.DataFrame({"at": np.arange(len(start)), "value": network.flat.astype(float) * weight, "weight": float(weight)})
-
-        total = (rows.mapInPandas(trained, "at int, value double, weight double").groupBy("at")
-                 .agg(F.sum("value").alias("value"), F.sum("weight").alias("weight")).toPandas())
-        if len(total):
-            flat = start.copy()
-            flat[total["at"].to_numpy()] = (total["value"] / total["weight"]).to_numpy(np.float32)
+                at = range(0, len(start), STRETCH)
+                yield pd.DataFrame({"at": at, "value": [network.flat[lo:lo + STRETCH].tobytes() for lo in at], "weight": float(weight)})
+
+        def averaged(frame):
+            total = sum(np.frombuffer(v, np.float32).astype(float) * w for v, w in zip(frame["value"], frame["weight"]))
+            return pd.DataFrame({"at": [frame["at"].iloc[0]], "value": [(total / frame["weight"].sum()).astype(np.float32).tobytes()]})
+
+        means = (rows.coalesce(tasks).mapInPandas(trained, "at int, value binary, weight double").groupBy("at")
+                 .applyInPandas(averaged, "at int, value binary").collect())
+        flat = start.copy()
+        for r in means:
+            part = np.frombuffer(r.value, np.float32)
+            flat[r.at:r.at + len(part)] = part
     return flat
 
 
@@ -359,11 +423,12 @@ def report(documents: DataFrame) -> DataFrame:
     counted, found = count(blocks)
     coded = stage(symbols(blocks, counted, found))
     flat, tokens = learn(coded, found), found.symbol_tokens()
+    kind = code_type(len(tokens))
 
     def scored(batches):
         network = Network(tokens, flat)
         for frame in batches:
-            logs = network.scores([np.frombuffer(c, np.uint8).astype(np.int64) for c in frame["codes"]])
+            logs = network.scores([np.frombuffer(c, kind).astype(np.int64) for c in frame["codes"]])
             yield frame.drop(columns=["codes", "within", "train"]).assign(score=logs / np.log(10) + frame["within"], held_out=~frame["train"].astype(bool))
 
     out = coded.mapInPandas(scored, "doc_id long, n_tokens long, n_known long, base_score double, score double, held_out boolean")
