@@ -10,8 +10,8 @@ count. So probabilities are proper, and a step costs about the square root of th
 The path: (1) blocks of documents are coded against a dictionary of their own, so that one row per
 block and different word is shuffled instead of one per token; (2) counts are summed by word and sent
 back to the blocks; (3) documents become strings of symbols; (4) the network is trained by truncated
-backpropagation, every task on its share, averaged after each round; (5) every document is scored,
-its state carried across windows to its end.
+backpropagation, every training document in one of the rounds, tasks averaged after each; (5) every
+document is scored, its state carried across windows to its end.
 """
 
 from __future__ import annotations
@@ -38,8 +38,7 @@ WINDOW = 64           # steps of a window when scoring
 TRAIN_WINDOW = 24     # steps back that training looks
 STRETCH = 65_536      # parameters averaged together
 SLICE = 4096          # rows of logits at a time
-TRAIN_SHARE = 16      # one in so many training documents, by a hash of its id, trains the network
-ROUNDS = 3
+ROUNDS = 3            # each on its own part of the training documents, which together are all of them
 
 
 def squeeze(values: np.ndarray) -> bytes:
@@ -375,7 +374,12 @@ def symbols(coded: DataFrame, counted: DataFrame, found: Counts) -> DataFrame:
     return documents.groupBy("block").cogroup(counted.groupBy("block")).applyInPandas(told, schema)
 
 
-def learn(coded: DataFrame, found: Counts, rounds: int = ROUNDS, share: int = TRAIN_SHARE) -> np.ndarray:
+def rows_of_round(coded: DataFrame, number: int, rounds: int = ROUNDS) -> DataFrame:
+    """Training documents of a round: each document, by a hash of its id, has exactly one round."""
+    return coded.filter(F.col("train") & (F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == number))
+
+
+def learn(coded: DataFrame, found: Counts, rounds: int = ROUNDS) -> np.ndarray:
     """Weights after some rounds: every task trains on its rows, tasks are averaged by their tokens.
 
     There are as many tasks as cores, so that what they send does not grow with the rows. The average
@@ -383,9 +387,8 @@ def learn(coded: DataFrame, found: Counts, rounds: int = ROUNDS, share: int = TR
     """
     tokens = found.symbol_tokens()
     kind, flat = code_type(len(tokens)), Network(tokens).flat
-    rows = coded.filter(F.col("train") & (F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0)).select("codes")
     tasks = coded.sparkSession.sparkContext.defaultParallelism
-    for _ in range(rounds):
+    for number in range(rounds):
         start = flat.copy()
 
         def trained(batches):
@@ -403,8 +406,8 @@ def learn(coded: DataFrame, found: Counts, rounds: int = ROUNDS, share: int = TR
             total = sum(np.frombuffer(v, np.float32).astype(float) * w for v, w in zip(frame["value"], frame["weight"]))
             return pd.DataFrame({"at": [frame["at"].iloc[0]], "value": [(total / frame["weight"].sum()).astype(np.float32).tobytes()]})
 
-        means = (rows.coalesce(tasks).mapInPandas(trained, "at int, value binary, weight double").groupBy("at")
-                 .applyInPandas(averaged, "at int, value binary").collect())
+        means = (rows_of_round(coded, number, rounds).select("codes").coalesce(tasks).mapInPandas(trained, "at int, value binary, weight double")
+                 .groupBy("at").applyInPandas(averaged, "at int, value binary").collect())
         flat = start.copy()
         for r in means:
             part = np.frombuffer(r.value, np.float32)
