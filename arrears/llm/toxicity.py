@@ -35,7 +35,8 @@ FEATURES = ("insult", "insult at target", "negated insult", "reported insult", "
 SAMPLE_ROWS = 20_000   # labelled rows a classifier is fitted on, the first by a hash of the id
 STEM = (4, 8)          # letters of a learned stem
 MIN_CONTEXTS = 6       # different words before a learned stem
-MIN_ODDS, MIN_PURITY = 3.0, 50   # its log odds in toxic rows, and toxic rows for each other one
+BOUNDS = (2.0, 3.0, 4.0, 5.0)    # least log odds in toxic rows, of which cross-validation takes one
+PARTS = 3              # of the training rows, by a hash of the text, for it
 
 
 @dataclass
@@ -177,34 +178,63 @@ def stems_of(text: str) -> dict[str, int]:
     return out
 
 
+def chosen_stems(found: dict[str, tuple[int, float]], bound: float) -> frozenset:
+    """Stems of (toxic rows, log odds) with odds of at least ``bound``: of nested stems that explain the
+    same toxic rows the longest, and none that has another one before it."""
+    stems = {s: t for s, (t, odds) in found.items() if odds >= bound}
+    for stem in list(stems):
+        for n in range(STEM[0], len(stem)):
+            if stems.get(stem[:n]) == found[stem][0]:
+                del stems[stem[:n]]
+    return frozenset(s for s in stems if not any(s[:n] in stems for n in range(STEM[0], len(s))))
+
+
 def learned_stems(rows: DataFrame) -> frozenset:
-    """Shortest stems that stand far more often in toxic rows than in others.
+    """Stems that stand far more often in toxic rows than in others.
 
     Copies of one toxic text share all their rare words; a stem must follow several different words,
-    which no number of copies brings about.
+    which no number of copies brings about. Clean rows that hold a stem, negated or reported, lower its
+    smoothed odds but do not veto it; the least odds are those with the fewest errors of the grammar on
+    parts of the rows that the stems were not taken from.
     """
     def counted(batches):
         for frame in batches:
-            seen, bits = (Counter(), Counter()), {}
-            for text, toxic in zip(frame["text"], frame["toxic"]):
-                found = stems_of(text or "")
-                seen[int(toxic)].update(found.keys())
-                if toxic:
-                    for stem, mask in found.items():
-                        bits[stem] = bits.get(stem, 0) | mask
-            every = list(seen[0].keys() | seen[1].keys())
-            yield pd.DataFrame({"stem": every, "t": [seen[1][s] for s in every], "c": [seen[0][s] for s in every],
-                                "before": [bits.get(s, 0) for s in every]}).astype({"t": int, "c": int, "before": int})
-
-    totals = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    toxic, clean = totals.get(1, 0), totals.get(0, 0)
-    odds = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean + 1))
-    # Of a bounded sample, these are few: a stem must stand in several toxic rows and hardly elsewhere.
-    found = (rows.mapInPandas(counted, "stem string, t long, c long, before long").groupBy("stem")
-             .agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.expr("bit_count(bit_or(before))").alias("contexts"))
-             .filter(F.col("contexts") >= MIN_CONTEXTS).filter(F.col("t") >= MIN_PURITY * F.col("c")).filter(odds >= MIN_ODDS).select("stem").collect())
-    stems = {r.stem for r in found}
-    return frozenset(s for s in stems if not any(s[:n] in stems for n in range(STEM[0], len(s))))
+            for part, some in frame.groupby("part"):
+                seen, bits = (Counter(), Counter()), {}
+                for text, toxic in zip(some["text"], some["toxic"]):
+                    found = stems_of(text or "")
+                    seen[int(toxic)].update(found.keys())
+                    if toxic:
+                        for stem, mask in found.items():
+                            bits[stem] = bits.get(stem, 0) | mask
+                every = list(seen[0].keys() | seen[1].keys())
+                yield pd.DataFrame({"part": part, "stem": every, "t": [seen[1][s] for s in every], "c": [seen[0][s] for s in every],
+                                    "before": [bits.get(s, 0) for s in every]}).astype({"part": int, "t": int, "c": int, "before": int})
+
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("text"), F.lit(PARTS)).cast("int"))
+    counts = stage(rows.mapInPandas(counted, "part int, stem string, t long, c long, before long"))
+    totals = {(r.part, r.toxic): r["count"] for r in rows.groupBy("part", "toxic").count().collect()}
+
+    def found(without: int | None) -> dict[str, tuple[int, float]]:
+        toxic, clean = (sum(n for (part, kind), n in totals.items() if kind == k and part != without) for k in (1, 0))
+        odds = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean + 1))
+        some = counts if without is None else counts.filter(F.col("part") != without)
+        # Of a bounded sample, these are few.
+        return {r.stem: (r.t, r.odds) for r in some.groupBy("stem").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.expr("bit_count(bit_or(before))").alias("contexts"))
+                .filter(F.col("contexts") >= MIN_CONTEXTS).withColumn("odds", odds).filter(F.col("odds") >= min(BOUNDS)).select("stem", "t", "odds").collect()}
+
+    others = [found(part) for part in range(PARTS)]
+
+    def judged(batches):
+        lexicons = [[Lexicon(chosen_stems(f, bound)) for bound in BOUNDS] for f in others]
+        for frame in batches:
+            wrong = np.zeros(len(BOUNDS), np.int64)
+            for text, toxic, part in zip(frame["text"], frame["toxic"], frame["part"]):
+                wrong += [bool(matches(text, lexicon)[:2].sum() > 0) != bool(toxic) for lexicon in lexicons[part]]
+            yield pd.DataFrame({"bound": BOUNDS, "wrong": wrong})
+
+    wrong = {r.bound: r.wrong for r in rows.mapInPandas(judged, "bound double, wrong long").groupBy("bound").agg(F.sum("wrong").alias("wrong")).collect()}
+    return chosen_stems(found(None), min(BOUNDS, key=lambda bound: (wrong.get(bound, 0), -bound)))
 
 
 def fit(documents: DataFrame, labels: DataFrame, rounds: int = 60) -> Model:
