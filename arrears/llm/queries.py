@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from arrears.llm import (
-    conversation_repair, curriculum, gru_lm, language, multi_index, near_embeddings, packing, partenum, periodic_runs, personal, sampling, toxicity,
+    conversation_repair, curriculum, gru_lm, language, multi_index, near_embeddings, packing, partenum, periodic_runs, personal, rule_ensemble, sampling, toxicity,
 )
 
 
@@ -53,6 +53,10 @@ def op10_packing(spark, sf_dir):
     return packing.packed(_table(spark, sf_dir, "documents"), digest=True)
 
 
+def op11_rule_ensemble(spark, sf_dir):
+    return rule_ensemble.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op12_conversation_repair(spark, sf_dir):
     return conversation_repair.report(_table(spark, sf_dir, "conversations"))
 
@@ -63,7 +67,7 @@ def op13_periodic_runs(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     op1_near_embeddings, op2_sampled_segmentations, op3_toxicity, op4_source_mixing, op5_ngram_join, op6_multi_index, op7_language,
-    op8_gru_scores, op9_personal_data, op10_packing, op12_conversation_repair, op13_periodic_runs)}
+    op8_gru_scores, op9_personal_data, op10_packing, op11_rule_ensemble, op12_conversation_repair, op13_periodic_runs)}
 _REACH = """reach AS (SELECT id AS a, id AS b FROM nodes UNION SELECT a, y FROM reach JOIN links ON x = b)"""
 #: crc32 of an ASCII text, bit by bit.
 _CRC = """xor(list_reduce([4294967295::BIGINT] || list_transform(string_split({key}, ''), lambda c: unicode(c)::BIGINT),
