@@ -3,13 +3,14 @@
 Counts of all words of all training documents give the base score and the symbols: the most frequent
 words have one each, all others share the symbol of their count's power of two, and words seen once
 or never share the last. How many words have their own grows with the square root of the different
-words (``head_size``). The network predicts the next symbol as class, then symbol within the class,
-about as many classes as symbols in one; a word within a shared symbol has its share of the symbol's
-count. So probabilities are proper, and a step costs about the square root of the symbols.
+words (``head_size``). The network predicts the next symbol as class, then symbol within the class, with as
+many classes as make a step cheapest; a word within a shared symbol has its share of the symbol's
+count. A word that was never seen is spelled: the mass of the unseen times the probability of its bytes under a
+letter model of the different words of the corpus. So the score is a probability of the text.
 
 The path: (1) blocks of documents are coded against a dictionary of their own, so that one row per
-block and different word is shuffled instead of one per token; (2) counts are summed by word and sent
-back to the blocks; (3) documents become strings of symbols; (4) the network is trained by truncated
+block and different word is shuffled instead of one per token; (2) counts are summed by word and joined
+to the blocks; (3) documents become strings of symbols; (4) the network is trained by truncated
 backpropagation, every training document in one of the rounds, tasks averaged after each; (5) every
 document is scored, its state carried across windows to its end.
 """
@@ -22,7 +23,7 @@ import numpy as np
 import pandas as pd
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arrears.llm.common import fold, stage, words_of
@@ -36,11 +37,24 @@ HIDDEN = 24
 TOGETHER = 1024       # documents that run side by side
 WINDOW = 64           # steps of a window when scoring
 TRAIN_WINDOW = 24     # steps back that training looks
+TRAIN_TOGETHER = 512
+LONG = 1024           # steps of a document that training runs in one piece
+RATE = 0.01
 STRETCH = 65_536      # parameters averaged together
 SLICE = 4096          # rows of logits at a time
+TOKENS_A_WEIGHT = 2.0 # tokens a task trains on for each parameter it sends
+LEAST_TOKENS = 200_000
 ROUNDS = 3            # each on its own part of the training documents, which together are all of them
 
 
+class Index(dict):
+    """Numbers of different words in the order they are met."""
+
+    def __missing__(self, word):
+        self[word] = number = len(self)
+        return number
+
+
 def squeeze(values: np.ndarray) -> bytes:
     return zstandard.compress(np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
 
@@ -84,7 +98,7 @@ class Counts:
         return np.where(head > 0, head, np.where(count > 1, len(self.head) + level, last)).astype(code_type(last + 1))
 
     def within(self, count: np.ndarray) -> np.ndarray:
-        """log10 share of a word of that count in its shared symbol."""
+        """log10 share of a word of that count in its shared symbol; of no count, of all unseen words together."""
         # What was never seen has the weight of what was seen once, as in estimates of unseen mass.
         unseen = (self.once + 1.0) / (self.once + 2.0 * self.twice + 2.0)
         level = np.log2(np.maximum(count, 1)).astype(np.int64)
@@ -93,18 +107,58 @@ class Counts:
         return np.log10(np.where(count <= 1, rare, shared))
 
 
+class Letters:
+    """Probability of a word letter by letter: each byte, and the end, after the byte before it.
+
+    Smoothed by how often a byte occurs at all, and that by an equal share, so that every word has some; the
+    probabilities of all words add up to one.
+    """
+    EDGE = 256
+
+    def __init__(self, pairs: np.ndarray):
+        pairs = pairs.reshape(257, 257).astype(float)
+        alone = pairs.sum(axis=0) + 0.5
+        alone[self.EDGE] = max(alone[self.EDGE], 1.0)
+        after = pairs + 20.0 * alone / alone.sum()
+        self.log = np.log10(after / after.sum(axis=1, keepdims=True))
+        # No word is empty: a word does not end before its first byte.
+        first = after[self.EDGE].copy()
+        first[self.EDGE] = 0.0
+        with np.errstate(divide="ignore"):
+            self.log[self.EDGE] = np.log10(first / first.sum())
+
+    @classmethod
+    def pairs(cls, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(pair, word it is in, number of pairs of each word) of bytes that follow each other."""
+        length = np.fromiter(map(len, words), np.int64, len(words))
+        codes = np.full(int(length.sum()) + len(words) + 1, cls.EDGE, np.int64)   # an edge before, between and behind
+        inside = np.ones(len(codes), bool)
+        inside[np.r_[0, np.cumsum(length + 1)]] = False
+        codes[inside] = np.frombuffer(b"".join(words), np.uint8)
+        return codes[:-1] * 257 + codes[1:], np.repeat(np.arange(len(words)), length + 1), length + 1
+
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        """log10 probability of each word."""
+        pair, word, _ = self.pairs(words)
+        return np.bincount(word, self.log.ravel()[pair], len(words))
+
+
 class Network:
-    """Gated recurrent network in float32; parameters live in one flat vector."""
+    """Gated recurrent network in float32; parameters live in one flat vector.
+
+    Output weights hold their bias in a last column, for which states carry a one.
+    """
 
     def __init__(self, tokens: np.ndarray, flat: np.ndarray | None = None, seed: int = 5):
-        symbols, classes = len(tokens), round(len(tokens) ** 0.5)
+        symbols = len(tokens)
+        classes = max(1, round(np.sqrt((tokens + 0.5) / (tokens + 0.5).sum()).sum()))
         order = np.argsort(-tokens, kind="stable")
         share = np.cumsum(np.sqrt(tokens[order] + 1.0))
         klass = np.minimum((share / share[-1] * classes).astype(np.int64), classes - 1)
-        self.klass, self.place = np.empty(symbols, np.int64), np.empty(symbols, np.int64)
-        self.klass[order], self.place[order] = klass, np.arange(symbols)   # classes lie side by side in ws and bs
+        self.klass, self.place = np.empty(symbols, np.int32), np.empty(symbols, np.int32)
+        self.klass[order], self.place[order] = klass, np.arange(symbols)   # classes lie side by side in ws
         self.first = np.searchsorted(klass, np.arange(classes + 1))
-        self.shapes = {"x": (symbols, 3 * HIDDEN), "u": (HIDDEN, 3 * HIDDEN), "wc": (HIDDEN, classes), "bc": (classes,), "ws": (symbols, HIDDEN), "bs": (symbols,)}
+        self.shapes = {"x": (symbols, 3 * HIDDEN), "u": (HIDDEN, 3 * HIDDEN), "wc": (classes, HIDDEN + 1), "ws": (symbols, HIDDEN + 1)}
         size = sum(int(np.prod(s)) for s in self.shapes.values())
         fresh = flat is None
         self.flat = (np.random.default_rng(seed).normal(0, 0.1, size) if fresh else flat).astype(np.float32)
@@ -113,8 +167,8 @@ class Network:
         if fresh:   # start from the counts
             p = (tokens + 0.5) / (tokens + 0.5).sum()
             of_class = np.bincount(self.klass, p, classes)
-            self.bc[:] = np.log(np.maximum(of_class, 1e-12))
-            self.bs[self.place] = np.log(p / of_class[self.klass])
+            self.wc[:, HIDDEN] = np.log(np.maximum(of_class, 1e-12))
+            self.ws[self.place, HIDDEN] = np.log(p / of_class[self.klass])
 
     def _parts(self, flat: np.ndarray) -> dict[str, np.ndarray]:
         out, at = {}, 0
@@ -127,35 +181,42 @@ class Network:
     def step(self, h, x):
         g = self.x[x]
         u = h @ self.u
-        zr = 1.0 / (1.0 + np.exp(-(g[:, :2 * HIDDEN] + u[:, :2 * HIDDEN])))
+        zr = g[:, :2 * HIDDEN]
+        zr += u[:, :2 * HIDDEN]
+        np.negative(zr, out=zr)
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
         z, r, un = zr[:, :HIDDEN], zr[:, HIDDEN:], u[:, 2 * HIDDEN:]
-        n = np.tanh(g[:, 2 * HIDDEN:] + r * un)
-        return n + z * (h - n), z, r, n, un
-
-    def _by_class(self, target):
-        """Order of the targets by class, and (class, from, to) in it of each class that occurs."""
-        klass = self.klass[target]
-        order = np.argsort(klass, kind="stable")
+        n = r * un
+        n += g[:, 2 * HIDDEN:]
+        np.tanh(n, out=n)
+        new = h - n
+        new *= z
+        new += n
+        return new, z, r, n, un
+
+    def _by_class(self, klass):
+        """Order of targets by class, and (class, from, to) in it of each class of several symbols that occurs."""
+        order = np.argsort(klass.astype(np.uint16) if len(self.wc) <= 1 << 16 else klass, kind="stable")
         bounds = np.searchsorted(klass[order], np.arange(len(self.first)))
-        return order, [(c, bounds[c], bounds[c + 1]) for c in np.flatnonzero(np.diff(bounds))]
+        several = np.diff(self.first) > 1
+        return order, [(c, bounds[c], bounds[c + 1]) for c in np.flatnonzero((np.diff(bounds) > 0) & several)]
 
     def log_prob(self, h, target):
-        """Natural log probability of each target after the states ``h``."""
-        order, groups = self._by_class(target)
-        h, place, out = h[order], self.place[target[order]], np.empty(len(h))
-        klass = self.klass[target[order]]
+        """Natural log probability of each target after the states ``h``, with or without their column of ones."""
+        if h.shape[1] == HIDDEN:
+            h = np.hstack([h, np.ones((len(h), 1), np.float32)])
+        klass, place, out = self.klass[target], self.place[target], np.empty(len(h))
         for lo in range(0, len(h), SLICE):
             some = slice(lo, lo + SLICE)
-            out[some] = _log_share(h[some] @ self.wc + self.bc, klass[some])
+            out[some] = _log_share(h[some] @ self.wc.T, klass[some])
+        order, groups = self._by_class(klass)
         for c, lo, hi in groups:
-            m = slice(self.first[c], self.first[c + 1])
-            if m.stop - m.start > 1:
-                for at in range(lo, hi, SLICE):
-                    some = slice(at, min(at + SLICE, hi))
-                    out[some] += _log_share(h[some] @ self.ws[m].T + self.bs[m], place[some] - m.start)
-        back = np.empty(len(h))
-        back[order] = out
-        return back
+            for at in range(lo, hi, SLICE):
+                rows = order[at:min(at + SLICE, hi)]
+                out[rows] += _log_share(h[rows] @ self.ws[self.first[c]:self.first[c + 1]].T, place[rows] - self.first[c])
+        return out
 
     def scores(self, documents: list[np.ndarray]) -> np.ndarray:
         """Natural log probability of each document of symbols; the last one is its end."""
@@ -167,113 +228,159 @@ class Network:
             h = np.zeros((len(group), HIDDEN), np.float32)
             total = np.zeros(len(group))
             for at in range(0, int(length[0]), WINDOW):
-                states, targets, owners = [], [], []
-                for t in range(at, min(at + WINDOW, int(length[0]))):
-                    n = int(np.searchsorted(-length, -t, "left"))   # documents longer than t come first
+                running = _running(length, at, WINDOW)
+                states, targets = np.ones((sum(running), HIDDEN + 1), np.float32), np.empty(sum(running), np.int64)
+                end = 0
+                for t, n in enumerate(running, at):   # documents longer than t come first
                     h = self.step(h[:n], flat[start[:n] + t])[0]
-                    states.append(h), targets.append(flat[start[:n] + t + 1]), owners.append(np.arange(n))
-                total += np.bincount(np.concatenate(owners), self.log_prob(np.concatenate(states), np.concatenate(targets)), len(group))
+                    states[end:end + n, :HIDDEN], targets[end:end + n] = h, flat[start[:n] + t + 1]
+                    end += n
+                owners = np.concatenate([np.arange(n) for n in running])
+                total += np.bincount(owners, self.log_prob(states, targets), len(group))
             out[group] = total
         return out
 
-    def train(self, documents: list[np.ndarray], rate: float = 0.01, together: int = 256) -> None:
+    def train(self, documents: list[np.ndarray], rate: float = RATE, together: int = TRAIN_TOGETHER) -> None:
         """One pass of truncated backpropagation with Adam."""
         m, v, count = np.zeros_like(self.flat), np.zeros_like(self.flat), 0
         rows, rest = self.x.size, slice(self.x.size, None)
+        m_x, v_x = m[:rows].reshape(self.x.shape), v[:rows].reshape(self.x.shape)
 
         def moved(flat, m, v, gradient, some):
             """Adam on some of the entries; ``some`` is an index of the first axis."""
-            first = m[some] * np.float32(0.9) + np.float32(0.1) * gradient
-            second = v[some] * np.float32(0.99) + np.float32(0.01) * (gradient * gradient)
+            first = m[some] * np.float32(0.9)
+            first += np.float32(0.1) * gradient
+            second = v[some] * np.float32(0.99)
+            np.multiply(gradient, gradient, out=gradient)
+            gradient *= np.float32(0.01)
+            second += gradient
             m[some], v[some] = first, second
-            flat[some] -= np.float32(rate / (1 - 0.9 ** count)) * first / (np.sqrt(second * np.float32(1 / (1 - 0.99 ** count))) + np.float32(1e-8))
-
-        order = np.argsort([-len(d) for d in documents], kind="stable")
+            second *= np.float32(1 / (1 - 0.99 ** count))
+            np.sqrt(second, out=second)
+            second += np.float32(1e-8)
+            first /= second
+            first *= np.float32(rate / (1 - 0.9 ** count))
+            flat[some] -= first
+
+        # Long documents train in stretches, each behind the symbol before it, so that few run on alone.
+        parts = [(0 if lo == 0 else d[lo - 1], d[lo:lo + LONG]) for d in documents for lo in range(0, len(d), LONG)]
+        order = np.argsort([-len(d) for _, d in parts], kind="stable")
         groups = [order[lo:lo + together] for lo in range(0, len(order), together)]
         for group in groups:
-            flat, start, length = _flat([documents[i] for i in group])
+            flat, start, length = _flat([parts[i][1] for i in group], [parts[i][0] for i in group])
             h = np.zeros((len(group), HIDDEN), np.float32)
             for at in range(0, int(length[0]), TRAIN_WINDOW):
-                n0 = int(np.searchsorted(-length, -at, "left"))
-                gradient, h = self._window(h[:n0], flat, start, length, at)
-                scale = np.float32(min(1.0, 1.0 / (float(np.sqrt(gradient @ gradient)) + 1e-9)))
+                seen, of_x, of_rest, h = self._window(h, flat, start, length, at)
+                scale = np.float32(min(1.0, 1.0 / (float(np.sqrt((of_x * of_x).sum() + of_rest @ of_rest)) + 1e-9)))
+                of_x *= scale
+                of_rest *= scale
                 count += 1
                 # Rows of symbols that the window lacks rest, so a step does not grow with the symbols' number of inputs.
-                of_x = gradient[:rows].reshape(self.x.shape)
-                moved(self.x, m[:rows].reshape(self.x.shape), v[:rows].reshape(self.x.shape), of_x[self.seen] * scale, self.seen)
-                moved(self.flat, m, v, gradient[rest] * scale, rest)
+                moved(self.x, m_x, v_x, of_x, seen)
+                moved(self.flat, m, v, of_rest, rest)
+
+    def gradient(self, h, flat, start, length, at):
+        """Gradient of the mean loss of a window for all parameters, and the last state."""
+        seen, of_x, of_rest, last = self._window(h, flat, start, length, at)
+        every = np.zeros_like(self.flat)
+        every[:self.x.size].reshape(self.x.shape)[seen] = of_x
+        every[self.x.size:] = of_rest
+        return every, last
 
     def _window(self, h, flat, start, length, at):
-        kept, states, targets = [], [], []
-        for t in range(at, min(at + TRAIN_WINDOW, int(length[0]))):
-            n = int(np.searchsorted(-length, -t, "left"))
-            x = flat[start[:n] + t]
-            before = h[:n]
-            h, z, r, c, un = self.step(before, x)
-            kept.append((x, before, z, r, c, un))
-            states.append(h), targets.append(flat[start[:n] + t + 1])
-        every, goal = np.concatenate(states), np.concatenate(targets)
-        grad = np.zeros_like(self.flat)
-        g = self._parts(grad)
-        order, groups = self._by_class(goal)
-        ranked, place, scale = every[order], self.place[goal[order]], np.float32(1 / len(goal))
-        d = _softmax(ranked @ self.wc + self.bc)
-        d[np.arange(len(goal)), self.klass[goal[order]]] -= 1
-        d *= scale
-        g["wc"] += ranked.T @ d
-        g["bc"] += d.sum(axis=0)
-        by_class = d @ self.wc.T
-        for c, lo, hi in groups:
-            m = slice(self.first[c], self.first[c + 1])
-            if m.stop - m.start > 1:
-                e = _softmax(ranked[lo:hi] @ self.ws[m].T + self.bs[m])
-                e[np.arange(hi - lo), place[lo:hi] - m.start] -= 1
-                e *= scale
-                g["ws"][m] = e.T @ ranked[lo:hi]
-                g["bs"][m] = e.sum(axis=0)
-                by_class[lo:hi] += e @ self.ws[m]
-        dh = np.empty_like(by_class)
-        dh[order] = by_class
-        end, carried, last, into = len(every), np.zeros((0, HIDDEN), np.float32), h, []
-        for (x, before, z, r, c, un) in reversed(kept):
-            n = len(x)
-            d = dh[end - n:end]
-            end -= n
+        """Gradient of the mean loss of a window: symbols read and the rows of ``x`` for them, the other parameters; the last state."""
+        running = _running(length, at, TRAIN_WINDOW)
+        total = sum(running)
+        bounds = np.r_[0, np.cumsum(running)]
+        x, goal = np.empty(total, np.int64), np.empty(total, np.int64)
+        before, z, r, c, un = (np.empty((total, HIDDEN), np.float32) for _ in range(5))
+        every = np.ones((total, HIDDEN + 1), np.float32)
+        for t, n in enumerate(running):
+            some = slice(bounds[t], bounds[t + 1])
+            x[some], goal[some], before[some] = flat[start[:n] + at + t], flat[start[:n] + at + t + 1], h[:n]
+            h, z[some], r[some], c[some], un[some] = self.step(h[:n], x[some])
+            every[some, :HIDDEN] = h
+        grad = np.zeros(self.flat.size - self.x.size, np.float32)
+        g, begins = {}, 0
+        for name in ("u", "wc", "ws"):
+            size = int(np.prod(self.shapes[name]))
+            g[name] = grad[begins:begins + size].reshape(self.shapes[name])
+            begins += size
+        klass, place = self.klass[goal], self.place[goal]
+        dh = np.empty((total, HIDDEN), np.float32)
+        for lo in range(0, total, SLICE):
+            some = slice(lo, lo + SLICE)
+            d = _softmax(every[some] @ self.wc.T)
+            d[np.arange(len(d)), klass[some]] -= 1
+            g["wc"] += d.T @ every[some]
+            dh[some] = d @ self.wc[:, :HIDDEN]
+        order, groups = self._by_class(klass)
+        for k, lo, hi in groups:
+            m, rows = slice(self.first[k], self.first[k + 1]), order[lo:hi]
+            states = every[rows]
+            e = _softmax(states @ self.ws[m].T)
+            e[np.arange(hi - lo), place[rows] - m.start] -= 1
+            g["ws"][m] = e.T @ states
+            dh[rows] += e @ self.ws[m, :HIDDEN]
+        dh *= np.float32(1 / total)
+        g["wc"] *= np.float32(1 / total)
+        g["ws"] *= np.float32(1 / total)
+        # What a step back multiplies with, for all steps at once.
+        by_z = (before - c) * z * (1 - z)
+        by_n = (1 - z) * (1 - c * c)
+        by_r = un * r * (1 - r)
+        into, du = np.empty((total, 3 * HIDDEN), np.float32), np.empty((total, 3 * HIDDEN), np.float32)
+        carried, back = np.zeros((0, HIDDEN), np.float32), np.ascontiguousarray(self.u.T)
+        for t in range(len(running) - 1, -1, -1):
+            some = slice(bounds[t], bounds[t + 1])
+            d = dh[some]
             d[:len(carried)] += carried
-            dz = d * (before - c) * z * (1 - z)
-            dn = d * (1 - z) * (1 - c * c)
-            dr = dn * un * r * (1 - r)
-            into.append(np.concatenate([dz, dr, dn], axis=1))
-            du = np.concatenate([dz, dr, dn * r], axis=1)
-            g["u"] += before.T @ du
-            carried = d * z + du @ self.u.T
-        x = np.concatenate([k[0] for k in reversed(kept)])
-        order = np.argsort(x, kind="stable")
-        self.seen, starts = np.unique(x[order], return_index=True)
-        g["x"][self.seen] = np.add.reduceat(np.concatenate(into)[order], starts)
-        return grad, last
+            dz, dn = d * by_z[some], d * by_n[some]
+            dr = dn * by_r[some]
+            into[some, :HIDDEN], into[some, HIDDEN:2 * HIDDEN], into[some, 2 * HIDDEN:] = dz, dr, dn
+            du[some, :2 * HIDDEN] = into[some, :2 * HIDDEN]
+            np.multiply(dn, r[some], out=du[some, 2 * HIDDEN:])
+            carried = du[some] @ back
+            carried += d * z[some]
+        g["u"] += before.T @ du
+        order = np.argsort(x.astype(np.uint16) if len(self.x) <= 1 << 16 else x, kind="stable")
+        seen, starts = np.unique(x[order], return_index=True)
+        return seen, np.add.reduceat(into[order], starts), grad, h
+
+
+def _running(length: np.ndarray, at: int, steps: int) -> list[int]:
+    """How many documents (longest first) have a symbol to tell at each step from ``at`` on."""
+    return [int(np.searchsorted(-length, -t, "left")) for t in range(at, min(at + steps, int(length[0])))]
+
+
+def _exp(logits):
+    """exp in place and its row sums; rows are shifted by their greatest only where that is needed."""
+    if logits.size and (logits.max() > 80 or logits.min() < -80):
+        logits -= logits.max(axis=1, keepdims=True)
+    np.exp(logits, out=logits)
+    return logits @ np.ones(logits.shape[1], np.float32)
 
 
 def _softmax(logits):
-    logits -= logits.max(axis=1, keepdims=True)
-    np.exp(logits, out=logits)
-    logits /= logits.sum(axis=1, keepdims=True)
+    total = _exp(logits)
+    logits *= (1 / total)[:, None]
     return logits
 
 
 def _log_share(logits, at):
     """Natural log of the softmax at one place of each row."""
-    logits -= logits.max(axis=1, keepdims=True)
-    chosen = logits[np.arange(len(logits)), at].astype(float)
-    np.exp(logits, out=logits)
-    return chosen - np.log(logits.sum(axis=1))
+    chosen = logits[np.arange(len(logits)), at]
+    if logits.size and (logits.max() > 80 or logits.min() < -80):
+        chosen = chosen - logits.max(axis=1)
+    return chosen - np.log(_exp(logits))
 
 
-def _flat(documents: list[np.ndarray]):
-    """Documents in one array, each behind an end symbol that starts it: array, starts, lengths."""
+def _flat(documents: list[np.ndarray], before=0):
+    """Documents in one array, each behind the symbol before it (an end): array, starts, lengths."""
     length = np.array([len(d) for d in documents])
     start = np.r_[0, np.cumsum(length + 1)[:-1]]
     flat = np.zeros(int(length.sum()) + len(documents), np.int64)
+    flat[start] = before
     for s, d in zip(start, documents):
         flat[s + 1:s + 1 + len(d)] = d
     return flat, start, length
@@ -283,18 +390,14 @@ def code_blocks(documents: DataFrame) -> DataFrame:
     """Rows of two kinds: documents coded by their block's dictionary, and its words with counts."""
     def coded(batches):
         part, number = TaskContext.get().partitionId(), 0
-        index, docs, counts, chars = {}, [], np.zeros(0, np.int64), 0
+        index, docs, chars = Index(), [], 0
 
         def flush():
             block = part << 24 | number
             yield pd.DataFrame({"block": block, "doc_id": pd.array([d for d, _, _ in docs], dtype="Int64"), "train": [t for _, t, _ in docs],
                                 "ids": [squeeze(i) for _, _, i in docs], "idx": pd.array([None] * len(docs), dtype="Int64"), "word": None, "n": 0})
-            counts = np.zeros(len(index), np.int64)
-            for _, train, ids in docs:
-                if train:
-                    counts += np.bincount(ids, minlength=len(index)) if len(ids) > len(index) // 8 else 0
-                    if len(ids) <= len(index) // 8:
-                        np.add.at(counts, ids, 1)
+            known = [ids for _, train, ids in docs if train]
+            counts = np.bincount(np.concatenate(known) if known else np.zeros(0, np.uint32), minlength=len(index))
             words = list(index)
             for lo in range(0, len(words), 50_000):
                 some = words[lo:lo + 50_000]
@@ -304,14 +407,11 @@ def code_blocks(documents: DataFrame) -> DataFrame:
         for frame in batches:
             for doc, train, text in zip(frame["doc_id"].astype("Int64"), frame["train"], frame["text"]):
                 words = words_of(text if isinstance(text, str) else None)
-                for w in set(words):
-                    if w not in index:
-                        index[w] = len(index)
-                docs.append((doc, bool(train), np.fromiter(map(index.__getitem__, words), np.int64, len(words))))
+                docs.append((doc, bool(train), np.fromiter(map(index.__getitem__, words), np.uint32, len(words))))
                 chars += len(text) if isinstance(text, str) else 0
                 if chars >= BLOCK_CHARS:
                     yield from flush()
-                    index, docs, chars, number = {}, [], 0, number + 1
+                    index, docs, chars, number = Index(), [], 0, number + 1
         if docs:
             yield from flush()
 
@@ -319,23 +419,23 @@ def code_blocks(documents: DataFrame) -> DataFrame:
     return rows.mapInPandas(coded, "block long, doc_id long, train boolean, ids binary, idx long, word binary, n long")
 
 
-def count(coded: DataFrame) -> tuple[DataFrame, Counts]:
-    """Corpus count and own symbol of each word of each block, and what the counts add up to.
+def count(coded: DataFrame) -> tuple[DataFrame, Counts, Letters]:
+    """Corpus count and own symbol of each word of each block, what the counts add up to, and the letters of words.
 
-    A word has a row per block, so the rows of a common word grow with the blocks, not with its uses.
+    A word has a row per block, so the rows of a common word grow with the blocks, not with its uses. They are summed
+    by a grouping, which folds them in each task first, and joined back to the sums, a join whose hot
+    keys adaptive execution splits.
     """
     words = coded.filter("word is not null").select("block", "idx", "word", "n")
-    by_word = Window.partitionBy("word")
-    counted = stage(words.select("block", "idx", "word", F.sum("n").over(by_word).alias("c"),
-                                 (F.row_number().over(by_word.orderBy("block")) == 1).alias("first")))
-    distinct = counted.filter("first and c > 0")
+    sums = stage(words.groupBy("word").agg(F.sum("n").alias("c")))
+    distinct = sums.filter("c > 0")
     size = head_size(distinct.count())
     head = distinct.filter("c > 1").orderBy(F.desc("c"), "word").limit(size).select("word", "c").collect()
     session = coded.sparkSession
     numbers = session.createDataFrame([(bytes(r.word), i) for i, r in enumerate(head, 1)], "word binary, head int")
-    marked = counted.join(F.broadcast(numbers), "word", "left")
+    marked = sums.join(F.broadcast(numbers), "word", "left")
     level = F.least(F.lit(BINS), F.floor(F.log2(F.col("c").cast("double"))).cast("int"))
-    bins = {r.level: r for r in marked.filter("first and c > 0").groupBy(F.when(F.col("head").isNull(), level).alias("level")).agg(
+    bins = {r.level: r for r in marked.filter("c > 0").groupBy(F.when(F.col("head").isNull(), level).alias("level")).agg(
         F.sum("c").alias("tokens"), F.sum(F.col("c") + 1).alias("mass"), F.count("*").alias("different")).collect()}
     twice = distinct.filter("c = 2").count()
     docs = coded.filter("word is null and train").count()
@@ -347,10 +447,28 @@ def count(coded: DataFrame) -> tuple[DataFrame, Counts]:
     different = sum(r.different for r in bins.values()) + (docs > 0)
     found = Counts(tokens, different, docs, np.array([r.c for r in head], float), of("tokens"), of("mass"),
                    bins[0].tokens if 0 in bins else 0, twice)
-    return marked.select("block", "idx", "c", F.coalesce("head", F.lit(0)).alias("head")), found
+    # Only words that will be spelled travel on with their letters.
+    counted = words.select(F.col("block").alias("of"), "idx", "word").join(marked, "word").select(
+        F.col("of").alias("block"), "idx", "c", F.coalesce("head", F.lit(0)).alias("head"), F.when(F.col("c") == 0, F.col("word")).alias("word"))
+    return counted, found, letters(distinct)
+
+
+def letters(words: DataFrame) -> Letters:
+    """The letter model of the different words; the driver sees one number per pair of bytes."""
+    def counted(batches):
+        total = np.zeros(257 * 257, np.int64)
+        for frame in batches:
+            total += np.bincount(Letters.pairs(frame["word"].tolist())[0], minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"pair": at, "n": total[at]})
+
+    pairs = np.zeros(257 * 257)
+    for r in words.select("word").mapInPandas(counted, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        pairs[r.pair] = r.n
+    return Letters(pairs)
 
 
-def symbols(coded: DataFrame, counted: DataFrame, found: Counts) -> DataFrame:
+def symbols(coded: DataFrame, counted: DataFrame, found: Counts, spell: Letters) -> DataFrame:
     """One row per document: its figures and its string of symbols."""
     schema = "doc_id long, train boolean, n_tokens long, n_known long, base_score double, within double, codes binary"
 
@@ -360,6 +478,9 @@ def symbols(coded: DataFrame, counted: DataFrame, found: Counts) -> DataFrame:
         c[words["idx"]], head[words["idx"]] = words["c"], words["head"]
         code = found.codes(head, c)
         base, within = found.base(c), np.where(head > 0, 0.0, found.within(c))
+        new = words[words["word"].notna()]
+        if len(new):
+            within[new["idx"]] += spell(new["word"].tolist())
         end_base = float(found.base(np.array([found.documents]))[0])
         rows = []
         for doc, train, ids in zip(docs["doc_id"].astype("Int64"), docs["train"], docs["ids"]):
@@ -379,15 +500,18 @@ def rows_of_round(coded: DataFrame, number: int, rounds: int = ROUNDS) -> DataFr
     return coded.filter(F.col("train") & (F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == number))
 
 
-def learn(coded: DataFrame, found: Counts, rounds: int = ROUNDS) -> np.ndarray:
+def learn(coded: DataFrame, found: Counts, rounds: int = ROUNDS, tokens_a_weight: float = TOKENS_A_WEIGHT) -> np.ndarray:
     """Weights after some rounds: every task trains on its rows, tasks are averaged by their tokens.
 
-    There are as many tasks as cores, so that what they send does not grow with the rows. The average
-    is taken by stretches of parameters in Spark; the driver sees one value per parameter.
+    A task ships its parameters, so it is given ``tokens_a_weight`` tokens for each of them: tasks grow with the corpus, and what
+    they send stays below what they read. The average is taken by stretches of parameters, in two steps, so that no group
+    holds more than the square root of the tasks; the driver sees one value per parameter.
     """
     tokens = found.symbol_tokens()
     kind, flat = code_type(len(tokens)), Network(tokens).flat
-    tasks = coded.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, round(found.tokens / rounds / max(LEAST_TOKENS, tokens_a_weight * len(flat))))
+    groups = max(1, round(tasks ** 0.5))
+    schema = "at int, part int, value binary, weight double"
     for number in range(rounds):
         start = flat.copy()
 
@@ -399,17 +523,20 @@ def learn(coded: DataFrame, found: Counts, rounds: int = ROUNDS) -> np.ndarray:
                     network.train(some)
                     weight += sum(map(len, some))
             if weight:
-                at = range(0, len(start), STRETCH)
-                yield pd.DataFrame({"at": at, "value": [network.flat[lo:lo + STRETCH].tobytes() for lo in at], "weight": float(weight)})
+                part = TaskContext.get().partitionId() % groups
+                for lo in range(0, len(start), STRETCH):
+                    yield pd.DataFrame({"at": lo, "part": part, "value": [network.flat[lo:lo + STRETCH].tobytes()], "weight": float(weight)})
 
         def averaged(frame):
             total = sum(np.frombuffer(v, np.float32).astype(float) * w for v, w in zip(frame["value"], frame["weight"]))
-            return pd.DataFrame({"at": [frame["at"].iloc[0]], "value": [(total / frame["weight"].sum()).astype(np.float32).tobytes()]})
+            weight = float(frame["weight"].sum())
+            return pd.DataFrame({"at": [frame["at"].iloc[0]], "part": 0, "value": [(total / weight).astype(np.float32).tobytes()], "weight": weight})
 
-        means = (rows_of_round(coded, number, rounds).select("codes").coalesce(tasks).mapInPandas(trained, "at int, value binary, weight double")
-                 .groupBy("at").applyInPandas(averaged, "at int, value binary").collect())
+        means = rows_of_round(coded, number, rounds).select("codes").coalesce(tasks).mapInPandas(trained, schema)
+        for keys in (["at", "part"], ["at"]) if groups > 1 else (["at"],):
+            means = means.groupBy(*keys).applyInPandas(averaged, schema)
         flat = start.copy()
-        for r in means:
+        for r in means.select("at", "value").collect():
             part = np.frombuffer(r.value, np.float32)
             flat[r.at:r.at + len(part)] = part
     return flat
@@ -423,8 +550,8 @@ def report(documents: DataFrame) -> DataFrame:
     without training rows nothing is known and the network stays as it starts.
     """
     blocks = stage(code_blocks(documents))
-    counted, found = count(blocks)
-    coded = stage(symbols(blocks, counted, found))
+    counted, found, spell = count(blocks)
+    coded = stage(symbols(blocks, counted, found, spell))
     flat, tokens = learn(coded, found), found.symbol_tokens()
     kind = code_type(len(tokens))
 
