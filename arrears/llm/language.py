@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arrears.llm.common import fold
-from arrears.llm.lattice import CUT, SPACE, VOCABULARY, Lattices, pieces
+from arrears.llm.lattice import SPACE, VOCABULARY, Lattices, pieces
 
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN_SHARE = 1e-5   # weight of a letter that no piece covers
@@ -33,12 +33,9 @@ def words(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-def parts(words: list[str]) -> tuple[list[str], np.ndarray]:
-    """Words marked as word starts and cut to lattice length, and the word each part belongs to."""
-    if max(map(len, words), default=0) < CUT:
-        return [SPACE + w for w in words], np.arange(len(words))
-    cut = [[(SPACE + w)[i:i + CUT] for i in range(0, len(w) + 1, CUT)] for w in words]
-    return [p for ps in cut for p in ps], np.repeat(np.arange(len(words)), [len(ps) for ps in cut])
+def marked(words: list[str]) -> list[str]:
+    """Words as the vocabulary writes them, with the space before."""
+    return [SPACE + w for w in words]
 
 
 def prior(size: int) -> np.ndarray:
@@ -50,16 +47,11 @@ def prior(size: int) -> np.ndarray:
 def expected(found: dict[str, int], weight: np.ndarray, path: str = VOCABULARY) -> np.ndarray:
     """Expected count of each piece (unknown last) over all segmentations of the counted words."""
     out = np.zeros(len(weight))
-    pieces_of, owner = parts(list(found))
-    lattices = Lattices(pieces_of, path)
+    lattices = Lattices(marked(list(found)), path)
     if not len(lattices):
         return out
-    arcs = weight[lattices.piece][:, None]
-    alpha, beta = lattices.forward(arcs)[:, 0], lattices.backward(arcs)[:, 0]
-    total = beta[lattices.offset[:-1]]
-    share = alpha[lattices.source] * arcs[:, 0] * beta[lattices.target] / total[lattices.word]
-    count = np.fromiter(found.values(), float)[owner][lattices.word]
-    np.add.at(out, lattices.piece, share * count)   # -1 is the last
+    count = np.fromiter(found.values(), float)[lattices.word]
+    np.add.at(out, lattices.piece, lattices.shares(weight[lattices.piece]) * count)   # -1 is the last
     return out
 
 
@@ -126,10 +118,8 @@ class Scorer:
         found = [self.logs]
         for lo in range(0, len(new), FLUSH_WORDS // 2):
             some = new[lo:lo + FLUSH_WORDS // 2]
-            cut, owner = parts(some)
-            lattices = Lattices(cut, self.model.path)
-            logs = np.log(lattices.forward(self.weights[lattices.piece])[lattices.offset[1:] - 1])
-            found.append(logs if len(cut) == len(some) else np.add.reduceat(logs, np.searchsorted(owner, np.arange(len(some)))))
+            lattices = Lattices(marked(some), self.model.path)
+            found.append(lattices.log_totals(self.weights[lattices.piece]))
             for w in some:
                 self.row[w] = len(self.row)
         self.logs = np.concatenate(found)

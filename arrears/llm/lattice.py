@@ -1,15 +1,19 @@
-"""Segmentation lattices of words over the pieces of a public vocabulary, for many words at once."""
+"""Segmentation lattices of words over the pieces of a public vocabulary, for many words at once.
+
+Words of up to ``SHORT`` letters are summed together, as plain products; longer ones letter by letter as logarithms, so
+that a word may have any length and no sum runs out of small numbers.
+"""
 
 from __future__ import annotations
 
 import functools
+import re
 
 import numpy as np
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-LONGEST = 16   # letters of a piece, longer ones are left out
-CUT = 32       # letters of a lattice; longer words are a chain of such lattices
+SHORT = 32     # letters of a word whose products stay within a float
 
 
 @functools.lru_cache(maxsize=2)
@@ -19,10 +23,16 @@ def pieces(path: str = VOCABULARY) -> tuple[dict[str, int], list[str]]:
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     texts = [model.id_to_piece(i) for i in range(model.get_piece_size())]
     known = {t: i for i, t in enumerate(texts)
-             if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)) and len(t) <= LONGEST}
+             if t and not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
     return known, texts
 
 
+@functools.lru_cache(maxsize=2)
+def spans_words(path: str = VOCABULARY) -> bool:
+    """Whether some piece goes on over a space mark after a letter, so that texts cannot be cut there."""
+    return any(re.search(f"[^{SPACE}]{SPACE}", t) for t in pieces(path)[0])
+
+
 @functools.lru_cache(maxsize=2)
 def byte_ids(path: str = VOCABULARY) -> np.ndarray:
     """Id of the piece of each byte."""
@@ -87,45 +97,57 @@ class Lattices:
 
     def __init__(self, words: list[str], path: str = VOCABULARY):
         walk = trie(path)
-        self.length = np.fromiter(map(len, words), np.int64, len(words))
-        self.offset = np.r_[0, np.cumsum(self.length + 1)]
+        self.length = np.fromiter(map(len, words), np.int32, len(words))
+        self.offset = np.r_[0, np.cumsum(self.length + 1, dtype=np.int64)].astype(np.int32)
         letters = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        word = np.repeat(np.arange(len(words)), self.length)
-        inside = np.arange(len(letters)) - np.repeat(np.cumsum(self.length) - self.length, self.length)
-        left = self.length[word] - inside
-        at, state, arcs = np.arange(len(letters)), np.zeros(len(letters), np.int64), []
-        for size in range(1, LONGEST + 1):
+        word = np.repeat(np.arange(len(words), dtype=np.int32), self.length)
+        self.first = (np.cumsum(self.length, dtype=np.int64) - self.length).astype(np.int32)   # first letter of each word
+        left = self.length[word] - (np.arange(len(letters), dtype=np.int32) - self.first[word])
+        at, state, arcs, size = np.arange(len(letters), dtype=np.int32), np.zeros(len(letters), np.int64), [], 0
+        while len(at):
+            size += 1
             state = walk.step(state, letters[at + size - 1])
             piece = walk.ends[state]
             whole = (state >= 0) & (piece >= 0)
             if size == 1:
-                arcs.append((at, np.where(whole, piece, -1), 1))
+                arcs.append((at, np.where(whole, piece, -1).astype(np.int32)))
             else:
-                arcs.append((at[whole], piece[whole], size))
+                arcs.append((at[whole], piece[whole].astype(np.int32)))
             go_on = (state >= 0) & (left[at] > size)
             at, state = at[go_on], state[go_on]
-            if not len(at):
-                break
-        start = np.concatenate([a for a, _, _ in arcs]) if arcs else np.zeros(0, np.int64)
-        self.piece = np.concatenate([p for _, p, _ in arcs]) if arcs else np.zeros(0, np.int64)
-        size = np.repeat([n for _, _, n in arcs], [len(a) for a, _, _ in arcs]).astype(np.int64)
-        self.word, self.start = word[start], inside[start]
-        self.end = self.start + size
-        self.source = self.offset[self.word] + self.start
-        self.target = self.source + size
+        start = np.concatenate([a for a, _ in arcs]) if arcs else np.zeros(0, np.int32)
+        self.piece = np.concatenate([p for _, p in arcs]) if arcs else np.zeros(0, np.int32)
+        self.word = word[start]
+        self.source = start + self.word    # every word before has one node more than letters
+        self.target = self.source + np.repeat(np.arange(1, len(arcs) + 1, dtype=np.int32), [len(a) for a, _ in arcs])
+        self.widest = size
+        self.long = np.flatnonzero(self.length > SHORT)
 
     def __len__(self):
         return len(self.length)
 
+    @functools.cached_property
+    def _groups(self):
+        """Arcs of short words by start and length, and the bounds of the groups: none meets a node twice."""
+        start = self.source - self.offset[self.word]
+        group = start * np.int32(self.widest) + (self.target - self.source - 1)
+        if not len(self.long):
+            order = np.argsort(group.astype(np.uint16), kind="stable").astype(np.int32)
+        else:
+            some = np.flatnonzero(self.length[self.word] <= SHORT)
+            order = some[np.argsort(group[some].astype(np.uint16), kind="stable")].astype(np.int32)
+            group = group[some]
+        bounds = np.r_[0, np.cumsum(np.bincount(group, minlength=1))]
+        return order, bounds, np.flatnonzero(np.diff(bounds))
+
     def _spread(self, weight, source, target, seeds, descending=False):
-        """Sums over arcs, taken by start and length: within such a group no node is met twice."""
+        """Sums over the arcs of short words; nodes of others hold one."""
+        order, bounds, filled = self._groups
         sums = np.zeros((int(self.offset[-1]), weight.shape[1]))
         sums[seeds] = 1.0
-        group = self.start * LONGEST + (self.end - self.start - 1)
-        order = np.argsort(group.astype(np.uint16), kind="stable")
-        bounds = np.r_[0, np.cumsum(np.bincount(group, minlength=1))]
+        for w in self.long:
+            sums[self.offset[w]:self.offset[w + 1]] = 1.0
         source, target, weight = source[order], target[order], weight[order]
-        filled = np.flatnonzero(np.diff(bounds))
         for g in filled[::-1] if descending else filled:
             lo, hi = bounds[g], bounds[g + 1]
             sums[target[lo:hi]] += sums[source[lo:hi]] * weight[lo:hi]
@@ -138,3 +160,58 @@ class Lattices:
     def backward(self, weight: np.ndarray) -> np.ndarray:
         """Summed weight of the ways from each node to the last letter."""
         return self._spread(weight, self.target, self.source, self.offset[1:] - 1, descending=True)
+
+    def _long_arcs(self):
+        """(word, its arcs by source, where those of each letter begin) of the long words."""
+        if len(self.long):
+            mine = np.flatnonzero(self.length[self.word] > SHORT)
+            mine = mine[np.argsort(self.source[mine], kind="stable")]
+            word = self.word[mine]
+            for w in self.long:
+                arcs = mine[np.searchsorted(word, w):np.searchsorted(word, w, "right")]
+                yield w, arcs, np.searchsorted(self.source[arcs], self.offset[w] + np.arange(self.length[w] + 1))
+
+    def _log_backward(self, w, arcs, first, log):
+        """Logarithms of the backward sums of a long word; ``log``: its arcs x models."""
+        out = np.zeros((self.length[w] + 1, log.shape[1]))
+        target = self.target[arcs] - self.offset[w]
+        for p in range(self.length[w] - 1, -1, -1):
+            some = slice(first[p], first[p + 1])
+            out[p] = np.logaddexp.reduce(log[some] + out[target[some]], axis=0)
+        return out
+
+    def _log_forward(self, w, arcs, first, log):
+        out = np.full((self.length[w] + 1, log.shape[1]), -np.inf)
+        out[0] = 0.0
+        target = self.target[arcs] - self.offset[w]
+        for p in range(self.length[w]):
+            some = slice(first[p], first[p + 1])
+            out[target[some]] = np.logaddexp(out[target[some]], out[p] + log[some])   # targets of a letter differ
+        return out
+
+    def chances(self, weight: np.ndarray) -> np.ndarray:
+        """The chance of each arc given its node, when segmentations weigh what their arcs do."""
+        beta = self.backward(weight[:, None])[:, 0]
+        out = weight * beta[self.target] / beta[self.source]
+        for w, arcs, first in self._long_arcs():
+            log = np.log(weight[arcs])
+            rest = self._log_backward(w, arcs, first, log[:, None])[:, 0]
+            out[arcs] = np.exp(log + rest[self.target[arcs] - self.offset[w]] - rest[self.source[arcs] - self.offset[w]])
+        return out
+
+    def shares(self, weight: np.ndarray) -> np.ndarray:
+        """The chance of each arc to be in the segmentation of its word."""
+        alpha, beta = self.forward(weight[:, None])[:, 0], self.backward(weight[:, None])[:, 0]
+        out = alpha[self.source] * weight * beta[self.target] / beta[self.offset[:-1]][self.word]
+        for w, arcs, first in self._long_arcs():
+            log = np.log(weight[arcs])[:, None]
+            ahead, rest = self._log_forward(w, arcs, first, log), self._log_backward(w, arcs, first, log)
+            out[arcs] = np.exp(ahead[self.source[arcs] - self.offset[w]] + log + rest[self.target[arcs] - self.offset[w]] - rest[0])[:, 0]
+        return out
+
+    def log_totals(self, weight: np.ndarray) -> np.ndarray:
+        """Logarithm of the summed weight of all segmentations of each word; ``weight``: arcs x models."""
+        out = np.log(self.forward(weight)[self.offset[1:] - 1])
+        for w, arcs, first in self._long_arcs():
+            out[w] = self._log_backward(w, arcs, first, np.log(weight[arcs]))[0]
+        return out

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from arrears.llm import (
     conversation_repair, curriculum, gru_lm, language, multi_index, near_embeddings, packing, partenum, periodic_runs, personal, rule_ensemble, sampling, toxicity,
@@ -18,7 +19,7 @@ def op1_near_embeddings(spark, sf_dir):
 
 
 def op2_sampled_segmentations(spark, sf_dir):
-    return sampling.encode(_table(spark, sf_dir, "documents"), digest=True)
+    return sampling.encode(_table(spark, sf_dir, "documents"), checked=True).withColumn("n_pieces", F.size("ids"))
 
 
 def op3_toxicity(spark, sf_dir):

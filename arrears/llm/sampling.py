@@ -1,6 +1,6 @@
 """Sampled segmentations of texts: Gumbel top-k without replacement over the piece lattice.
 
-A text is a chain of word lattices, so a segmentation is a way through all of them. Its perturbed
+A text is a chain of lattices, cut only where no piece can cross, so a segmentation is a way through all of them. Its perturbed
 score is its log probability plus Gumbel noise; the k segmentations with the best perturbed scores
 are a sample without replacement. They are found without listing segmentations: a node of the search
 stands for all ways that begin alike, its perturbed score is the maximum over them, and the backward
@@ -14,8 +14,8 @@ Draws are hashes of the row key, the sample and the place in the text, so a reru
 from __future__ import annotations
 
 import functools
-import itertools
 import re
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -23,21 +23,27 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arrears.llm.lattice import CUT, SPACE, VOCABULARY, Lattices, byte_ids, pieces
+from arrears.llm.lattice import SPACE, VOCABULARY, Lattices, byte_ids, pieces, spans_words
 
 SAMPLES = 2
-SLICE_CHARS = 1_000_000
-UNIT = re.compile("▁?[^▁]{1,%d}|▁" % (CUT - 1))
+SLICE_CHARS = 500_000
+EMITTED = 500_000    # ids handed on at a time
+STEPS = 1 << 24      # counters of draws set apart for a unit
+UNIT = re.compile("▁*[^▁]+|▁+")
 # A cycle of three letters, so that every text can be told from its marked form.
 MARK = {0x20: 0x2581, 0x2581: 0xE000, 0xE000: 0x20}
 UNMARK = {b: a for a, b in MARK.items() if a != 0x20}
 UNCOVERED = 1e-7     # weight of a letter spelled in bytes
 
 
-def units(text: str) -> list[str]:
-    """Words of an escaped text, each with the space before it; long ones are cut."""
+def units(text: str, path: str = VOCABULARY) -> list[str]:
+    """An escaped text, cut where no piece can cross: words with all the spaces before them, of any length.
+
+    With a vocabulary whose pieces go on over a space the whole text is one unit.
+    """
     rare = SPACE in text or "\ue000" in text
-    return UNIT.findall(SPACE + (text.translate(MARK) if rare else text.replace(" ", SPACE)))
+    escaped = SPACE + (text.translate(MARK) if rare else text.replace(" ", SPACE))
+    return [escaped] if spans_words(path) else UNIT.findall(escaped)
 
 
 @functools.lru_cache(maxsize=2)
@@ -81,14 +87,14 @@ class Chain:
     """Lattices of distinct words with the chance of each arc given its node, ready for drawing."""
 
     def __init__(self, words: list[str], weight: np.ndarray, path: str):
-        self.lattices = lat = Lattices(words, path)
-        arcs = weight[lat.piece]
-        beta = lat.backward(arcs[:, None])[:, 0]
+        lat = Lattices(words, path)
+        chance = lat.chances(weight[lat.piece])
         order = np.argsort(lat.source, kind="stable")
-        self.source, self.target, self.piece = lat.source[order], lat.target[order], lat.piece[order]
-        self.chance = arcs[order] * beta[self.target] / beta[self.source]
+        self.offset = lat.offset
+        self.source, self.target, self.piece, self.chance = lat.source[order], lat.target[order], lat.piece[order], chance[order]
         nodes = int(lat.offset[-1])
-        self.first = np.searchsorted(self.source, np.arange(nodes + 1))
+        del lat, chance, order
+        self.first = np.searchsorted(self.source, np.arange(nodes + 1)).astype(np.int32)
         running = np.cumsum(self.chance)
         before = np.r_[0.0, running][self.first[self.source]]
         # Key of an arc: its node plus the summed chance up to it, the last one lifted to the next node.
@@ -100,11 +106,12 @@ class Chain:
             self.log_rest = np.log1p(-np.minimum(self.chance, 1.0))
         self.log_rest[self.chance > 1 - 1e-12] = -np.inf
         end = np.zeros(nodes, bool)
-        end[lat.offset[1:] - 1] = True
+        end[self.offset[1:] - 1] = True
         self.is_end = end
+        del running, before
 
         # The likeliest arc of each node and its part of the keys: most draws fall there.
-        self.best = np.zeros(nodes, np.int64)
+        self.best = np.zeros(nodes, np.int32)
         some = np.flatnonzero(self.first[1:] > self.first[:-1])
         most = np.zeros(nodes)
         most[some] = np.maximum.reduceat(self.chance, self.first[some]) if len(some) else 0.0
@@ -127,14 +134,14 @@ def draw(chain: Chain, node: np.ndarray, key: np.ndarray, place: np.ndarray, sal
     n = len(node)
     steps, count, active, at = [], np.zeros(n, np.int64), np.flatnonzero(~chain.is_end[node]), node.copy()
     while len(active):
-        u = uniform(key[active], place[active] * np.int64(CUT) + count[active], salt)
+        u = uniform(key[active], place[active] * np.int64(STEPS) + count[active], salt)
         arc = chain.pick(at[active], u)
         steps.append((active, arc))
         at[active] = chain.target[arc]
         count[active] += 1
         active = active[~chain.is_end[at[active]]]
     start = np.cumsum(count) - count
-    out = np.empty(int(count.sum()), np.int64)
+    out = np.empty(int(count.sum()), np.int32)
     for step, (who, arc) in enumerate(steps):
         out[start[who] + step] = arc
     return out, count
@@ -155,7 +162,7 @@ class Search:
         where = np.repeat(np.arange(len(docs)), lengths)
         inside = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         occurrence = first[where] + inside
-        nodes = self.chain.lattices.offset[self.unit[occurrence]]
+        nodes = self.chain.offset[self.unit[occurrence]].astype(np.int64)
         head = np.flatnonzero(inside == 0)
         nodes[head] = np.where(node[where[head]] >= 0, node[where[head]], nodes[head])
         place = inside + word[where]
@@ -170,7 +177,7 @@ class Search:
         u = uniform(self.keys[docs][owner], step + 1, 3 * salt + 1)
         aside = np.where(np.isneginf(self.chain.log_rest[arcs]), -np.inf,
                          cut_gumbel(behind + self.chain.log_rest[arcs], score[owner], u))
-        words = np.repeat(place, count)
+        words = np.repeat(place.astype(np.int32), count)
         for i in range(len(docs)):
             lo, hi = base[i], base[i] + number[i]
             end_log = start_log[i] + (total[hi - 1] - (total[lo - 1] if lo else 0.0) if hi > lo else 0.0)
@@ -264,24 +271,24 @@ def segmentations(texts: list[str], keys: list[int], samples: int = SAMPLES, pat
     ``inclusion`` is the chance that a segmentation of this probability is above the threshold, the
     perturbed score of the first one left out; with nothing left out it is 1.
     """
-    found = [units(t) for t in texts]
-    index = Index()
-    unit = np.fromiter(map(index.__getitem__, itertools.chain.from_iterable(found)), np.int64)
+    index, unit, bounds = Index(), array("i"), [0]
+    for text in texts:
+        unit.extend(map(index.__getitem__, units(text, path)))
+        bounds.append(len(unit))
+    unit, bounds = np.frombuffer(unit, np.int32), np.array(bounds)
     chain = Chain(list(index), weights(path, temperature), path)
-    bounds = np.r_[0, np.cumsum([len(us) for us in found])]
     search = Search(chain, unit, bounds, np.array(keys, dtype=np.uint64))
     by_byte = byte_ids(path)
     letters = "".join(index)
-    # Letter at which each node stands, to spell what no piece covers.
-    lat = chain.lattices
     for got, threshold in search.run(samples):
         out = []
         for arcs, log_prob, perturbed in got:
             ids = chain.piece[arcs]
             bare = np.flatnonzero(ids < 0)
             if len(bare):
+                # Every word before has one node more than letters.
                 node = chain.source[arcs[bare]]
-                where = node - (np.searchsorted(lat.offset, node, "right") - 1)
+                where = node - (np.searchsorted(chain.offset, node, "right") - 1)
                 parts, last = [], 0
                 for at, letter in zip(bare, where):
                     spelled = letters[letter].translate(UNMARK).encode("utf-8", "surrogatepass")
@@ -306,30 +313,37 @@ def slices(texts, ids, seed):
         yield rows, [texts[r] for r in rows], [row_key(ids[r], seed) for r in rows]
 
 
-def encode(documents: DataFrame, samples: int = SAMPLES, seed: int = 17, path: str = VOCABULARY, digest: bool = False) -> DataFrame:
+def encode(documents: DataFrame, samples: int = SAMPLES, seed: int = 17, path: str = VOCABULARY, checked: bool = False) -> DataFrame:
     """Rows (doc_id, sample, ids, log_prob, perturbed, inclusion), sample from 1, best first.
 
     A text with fewer segmentations than ``samples`` gives all of them; a null text gives no row, an
     empty text the one segmentation of its leading space. Repeated rows give equal results. With
-    ``digest`` the ids are left out for their number, a hash, and whether they decode to the text.
-    Other columns are not looked at. An empty table gives no rows. Texts are segmented whole.
+    ``checked`` a column ``decodes`` says whether the ids give the text back. Other columns are not looked
+    at. An empty table gives no rows. Texts are segmented whole, over their whole lattice.
     """
+    names = ["doc_id", "sample", "ids", *(["decodes"] if checked else []), "log_prob", "perturbed", "inclusion"]
+
     def sampled(batches):
         for frame in batches:
-            texts, ids = list(frame["text"]), list(frame["doc_id"])
-            texts = [t if isinstance(t, str) else None for t in texts]
+            texts, ids = [t if isinstance(t, str) else None for t in frame["text"]], frame["doc_id"].astype("Int64").tolist()
+            del frame
             for rows, some, keys in slices(texts, ids, seed):
-                out = []
+                out, held = [], 0
                 for row, text, got in zip(rows, some, segmentations(some, keys, samples, path)):
                     for number, (found, *scores) in enumerate(got, 1):
-                        kept = [found.astype(np.int32)] if not digest else [
-                            len(found), xxhash.xxh64_intdigest(found.astype("<i4").tobytes()) >> 1, decode(found.tolist(), path) == text]
-                        out.append((ids[row], number, *kept, *scores))
-                names = ["doc_id", "sample", *(["n_pieces", "ids_hash", "decodes"] if digest else ["ids"]), "log_prob", "perturbed", "inclusion"]
-                frame_out = pd.DataFrame(out, columns=names)
-                frame_out["doc_id"] = frame_out["doc_id"].astype("Int64")
-                yield frame_out
-
-    kept = "n_pieces long, ids_hash long, decodes boolean" if digest else "ids array<int>"
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
-        sampled, f"doc_id long, sample int, {kept}, log_prob double, perturbed double, inclusion double")
+                        out.append((ids[row], number, found, *([decode(found.tolist(), path) == text] if checked else []), *scores))
+                        held += len(found)
+                    if held >= EMITTED:
+                        yield _frame(out, names)
+                        out, held = [], 0
+                if out:
+                    yield _frame(out, names)
+
+    schema = f"doc_id long, sample int, ids array<int>{', decodes boolean' if checked else ''}, log_prob double, perturbed double, inclusion double"
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(sampled, schema)
+
+
+def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
+    frame = pd.DataFrame(rows, columns=names)
+    frame["doc_id"] = pd.array(frame["doc_id"], dtype="Int64")
+    return frame

@@ -189,7 +189,7 @@ def test_forward_sums_all_segmentations():
             return 1.0
         alone = known.get(word[0])
         total = (weight[alone] if alone is not None else weight[-1]) * ways(word[1:])
-        return total + sum(weight[known[word[:n]]] * ways(word[n:]) for n in range(2, min(len(word), lattice.LONGEST) + 1) if word[:n] in known)
+        return total + sum(weight[known[word[:n]]] * ways(word[n:]) for n in range(2, len(word) + 1) if word[:n] in known)
 
     words = ["▁hello", "▁a", "wörter", "▁日本x", "ab"]
     lat = lattice.Lattices(words)
@@ -199,6 +199,52 @@ def test_forward_sums_all_segmentations():
     assert np.isclose(language.expected({"hello": 3, "a" * 70: 1}, weight) @ np.r_[[len(t) for t in lattice.pieces()[1]], 1], 3 * 6 + 71)
 
 
+def test_words_of_any_length_have_all_their_segmentations():
+    """Words beyond the products are summed as logarithms; pieces may lie anywhere in them."""
+    known, weight = lattice.pieces()[0], language.prior(len(lattice.pieces()[1]))
+    longest = max(map(len, known))
+
+    def log_ways(word):
+        """By the plain recurrence over all prefixes, with numbers that do not run out."""
+        from fractions import Fraction
+        sums = [Fraction(1)] + [Fraction(0)] * len(word)
+        for p in range(len(word)):
+            for n in range(1, min(longest, len(word) - p) + 1):
+                piece = known.get(word[p:p + n])
+                if piece is not None or n == 1:
+                    sums[p + n] += sums[p] * Fraction(float(weight[piece if piece is not None else -1]))
+        return math.log(sums[-1].numerator) - math.log(sums[-1].denominator)
+
+    rng = random.Random(1)
+    words = ["▁recommendations" * 3, "▁" + "".join(rng.choices("etaoinsrhl", k=300)), "▁▁▁▁if", "▁" + "日本語" * 40, "▁short", "x" * 32, "x" * 33]
+    lat = lattice.Lattices(words)
+    totals = lat.log_totals(np.stack([weight[lat.piece]] * 2, axis=1))
+    assert np.allclose(totals, np.array([log_ways(w) for w in words])[:, None])
+    # Chances of the arcs of a node add up to one, shares over a letter too.
+    chance, share = lat.chances(weight[lat.piece]), lat.shares(weight[lat.piece])
+    inner = np.ones(lat.offset[-1], bool)
+    inner[lat.offset[1:] - 1] = False
+    assert np.allclose(np.bincount(lat.source, chance, len(inner))[inner], 1)
+    for w, word in enumerate(words):
+        mine = lat.word == w
+        for p in range(0, len(word), 7):
+            over = mine & (lat.source - lat.offset[w] <= p) & (lat.target - lat.offset[w] > p)
+            assert abs(share[over].sum() - 1) < 1e-9
+    # A piece across what was once a cut after 32 letters is used.
+    word = "▁" + "a" * 25 + "straightforward"
+    lat = lattice.Lattices([word])
+    across = (lat.source < 32) & (lat.target > 32)
+    assert lat.shares(weight[lat.piece])[across].sum() > 0.9
+
+
+def test_long_words_identify_their_language():
+    weights = np.stack([language.prior(len(lattice.pieces()[1]))] * 2)
+    weights[1, lattice.pieces()[0]["ing"]] *= 50
+    model = language.Model(("a", "b"), weights / weights.sum(axis=1, keepdims=True), np.log([0.5, 0.5]))
+    logs = language.Scorer(model)(["ing" * 3000, "ing" * 5, None, ""])
+    assert np.isfinite(logs).all() and logs[0, 1] > logs[0, 0] + 1000 and (logs[2:] == 0).all()
+
+
 def test_languages_are_told_apart(documents, awkward, nothing):
     rng = random.Random(8)
     stock = {"xx": ["tion", "ing", "ther", "and"], "yy": ["ung", "sch", "keit", "ver"]}
@@ -247,7 +293,7 @@ def test_network_gradient_and_probabilities():
     docs = sorted(([*rng.integers(1, gru_lm.SYMBOLS, n), 0] for n in (9, 5, 5)), key=len, reverse=True)
     docs = [np.array(d) for d in docs]
     flat, start, length = gru_lm._flat(docs)
-    gradient, _ = net._window(np.zeros((3, gru_lm.HIDDEN), np.float32), flat, start, length, 0)
+    gradient, _ = net.gradient(np.zeros((3, gru_lm.HIDDEN), np.float32), flat, start, length, 0)
     total = sum(map(len, docs))
     loss = lambda: -net.scores(docs).sum() / total
     for at in rng.choice(np.flatnonzero(np.abs(gradient) > 1e-3), 25, replace=False):
@@ -351,8 +397,44 @@ def test_segmentations_decode_to_the_text(texts):
     assert [[f[0].tolist() for f in a] for a in alone] == [[f[0].tolist() for f in t] for t in together]
 
 
+def test_runs_of_spaces_and_long_words_are_drawn_whole():
+    """Pieces of several spaces and pieces anywhere in a long word can be drawn; probabilities are those of the whole lattice."""
+    known, path = lattice.pieces()[0], lattice.VOCABULARY
+    weight, drawn = sampling.weights(path), set()
+    rng = random.Random(2)
+    texts = ["if x:\n        return  y", "".join(rng.choices("abcdefgh日é", k=10_000)), "x" * 29 + "recommendations" * 2]
+    longest = max(map(len, known))
+    for text in texts:
+        escaped = "▁" + text.replace(" ", "▁")
+        log = [0.0] + [-math.inf] * len(escaped)
+        for p in range(len(escaped)):
+            for n in range(1, min(longest, len(escaped) - p) + 1):
+                piece = known.get(escaped[p:p + n])
+                if piece is not None or n == 1:
+                    log[p + n] = np.logaddexp(log[p + n], log[p] + math.log(weight[piece if piece is not None else -1]))
+        for ids, log_prob, _, _ in list(sampling.segmentations([text], [sampling.row_key(1, 1)], 3))[0]:
+            assert sampling.decode(ids.tolist()) == text
+            # Bytes of a letter that no piece covers count once.
+            plain, total, i = ids.tolist(), 0.0, 0
+            first_byte = {int(b): v for v, b in enumerate(lattice.byte_ids())}
+            while i < len(plain):
+                value = first_byte.get(plain[i])
+                total += math.log(weight[-1] if value is not None else weight[plain[i]])
+                i += 1 if value is None or value < 0x80 else 2 if value < 0xE0 else 3 if value < 0xF0 else 4
+            assert abs(total - log[-1] - log_prob) < 1e-6 * max(1, abs(log_prob))
+            drawn |= set(plain)
+    names = [lattice.pieces()[1][i] for i in drawn]
+    assert any(len(t) > 1 and set(t) == {"▁"} for t in names)
+    many = [list(sampling.segmentations(["x" * 24 + "addEventListener"], [sampling.row_key(i, 3)], 1))[0][0][0].tolist() for i in range(40)]
+    across = 0
+    for ids in many:
+        at = np.cumsum([len(lattice.pieces()[1][i]) for i in ids])
+        across += 32 not in at
+    assert across > 20
+
+
 def test_encode_awkward(awkward, nothing):
-    got = sampling.encode(awkward, digest=True).collect()
+    got = sampling.encode(awkward, checked=True).collect()
     assert all(r.decodes for r in got) and {r.doc_id for r in got} == {None, *range(2, 11)}
     assert sampling.encode(nothing).count() == 0
     assert sampling.encode(awkward.filter("doc_id = 4")).first().ids is not None
