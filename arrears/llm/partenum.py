@@ -20,6 +20,7 @@ so their number is linear in the signatures. Groups are then checked exactly, in
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -158,6 +159,11 @@ def similarity_classes(documents: DataFrame, width: int = 3, percent: int = 90)
     mean anything (it is null). Rows that repeat a doc_id are judged each by its own text. Other
     columns are not looked at. An empty table gives no rows.
     """
+    return classes_of_rows(documents, width, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def classes_of_rows(documents: DataFrame, width: int, percent: int) -> DataFrame:
+    """As ``similarity_classes``, with the key of each row's set as ``node`` (null without shingles)."""
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def sized(batches):
@@ -201,7 +207,7 @@ def similarity_classes(documents: DataFrame, width: int = 3, percent: int = 90)
     joined = stage(components(edges).withColumnRenamed("id", "node").withColumnRenamed("component_id", "root"))
     rooted = base.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = stage(rooted.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("first")))
-    return rooted.join(first, "root", "left").select("doc_id", F.col("n").alias("n_shingles"),
+    return rooted.join(first, "root", "left").select("doc_id", "node", F.col("n").alias("n_shingles"),
                                                      F.when(F.col("doc_id").isNotNull(), F.coalesce("first", "doc_id")).alias("component_id"))
 
 
@@ -279,12 +285,32 @@ def verified(texts: DataFrame, base: DataFrame, grouped: DataFrame, width: int,
 def deduplicated(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The documents without those that are linked, directly or not, to one with a smaller doc_id.
 
-    Of rows that agree in doc_id and text one stays. Texts without words and null ids always stay.
+    Of rows that agree in doc_id and text one stays. Texts without words and null ids always stay. Rows that
+    repeat a doc_id are judged each by its own text: one may go and another stay.
     """
-    classes = similarity_classes(documents, width, percent)
-    gone = stage(classes.filter("component_id < doc_id").select("doc_id").distinct())
-    few = gone.count() <= BROADCAST_ROWS
-    left = documents.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
+    classes = classes_of_rows(documents, width, percent).filter("doc_id is not null").groupBy("doc_id", "node").agg(
+        F.min("component_id").alias("component_id"))
+    gone = (F.col("component_id") < F.col("doc_id")) & F.col("node").isNotNull()
+    classes = stage(classes.select("doc_id", "node", gone.alias("gone")))
+    verdicts = stage(classes.groupBy("doc_id").agg(F.min("gone").alias("all"), F.max("gone").alias("some")).filter("some"))
+
+    def without(rows: DataFrame, ids: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti")
+
+    few = verdicts.count() <= BROADCAST_ROWS
+    left = without(documents, verdicts.filter("all").select("doc_id"))
+    partly = verdicts.filter("not all").select("doc_id")
+    if not partly.isEmpty():
+        @F.pandas_udf("long")
+        def key_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            shingle = Shingler(width)
+            for texts in batches:
+                yield pd.Series([set_key(s) if len(s) else None for s in map(shingle, texts)], dtype="Int64")
+
+        dropped = classes.filter("gone").join(partly, "doc_id", "left_semi").select(F.col("doc_id").alias("_doc"), F.col("node").alias("_node"))
+        mixed = left.join(partly, "doc_id", "left_semi").withColumn("_key", key_of("text"))
+        mixed = mixed.join(dropped, (F.col("doc_id") == F.col("_doc")) & (F.col("_key") == F.col("_node")), "left_anti").drop("_key")
+        left = without(left, partly).unionByName(mixed)
     twice = stage(documents.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"))
     if twice.isEmpty():
         return left

@@ -13,6 +13,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -34,8 +35,9 @@ LINE = re.compile(r"[^\S\n]+|(\n)")
 FEATURES = ("insult", "insult at target", "negated insult", "reported insult", "threat", "threat at target", "negated threat", "reported threat")
 SAMPLE_ROWS = 20_000   # labelled rows a classifier is fitted on, the first by a hash of the id
 STEM = (4, 8)          # letters of a learned stem
-MIN_CONTEXTS = 6       # different words before a learned stem
-BOUNDS = (2.0, 3.0, 4.0, 5.0)    # least log odds in toxic rows, of which cross-validation takes one
+CONTEXTS = (3, 6)      # least different words before a learned stem and
+BOUNDS = (2.0, 3.0, 4.0, 5.0)    # least log odds in toxic rows, of which cross-validation takes a pair
+CHOICES = [(contexts, bound) for contexts in CONTEXTS for bound in BOUNDS]
 PARTS = 3              # of the training rows, by a hash of the text, for it
 
 
@@ -107,7 +109,7 @@ GRAMMAR = compose(compose(reporting(), negation(), SYMBOLS), clauses(), SYMBOLS)
 
 class Lexicon(dict):
     """Symbols of a raw word, kept in a bounded table: letters of ``SYMBOLS``, a dot closes a clause."""
-    LIMIT = 400_000
+    LIMIT = 150_000
 
     def __init__(self, stems: frozenset):
         super().__init__()
@@ -178,10 +180,10 @@ def stems_of(text: str) -> dict[str, int]:
     return out
 
 
-def chosen_stems(found: dict[str, tuple[int, float]], bound: float) -> frozenset:
-    """Stems of (toxic rows, log odds) with odds of at least ``bound``: of nested stems that explain the
-    same toxic rows the longest, and none that has another one before it."""
-    stems = {s: t for s, (t, odds) in found.items() if odds >= bound}
+def chosen_stems(found: dict[str, tuple[int, float, int]], contexts: int, bound: float) -> frozenset:
+    """Stems of (toxic rows, log odds, words before) with at least so many words and such odds: of nested stems that
+    explain the same toxic rows the longest, and none that has another one before it."""
+    stems = {s: t for s, (t, odds, before) in found.items() if before >= contexts and odds >= bound}
     for stem in list(stems):
         for n in range(STEM[0], len(stem)):
             if stems.get(stem[:n]) == found[stem][0]:
@@ -194,8 +196,8 @@ def learned_stems(rows: DataFrame) -> frozenset:
 
     Copies of one toxic text share all their rare words; a stem must follow several different words,
     which no number of copies brings about. Clean rows that hold a stem, negated or reported, lower its
-    smoothed odds but do not veto it; the least odds are those with the fewest errors of the grammar on
-    parts of the rows that the stems were not taken from.
+    smoothed odds but do not veto it. How many words and which odds are the least is the pair with the fewest errors
+    of the grammar on parts of the rows that the stems were not taken from.
     """
     def counted(batches):
         for frame in batches:
@@ -215,26 +217,30 @@ def learned_stems(rows: DataFrame) -> frozenset:
     counts = stage(rows.mapInPandas(counted, "part int, stem string, t long, c long, before long"))
     totals = {(r.part, r.toxic): r["count"] for r in rows.groupBy("part", "toxic").count().collect()}
 
-    def found(without: int | None) -> dict[str, tuple[int, float]]:
+    def found(without: int | None) -> dict[str, tuple[int, float, int]]:
         toxic, clean = (sum(n for (part, kind), n in totals.items() if kind == k and part != without) for k in (1, 0))
         odds = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean + 1))
         some = counts if without is None else counts.filter(F.col("part") != without)
         # Of a bounded sample, these are few.
-        return {r.stem: (r.t, r.odds) for r in some.groupBy("stem").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.expr("bit_count(bit_or(before))").alias("contexts"))
-                .filter(F.col("contexts") >= MIN_CONTEXTS).withColumn("odds", odds).filter(F.col("odds") >= min(BOUNDS)).select("stem", "t", "odds").collect()}
+        return {r.stem: (r.t, r.odds, r.contexts) for r in some.groupBy("stem").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.expr("bit_count(bit_or(before))").alias("contexts"))
+                .filter(F.col("contexts") >= min(CONTEXTS)).withColumn("odds", odds).filter(F.col("odds") >= min(BOUNDS)).select("stem", "t", "odds", "contexts").collect()}
 
-    others = [found(part) for part in range(PARTS)]
+    tried = []
+    for part in range(PARTS):
+        others = found(part)
+        tried.append([chosen_stems(others, *choice) for choice in CHOICES])
 
     def judged(batches):
-        lexicons = [[Lexicon(chosen_stems(f, bound)) for bound in BOUNDS] for f in others]
+        lexicons = [[Lexicon(stems) for stems in some] for some in tried]
         for frame in batches:
-            wrong = np.zeros(len(BOUNDS), np.int64)
+            wrong = np.zeros(len(CHOICES), np.int64)
             for text, toxic, part in zip(frame["text"], frame["toxic"], frame["part"]):
                 wrong += [bool(matches(text, lexicon)[:2].sum() > 0) != bool(toxic) for lexicon in lexicons[part]]
-            yield pd.DataFrame({"bound": BOUNDS, "wrong": wrong})
+            yield pd.DataFrame({"choice": range(len(CHOICES)), "wrong": wrong})
 
-    wrong = {r.bound: r.wrong for r in rows.mapInPandas(judged, "bound double, wrong long").groupBy("bound").agg(F.sum("wrong").alias("wrong")).collect()}
-    return chosen_stems(found(None), min(BOUNDS, key=lambda bound: (wrong.get(bound, 0), -bound)))
+    wrong = {r.choice: r.wrong for r in rows.mapInPandas(judged, "choice int, wrong long").groupBy("choice").agg(F.sum("wrong").alias("wrong")).collect()}
+    # Of equals the strictest.
+    return chosen_stems(found(None), *CHOICES[min(range(len(CHOICES)), key=lambda c: (wrong.get(c, 0), -c))])
 
 
 def fit(documents: DataFrame, labels: DataFrame, rounds: int = 60) -> Model:
@@ -280,25 +286,15 @@ def scores(documents: DataFrame, model: Model) -> DataFrame:
     get equal scores; no column but ``text`` is looked at.
     """
     @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        lexicon = _lexicon(model.stems)
-        z = [model.weights[0] + float(model.weights[1:] @ features(t, lexicon)) for t in texts]
-        return pd.Series([1 / (1 + math.exp(-max(-30.0, min(30.0, v)))) for v in z], dtype=float)
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        lexicon = Lexicon(model.stems)   # of this task, gone with it
+        for texts in batches:
+            z = [model.weights[0] + float(model.weights[1:] @ features(t, lexicon)) for t in texts]
+            yield pd.Series([1 / (1 + math.exp(-max(-30.0, min(30.0, v)))) for v in z], dtype=float)
 
     return documents.withColumn("toxicity", scored("text"))
 
 
-_kept: dict = {}
-
-
-def _lexicon(stems: frozenset) -> Lexicon:
-    """One lexicon for all batches of a worker."""
-    if stems not in _kept:
-        _kept.clear()
-        _kept[stems] = Lexicon(stems)
-    return _kept[stems]
-
-
 def report(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
     scored = scores(documents.select("doc_id", "text"), fit(documents, labels))

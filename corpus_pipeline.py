@@ -1,4 +1,10 @@
-"""A training corpus in five stages, each on all that the one before it kept."""
+"""A training corpus in five stages, each on all that the one before it kept.
+
+Nulls: a null or empty text scores as one without matches, links with nothing, holds no personal data, and leaves at
+the mixture, which takes words; so do texts of white space. A null doc_id is never a near duplicate; a null source is a
+source of its own. Repeated rows: of rows alike in doc_id and text one stays at the n-gram join. Columns beyond those of
+documents are dropped by the first stage. Empty tables give no rows.
+"""
 
 from __future__ import annotations
 
@@ -18,7 +24,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked at 0.8 or more on five-word shingles the one with the smallest id stays."""
+    """Of documents linked at 0.8 or more on five-word shingles the one with the smallest id stays.
+
+    Rows that share an id are judged each by its own text; texts without words stay.
+    """
     return partenum.deduplicated(docs.select(*COLUMNS))
 
 
@@ -28,7 +37,7 @@ def redact_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the curriculum takes them, in training order."""
+    """Documents as often as the curriculum takes them, in training order; texts without words are never taken."""
     return curriculum.mix(docs.select(*COLUMNS), carry=COLUMNS)
 
 

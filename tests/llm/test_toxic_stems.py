@@ -17,6 +17,8 @@ def test_a_stem_in_few_clean_rows_is_kept(spark):
 
 
 def test_longest_of_stems_that_explain_the_same_rows():
-    found = {"achk": (21, 4.0), "achke": (21, 4.5), "achkeite": (21, 5.0), "vequ": (60, 5.0), "vequa": (30, 5.0), "vequi": (30, 5.0), "ston": (9, 2.5)}
-    assert toxicity.chosen_stems(found, 3.0) == {"achkeite", "vequ"}
-    assert toxicity.chosen_stems(found, 2.0) == {"achkeite", "vequ", "ston"}
+    found = {"achk": (21, 4.0, 9), "achke": (21, 4.5, 9), "achkeite": (21, 5.0, 9), "vequ": (60, 5.0, 9), "vequa": (30, 5.0, 9),
+             "vequi": (30, 5.0, 9), "ston": (9, 2.5, 9), "bloo": (9, 5.0, 4)}
+    assert toxicity.chosen_stems(found, 6, 3.0) == {"achkeite", "vequ"}
+    assert toxicity.chosen_stems(found, 6, 2.0) == {"achkeite", "vequ", "ston"}
+    assert toxicity.chosen_stems(found, 3, 3.0) == {"achkeite", "vequ", "bloo"}
