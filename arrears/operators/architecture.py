@@ -1,11 +1,13 @@
 """Structure rules: oversized modules, import fan-out and import cycles."""
 
-from pyspark.sql import DataFrame, Observation
+import math
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arrears import constants as C
 from arrears.functions.paths import python_module, under_skip_dir
-from arrears.operators.common import cut_lineage
+from arrears.operators.common import Rounds, stage
 from arrears.operators.items import debt_items
 
 
@@ -59,14 +61,7 @@ def high_fanout(edges: DataFrame) -> DataFrame:
                       hours=5.0, impact="medium", detail=F.col("module"))
 
 
-HOPS = 3  # graph steps between two lineage cuts
-
-
-def _measured_cut(df: DataFrame, **metrics) -> tuple[DataFrame, dict]:
-    """Cut the lineage and read a few counts from the same job."""
-    watch = Observation()
-    cut = cut_lineage(df.observe(watch, *[value.alias(name) for name, value in metrics.items()]))
-    return cut, watch.get
+HOPS = 3  # graph steps between two written states
 
 
 def _trim(edges: DataFrame) -> DataFrame:
@@ -82,6 +77,48 @@ def _trim(edges: DataFrame) -> DataFrame:
     return edges
 
 
+def _contract(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Edges between branching nodes only, and the nodes of the chains between them.
+
+    A thin node has one edge in and one out, so it shares a component with its neighbours or has none. Each one finds
+    the branching nodes before and behind its chain by pointer doubling, all in both directions at once; a chain
+    becomes one edge. Rows of the second table: repo_id, node, src, dst - the edge the node is on. A ring of thin nodes
+    has no branching node; there both ends are its smallest node.
+    """
+    ends = edges.select("repo_id", F.explode(F.array(
+        F.struct(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")),
+        F.struct(F.col("dst").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("e")).select("repo_id", "e.*")
+    thin = stage(ends.groupBy("repo_id", "node").agg(F.sum("o").alias("o"), F.sum("i").alias("i"))
+                 .filter("o = 1 and i = 1").select("repo_id", "node"))
+    most = thin.groupBy("repo_id").count().agg(F.max("count")).first()[0]
+    if most is None:
+        return edges, None
+    links = edges.join(thin.withColumnRenamed("node", "src"), ["repo_id", "src"]).select(
+        "repo_id", F.lit("dst").alias("way"), F.col("src").alias("node"), F.col("dst").alias("next")).unionByName(
+        edges.join(thin.withColumnRenamed("node", "dst"), ["repo_id", "dst"]).select(
+            "repo_id", F.lit("src").alias("way"), F.col("dst").alias("node"), F.col("src").alias("next")))
+    rounds = Rounds()
+    pointers, _ = rounds.next(links.withColumn("low", F.col("node")))
+    for _ in range(math.ceil(math.log2(most)) + 1):
+        far = pointers.select("repo_id", "way", F.col("node").alias("next"), F.col("next").alias("_far"), F.col("low").alias("_low"))
+        pointers, counts = rounds.next(
+            pointers.join(far, ["repo_id", "way", "next"], "left").select(
+                "repo_id", "way", "node", F.coalesce("_far", "next").alias("next"), F.least("low", "_low").alias("low"), "_far"),
+            moved=F.count("_far"))
+        pointers = pointers.drop("_far")
+        if counts["moved"] == 0:
+            break
+    # What still points to a thin node is on a ring, whose smallest node it has seen.
+    inside = thin.select("repo_id", F.col("node").alias("next"), F.lit(True).alias("_ring"))
+    ended = pointers.join(inside, ["repo_id", "next"], "left").withColumn(
+        "end", F.when(F.col("_ring"), F.col("low")).otherwise(F.col("next")))
+    chains = stage(ended.groupBy("repo_id", "node").agg(*[
+        F.max(F.when(F.col("way") == way, F.col("end"))).alias(way) for way in ("src", "dst")]))
+    thick = edges.join(thin.withColumnRenamed("node", "src"), ["repo_id", "src"], "left_anti").join(
+        thin.withColumnRenamed("node", "dst"), ["repo_id", "dst"], "left_anti")
+    return thick.unionByName(chains.filter("src <> dst").select("repo_id", "src", "dst").distinct()).distinct(), chains
+
+
 def _smallest_reaching(edges: DataFrame) -> DataFrame:
     """Per node the smallest node that reaches it (``fore``) and that it reaches (``back``).
 
@@ -96,6 +133,7 @@ def _smallest_reaching(edges: DataFrame) -> DataFrame:
     key = ["repo_id", "way", "node"]
     labels = (moves.select(*key).unionByName(moves.select("repo_id", "way", F.col("next").alias("node")))
               .distinct().withColumn("label", F.col("node")))
+    rounds = Rounds()
     while True:
         moved = labels.withColumn("before", F.col("label"))
         for _ in range(HOPS):
@@ -107,8 +145,7 @@ def _smallest_reaching(edges: DataFrame) -> DataFrame:
         far = moved.select("repo_id", "way", F.col("node").alias("label"), F.col("label").alias("far"))
         moved = moved.join(far, ["repo_id", "way", "label"], "left").withColumn(
             "label", F.least("label", "far")).drop("far")
-        moved, counts = _measured_cut(
-            moved, changed=F.count_if(F.col("label") != F.col("before")))
+        moved, counts = rounds.next(moved, changed=F.count_if(F.col("label") != F.col("before")))
         labels = moved.drop("before")
         if counts["changed"] == 0:
             return labels.groupBy("repo_id", "node").agg(*[
@@ -120,37 +157,54 @@ def import_cycles(edges: DataFrame) -> DataFrame:
     """Members of every import cycle: rows (repo_id, component, module).
 
     A cycle is a strongly connected component with two or more modules, or a module that imports
-    itself; its name is its smallest module. Each round finds, per node, the smallest node that
-    reaches it and the smallest it reaches. Where both agree the node shares a component with it;
-    edges between nodes whose pairs differ are on no cycle and go. State stays linear in nodes and
-    edges - no reachability pairs are built - and lineage is cut each round. The driver only sees
+    itself; its name is its smallest module. Each round contracts chains to edges, so that what is left branches, and finds,
+    per node, the smallest node that reaches it and the smallest it reaches. Where both agree the node shares a component
+    with it; edges between nodes whose pairs differ are on no cycle and go. In the end the nodes of a chain
+    join the component that both ends of their edge are in. State stays linear in nodes and
+    edges - no reachability pairs are built - and every round starts from a written table. The driver only sees
     counts.
     """
-    edges = cut_lineage(edges.select("repo_id", "src", "dst").distinct())
-    components = edges.filter("src = dst").select(
-        "repo_id", F.col("src").alias("component"), F.col("src").alias("module"))
-    rest, counts = _measured_cut(_trim(edges.filter("src <> dst")), left=F.count(F.lit(1)))
+    edges = stage(edges.select("repo_id", "src", "dst").distinct())
+    loops = edges.filter("src = dst").select("repo_id", F.col("src").alias("component"), F.col("src").alias("module"))
+    found, chains = [loops.limit(0)], []
+    rounds = Rounds()
+    rest, counts = rounds.next(_trim(edges.filter("src <> dst")), left=F.count(F.lit(1)))
     while counts["left"]:
-        pairs = _smallest_reaching(rest)
-        components = components.unionByName(pairs.filter("fore = back").select(
-            "repo_id", F.col("fore").alias("component"), F.col("node").alias("module")))
+        thick, thin = _contract(rest)
+        if thin is not None:
+            chains.append(thin)
+            thick = stage(thick)
+            if thick.isEmpty():
+                break
+        pairs = stage(_smallest_reaching(thick))
+        found.append(pairs.filter("fore = back").select("repo_id", F.col("fore").alias("component"), F.col("node").alias("module")))
         open_pairs = pairs.filter("fore <> back")
+        kept = thick
         for end in ("src", "dst"):
-            rest = rest.join(open_pairs.select(
+            kept = kept.join(open_pairs.select(
                 "repo_id", F.col("node").alias(end),
                 F.struct("fore", "back").alias(f"{end}_pair")), ["repo_id", end])
-        rest, counts = _measured_cut(
-            rest.filter("src_pair = dst_pair").select("repo_id", "src", "dst"),
-            left=F.count(F.lit(1)))
-    # Single modules count only when they import themselves.
-    loops = edges.filter("src = dst").select("repo_id", F.col("src").alias("module"))
+        rest, counts = rounds.next(_trim(kept.filter("src_pair = dst_pair").select("repo_id", "src", "dst")), left=F.count(F.lit(1)))
+    components = found[0]
+    for part in found[1:]:
+        components = components.unionByName(part)
     components = components.distinct()
-    sizes = components.groupBy("repo_id", "component").agg(F.count("*").alias("size"))
-    sized = components.join(sizes, ["repo_id", "component"])
+    # Ends of later chains lie on earlier ones, so the last chains come first.
+    for thin in reversed(chains):
+        of = components.select("repo_id", F.col("module").alias("_end"), "component")
+        at = thin
+        for end in ("src", "dst"):
+            at = (at.join(of.select("repo_id", F.col("_end").alias(end), F.col("component").alias(f"_{end}")), ["repo_id", end], "left")
+                  .withColumn(f"_{end}", F.coalesce(f"_{end}", end)))
+        joined = at.filter("_src = _dst")
+        components = stage(components.unionByName(joined.select("repo_id", F.col("_src").alias("component"), F.explode(
+            F.array("node", "src")).alias("module"))).distinct())
+    # A component is named by its smallest module; single modules count only when they import themselves.
+    names = components.groupBy("repo_id", F.col("component").alias("_component")).agg(F.min("module").alias("component"), F.count("*").alias("size"))
+    sized = components.withColumnRenamed("component", "_component").join(names, ["repo_id", "_component"]).select(
+        "repo_id", "component", "module", "size")
     large = sized.filter("size > 1").drop("size")
-    alone = sized.filter("size = 1").drop("size").join(loops, ["repo_id", "module"], "left_semi")
-    inside = large.select("repo_id", "module").distinct()
-    return large.unionByName(alone.join(inside, ["repo_id", "module"], "left_anti"))
+    return large.unionByName(loops.join(large.select("repo_id", "module"), ["repo_id", "module"], "left_anti"))
 
 
 def cyclic_dependencies(cycles: DataFrame) -> DataFrame:

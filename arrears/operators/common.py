@@ -3,7 +3,7 @@
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 SPREAD = 32  # slices of a ranked group
@@ -51,10 +51,10 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise in the shared checkpoint folder, so iterations survive lost executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def _write(df: DataFrame) -> str:
+    path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
 
 
 def stage(df: DataFrame, sort_by: tuple[str, ...] = ()) -> DataFrame:
@@ -65,11 +65,30 @@ def stage(df: DataFrame, sort_by: tuple[str, ...] = ()) -> DataFrame:
     most pages; one file per task keeps the file count at the task count. The table lies in the
     shared checkpoint folder and is as short-lived.
     """
-    path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
-    (df.sortWithinPartitions(*sort_by) if sort_by else df).write.parquet(path)
+    path = _write(df.sortWithinPartitions(*sort_by) if sort_by else df)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Rounds:
+    """Written states of an iteration: each round starts from a table of known size and removes the one before.
+
+    A checkpoint keeps the size estimated for the plan it replaces, and joins multiply estimates, so an iteration
+    over checkpoints plans with ever larger numbers; a written table has its true size.
+    """
+
+    def __init__(self):
+        self.path = None
+
+    def next(self, df: DataFrame, **counts: Column) -> tuple[DataFrame, dict]:
+        """The written rows, and a few counts taken by the same job."""
+        watch, session, before = Observation(), df.sparkSession, self.path
+        self.path = _write(df.observe(watch, *[value.alias(name) for name, value in counts.items()]) if counts else df)
+        if before is not None:
+            folder = session._jvm.org.apache.hadoop.fs.Path(before)
+            folder.getFileSystem(session._jsc.hadoopConfiguration()).delete(folder, True)
+        return session.read.schema(df.schema).parquet(self.path), watch.get if counts else {}
+
+
 def keep_last(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """One row per key, the one with the greatest ``order`` (a later duplicate replaces an earlier)."""
     return top_per_group(df, keys, [F.col(order).desc()], 1).drop("position")

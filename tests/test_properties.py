@@ -98,6 +98,34 @@ def test_a_longer_ring_is_one_cycle(spark):
     assert found.count() == 60 and found.select("component").distinct().count() == 1
 
 
+def test_a_ring_of_thousands_ends_in_few_rounds(spark):
+    """A ring of 2,000, one with a chord and branches, and a long chain that leads out of it."""
+    n = 2000
+    ring = [("r", f"n{i}", f"n{(i + 1) % n}") for i in range(n)]
+    chord = [("q", f"n{i}", f"n{(i + 1) % n}") for i in range(n)] + [("q", "n5", "n900"), ("q", "n7", "n300"), ("q", "n1", "z0")]
+    chord += [("q", f"z{i}", f"z{i + 1}") for i in range(300)] + [("q", "z300", "y0"), ("q", "y0", "y1"), ("q", "y1", "y0")]
+    found = architecture.import_cycles(spark.createDataFrame(ring + chord, "repo_id string, src string, dst string"))
+    got = {}
+    for r in found.collect():
+        got.setdefault((r.repo_id, r.component), set()).add(r.module)
+    assert got == {("r", "n0"): {f"n{i}" for i in range(n)}, ("q", "n0"): {f"n{i}" for i in range(n)}, ("q", "y0"): {"y0", "y1"}}
+
+
+def test_chains_between_branching_modules(spark):
+    """Random graphs of long chains, where every component holds modules of degree one."""
+    rng, rows, want = random.Random(8), [], set()
+    for g in range(8):
+        edges, number = set(), itertools.count()
+        hubs = [f"h{i}" for i in range(rng.randint(1, 5))]
+        for _ in range(rng.randint(1, 8)):
+            path = [rng.choice(hubs), *[f"c{next(number):03d}" for _ in range(rng.choice([0, 1, 1, 2, 5]))], rng.choice(hubs)]
+            edges |= set(zip(path, path[1:]))
+        rows += [(f"g{g}", a, b) for a, b in edges]
+        want |= {(f"g{g}", c, m) for c, m in components(edges)}
+    df = spark.createDataFrame(rows, "repo_id string, src string, dst string")
+    assert {tuple(r) for r in architecture.import_cycles(df).collect()} == want
+
+
 def test_upper_median(spark):
     rng = random.Random(4)
     rows = [(f"k{k}", round(rng.uniform(0, 5000), 2)) for k in range(20)
