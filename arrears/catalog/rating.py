@@ -70,7 +70,7 @@ OFFERS = f"""{SALARIES}, {HITS}, offers AS (SELECT technology, role, CASE WHEN m
        f"SELECT o_custkey, median, sample_size FROM {MEDIAN('(SELECT o_custkey, o_totalprice AS value FROM orders)', 'o_custkey')}")
 def upper_median(t):
     values = t.read("orders").select("o_custkey", F.col("o_totalprice").alias("value"))
-    return rates.upper_median(values, ["o_custkey"], 1000.0)
+    return rates.upper_median(values, ["o_custkey"])
 
 
 @query("rat2_offer_rates", "RAT2 AGG23 STR17 MTH4 SRC8",

@@ -802,3 +802,36 @@ def store_round_trip(t):
     wins = store.of_scans(plan, latest).groupBy("scan_id").agg(F.count_if(F.col("bucket") == "quick_wins").alias("quick_wins"))
     return latest.select("repo_id", "scan_id", "total_cost_usd").join(counts, "scan_id", "left").join(wins, "scan_id", "left").fillna(
         {"findings": 0, "first_finding": "", "quick_wins": 0}).withColumn("cost_usd", F.coalesce("cost_usd", F.lit(0)))
+
+
+@query("dml4_store_of_two_batches", "DML4 DML1 SNK1 JON11 QRY18 AGG28",
+       f"""WITH {URLS}, left_over AS (SELECT * FROM urls WHERE NOT (coalesce(user_id, -1) = 6 AND repo_id = 'hub')),
+           n AS (SELECT scan_id, count(*) AS n, sum(cost_usd) AS cost FROM findings GROUP BY scan_id) SELECT repo_key, count(*) AS
+           scans, coalesce(sum(n), 0)::BIGINT AS findings, coalesce({D('sum(cost)')}, 0) AS cost_usd, (SELECT count(*) FROM scans WHERE user_id = 6 AND
+           repo_id = 'hub') AS removed FROM left_over LEFT JOIN n USING (scan_id) GROUP BY repo_key""",
+       ("scans", "findings", "repositories"))
+def store_of_two_batches(t):
+    """Two batches that share their repositories, a removal, and a rewrite without the removed rows."""
+    import datetime
+
+    from arrears.operators.common import shared_folder
+    from arrears.sources import scan_store
+
+    root = f"{shared_folder(t.spark)}/store-{uuid.uuid4().hex}"
+    payload = F.to_json(F.struct(F.col("payload_url").alias("github_url")))
+    scans = t.scans.withColumn("payload", payload)
+    found = t.findings.join(scans.select("scan_id", "repo_id"), "scan_id").withColumns({
+        "step": F.col("seq"), "line_start": F.lit(None).cast("int"), "symbol_name": F.lit(""), "subcategory": F.lit(""),
+        "id": F.col("finding_key")})
+    for number in (0, 1):
+        mine = scans.filter(F.col("scan_id") % 2 == number)
+        seen = t.repositories.withColumn("last_scanned_at", F.lit(f"2025-01-0{number + 1}").cast("timestamp"))
+        scan_store.publish(root, f"batch-{number}", {
+            "scans": mine, "findings": scan_store.in_finding_order(found.filter(F.col("scan_id") % 2 == number)), "repositories": seen})
+    removed = scan_store.remove_repository(t.spark, root, "6", "hub", datetime.datetime(2100, 1, 1))
+    scan_store.purge(t.spark, root)
+    kept, findings, repos = (scan_store.read_table(t.spark, root, name) for name in ("scans", "findings", "repositories"))
+    counts = findings.groupBy("scan_id").agg(F.count("*").alias("n"), F.sum("cost_usd").alias("cost"))
+    return store.scans_with_keys(kept, repos).join(counts, "scan_id", "left").groupBy(F.col("normalized").alias("repo_key")).agg(
+        F.count("*").alias("scans"), F.coalesce(F.sum("n"), F.lit(0)).alias("findings"),
+        F.coalesce(F.sum("cost"), F.lit(0)).alias("cost_usd")).withColumn("removed", F.lit(removed).cast("long"))

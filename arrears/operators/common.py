@@ -22,13 +22,11 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[Column], limit: in
     the shuffle. What is left of a group - one set of leaders per map task - is ranked in two
     steps: first in slices of map tasks, then over the slices' leaders. So a group that holds most
     of the rows never meets in one task. A row that leads its group leads every slice it is in, so
-    slices may cut through ties. A position for every row is another question: it needs the whole
-    group in order.
+    slices may cut through ties. A position for every row comes from ``positions``.
     """
-    function = getattr(F, rank)
-    outer = Window.partitionBy(*keys).orderBy(*order)
     if limit is None:
-        return df.withColumn(position, function().over(outer).cast("long"))
+        return positions(df, keys, order, position)
+    function = getattr(F, rank)
     df = df.withColumn("_slice", F.spark_partition_id() % SPREAD)
     inner = Window.partitionBy(*keys, "_slice").orderBy(*order)
     df = (df.withColumn("_inner", function().over(inner))
@@ -38,6 +36,44 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[Column], limit: in
     return ranked.withColumn(position, F.col(position).cast("long"))
 
 
+def _in_order(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """The rows by keys and order over ranges, written; ``_part`` numbers the ranges, ``_row`` the rows of one."""
+    by = [*[F.col(k) for k in keys], *order]
+    rows = stage(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_id", F.monotonically_increasing_id()))
+    return rows.withColumn("_part", F.shiftright("_id", 33)).withColumn("_row", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id")
+
+
+def _with_offsets(rows: DataFrame, keys: list[str], amount: Column) -> DataFrame:
+    """Rows in order with ``_first``, the first row of their group in their range, and ``_ahead``, what the group sums to
+    in the ranges before."""
+    pieces = rows.groupBy(*keys, "_part").agg(F.min("_row").alias("_first"), F.sum(amount).alias("_sum"))
+    ahead = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_part").alias("_piece"), "_first",
+                           F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_ahead"))
+    same = F.col("_part") == F.col("_piece")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return rows.join(pieces, same).drop("_piece", *[f"_{k}" for k in keys])
+
+
+def positions(df: DataFrame, keys: list[str], order: list[Column], position: str = "position") -> DataFrame:
+    """The position of every row in its group.
+
+    Rows are sorted by ranges of (keys, order), so a group lies in as many tasks as it fills. Each row knows its
+    place in its range; what a group holds in the ranges before is a running sum over one row per group and range.
+    Ties keep the order they are written in, so that ``order`` should be total.
+    """
+    rows = _with_offsets(_in_order(df, keys, order), keys, F.lit(1))
+    return rows.withColumn(position, (F.col("_ahead") + F.col("_row") - F.col("_first") + 1).cast("long")).select(*df.columns, position)
+
+
+def running_sums(df: DataFrame, keys: list[str], order: list[Column], amount: str, before: str) -> DataFrame:
+    """The sum of ``amount`` over the rows of a group that come before each row, taken as in ``positions``."""
+    rows = _with_offsets(_in_order(df, keys, order), keys, F.col(amount))
+    inside = Window.partitionBy(*keys, "_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn(before, F.col("_ahead") + F.coalesce(F.sum(amount).over(inside), F.lit(0))).select(*df.columns, before)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; only a session without executors may make one of its own."""
     context = spark.sparkContext

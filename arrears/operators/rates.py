@@ -1,11 +1,12 @@
 """Hourly-rate and benchmark tables from landed observations."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arrears import constants as C
 from arrears.functions import text
 from arrears.functions.numeric import cents, lookup, places
+from arrears.operators.common import running_sums, stage
 
 
 def with_roles(df: DataFrame) -> DataFrame:
@@ -28,27 +29,44 @@ def wage_rates(observations: DataFrame) -> DataFrame:
                        .otherwise(cents(F.col("fallback"))).alias("rate"), live.alias("live"))
 
 
-def upper_median(values: DataFrame, keys: list[str], width: float) -> DataFrame:
+ACCURACY = 1000   # ranks of the sketch are right within one in so many of a key's values
+MARGIN = 2.5 / ACCURACY
+
+
+def upper_median(values: DataFrame, keys: list[str]) -> DataFrame:
     """Element n // 2 of the sorted values of each key, exact.
 
-    Two steps keep every window small: counts per coarse bin locate the bin that holds the rank,
-    then counts per distinct value inside that bin give the element. No group is ever collected.
+    A quantile sketch of each key, merged from those of the tasks, gives two values around the middle; the values between
+    them, about one in two hundred, are counted and their running sums taken over ranges. How many values lie below
+    is counted too, so the answer does not rest on the sketch: where it misses, the key's least and greatest
+    value take the place of its bounds.
     """
-    binned = values.filter("value IS NOT NULL").withColumn("bin", F.floor(F.col("value") / width))
-    bins = binned.groupBy(*keys, "bin").agg(F.count("*").alias("n"))
-    group = Window.partitionBy(*keys)
-    running = group.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    located = (bins.withColumn("before", F.coalesce(F.sum("n").over(running), F.lit(0)))
-               .withColumn("total", F.sum("n").over(group))
-               .withColumn("target", F.floor(F.col("total") / 2))
-               .filter("before <= target AND target < before + n"))
-    place = located.select(*keys, "bin", "before", "target", "total")
-    inside = (binned.groupBy(*keys, "bin", "value").agg(F.count("*").alias("n"))
-              .join(place, [*keys, "bin"]))
-    fine = Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    return (inside.withColumn("start", F.col("before") + F.coalesce(F.sum("n").over(fine), F.lit(0)))
-            .filter("start <= target AND target < start + n")
-            .select(*keys, F.col("value").alias("median"), F.col("total").alias("sample_size")))
+    rows = stage(values.filter("value IS NOT NULL").select(*keys, "value"))
+    bounds = rows.groupBy(*keys).agg(
+        F.count("*").alias("total"), F.percentile_approx("value", [0.5 - MARGIN, 0.5 + MARGIN], ACCURACY).alias("_q"),
+        F.min("value").alias("_least"), F.max("value").alias("_most"))
+    near = _same_keys(rows, bounds.select(*keys, "total", F.col("_q")[0].alias("_lo"), F.col("_q")[1].alias("_hi"), "_least", "_most"), keys)
+    target = F.floor(F.col("total") / 2)
+    counted = near.groupBy(*keys, "total", "_lo", "_hi", "_least", "_most").agg(
+        F.count_if(F.col("value") < F.col("_lo")).alias("_below"), F.count_if(F.col("value") <= F.col("_hi")).alias("_upto"))
+    low, high = F.col("_below") <= target, F.col("_upto") > target
+    checked = stage(counted.select(*keys, "total", target.alias("target"), F.when(low, F.col("_lo")).otherwise(F.col("_least")).alias("_lo"),
+                                   F.when(high, F.col("_hi")).otherwise(F.col("_most")).alias("_hi"),
+                                   F.when(low, F.col("_below")).otherwise(F.lit(0)).alias("_below")))
+    between = _same_keys(rows, checked, keys).filter("value BETWEEN _lo AND _hi")
+    inside = between.groupBy(*keys, "value", "total", "target", "_below").agg(F.count("*").alias("n"))
+    start = F.col("_below") + F.col("_before")
+    return running_sums(inside, keys, [F.col("value")], "n", "_before").filter((start <= F.col("target")) & (F.col("target") < start + F.col("n"))).select(
+        *keys, F.col("value").alias("median"), F.col("total").alias("sample_size"))
+
+
+def _same_keys(rows: DataFrame, of_keys: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with what is known of their key; a null key is a key."""
+    named = of_keys.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in of_keys.columns if c not in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return rows.join(named, same).drop(*[f"_{k}" for k in keys])
 
 
 def offer_rates(salaries: DataFrame, technologies: list[str]) -> DataFrame:
@@ -62,7 +80,7 @@ def offer_rates(salaries: DataFrame, technologies: list[str]) -> DataFrame:
                          | F.contains(company, F.lower(t)))
     hits = salaries.filter("total_compensation > 0").select(
         F.explode(mentioned).alias("technology"), F.col("total_compensation").alias("value"))
-    median = upper_median(hits, ["technology"], 1000.0)
+    median = upper_median(hits, ["technology"])
     asked = salaries.sparkSession.createDataFrame([(t,) for t in technologies], "technology string")
     joined = with_roles(asked).join(median, "technology", "left")
     live = F.col("median").isNotNull()
@@ -111,7 +129,7 @@ def search_rates(snippets: DataFrame) -> DataFrame:
     """
     figures = snippets.select("technology", F.explode(text.hourly_figures(F.col("body")))
                               .alias("value"))
-    median = upper_median(figures, ["technology"], 1.0)
+    median = upper_median(figures, ["technology"])
     searched = snippets.select("technology").distinct()
     return searched.join(median, "technology", "left").select(
         "technology", F.coalesce("median", F.lit(C.ROLE_RATES["mid"])).alias("rate"),

@@ -200,9 +200,9 @@ def save(result: Estimate, root: str, batch_id: str, created_at, user_id: str |
         "job_id": F.lit(batch_id), "user_id": F.lit(user_id), "created_at": F.lit(created_at).cast("timestamp"),
         "status": F.lit("complete")})
     found = keyed(result.findings).withColumn("finding_key", F.col("id"))
-    scan_store.save_scan(root, batch_id, scans, keyed(result.items), found, keyed(result.modules),
-                         keyed(result.roadmap))
+    seen = None
     if repositories is not None:
         seen = repositories.withColumns({"repo_name": F.element_at(F.split("github_url", "/"), -1),
                                          "last_scanned_at": F.lit(created_at).cast("timestamp"), "user_id": F.lit(user_id)})
-        scan_store.write_batch(seen, root, "repositories", batch_id)
+    scan_store.save_scan(root, batch_id, scans, keyed(result.items), found, keyed(result.modules),
+                         keyed(result.roadmap), seen)

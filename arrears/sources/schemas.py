@@ -28,6 +28,7 @@ SUPPRESSIONS = ("repo_id string, scan_id string, finding_key string, reason stri
                 "created_by string, active boolean, created_at timestamp")
 FEEDBACK = ("repo_id string, scan_id string, finding_key string, feedback_type string, "
             "severity_override string, notes string, created_by string, created_at timestamp")
+REMOVALS = "user_id string, repo_id string, removed_at timestamp"
 REPOSITORIES = ("repo_id string, github_url string, repo_name string, repo_owner string, "
                 "language string, last_scanned_at timestamp, user_id string")
 
@@ -55,4 +56,5 @@ STORE = {
     "repositories": REPOSITORIES,
     "suppressions": SUPPRESSIONS,
     "feedback": FEEDBACK,
+    "removals": REMOVALS,
 }

@@ -131,7 +131,7 @@ def test_upper_median(spark):
     rows = [(f"k{k}", round(rng.uniform(0, 5000), 2)) for k in range(20)
             for _ in range(rng.randint(1, 40))] + [("hot", float(i % 7)) for i in range(3000)]
     df = spark.createDataFrame(rows, "k string, value double")
-    got = {r["k"]: r["median"] for r in rates.upper_median(df, ["k"], 100.0).collect()}
+    got = {r["k"]: r["median"] for r in rates.upper_median(df, ["k"]).collect()}
     for key, group in itertools.groupby(sorted(rows), key=lambda r: r[0]):
         values = [v for _, v in group]
         assert got[key] == values[len(values) // 2]
@@ -161,3 +161,42 @@ def test_top_per_group_splits_hot_groups(spark):
 def test_keep_last(spark):
     df = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z")], "k string, s int, v string")
     assert sorted(r["v"] for r in keep_last(df, ["k"], "s").collect()) == ["y", "z"]
+
+
+def test_upper_median_of_many_different_values(spark):
+    """A key with most of the rows, all different; null keys and values; keys with one value."""
+    rng = random.Random(6)
+    rows = [("hot", float(v)) for v in rng.sample(range(10**6), 20_001)] + [("one", 5.0), (None, 2.0), (None, 1.0), ("none", None)]
+    rows += [("twice", v) for v in (1.0, 1.0, 3.0, 3.0)]
+    df = spark.createDataFrame(rows, "k string, value double").repartition(5)
+    got = {r["k"]: (r["median"], r["sample_size"]) for r in rates.upper_median(df, ["k"]).collect()}
+    hot = sorted(v for k, v in rows if k == "hot")
+    assert got == {"hot": (hot[10_000], 20_001), "one": (5.0, 1), None: (2.0, 2), "twice": (3.0, 4)}
+    # Bounds that miss cost time, not the answer.
+    keep = rates.MARGIN
+    for rates.MARGIN in (0.0, -0.2):
+        try:
+            assert {r["k"]: r["median"] for r in rates.upper_median(df, ["k"]).collect()}["hot"] == hot[10_000]
+        finally:
+            rates.MARGIN = keep
+
+
+def test_positions_of_all_rows(spark):
+    """A group with a third of all rows lies in many tasks; nulls are a group; no window is over a whole group."""
+    rng = random.Random(7)
+    rows = [("hot", rng.randrange(500), i) for i in range(3000)] + [(rng.choice(["a", "b", None]), rng.randrange(5), i) for i in range(3000, 9000)]
+    df = spark.createDataFrame(rows, "k string, v int, i int").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ranked = top_per_group(df, ["k"], [F.col("v").desc(), F.col("i")], None)
+        got = [(r.k, r.v, r.i, r.position) for r in ranked.collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = []
+    for key in {r[0] for r in rows}:
+        group = sorted((r for r in rows if r[0] == key), key=lambda r: (-r[1], r[2]))
+        want += [(*r, n) for n, r in enumerate(group, 1)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert "row_number" not in ranked._jdf.queryExecution().executedPlan().toString()
+    assert top_per_group(df.limit(0), ["k"], [F.col("v")], None).count() == 0
+    assert [r.position for r in top_per_group(df, [], [F.col("i")], None).orderBy("i").collect()] == list(range(1, 9001))

@@ -75,3 +75,92 @@ def test_repository_payloads(spark):
         "payload string")
     rows = readers.repository_payloads(docs)
     assert rows.filter(readers.matches_search(" ENGINE ")).first()["owner_login"] == "o"
+
+
+DAY = datetime.datetime
+
+
+def _scans(spark, rows):
+    return spark.createDataFrame([(r, s, u, DAY(2025, 1, d), "complete", Decimal(c)) for r, s, u, d, c in rows],
+                                 "repo_id string, scan_id string, user_id string, created_at timestamp, status string, total_cost_usd decimal(18,2)")
+
+
+def _findings(spark, scans):
+    rows = [(r["repo_id"], r["scan_id"], f"k{i}", "high", Decimal(i)) for r in scans.collect() for i in range(3)]
+    return spark.createDataFrame(rows, "repo_id string, scan_id string, finding_key string, severity string, cost_usd decimal(18,2)").selectExpr(
+        "*", "'f' AS file_path", "'c' AS category", "'s' AS subcategory", "0.5 AS confidence", "finding_key AS id", "1 AS step",
+        "CAST(NULL AS INT) AS line_start", "'' AS symbol_name")
+
+
+def _save(spark, root, batch, rows, repositories=None):
+    scans = _scans(spark, rows)
+    found = _findings(spark, scans)
+    empty = {t: spark.createDataFrame([], schemas.STORE[t]) for t in ("debt_items", "module_summaries", "roadmap_items")}
+    seen = None if repositories is None else spark.createDataFrame(repositories, "repo_id string, github_url string, user_id string, last_scanned_at timestamp")
+    scan_store.save_scan(root, batch, scans, empty["debt_items"], found, empty["module_summaries"], empty["roadmap_items"], seen)
+
+
+def test_two_saves_of_a_repository_give_one_row(spark, tmp_path):
+    root = str(tmp_path / "store")
+    _save(spark, root, "b1", [("r", "s1", "u1", 1, 5)], [("r", "https://github.com/o/r", "u1", DAY(2025, 1, 1)), ("q", None, None, None)])
+    _save(spark, root, "b2", [("r", "s2", "u2", 2, 7)], [("r", "github.com/o/r/", "u2", DAY(2025, 1, 2))])
+    repos, scans = (scan_store.read_table(spark, root, t) for t in ("repositories", "scans"))
+    rows = {r.repo_id: r for r in repos.collect()}
+    assert len(rows) == repos.count() == 2 and rows["r"].user_id == "u1" and rows["r"].last_scanned_at == DAY(2025, 1, 2)
+    assert store.scans_with_keys(scans, repos).count() == 2
+    listed = {r.repo_id: r for r in store.repository_list(repos, scans).collect()}
+    assert listed["r"].total_scans == 2 and listed["r"].latest_cost == 7 and listed["q"].total_scans == 0
+    assert store.portfolio(scans, repos, scan_store.read_table(spark, root, "findings")).count() == 2     # one row a user
+
+
+def test_a_lost_job_leaves_the_answer_before_it(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "store")
+    _save(spark, root, "b1", [("r", "s1", "u1", 1, 5), ("q", "s2", "u1", 1, 6)])
+    seen = {t: sorted(map(str, scan_store.read_table(spark, root, t).collect())) for t in ("scans", "findings")}
+    plain, landed = scan_store._land, []
+
+    def lost(df, root, table):
+        if landed:
+            raise RuntimeError("lost")
+        landed.append(table)
+        return plain(df, root, table)
+
+    monkeypatch.setattr(scan_store, "_land", lost)
+    try:
+        _save(spark, root, "b1", [("r", "s9", "u1", 1, 5)])
+    except RuntimeError:
+        pass
+    monkeypatch.setattr(scan_store, "_land", plain)
+    assert landed and seen == {t: sorted(map(str, scan_store.read_table(spark, root, t).collect())) for t in seen}
+    _save(spark, root, "b1", [("r", "s9", "u1", 1, 5)])    # a rerun replaces all tables at once
+    assert [r.scan_id for r in scan_store.read_table(spark, root, "scans").collect()] == ["s9"]
+    assert {r.scan_id for r in scan_store.read_table(spark, root, "findings").collect()} == {"s9"}
+
+
+def test_removal_of_a_repository(spark, tmp_path):
+    root = str(tmp_path / "store")
+    _save(spark, root, "b1", [("r", "s1", "u1", 1, 5), ("r", "s2", "u2", 1, 6), ("q", "s3", "u1", 1, 7)], [("r", "https://github.com/o/r", "u1", DAY(2025, 1, 1))])
+    _save(spark, root, "b2", [("r", "s4", "u1", 2, 8)])
+    assert scan_store.remove_repository(spark, root, "u1", "r", DAY(2025, 1, 3)) == 2
+    assert scan_store.remove_repository(spark, root, "u1", "r", DAY(2025, 1, 3)) == 0
+    _save(spark, root, "b3", [("r", "s5", "u1", 4, 9)])    # scanned again after it was removed
+
+    def answers():
+        return [sorted((r.scan_id, r.repo_id) for r in scan_store.read_table(spark, root, t).collect()) for t in ("scans", "findings")]
+
+    left = answers()
+    assert left[0] == [("s2", "r"), ("s3", "q"), ("s5", "r")] and {s for s, _ in left[1]} == {"s2", "s3", "s5"} and len(left[1]) == 9
+    assert scan_store.purge(spark, root) == 2 and answers() == left and scan_store.purge(spark, root) == 0
+    folders = scan_store._folders(spark, root)
+    stored = [r.scan_id for (t, _), f in folders.items() if t == "scans" for r in spark.read.parquet(f).collect()]
+    assert sorted(stored) == ["s2", "s3", "s5"]
+    assert scan_store.read_table(spark, root, "repositories").count() == 1
+
+
+def test_a_mistyped_store_is_an_error(spark, tmp_path):
+    import pytest
+    with pytest.raises(FileNotFoundError):
+        scan_store.read_table(spark, str(tmp_path / "nowhere"), "findings")
+    _save(spark, str(tmp_path / "store"), "b1", [("r", "s1", "u1", 1, 5)])
+    assert scan_store.read_table(spark, str(tmp_path / "store"), "feedback").count() == 0
+    assert scan_store.read_table(spark, str(tmp_path / "store"), "repositories").count() == 0
