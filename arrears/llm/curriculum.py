@@ -15,6 +15,7 @@ from arrears.operators.common import stage
 
 WORD = r"[^\x20\x09-\x0D]+"
 CAP = 3            # no source and no document is repeated more often
+BROADCAST_ROWS = 1_000_000   # rows of a plan (48 bytes each) sent to every executor; a longer one is joined by shuffle
 SLICES = 12        # bits of the hash that name a slice of a source
 
 
@@ -60,7 +61,7 @@ def time_of(demand: Column, slope: Column) -> Column:
         2.0 * demand / (flat + F.sqrt(F.greatest(flat * flat + 4.0 * slope * demand, F.lit(0.0)))))
 
 
-def plan(documents: DataFrame, cap: int = CAP, slices: int = SLICES, carry=None) -> DataFrame:
+def plan(documents: DataFrame, cap: int = CAP, slices: int = SLICES) -> DataFrame:
     """Each document with its size, its source's size and target, how often it is used and where.
 
     Within a source documents stand in the order of a hash of their id. Their running sum of words
@@ -70,11 +71,15 @@ def plan(documents: DataFrame, cap: int = CAP, slices: int = SLICES, carry=None)
 
     Null text has no words and is never used; null source is a source of its own; an empty table
     gives no rows. Repeated rows stand side by side, each with its own share. Other columns are not
-    looked at, but ``carry``, a list of columns, goes along as ``_row``.
+    looked at.
     """
-    kept = [] if carry is None else [F.struct(*carry).alias("_row")]
-    rows = stage(documents.select("doc_id", "source", words(F.col("text")).alias("size"), *kept).withColumn(
-        "_h", F.xxhash64("doc_id")).withColumn("_slice", F.shiftrightunsigned("_h", 64 - slices)))
+    return planned(stage(documents.select("doc_id", "source", words(F.col("text")).alias("size"))), cap, slices)
+
+
+def planned(rows: DataFrame, cap: int = CAP, slices: int = SLICES) -> DataFrame:
+    """The plan of written rows (doc_id, source, size); a column ``_id`` goes along."""
+    keep = [c for c in rows.columns if c == "_id"]
+    rows = rows.withColumn("_h", F.xxhash64("doc_id")).withColumn("_slice", F.shiftrightunsigned("_h", 64 - slices))
     per_slice = rows.groupBy("source", "_slice").agg(F.sum("size").alias("_sum"))
     ahead = Window.partitionBy("source").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_slice.select("source", "_slice", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_offset"))
@@ -87,7 +92,6 @@ def plan(documents: DataFrame, cap: int = CAP, slices: int = SLICES, carry=None)
     middle = start + F.col("size") / 2.0
     copies = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.greatest(F.lit(0), F.least(
         F.lit(cap), F.ceil((F.col("target") - middle) / F.col("source_size")))))
-    keep = [] if carry is None else ["_row"]
     return joined.select("doc_id", F.col("_s").alias("source"), "size", "source_size", "weight", "target",
                          middle.alias("middle"), copies.cast("int").alias("copies"), *keep)
 
@@ -115,9 +119,20 @@ def positions(planned: DataFrame) -> DataFrame:
 
 def mix(documents: DataFrame, carry=None, cap: int = CAP) -> DataFrame:
     """The whole mixture: doc_id, source, copy, position in training order; with ``carry``, these
-    columns of each document instead, in that order."""
-    copies = positions(level(plan(documents, cap, carry=carry), cap))
-    return copies.select("doc_id", "source", "copy", "position") if carry is None else copies.select("_row.*")
+    columns of each document instead, in that order.
+
+    The plan is made on numbers of rows. What is carried is written once with its number, joined to the finished plan and
+    sorted once; a plan of a checked size is sent to the rows, so that they move only to be sorted.
+    """
+    if carry is None:
+        return positions(level(plan(documents, cap), cap)).select("doc_id", "source", "copy", "position")
+    rows = stage(documents.select(F.struct(*carry).alias("_row"), "doc_id", "source", words(F.col("text")).alias("size"),
+                                  F.monotonically_increasing_id().alias("_id")))
+    light = level(stage(planned(rows.select("doc_id", "source", "size", "_id"), cap)), cap).filter("copies > 0")
+    uses = stage(light.select("_id", "source_size", "target", "weight", "middle", "copies"))
+    few = uses.count() <= BROADCAST_ROWS
+    whole = rows.select("_id", "_row", "doc_id").join(F.broadcast(uses) if few else uses, "_id")
+    return positions(whole).select("_row.*")
 
 
 def report(documents: DataFrame, cap: int = CAP) -> DataFrame:
