@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from arrears import constants as C
 from arrears.functions.numeric import cents, places
 from arrears.operators import (
-    architecture, dependencies, facts as python, findings, history, risk, security, smells, testgap,
+    architecture, dependencies, facts as python, findings, history, reports, risk, security, smells, testgap,
 )
 from arrears.operators.common import stage
+from arrears.operators.findings import FINDING_TIES, finding_order, module_order
 from arrears.operators.items import price_items, union_items
+from arrears.operators.store import top_modules
 from arrears.plans.profile import profile
 from arrears.sources import scan_store
 
@@ -35,6 +37,7 @@ class Inputs:
     as_of: str = "2026-01-01"
     blended: DataFrame | None = None
     benchmark: DataFrame | None = None
+    data_sources: tuple[str, ...] = ()
 
 
 @dataclass
@@ -48,6 +51,10 @@ class Estimate:
     ownership: DataFrame
     profile: DataFrame | None = None
     facts: DataFrame = field(repr=False, default=None)
+    ownership_summary: DataFrame | None = None
+    settings: DataFrame | None = None
+    measured: DataFrame | None = None
+    data_sources: tuple[str, ...] = ()
 
 
 def _settings(repos: DataFrame, settings: DataFrame | None) -> DataFrame:
@@ -146,7 +153,16 @@ def estimate(inputs: Inputs, cycles: bool = True) -> Estimate:
     return Estimate(
         items=owned, findings=normalized, modules=modules, roadmap=findings.roadmap(normalized),
         categories=with_baseline(findings.category_costs(items), base),
-        totals=findings.repo_totals(items, base), ownership=ownership, profile=found, facts=parsed)
+        totals=findings.repo_totals(items, base), ownership=ownership, profile=found, facts=parsed,
+        ownership_summary=history.ownership_summary(inputs.commit_files, ownership, hotspots.select("repo_id", "path"), inputs.as_of),
+        settings=settings, measured=_measured(parsed, functions), data_sources=inputs.data_sources)
+
+
+def _measured(parsed: DataFrame, functions: DataFrame) -> DataFrame:
+    """Files scanned and mean complexity of the functions of each repository."""
+    files = parsed.filter("kind = 'file'").groupBy("repo_id").agg(F.count("*").alias("files_scanned"))
+    means = functions.groupBy("repo_id").agg(places(F.avg("complexity"), 2).alias("avg_complexity"))
+    return files.join(means, "repo_id", "left").fillna({"avg_complexity": 0.0})
 
 
 def with_baseline(categories: DataFrame, repos: DataFrame) -> DataFrame:
@@ -167,16 +183,68 @@ def with_baseline(categories: DataFrame, repos: DataFrame) -> DataFrame:
                                           ).drop("_hours", "_cost")
 
 
-def _payload(result: Estimate) -> DataFrame:
-    """The stored document of each repository: its analysis, as readers of the store expect it."""
+STACK = ("primary_language", "frameworks", "databases", "cloud", "infra", "ai_ml", "testing", "has_tests", "has_ci_cd", "dependency_count", "uses_ai")
+TEAM = {"estimated_team_size": "team_size", "bus_factor": "bus_factor", "repo_age_days": "repo_age_days", "commits_per_week": "commits_per_week"}
+
+
+def _document(repos: DataFrame, part: DataFrame | None, name: str, fields: dict[str, str]) -> DataFrame:
+    """One object of the stored document: the named columns that a table has, null where it has no row."""
+    if part is None:
+        return repos
+    known = [F.col(column).alias(key) for key, column in fields.items() if column in part.columns]
+    return repos.join(part.select("repo_id", F.struct(*known).alias(name)), "repo_id", "left") if known else repos
+
+
+def _listed(rows: DataFrame, order: str, names: list[str]) -> DataFrame:
+    """Short lists of rows - their number is a fixed one - as arrays."""
+    return rows.groupBy("repo_id").agg(F.transform(F.sort_array(F.collect_list(F.struct(order, *[n for n in names if n != order]))),
+                                                   lambda r: F.struct(*[r[n].alias(n) for n in names])).alias("listed"))
+
+
+def payloads(result: Estimate) -> DataFrame:
+    """The stored document of each repository (repo_id, payload): its figures, ownership, profile, rates, actions, return
+    and summary, as readers of the store expect them. Lists that grow with the repository are tables of their own."""
+    order = finding_order(*FINDING_TIES)
+    keyed = result.findings.withColumn("finding_key", F.col("id"))
+    triage = reports.triage_rows(keyed, ["repo_id"], order)
+    actions = _listed(reports.priority_actions(keyed, triage, ["repo_id"], order), "rank", [
+        "rank", "title", "file_or_module", "why", "estimated_hours", "estimated_cost", "saves_per_month", "sprint"])
+    reviews = reports.architecture_reviews(result.totals, result.modules, keyed, ["repo_id"], module_order())
+    lead = top_modules(result.modules, ["repo_id"], 1)
+    texts = reports.executive_summaries(result.totals, lead, reviews, ["repo_id"])
     costs = result.categories.groupBy("repo_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(
         "category", F.struct(F.col("cost_usd").cast("double").alias("cost_usd"), F.col("hours").cast("double").alias("hours"),
                              F.col("item_count")))))).alias("cost_by_category"))   # at most one entry per category
-    checks = [c for c in result.totals.columns if c in ("cost_per_function", "industry_avg", "variance_pct", "is_reasonable", "assessment")]
-    known = result.totals.select("repo_id", F.struct(*[F.col(c).cast("string").alias(c) for c in checks]).alias("sanity_check")
-                                 if checks else F.lit(None).alias("sanity_check"))
-    return known.join(costs, "repo_id", "left").select("repo_id", F.to_json(F.struct(
-        F.struct("cost_by_category", "sanity_check").alias("raw_analysis"))).alias("payload"))
+    sources = F.array(*[F.lit(s) for s in result.data_sources]).cast("array<string>")
+    repos = reports.with_roi(result.totals).join(costs, "repo_id", "left").join(texts, "repo_id", "left").join(
+        actions.withColumnRenamed("listed", "priority_actions"), "repo_id", "left")
+    if result.settings is not None:
+        repos = repos.join(result.settings.select("repo_id", "base_rate", F.col("multiplier").alias("combined_multiplier")), "repo_id", "left")
+    if result.measured is not None:
+        repos = repos.join(result.measured, "repo_id", "left")
+    repos = _document(repos, result.ownership_summary, "ownership_summary", {c: c for c in (
+        result.ownership_summary.columns if result.ownership_summary is not None else ()) if c != "repo_id"})
+    for name, fields in (("tech_stack", {c: c for c in STACK}), ("team", TEAM), ("multipliers", {"combined_multiplier": "combined_multiplier"})):
+        repos = _document(repos, result.profile, name, fields)
+
+    def has(*names):
+        return [n for n in names if n in repos.columns]
+
+    def object_of(*names):
+        return F.struct(*[F.col(n) for n in has(*names)])
+
+    rates = F.struct(*([cents(F.col("base_rate")).cast("double").alias("blended_rate")] if has("base_rate") else []), F.lit("medium").alias("confidence"),
+                     F.array(*[F.lit(s) for s in result.data_sources or ("BLS fallback",)]).alias("sources_used"))
+    analysis = F.struct(
+        F.col("total_cost_usd").cast("double").alias("total_cost_usd"), F.col("debt_score").cast("double").alias("debt_score"),
+        F.col("total_hours").cast("double").alias("total_remediation_hours"), F.col("total_sprints").cast("double").alias("total_remediation_sprints"),
+        "cost_by_category", F.struct(*[F.col(c).cast("string").alias(c) for c in has("cost_per_function", "industry_avg", "variance_pct", "is_reasonable", "assessment")]).alias("sanity_check"),
+        rates.alias("hourly_rates"), sources.alias("data_sources_used"),
+        object_of("files_scanned", "functions_analyzed", "issues_found", "avg_complexity").alias("summary"),
+        *has("ownership_summary", "combined_multiplier"), *([object_of("tech_stack", "team", "multipliers").alias("repo_profile")] if has("tech_stack") else []))
+    roi = object_of("total_fix_cost", "annual_maintenance_savings", "payback_months", "three_year_roi_pct", "recommended_budget", "recommendation")
+    return repos.select("repo_id", F.to_json(F.struct(
+        "executive_summary", "priority_actions", roi.alias("roi_analysis"), analysis.alias("raw_analysis"))).alias("payload"))
 
 
 def save(result: Estimate, root: str, batch_id: str, created_at, user_id: str | None = None,
@@ -196,7 +264,7 @@ def save(result: Estimate, root: str, batch_id: str, created_at, user_id: str |
         totals = totals.join(result.profile.select(
             "repo_id", F.col("team_size").cast("int"), F.col("bus_factor").cast("int"), F.col("repo_age_days").cast("int"),
             "combined_multiplier", "primary_language", F.col("code_quality_rate").alias("hourly_rate")), "repo_id", "left")
-    scans = keyed(totals.join(_payload(result), "repo_id", "left")).withColumns({
+    scans = keyed(totals.join(payloads(result), "repo_id", "left")).withColumns({
         "job_id": F.lit(batch_id), "user_id": F.lit(user_id), "created_at": F.lit(created_at).cast("timestamp"),
         "status": F.lit("complete")})
     found = keyed(result.findings).withColumn("finding_key", F.col("id"))

@@ -1,6 +1,7 @@
 """Hand-checked cases: small trees, histories and stores with known answers."""
 
 import datetime
+import json
 from decimal import Decimal
 
 from pyspark.sql import functions as F
@@ -297,3 +298,18 @@ def test_full_estimate(spark, tree, commits, tmp_path):
     repos = scan_store.read_table(spark, str(tmp_path), "repositories")
     assert store.portfolio(saved["scans"], repos, categories).first()["repo_key"] == "r"
     assert store.scan_summary(saved["scans"]).count() == 1
+    # Every lean field of the saved scan is the estimate's own.
+    lean = scan_store.lean_payload(saved["scans"]).first()
+    document = {k: json.loads(lean[k]) for k in scan_store.LEAN if k != "executive_summary"}
+    assert lean["executive_summary"].startswith("The repository carries about $") and "core module" not in lean["executive_summary"]
+    summary = {r["category"]: r for r in result.categories.collect()}
+    assert {k: (v["cost_usd"], v["item_count"]) for k, v in document["cost_by_category"].items()} == {
+        k: (float(r["cost_usd"]), r["item_count"]) for k, r in summary.items()}
+    owners = result.ownership_summary.first()
+    assert all(float(document["ownership_summary"][k]) == float(owners[k]) for k in ("unique_contributors", "commit_sample_size", "bus_factor"))
+    assert document["hourly_rates"]["blended_rate"] == 100.0 and document["hourly_rates"]["sources_used"] == ["BLS fallback"]
+    assert len(document["priority_actions"]) == 3 and [a["rank"] for a in document["priority_actions"]] == [1, 2, 3]
+    assert document["roi_analysis"]["total_fix_cost"] == float(totals["total_cost_usd"]) and document["sanity_check"]["assessment"]
+    assert float(lean["total_cost_usd"]) == float(totals["total_cost_usd"]) and document["llm_insights"] == {} and document["data_sources_used"] == []
+    told = store.scan_summary(saved["scans"]).first()
+    assert json.loads(told["summary"])["functions_analyzed"] == 2
