@@ -11,19 +11,22 @@ from __future__ import annotations
 
 import base64
 import functools
+import uuid
 
 import numpy as np
 import pandas as pd
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arrears.operators.common import shared_folder
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # The split pattern that belongs to the vocabulary (a fixed value).
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 END = 50256           # free id that closes a document
 LENGTH = 2048         # ids of a row
 WINDOW_IDS = 4_000_000
+TASK_CHARS = 12_000_000   # letters of a task at least, about a window, so that small partitions leave no rows half empty
 
 
 @functools.lru_cache(maxsize=2)
@@ -98,7 +101,7 @@ def pack(sizes: list[int], length: int) -> list[list[int]]:
     return rows
 
 
-def packed(documents: DataFrame, length: int = LENGTH, path: str = VOCABULARY, window: int = WINDOW_IDS, digest: bool = False) -> DataFrame:
+def packed(documents: DataFrame, length: int = LENGTH, path: str = VOCABULARY, window: int = WINDOW_IDS) -> DataFrame:
     """One row per packed row of at most ``length`` ids of (doc_id, text).
 
     ids (16-bit little-endian), cumulative segment lengths (one more than segments, from 0), the doc_id
@@ -106,8 +109,6 @@ def packed(documents: DataFrame, length: int = LENGTH, path: str = VOCABULARY, w
     (its offset in the row, where position ids return to 0). Every text is closed by one end id, also
     an empty one; a null text counts as empty, a null doc_id stays null. Repeated rows are packed each.
     Other columns are not looked at. An empty table gives no rows. A window closes after ``window`` ids.
-
-    With ``digest`` the ids are left out for a hash of them; all else stays.
     """
     def windows(batches):
         held, total = [], 0
@@ -130,24 +131,60 @@ def packed(documents: DataFrame, length: int = LENGTH, path: str = VOCABULARY, w
                 some = [pieces[p] for p in row]
                 ids = np.concatenate([p[2] for p in some]).astype("<u2").tobytes()
                 bounds = np.r_[0, np.cumsum([len(p[2]) for p in some])]
-                kept = xxhash.xxh64_intdigest(ids) >> 1 if digest else ids
-                out.append((kept, int(bounds[-1]), bounds.tolist(), [p[0] for p in some], [p[1] for p in some], bounds[:-1].tolist()))
+                out.append((ids, int(bounds[-1]), bounds.tolist(), [p[0] for p in some], [p[1] for p in some], bounds[:-1].tolist()))
                 if len(out) >= 512:
                     yield pd.DataFrame(out, columns=names)
                     out = []
             if out:
                 yield pd.DataFrame(out, columns=names)
 
-    names = ["ids_hash" if digest else "ids", "n_ids", "cumulative_lengths", "doc_ids", "offsets", "resets"]
-    schema = f"{names[0]} {'long' if digest else 'binary'}, n_ids int, cumulative_lengths array<int>, doc_ids array<long>, offsets array<int>, resets array<int>"
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(rows, schema)
+    names = ["ids", "n_ids", "cumulative_lengths", "doc_ids", "offsets", "resets"]
+    schema = "ids binary, n_ids int, cumulative_lengths array<int>, doc_ids array<long>, offsets array<int>, resets array<int>"
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return texts.coalesce(tasks(texts)).mapInPandas(rows, schema)
+
+
+def tasks(texts: DataFrame) -> int:
+    """How many tasks the letters of the texts fill; more partitions than that are joined."""
+    letters = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    return max(1, -(-letters // TASK_CHARS))
 
 
 def write(documents: DataFrame, path: str, **options) -> None:
-    """Packed matrices as a Parquet folder."""
+    """Packed matrices as a Parquet folder: a row of ids, and what tells its segments apart."""
     packed(documents, **options).write.parquet(path)
 
 
+def read(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def unpacked(rows: DataFrame, path: str = VOCABULARY) -> DataFrame:
+    """(doc_id, text) of documents whose segments stand in packed rows, joined by document and offset.
+
+    Rows that repeat a doc_id cannot be told apart in the matrices; they are left out.
+    """
+    cut = rows.select("ids", F.explode(F.arrays_zip("doc_ids", "offsets", "resets", F.slice("cumulative_lengths", F.lit(2), F.size("resets")).alias("ends"))).alias("s")).select(
+        F.col("s.doc_ids").alias("doc_id"), F.col("s.offsets").alias("offset"),
+        F.expr("substring(ids, 2 * s.resets + 1, 2 * (s.ends - s.resets))").alias("ids"))
+    pieces = cut.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("parts"),
+                                       F.count_if(F.col("offset") == 0).alias("heads")).filter("heads = 1")
+
+    @F.pandas_udf("string")
+    def text_of(parts: pd.Series) -> pd.Series:
+        return parts.map(lambda ps: decode(np.frombuffer(b"".join(p["ids"] for p in ps), "<u2"), path))
+
+    return pieces.select("doc_id", text_of("parts").alias("text"))
+
+
+def report(documents: DataFrame) -> DataFrame:
+    """The packed rows as they are read back from the written matrices, each with a hash of its ids in their place."""
+    path = f"{shared_folder(documents.sparkSession)}/packed-{uuid.uuid4().hex}"
+    write(documents, path)
+    return read(documents.sparkSession, path).select(
+        F.xxhash64("ids").alias("ids_hash"), "n_ids", "cumulative_lengths", "doc_ids", "offsets", "resets")
+
+
 def position_ids(cumulative_lengths, offsets=None) -> np.ndarray:
     """Position of each id within its segment; with ``offsets``, within its document."""
     bounds = np.asarray(cumulative_lengths)

@@ -51,7 +51,7 @@ def op9_personal_data(spark, sf_dir):
 
 
 def op10_packing(spark, sf_dir):
-    return packing.packed(_table(spark, sf_dir, "documents"), digest=True)
+    return packing.report(_table(spark, sf_dir, "documents"))
 
 
 def op11_rule_ensemble(spark, sf_dir):

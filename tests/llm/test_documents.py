@@ -475,3 +475,20 @@ def test_packing_is_lossless(awkward, nothing):
         ids = np.concatenate([p[1] for p in some])
         assert ids[-1] == packing.END and packing.decode(ids) == (text or "")
     assert len(pieces[9]) == 2 and packing.packed(nothing).count() == 0
+
+
+def test_packed_matrices_are_written_and_read_back(spark, documents, awkward, nothing, tmp_path):
+    rng = random.Random(11)
+    rows = [(i, text_of(rng, rng.choice([0, 3, 40, 400, 9000]))) for i in range(80)] + [(90, None), (91, "日本 🎉  x\n\t"), (92, "")]
+    docs = documents(rows).repartition(9)
+    packing.write(docs, str(tmp_path / "packed"))
+    back = packing.read(spark, str(tmp_path / "packed"))
+    assert {r.doc_id: r.text for r in packing.unpacked(back).collect()} == {i: t or "" for i, t in rows}
+    # Nearly every row is full, however many partitions there were.
+    total, count = back.selectExpr("sum(n_ids)", "count(*)").first()
+    assert total > 0.95 * packing.LENGTH * (count - 1) and back.filter("n_ids <> length(ids) / 2").isEmpty()
+    told = packing.report(docs)
+    assert told.columns == ["ids_hash", "n_ids", "cumulative_lengths", "doc_ids", "offsets", "resets"]
+    assert told.agg({"n_ids": "sum"}).first()[0] == total
+    assert packing.report(nothing).count() == 0
+    assert packing.unpacked(packing.packed(awkward)).count() == awkward.select("doc_id").distinct().count() - 2   # null and 9 stand on two rows
