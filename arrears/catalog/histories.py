@@ -6,7 +6,7 @@ from arrears.catalog.base import AS_OF, D, R, RANK, NAME, query
 from arrears.catalog.scalars import IMPACT_SQL, PRICE_SQL
 from arrears.operators import findings as findings_ops
 from arrears.operators import history, risk, testgap
-from arrears.operators.common import top_per_group
+from arrears.operators.common import stage, top_per_group
 
 SKIP = ("venv|node_modules|\\.git|__pycache__|dist|build|\\.next|__generated__|vendor|\\.tox|eggs|"
         "\\.eggs|\\.venv|env|\\.env")
@@ -157,8 +157,8 @@ def bus_factor(t):
            AS position FROM files SEMI JOIN hotspots USING (repo_id, path)) WHERE position <= 20""",
        ("commit_files",))
 def ownership_hotspots(t):
-    files = history.ownership_hotspots(history.file_ownership(t.commit_files),
-                                       history.hotspots(t.commit_files))
+    changes = stage(history.author_changes(t.commit_files))
+    files = history.ownership_hotspots(history.file_ownership(None, by_author=changes), history.hotspots(None, by_author=changes))
     return top_per_group(files, ["repo_id"], history.hotspot_order(), 20).select("repo_id", "path", "ownership_risk", "position")
 
 
@@ -180,8 +180,9 @@ def ownership_hotspots(t):
           GROUP BY ALL) s LEFT JOIN {CONCENTRATION('counts', 'repo_id')} c USING (repo_id)
           LEFT JOIN spots USING (repo_id)""", ("commit_files",))
 def ownership_summary(t):
-    files = history.file_ownership(t.commit_files)
-    return history.ownership_summary(t.commit_files, files, history.hotspots(t.commit_files), AS_OF)
+    changes = stage(history.author_changes(t.commit_files))
+    files = history.file_ownership(None, by_author=changes)
+    return history.ownership_summary(t.commit_files, files, changes, AS_OF)
 
 
 @query("agg12_team_profile", "AGG12 WIN13 PRJ16 DTE4",
@@ -293,8 +294,9 @@ def flagship(t):
     from arrears.operators.items import price_items
 
     minutes = risk.minutes_by_complexity(risk.parsed_rules(landed_rules(t)))
-    items = price_items(risk.risky_files(t.functions, history.hotspots(t.commit_files), minutes))
-    owned = findings_ops.with_file_owners(items, history.file_ownership(t.commit_files))
+    changes = stage(history.author_changes(t.commit_files))
+    items = price_items(risk.risky_files(t.functions, history.hotspots(None, by_author=changes), minutes))
+    owned = findings_ops.with_file_owners(items, history.file_ownership(None, by_author=changes))
     found = findings_ops.normalize_findings(owned)
     modules = findings_ops.with_module_owners(
         findings_ops.summarize_modules(found), history.module_ownership(t.commit_files))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from arrears.functions import paths
 from arrears.functions.numeric import places
 from arrears.functions.scoring import ownership_risk, repo_multipliers
-from arrears.operators.common import top_per_group
+from arrears.operators.common import stage, top_per_group
 
 
 def first_commits(commit_files: DataFrame, limit: int | None = None) -> DataFrame:
@@ -29,15 +29,23 @@ def changed_files(commit_files: DataFrame) -> DataFrame:
             .withColumn("path", paths.normalize_repo_path(F.col("path"))))
 
 
-def hotspots(commit_files: DataFrame, max_commits: int | None = None) -> DataFrame:
-    """Change count, distinct authors and last change per file, over all or the oldest commits.
+def author_changes(commit_files: DataFrame, max_commits: int | None = None) -> DataFrame:
+    """Changes of each file by each author address, with the last one: what hotspots and ownership of files add up.
 
-    The distinct author count aggregates by (path, author) before path, so one file that holds most
-    changes is reduced on many tasks.
+    Paths are resolved here, once. A file that holds most changes is reduced on many tasks, as it is grouped with the
+    author first. Stage it where both are asked for.
     """
     changes = changed_files(first_commits(commit_files, max_commits))
-    per_author = changes.groupBy("repo_id", "path", "author_email").agg(
+    return changes.groupBy("repo_id", "path", "author_email").agg(
         F.count("*").alias("changes"), *_latest("commit_seq", "author_date"))
+
+
+def hotspots(commit_files: DataFrame | None, max_commits: int | None = None, by_author: DataFrame | None = None) -> DataFrame:
+    """Change count, distinct authors and last change per file, over all or the oldest commits.
+
+    ``by_author`` gives what ``author_changes`` found, in place of the commits.
+    """
+    per_author = author_changes(commit_files, max_commits) if by_author is None else by_author
     return per_author.groupBy("repo_id", "path").agg(
         F.sum("changes").alias("change_count"),
         F.count("author_email").alias("unique_authors"),
@@ -92,9 +100,12 @@ def concentration(counts: DataFrame, keys: list[str], carry_latest: bool = False
         .drop("_top"))
 
 
+def _author() -> Column:
+    return F.lower(F.trim(F.coalesce("author_email", F.lit(""))))
+
+
 def _identified(commit_files: DataFrame, max_commits: int | None) -> DataFrame:
-    author = F.lower(F.trim(F.coalesce("author_email", F.lit(""))))
-    return first_commits(commit_files, max_commits).withColumn("author", author)
+    return first_commits(commit_files, max_commits).withColumn("author", _author())
 
 
 def _with_risk(profile: DataFrame) -> DataFrame:
@@ -102,10 +113,15 @@ def _with_risk(profile: DataFrame) -> DataFrame:
         F.col("owner_count"), F.col("top_contributor_share"), F.col("total_changes")))
 
 
-def file_ownership(commit_files: DataFrame, max_commits: int | None = None) -> DataFrame:
-    changes = changed_files(_identified(commit_files, max_commits).filter("author <> ''"))
-    counts = changes.groupBy("repo_id", "path", "author").agg(
-        F.count("*").alias("changes"), *_latest("commit_seq", "author_date"))
+def file_ownership(commit_files: DataFrame | None, max_commits: int | None = None, by_author: DataFrame | None = None) -> DataFrame:
+    """Owners and bus factor per file; ``by_author`` as in ``hotspots``."""
+    if by_author is None:
+        changes = changed_files(_identified(commit_files, max_commits).filter("author <> ''"))
+        counts = changes.groupBy("repo_id", "path", "author").agg(
+            F.count("*").alias("changes"), *_latest("commit_seq", "author_date"))
+    else:   # spellings of an address are one author
+        counts = by_author.withColumn("author", _author()).filter("author <> ''").groupBy("repo_id", "path", "author").agg(
+            F.sum("changes").alias("changes"), F.max_by("last_changed", "last_seq").alias("last_changed"), F.max("last_seq").alias("last_seq"))
     return _with_risk(concentration(counts, ["repo_id", "path"], carry_latest=True)).drop("last_seq")
 
 
@@ -137,9 +153,9 @@ def ownership_summary(commit_files: DataFrame, files: DataFrame, hotspot_paths:
     commits = (_identified(commit_files, max_commits)
                .groupBy("repo_id", "commit_seq")
                .agg(F.max("author").alias("author"), F.max("author_date").alias("author_date")))
-    counts = (commits.groupBy("repo_id", "author")
-              .agg(F.count("*").alias("changes"),
-                   F.max((F.col("author_date") > cutoff).cast("int")).alias("active")))
+    counts = stage(commits.groupBy("repo_id", "author")
+                   .agg(F.count("*").alias("changes"),
+                        F.max((F.col("author_date") > cutoff).cast("int")).alias("active")))
     sample = counts.groupBy("repo_id").agg(
         F.sum("changes").alias("commit_sample_size"),
         F.count(F.when(F.col("author") != "", 1)).alias("unique_contributors"),

@@ -135,14 +135,15 @@ def estimate(inputs: Inputs, cycles: bool = True) -> Estimate:
     """
     parsed = python.staged_facts(inputs.source_files)
     functions = smells.measured_functions(parsed)
-    hotspots = stage(history.hotspots(inputs.commit_files))
+    changes = stage(history.author_changes(inputs.commit_files))
+    hotspots = stage(history.hotspots(None, by_author=changes))
     repos = (inputs.source_files.select("repo_id").distinct())
     found = None
     if inputs.settings is None and inputs.blended is not None:
         found = stage(profile(inputs.source_files, inputs.commit_files, parsed, inputs.blended, inputs.as_of))
     settings = stage(_settings(repos, inputs.settings if found is None else profile_settings(found, inputs.benchmark)))
     items = stage(collect_items(inputs, parsed, hotspots, functions, settings, cycles))
-    ownership = stage(history.file_ownership(inputs.commit_files))
+    ownership = stage(history.file_ownership(None, by_author=changes))
     owned = findings.with_file_owners(items, ownership)
     normalized = stage(findings.normalize_findings(owned))
     modules = stage(findings.with_module_owners(
