@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from arrears import constants as C
 from arrears.catalog import python_code as pc
 from arrears.catalog import stored as st
+from arrears.catalog import texts as tx
 from arrears.catalog.base import CATEGORY_OF_PART, D, NAME, R, RANK, SEQ, TITLE, query
 from arrears.catalog.histories import CONCENTRATION, MINUTES, landed_rules
 from arrears.catalog.rating import BLENDED, blended_table
@@ -14,6 +15,7 @@ from arrears.operators import reports, store
 from arrears.operators.risk import parsed_rules
 from arrears.plans import estimate as est
 from arrears.plans.profile import profile
+from arrears.sources import schemas
 
 # --- full estimate over the Python files -----------------------------------------------------------
 
@@ -103,6 +105,33 @@ def full_totals(t):
         "total_sprints", "debt_score")
 
 
+FOUND = ("security_hotspot", "vulnerability", "unbounded_version", "wildcard_version", "range_pinned_version")
+
+
+@query("cmp7_scanner_and_advisories", "CMP7 CMP4 CMP6 CMP3 SET1 FLT3",
+       f"""WITH {tx.PACKAGES}, {tx.ADVISORIES}, {tx.HYGIENE}, all_items AS (
+           SELECT 'm' || (p_partkey // 20) AS repo_id, 'security_hotspot' AS type, {R("""CASE s WHEN 'HIGH' THEN 8 ELSE 4 END * 84.55::DOUBLE""")} AS cost
+           FROM (SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END AS s, p_partkey % 3 AS c FROM part)
+           WHERE s = 'HIGH' OR (s = 'MEDIUM' AND c < 2)
+           UNION ALL SELECT repo_id, 'vulnerability', {R("""CASE WHEN cvss_score IS NULL THEN 2 WHEN cvss_score >= 9 THEN 12 WHEN cvss_score >= 7 THEN 6
+           WHEN cvss_score >= 4 THEN 3 ELSE 1 END::DOUBLE * 128.37::DOUBLE""")} FROM packages JOIN advisories USING (package, version)
+           UNION ALL SELECT repo_id, type, {PRICE_SQL("CASE WHEN type = 'wildcard_version' THEN 1.5 ELSE 0.75 END::DOUBLE", '84.55', "'medium'", '0.85')} FROM issues
+           WHERE type IS NOT NULL) SELECT repo_id, type, count(*) AS items, {D('sum(cost)')} AS cost_usd FROM all_items GROUP BY ALL""")
+def scanner_and_advisories(t):
+    """The whole estimate of repositories of manifests, with scanner results and advisories among its inputs."""
+    files = tx.manifests(t)
+    results = t.read("part").selectExpr(
+        "'m' || (p_partkey div 20) AS repo_id", "'src/' || p_partkey AS filename", "CAST(p_partkey AS INT) AS line_number",
+        "p_name AS issue_text", "CASE p_size % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END AS issue_severity",
+        "CASE p_partkey % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END AS issue_confidence", "'B1' AS test_id", "'CWE-UNKNOWN' AS cwe_id")
+    settings = files.select("repo_id").distinct().selectExpr(
+        "repo_id", "84.55D AS base_rate", "84.55D AS security_rate", "55.1D AS documentation_rate", "1.0D AS multiplier", "433.0D AS benchmark")
+    history = t.spark.createDataFrame([], schemas.COMMIT_FILES)
+    result = est.estimate(est.Inputs(files, history, parsed_rules(landed_rules(t)), settings, results, tx.advisories(t), as_of="2020-02-01"), cycles=False)
+    return result.items.filter(F.col("type").isin(*FOUND)).groupBy("repo_id", "type").agg(
+        F.count("*").alias("items"), F.sum("cost_usd").alias("cost_usd"))
+
+
 @query("cmp8_estimate_roadmap", "CMP8 CMP9 CMP12 GRF1 JON2")
 def estimate_roadmap(t):
     """Roadmap of the complete estimate, import cycles included (checked in the unit tests)."""
