@@ -197,11 +197,11 @@ def classes_of_rows(documents: DataFrame, width: int, percent: int) -> DataFrame
                 yield _rows(keys, found)
 
     base = stage(texts.mapInPandas(sized, "doc_id long, n long, node long"))
-    signatures = texts.mapInPandas(signed, "sig long, node long")
-    # Rows of a bucket: one per different set and task at most.
-    lowest = F.expr("min(node) over (partition by sig)")
+    signatures = texts.mapInPandas(signed, "sig long, node long, low long")
+    # Rows of a bucket: one for each time a task hands on what it holds, however many sets are in it.
+    lowest = F.expr("least(low, min(node) over (partition by sig))")
     grouped = components(signatures.select("node", lowest.alias("low")).filter("node <> low")
-                         .select(F.col("node").alias("a"), F.col("low").alias("b")))
+                         .select(F.col("node").alias("a"), F.col("low").alias("b")).distinct())
     edges = verified(texts, base, stage(grouped), width, percent)
     # Both tables are written: a join of plain scans is one whose hot keys adaptive execution splits.
     joined = stage(components(edges).withColumnRenamed("id", "node").withColumnRenamed("component_id", "root"))
@@ -228,7 +228,19 @@ def common_shingles(texts: DataFrame, width: int) -> np.ndarray:
 
 
 def _rows(keys, found) -> pd.DataFrame:
-    return pd.DataFrame({"sig": np.concatenate(found).view(np.int64), "node": np.repeat(np.array(keys, dtype=np.int64), [len(f) for f in found])})
+    """Signatures with the least of the sets at hand that have them; the other sets are tied to that one directly.
+
+    A tie has a number of its own set in place of the signature, so that the sets of a common signature are spread.
+    """
+    sig, node = np.concatenate(found).view(np.int64), np.repeat(np.array(keys, dtype=np.int64), [len(f) for f in found])
+    order = np.lexsort((node, sig))
+    sig, node = sig[order], node[order]
+    first = np.r_[True, sig[1:] != sig[:-1]]
+    low = node[first][np.cumsum(first) - 1]
+    tied = node != low
+    ties = np.unique(np.stack([node[tied], low[tied]], axis=1), axis=0)
+    return pd.DataFrame({"sig": np.r_[sig[first], mix(ties[:, 0].view(np.uint64)).view(np.int64)], "node": np.r_[node[first], ties[:, 0]],
+                         "low": np.r_[low[first], ties[:, 1]]})
 
 
 def verified(texts: DataFrame, base: DataFrame, grouped: DataFrame, width: int, percent: int) -> DataFrame:

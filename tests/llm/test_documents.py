@@ -168,6 +168,35 @@ def test_similar_sets_share_a_signature(size, seed, percent):
         assert set(sign(np.unique(a)).tolist()) & set(sign(np.unique(b)).tolist())
 
 
+def test_signatures_are_combined_before_they_leave_a_task():
+    """What is handed on joins the same sets, with one row for each signature."""
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        keys = rng.integers(-2**62, 2**62, 30).tolist()
+        found = [rng.integers(0, 25, rng.integers(0, 10)).astype(np.uint64) for _ in keys]
+        if not sum(map(len, found)):
+            continue
+        rows = partenum._rows(keys, found)
+        own = rows[rows["node"] == rows["low"]]
+        assert own["sig"].is_unique and len(own) == len(set(np.concatenate(found).tolist()))
+
+        def groups(pairs):
+            root = {}
+            def top(x):
+                while root.setdefault(x, x) != x:
+                    x = root[x]
+                return x
+            for a, b in pairs:
+                root[top(a)] = top(b)
+            out = collections.defaultdict(set)
+            for x in list(root):
+                out[top(x)].add(x)
+            return sorted(sorted(k for kind, k in g if kind == "set") for g in out.values())
+
+        plain = groups((("set", k), ("sig", int(s))) for k, ss in zip(keys, found) for s in ss)
+        assert plain == groups((("set", r.node), ("sig", r.sig) if r.node == r.low else ("set", r.low)) for r in rows.itertuples())
+
+
 def test_jaccard_awkward(documents, awkward, nothing):
     got = partenum.similarity_classes(awkward).collect()
     by_id = {r.doc_id: r for r in got}
