@@ -8,7 +8,7 @@ from arrears import constants as C
 from arrears.catalog.base import CATEGORY_OF_PART, D, NAME, R, RANK, TITLE, query
 from arrears.operators import findings as fops
 from arrears.operators import store
-from arrears.operators.common import top_per_group
+from arrears.operators.common import stage, top_per_group
 
 ORDER = f"{RANK('severity')} DESC, cost_usd DESC, confidence DESC"
 RECENT = """recent AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY
@@ -148,6 +148,16 @@ def findings_page(t):
         "scan_id", "seq", "severity", "cost_usd")
 
 
+@query("srt12_next_page", "SRT12 QRY3",
+       f"""SELECT scan_id, seq, severity, {D('cost_usd')} AS cost_usd FROM findings WHERE scan_id = (SELECT max(scan_id) FROM (SELECT
+           scan_id FROM findings GROUP BY scan_id HAVING count(*) >= 4)) ORDER BY seq LIMIT 3 OFFSET 2""", ("findings",))
+def next_page(t):
+    """The second page of a scan, by the last ``seq`` of the first."""
+    scan = t.findings.groupBy("scan_id").count().filter("count >= 4").agg(F.max("scan_id")).first()[0]
+    seen = store.next_page(t.findings, scan, limit=2).agg(F.max("seq")).first()[0]
+    return store.next_page(t.findings, scan, seen, 3).select("scan_id", "seq", "severity", "cost_usd")
+
+
 @query("agg17_triage_stats", "AGG17 QRY11",
        f"""WITH {TRIAGED}, {RECENT.format(n=1)}, stats AS (SELECT repo_id, count(*) AS total_findings,
            count(*) FILTER (t.status = 'open') AS active_findings, count(*) FILTER (suppressed) AS
@@ -333,6 +343,26 @@ def category_trend(t):
     return store.scan_category_trend(store.history(t.scans, 20), t.findings).drop("created_at")
 
 
+@query("agg18_rolled_up_trend", "AGG18 QRY8",
+       f"""WITH {RECENT.format(n=20)} SELECT repo_id, scan_id, category, count(*) AS findings,
+           {D('sum(cost_usd)')} AS cost_usd FROM findings JOIN recent USING (scan_id) GROUP BY ALL""",
+       ("scans", "findings"))
+def rolled_up_trend(t):
+    """The trend from rollups by scan and category, as they are written with a scan."""
+    rollups = stage(store.finding_rollups(t.findings.join(t.scans.select("scan_id", "repo_id"), "scan_id")))
+    return store.rolled_up_category_trend(store.history(t.scans, 20), rollups).drop("created_at")
+
+
+@query("agg18_rolled_up_active", "AGG18 QRY8 FLT5",
+       f"""WITH {RECENT.format(n=20)}, {TRIAGED} SELECT repo_id, r.scan_id, coalesce(n, 0) AS
+           active_finding_count, {D('coalesce(cost, 0)')} AS active_cost_usd FROM recent r LEFT JOIN
+           (SELECT scan_id, count(*) AS n, sum(cost_usd) AS cost FROM triaged WHERE status = 'open'
+           AND NOT suppressed GROUP BY scan_id) a USING (scan_id)""", (*T3, "scans"))
+def rolled_up_active(t):
+    rollups = stage(store.finding_rollups(t.findings.join(t.scans.select("scan_id", "repo_id"), "scan_id")))
+    return store.rolled_up_active_trend(store.history(t.scans, 20), rollups, t.findings, t.suppressions, t.feedback).drop("created_at")
+
+
 @query("agg18_active_trend", "AGG18 QRY8 FLT5",
        f"""WITH {RECENT.format(n=20)}, {TRIAGED} SELECT repo_id, r.scan_id, coalesce(n, 0) AS
            active_finding_count, {D('coalesce(cost, 0)')} AS active_cost_usd FROM recent r LEFT JOIN

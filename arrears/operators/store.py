@@ -131,6 +131,16 @@ def page(df: DataFrame, order: list[Column], limit: int = 50, offset: int = 0) -
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+def next_page(findings: DataFrame, scan_id, last_seq: int | None = None, limit: int = 50) -> DataFrame:
+    """The rows of a scan that come after ``last_seq``, the last one seen, in finding order.
+
+    ``seq`` rises in that order and files are sorted by it, so the filter skips what lies before, and a late page reads
+    no more than the first.
+    """
+    rows = findings.filter(F.col("scan_id") == scan_id)
+    return (rows if last_seq is None else rows.filter(F.col("seq") > last_seq)).orderBy("seq").limit(limit)
+
+
 def triage_stats(findings: DataFrame, keys: list[str]) -> DataFrame:
     """Total, open, suppressed and reviewed findings with rates."""
     counts = findings.groupBy(*keys).agg(
@@ -303,6 +313,39 @@ def active_trend(recent: DataFrame, findings: DataFrame) -> DataFrame:
             .withColumn("active_cost_usd", F.coalesce("active_cost_usd", F.lit(0))))
 
 
+def finding_rollups(findings: DataFrame) -> DataFrame:
+    """Findings, and those stored as open, with their cost per scan and category: written with a scan, so that trends
+    need no finding rows."""
+    is_open = F.col("status") == "open" if "status" in findings.columns else F.lit(True)
+    cost = F.col("cost_usd").cast("decimal(28,2)")
+    return findings.groupBy("repo_id", "scan_id", F.coalesce("category", F.lit("unknown")).alias("category")).agg(
+        F.count("*").alias("findings"), F.sum(cost).alias("cost_usd"), F.count_if(is_open).alias("open_findings"),
+        F.sum(F.when(is_open, cost)).alias("open_cost_usd"))
+
+
+def rolled_up_category_trend(recent: DataFrame, rollups: DataFrame) -> DataFrame:
+    """Findings and cost per category of the scans of a history, from the rollups alone."""
+    return rollups.join(recent.select("scan_id", "created_at"), "scan_id").select(
+        "repo_id", "scan_id", "created_at", "category", "findings", "cost_usd")
+
+
+def rolled_up_active_trend(recent: DataFrame, rollups: DataFrame, findings: DataFrame, suppressions: DataFrame, feedback: DataFrame) -> DataFrame:
+    """Open, unsuppressed findings and their cost per scan: the rollups less what events have closed.
+
+    Of the findings only those that an event names are read.
+    """
+    opened = of_scans(rollups, recent).groupBy("scan_id").agg(F.sum("open_findings").alias("n"), F.sum("open_cost_usd").alias("cost"))
+    muted, notes = of_scans(suppressions, recent), of_scans(feedback, recent)
+    named = muted.select(*FINDING_KEY).unionByName(notes.select(*FINDING_KEY)).distinct()
+    touched = findings.join(named, FINDING_KEY, "left_semi").filter("status = 'open'")
+    closed = with_triage(touched, muted, notes).filter(~unresolved()).groupBy("scan_id").agg(
+        F.count("*").alias("gone"), F.sum("cost_usd").alias("gone_cost"))
+    zero = F.lit(0)
+    return recent.select("repo_id", "scan_id", "created_at").join(opened, "scan_id", "left").join(closed, "scan_id", "left").select(
+        "repo_id", "scan_id", "created_at", (F.coalesce("n", zero) - F.coalesce("gone", zero)).alias("active_finding_count"),
+        (F.coalesce("cost", zero) - F.coalesce("gone_cost", zero)).cast("decimal(28,2)").alias("active_cost_usd"))
+
+
 def first_last_delta(points: DataFrame, keys: list[str], count: str, cost: str) -> DataFrame:
     """Last minus first point per key, over the scans in which the key appears."""
     when = F.struct("created_at", "scan_id")

@@ -53,6 +53,9 @@ STORE = {
         "repo_id string, scan_id string, bucket string, position long, finding_id string, title string, file_path string, "
         "module string, severity string, business_impact string, effort_hours decimal(18,2), cost_usd decimal(18,2), "
         "confidence decimal(18,2)"),
+    "finding_rollups": (
+        "repo_id string, scan_id string, category string, findings long, cost_usd decimal(28,2), open_findings long, "
+        "open_cost_usd decimal(28,2)"),
     "repositories": REPOSITORIES,
     "suppressions": SUPPRESSIONS,
     "feedback": FEEDBACK,

@@ -88,7 +88,7 @@ def _scans(spark, rows):
 def _findings(spark, scans):
     rows = [(r["repo_id"], r["scan_id"], f"k{i}", "high", Decimal(i)) for r in scans.collect() for i in range(3)]
     return spark.createDataFrame(rows, "repo_id string, scan_id string, finding_key string, severity string, cost_usd decimal(18,2)").selectExpr(
-        "*", "'f' AS file_path", "'c' AS category", "'s' AS subcategory", "0.5 AS confidence", "finding_key AS id", "1 AS step",
+        "*", "'f' AS file_path", "'c' AS category", "'s' AS subcategory", "0.5 AS confidence", "finding_key AS id", "1 AS step", "'open' AS status",
         "CAST(NULL AS INT) AS line_start", "'' AS symbol_name")
 
 
@@ -164,3 +164,20 @@ def test_a_mistyped_store_is_an_error(spark, tmp_path):
     _save(spark, str(tmp_path / "store"), "b1", [("r", "s1", "u1", 1, 5)])
     assert scan_store.read_table(spark, str(tmp_path / "store"), "feedback").count() == 0
     assert scan_store.read_table(spark, str(tmp_path / "store"), "repositories").count() == 0
+
+
+def test_pages_and_trends_of_a_saved_scan(spark, tmp_path):
+    root = str(tmp_path / "store")
+    _save(spark, root, "b1", [("r", f"s{i}", "u1", i + 1, 5) for i in range(4)])
+    found, rollups, scans = (scan_store.read_table(spark, root, t) for t in ("findings", "finding_rollups", "scans"))
+    first = store.next_page(found, "s2", limit=2).collect()
+    rest = store.next_page(found, "s2", first[-1].seq, limit=2).collect()
+    assert [r.finding_key for r in first + rest] == ["k2", "k1", "k0"]
+    assert "GreaterThan(seq" in store.next_page(found, "s2", 5)._jdf.queryExecution().executedPlan().toString()
+    trend = store.rolled_up_category_trend(store.history(scans, 2), rollups)
+    assert sorted((r.scan_id, r.findings, r.cost_usd) for r in trend.collect()) == [("s2", 3, 3), ("s3", 3, 3)]
+    assert "findings" not in {f.split("/version=")[0].rsplit("/", 1)[-1] for f in trend.inputFiles()}
+    scan_store.append_events(scan_store.suppression_event(spark, "r", "s3", "k2", "noise", "me", DAY(2025, 2, 1)), root, "suppressions")
+    events = [scan_store.read_table(spark, root, e) for e in ("suppressions", "feedback")]
+    active = store.rolled_up_active_trend(store.history(scans, 2), rollups, found, *events)
+    assert sorted((r.scan_id, r.active_finding_count, r.active_cost_usd) for r in active.collect()) == [("s2", 3, 3), ("s3", 2, 1)]
