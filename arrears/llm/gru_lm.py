@@ -179,7 +179,7 @@ class Network:
         return out
 
     def step(self, h, x):
-        g = self.x[x]
+        g = self.x.take(x, axis=0)
         u = h @ self.u
         zr = g[:, :2 * HIDDEN]
         zr += u[:, :2 * HIDDEN]
@@ -212,10 +212,12 @@ class Network:
             some = slice(lo, lo + SLICE)
             out[some] = _log_share(h[some] @ self.wc.T, klass[some])
         order, groups = self._by_class(klass)
+        ranked, place, inside = h.take(order, axis=0), place[order], np.zeros(len(h))
         for c, lo, hi in groups:
             for at in range(lo, hi, SLICE):
-                rows = order[at:min(at + SLICE, hi)]
-                out[rows] += _log_share(h[rows] @ self.ws[self.first[c]:self.first[c + 1]].T, place[rows] - self.first[c])
+                some = slice(at, min(at + SLICE, hi))
+                inside[some] = _log_share(ranked[some] @ self.ws[self.first[c]:self.first[c + 1]].T, place[some] - self.first[c])
+        out[order] += inside
         return out
 
     def scores(self, documents: list[np.ndarray]) -> np.ndarray:
@@ -248,9 +250,10 @@ class Network:
 
         def moved(flat, m, v, gradient, some):
             """Adam on some of the entries; ``some`` is an index of the first axis."""
-            first = m[some] * np.float32(0.9)
+            first, second = (m[some], v[some]) if isinstance(some, slice) else (m.take(some, axis=0), v.take(some, axis=0))
+            first = first * np.float32(0.9)
             first += np.float32(0.1) * gradient
-            second = v[some] * np.float32(0.99)
+            second = second * np.float32(0.99)
             np.multiply(gradient, gradient, out=gradient)
             gradient *= np.float32(0.01)
             second += gradient
@@ -311,17 +314,20 @@ class Network:
         for lo in range(0, total, SLICE):
             some = slice(lo, lo + SLICE)
             d = _softmax(every[some] @ self.wc.T)
-            d[np.arange(len(d)), klass[some]] -= 1
+            d.ravel()[np.arange(len(d)) * d.shape[1] + klass[some]] -= 1
             g["wc"] += d.T @ every[some]
-            dh[some] = d @ self.wc[:, :HIDDEN]
+            np.matmul(d, self.wc[:, :HIDDEN], out=dh[some])
         order, groups = self._by_class(klass)
+        ranked, place, inside = every.take(order, axis=0), place[order], np.zeros((total, HIDDEN), np.float32)
         for k, lo, hi in groups:
-            m, rows = slice(self.first[k], self.first[k + 1]), order[lo:hi]
-            states = every[rows]
+            m, states = slice(self.first[k], self.first[k + 1]), ranked[lo:hi]
             e = _softmax(states @ self.ws[m].T)
-            e[np.arange(hi - lo), place[rows] - m.start] -= 1
+            e.ravel()[np.arange(hi - lo) * e.shape[1] + (place[lo:hi] - m.start)] -= 1
             g["ws"][m] = e.T @ states
-            dh[rows] += e @ self.ws[m, :HIDDEN]
+            np.matmul(e, self.ws[m, :HIDDEN], out=inside[lo:hi])
+        back = np.empty(total, np.int64)
+        back[order] = np.arange(total)
+        dh += inside.take(back, axis=0)
         dh *= np.float32(1 / total)
         g["wc"] *= np.float32(1 / total)
         g["ws"] *= np.float32(1 / total)
@@ -345,7 +351,23 @@ class Network:
         g["u"] += before.T @ du
         order = np.argsort(x.astype(np.uint16) if len(self.x) <= 1 << 16 else x, kind="stable")
         seen, starts = np.unique(x[order], return_index=True)
-        return seen, np.add.reduceat(into[order], starts), grad, h
+        return seen, _sums(into.take(order, axis=0), starts), grad, h
+
+
+def _sums(rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of the rows from each start to the next one: the first rows of all, the second ones, and so on."""
+    count = np.diff(np.r_[starts, len(rows)])
+    order = np.argsort(-count, kind="stable")
+    count, starts = count[order], starts[order]
+    out, at = rows.take(starts, axis=0), 1
+    while (n := int(np.searchsorted(-count, -at, "left"))) >= 64:
+        out[:n] += rows.take(starts[:n] + at, axis=0)
+        at += 1
+    for i in range(n):    # few are left, with many rows each
+        out[i] += rows[starts[i] + at:starts[i] + count[i]].sum(axis=0)
+    back = np.empty_like(out)
+    back[order] = out
+    return back
 
 
 def _running(length: np.ndarray, at: int, steps: int) -> list[int]:
