@@ -1,6 +1,7 @@
 """Full analysis of many repositories at once: from text, history and feeds to a priced scan."""
 
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,19 +43,62 @@ class Inputs:
 
 @dataclass
 class Estimate:
-    items: DataFrame
-    findings: DataFrame
-    modules: DataFrame
-    roadmap: DataFrame
-    categories: DataFrame
-    totals: DataFrame
-    ownership: DataFrame
+    """What an estimate found. The priced items are there; the rest is worked out, once, when it is asked for."""
+
+    inputs: Inputs = field(repr=False)
+    facts: DataFrame = field(repr=False)
+    functions: DataFrame = field(repr=False)
+    settings: DataFrame
+    changes: DataFrame
+    hotspots: DataFrame
+    priced: DataFrame
     profile: DataFrame | None = None
-    facts: DataFrame = field(repr=False, default=None)
-    ownership_summary: DataFrame | None = None
-    settings: DataFrame | None = None
-    measured: DataFrame | None = None
-    data_sources: tuple[str, ...] = ()
+
+    @cached_property
+    def ownership(self) -> DataFrame:
+        return stage(history.file_ownership(None, by_author=self.changes))
+
+    @cached_property
+    def items(self) -> DataFrame:
+        return findings.with_file_owners(self.priced, self.ownership)
+
+    @cached_property
+    def findings(self) -> DataFrame:
+        return stage(findings.normalize_findings(self.items))
+
+    @cached_property
+    def modules(self) -> DataFrame:
+        return stage(findings.with_module_owners(
+            findings.summarize_modules(self.findings), history.module_ownership(self.inputs.commit_files)))
+
+    @cached_property
+    def roadmap(self) -> DataFrame:
+        return findings.roadmap(self.findings)
+
+    @cached_property
+    def base(self) -> DataFrame:
+        """Settings, functions and rate of each repository."""
+        counts = self.functions.groupBy("repo_id").agg(F.count("*").alias("functions"))
+        return self.settings.join(counts, "repo_id", "left").fillna({"functions": 0}).withColumn("rate", F.col("base_rate"))
+
+    @cached_property
+    def categories(self) -> DataFrame:
+        return with_baseline(findings.category_costs(self.priced), self.base)
+
+    @cached_property
+    def totals(self) -> DataFrame:
+        return findings.repo_totals(self.priced, self.base)
+
+    @cached_property
+    def ownership_summary(self) -> DataFrame:
+        return history.ownership_summary(self.inputs.commit_files, self.ownership, self.hotspots.select("repo_id", "path"), self.inputs.as_of)
+
+    @cached_property
+    def measured(self) -> DataFrame:
+        """Files scanned and mean complexity of the functions of each repository."""
+        files = self.facts.filter("kind = 'file'").groupBy("repo_id").agg(F.count("*").alias("files_scanned"))
+        means = self.functions.groupBy("repo_id").agg(places(F.avg("complexity"), 2).alias("avg_complexity"))
+        return files.join(means, "repo_id", "left").fillna({"avg_complexity": 0.0})
 
 
 def _settings(repos: DataFrame, settings: DataFrame | None) -> DataFrame:
@@ -128,10 +172,10 @@ def collect_items(inputs: Inputs, parsed: DataFrame, hotspots: DataFrame, functi
 
 
 def estimate(inputs: Inputs, cycles: bool = True) -> Estimate:
-    """Findings, modules, roadmap, category costs and totals of every repository.
+    """Priced items of every repository, and from them findings, modules, roadmap, category costs and totals.
 
-    Results that several later steps read are written on the way: the parsed facts, the hotspots, the
-    risky files, the priced items, ownership, findings and modules. The rest stays lazy.
+    Results that several later steps read are written on the way: the parsed facts, changes by file and author, the
+    hotspots, the risky files and the priced items; of what follows, ownership, findings and modules. The rest stays lazy.
     """
     parsed = python.staged_facts(inputs.source_files)
     functions = smells.measured_functions(parsed)
@@ -143,27 +187,8 @@ def estimate(inputs: Inputs, cycles: bool = True) -> Estimate:
         found = stage(profile(inputs.source_files, inputs.commit_files, parsed, inputs.blended, inputs.as_of))
     settings = stage(_settings(repos, inputs.settings if found is None else profile_settings(found, inputs.benchmark)))
     items = stage(collect_items(inputs, parsed, hotspots, functions, settings, cycles))
-    ownership = stage(history.file_ownership(None, by_author=changes))
-    owned = findings.with_file_owners(items, ownership)
-    normalized = stage(findings.normalize_findings(owned))
-    modules = stage(findings.with_module_owners(
-        findings.summarize_modules(normalized), history.module_ownership(inputs.commit_files)))
-    counts = functions.groupBy("repo_id").agg(F.count("*").alias("functions"))
-    base = settings.join(counts, "repo_id", "left").fillna({"functions": 0}).withColumn(
-        "rate", F.col("base_rate"))
-    return Estimate(
-        items=owned, findings=normalized, modules=modules, roadmap=findings.roadmap(normalized),
-        categories=with_baseline(findings.category_costs(items), base),
-        totals=findings.repo_totals(items, base), ownership=ownership, profile=found, facts=parsed,
-        ownership_summary=history.ownership_summary(inputs.commit_files, ownership, hotspots.select("repo_id", "path"), inputs.as_of),
-        settings=settings, measured=_measured(parsed, functions), data_sources=inputs.data_sources)
-
-
-def _measured(parsed: DataFrame, functions: DataFrame) -> DataFrame:
-    """Files scanned and mean complexity of the functions of each repository."""
-    files = parsed.filter("kind = 'file'").groupBy("repo_id").agg(F.count("*").alias("files_scanned"))
-    means = functions.groupBy("repo_id").agg(places(F.avg("complexity"), 2).alias("avg_complexity"))
-    return files.join(means, "repo_id", "left").fillna({"avg_complexity": 0.0})
+    return Estimate(inputs=inputs, facts=parsed, functions=functions, settings=settings, changes=changes, hotspots=hotspots,
+                    priced=items, profile=found)
 
 
 def with_baseline(categories: DataFrame, repos: DataFrame) -> DataFrame:
@@ -216,15 +241,14 @@ def payloads(result: Estimate) -> DataFrame:
     costs = result.categories.groupBy("repo_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(
         "category", F.struct(F.col("cost_usd").cast("double").alias("cost_usd"), F.col("hours").cast("double").alias("hours"),
                              F.col("item_count")))))).alias("cost_by_category"))   # at most one entry per category
-    sources = F.array(*[F.lit(s) for s in result.data_sources]).cast("array<string>")
+    named = result.inputs.data_sources
+    sources = F.array(*[F.lit(s) for s in named]).cast("array<string>")
     repos = reports.with_roi(result.totals).join(costs, "repo_id", "left").join(texts, "repo_id", "left").join(
         actions.withColumnRenamed("listed", "priority_actions"), "repo_id", "left")
-    if result.settings is not None:
-        repos = repos.join(result.settings.select("repo_id", "base_rate", F.col("multiplier").alias("combined_multiplier")), "repo_id", "left")
-    if result.measured is not None:
-        repos = repos.join(result.measured, "repo_id", "left")
-    repos = _document(repos, result.ownership_summary, "ownership_summary", {c: c for c in (
-        result.ownership_summary.columns if result.ownership_summary is not None else ()) if c != "repo_id"})
+    repos = repos.join(result.settings.select("repo_id", "base_rate", F.col("multiplier").alias("combined_multiplier")), "repo_id", "left").join(
+        result.measured, "repo_id", "left")
+    owners = result.ownership_summary
+    repos = _document(repos, owners, "ownership_summary", {c: c for c in owners.columns if c != "repo_id"})
     for name, fields in (("tech_stack", {c: c for c in STACK}), ("team", TEAM), ("multipliers", {"combined_multiplier": "combined_multiplier"})):
         repos = _document(repos, result.profile, name, fields)
 
@@ -234,8 +258,8 @@ def payloads(result: Estimate) -> DataFrame:
     def object_of(*names):
         return F.struct(*[F.col(n) for n in has(*names)])
 
-    rates = F.struct(*([cents(F.col("base_rate")).cast("double").alias("blended_rate")] if has("base_rate") else []), F.lit("medium").alias("confidence"),
-                     F.array(*[F.lit(s) for s in result.data_sources or ("BLS fallback",)]).alias("sources_used"))
+    rates = F.struct(cents(F.col("base_rate")).cast("double").alias("blended_rate"), F.lit("medium").alias("confidence"),
+                     F.array(*[F.lit(s) for s in named or ("BLS fallback",)]).alias("sources_used"))
     analysis = F.struct(
         F.col("total_cost_usd").cast("double").alias("total_cost_usd"), F.col("debt_score").cast("double").alias("debt_score"),
         F.col("total_hours").cast("double").alias("total_remediation_hours"), F.col("total_sprints").cast("double").alias("total_remediation_sprints"),
