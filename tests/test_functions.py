@@ -82,3 +82,40 @@ def test_money_models(spark):
         F.lit("CWE-89"), F.lit(9.5), F.lit(2.0), F.lit(100.0), F.lit(4_880_000.0), F.lit(0.046))
         ["total_security_cost"].alias("c")).first()["c"]
     assert cost == Decimal("1883.60")  # 200 + 0.046 * 0.5 * 4.88e6 * 1.5 * 0.01
+
+
+def test_source_is_walked_once_per_rule_not_per_leaf():
+    """Names' contexts, operators and constants are not visited; what the rules see stays the same."""
+    import ast
+
+    from arrears.operators import facts
+
+    source = "class A:\n    def f(self, x=[]):\n        for _i in x:\n            (x + x).append(_b)\n            x += 1\n        return x\n        x = 'y'\n"
+    tree = ast.parse(source)
+    visited = [type(node) for node in facts._walk(tree)]
+    assert len(visited) < len(list(ast.walk(tree))) * 0.7
+    assert not {ast.Load, ast.Store, ast.Add} & set(visited)
+    found = [(f["kind"], f.get("name"), f.get("line")) for f in facts._all_facts(source)]
+    assert found == [
+        ("words", None, None), ("class", "A", 1), ("function", "f", 2), ("after_jump", None, 7),
+        ("in_loop", "accumulation_in_loop", 5), ("in_loop", "append_on_expression_in_loop", 4), ("name_load", "_b", None), ("file", None, None)]
+
+
+def test_fingerprints_are_those_of_every_field():
+    """Names and constants take a short way; the digest is the one of a plain walk over all fields."""
+    import ast
+    import hashlib
+
+    from arrears.operators import facts
+
+    def shape(item):
+        if isinstance(item, ast.AST):
+            return f"({type(item).__name__}" + "".join(shape(getattr(item, n, None)) for n in item._fields) + ")"
+        if isinstance(item, list):
+            return "[" + "".join(map(shape, item)) + ")"
+        return f"{type(item).__name__} {item:x};" if type(item) is int else f"{type(item).__name__} {item!r};"
+
+    for source in ("x = a + 12", "return f(*b, k=u'ü') if not c[1:2] else {**d, 'e': 1.5, 'g': None, 'h': True}", "pass",
+                   "global g; del x; y: int = ...; match z:\n  case {'a': 1, **r}: ...", "async with a as b: yield\n\nlambda q, /, *r: (s := 2j)"):
+        body = ast.parse(source.replace("; match", "\nmatch")).body
+        assert facts._fingerprint(body) == hashlib.sha256(shape(body).encode()).hexdigest()
