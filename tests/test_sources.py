@@ -181,3 +181,20 @@ def test_pages_and_trends_of_a_saved_scan(spark, tmp_path):
     events = [scan_store.read_table(spark, root, e) for e in ("suppressions", "feedback")]
     active = store.rolled_up_active_trend(store.history(scans, 2), rollups, found, *events)
     assert sorted((r.scan_id, r.active_finding_count, r.active_cost_usd) for r in active.collect()) == [("s2", 3, 3), ("s3", 2, 1)]
+
+
+def test_advisories_of_one_package_are_counted_before_the_join(spark):
+    """As many packages as advisories of one name: the counted rows grow with the packages, the sums are those of all pairs."""
+    from arrears.operators import findings
+    from arrears.operators.items import price_items
+    from arrears.sources import schemas
+
+    files = spark.createDataFrame([(f"r{i}", "requirements.txt", "Lib\nlib==1.0\n# x\nother") for i in range(20)], schemas.SOURCE_FILES)
+    score = lambda s: [{"type": "N", "score": s}]
+    records = spark.createDataFrame(
+        [("lib", "unknown", ["CVE-%d" % i], score("9.5" if i % 2 else "n/a"), None) for i in range(30)]
+        + [("lib", "1.0", None, score("5"), None), (None, "1.0", None, None, None)], schemas.ADVISORIES)
+    every = price_items(dependencies.vulnerabilities(files, records))
+    counted = price_items(dependencies.counted_vulnerabilities(files, records))
+    assert (every.count(), counted.count()) == (20 * 31, 20 * 3)
+    assert sorted(findings.category_costs(every).collect()) == sorted(findings.category_costs(counted).collect())
