@@ -7,7 +7,7 @@ from arrears import constants as C
 from arrears.functions import paths
 from arrears.functions.numeric import percent, places
 from arrears.functions.scoring import risk_level, severity_rank
-from arrears.operators.common import keep_last, sum_cents, top_per_group
+from arrears.operators.common import keep_last, spread, sum_cents, top_per_group
 from arrears.operators.findings import finding_order, module_order
 
 
@@ -355,7 +355,7 @@ def first_last_delta(points: DataFrame, keys: list[str], count: str, cost: str)
 
 
 def module_trend(recent: DataFrame, modules: DataFrame) -> DataFrame:
-    shown = recent.select("repo_id", "scan_id", "created_at")
+    shown = spread(recent.select("repo_id", "scan_id", "created_at"), "scan_id")
     return modules.join(shown, "scan_id").select(
         "repo_id", "scan_id", "created_at", F.coalesce("module", F.lit("root")).alias("module"),
         "finding_count", "total_cost_usd",

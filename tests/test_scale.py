@@ -1,13 +1,22 @@
 """What keeps a task small and a path worked out once, on rows built here."""
 
+import datetime
+
 from pyspark.sql import functions as F
 
-from arrears.operators import history
+from arrears.operators import history, store
 from arrears.operators.common import spread
 
+DAY = datetime.datetime(2025, 1, 1)
 TASKS = 4   # the session's shuffle partitions; a few rows would be merged into one task
 
 
+def _recent(spark, n=6):
+    return spark.createDataFrame(
+        [(f"r{i % 2}", i, DAY + datetime.timedelta(i), 1.0, 2.0, i + 1) for i in range(n)],
+        "repo_id string, scan_id long, created_at timestamp, total_cost_usd double, debt_score double, position long")
+
+
 def test_spread_rows_stay_in_as_many_tasks_as_the_session_has(spark):
     rows = spark.range(20).selectExpr("id % 5 AS k", "id")
     dealt = spread(rows, "k")
@@ -30,3 +39,11 @@ def test_paths_fall_back_to_the_old_one_and_missing_ones_go(spark):
     commits = spark.createDataFrame(rows, "seq long, new_path string, old_path string")
     assert sorted(tuple(r) for r in history.changed_files(commits).select("seq", "path").collect()) == [
         (1, "a.py"), (2, "b.py"), (3, "c.py")]
+
+
+def test_module_points_are_dealt_by_scan(spark):
+    modules = spark.createDataFrame([(i, "m", i, 1.0, "low") for i in range(6)] + [(99, "m", 1, 1.0, "low")],
+                                    "scan_id long, module string, finding_count long, total_cost_usd double, max_severity string")
+    points = store.module_trend(_recent(spark), modules.repartition(2).hint("merge"))
+    assert points.rdd.getNumPartitions() == TASKS
+    assert sorted(r.scan_id for r in points.collect()) == list(range(6))
