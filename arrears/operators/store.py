@@ -371,7 +371,7 @@ def latest_module_severity(points: DataFrame) -> DataFrame:
 def rich_trend(recent: DataFrame, findings: DataFrame, modules: DataFrame,
                roadmap: DataFrame) -> DataFrame:
     """Headline figures with finding, module and roadmap counts per scan of a history."""
-    base = trend_points(recent)
+    base = spread(trend_points(recent), "scan_id")
     counts = of_scans(findings, recent).groupBy("scan_id").agg(F.count("*").alias("finding_count"))
     areas = of_scans(modules, recent).groupBy("scan_id").agg(F.count("*").alias("module_count"))
     plan = of_scans(roadmap, recent).groupBy("scan_id").agg(

@@ -47,3 +47,12 @@ def test_module_points_are_dealt_by_scan(spark):
     points = store.module_trend(_recent(spark), modules.repartition(2).hint("merge"))
     assert points.rdd.getNumPartitions() == TASKS
     assert sorted(r.scan_id for r in points.collect()) == list(range(6))
+
+
+def test_rich_trend_is_dealt_by_scan_and_counts_zero_where_nothing_is(spark):
+    findings = spark.createDataFrame([(1, "a"), (1, "b"), (7, "c")], "scan_id long, module string")
+    plan = spark.createDataFrame([(1, "quick_wins"), (1, "next_up"), (2, "strategic")], "scan_id long, bucket string")
+    found = store.rich_trend(_recent(spark), findings, findings.distinct(), plan)
+    assert found.rdd.getNumPartitions() == TASKS
+    counts = {r.scan_id: (r.finding_count, r.module_count, r.quick_wins, r.strategic_items) for r in found.collect()}
+    assert counts == {0: (0, 0, 0, 0), 1: (2, 2, 1, 0), 2: (0, 0, 0, 1), 3: (0,) * 4, 4: (0,) * 4, 5: (0,) * 4}
