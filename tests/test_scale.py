@@ -4,7 +4,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from arrears.operators import history, store
+from arrears.operators import dependencies, history, store
 from arrears.operators.common import spread
 
 DAY = datetime.datetime(2025, 1, 1)
@@ -56,3 +56,19 @@ def test_rich_trend_is_dealt_by_scan_and_counts_zero_where_nothing_is(spark):
     assert found.rdd.getNumPartitions() == TASKS
     counts = {r.scan_id: (r.finding_count, r.module_count, r.quick_wins, r.strategic_items) for r in found.collect()}
     assert counts == {0: (0, 0, 0, 0), 1: (2, 2, 1, 0), 2: (0, 0, 0, 1), 3: (0,) * 4, 4: (0,) * 4, 5: (0,) * 4}
+
+
+def test_a_popular_package_meets_its_advisories_in_blocks(spark):
+    packages = spark.createDataFrame(
+        [(f"r{i}", "hot", "1") for i in range(30)] + [("r0", "hot", "1"), ("r1", "rare", "2"), ("r2", None, "1"), ("r3", "none", "1")],
+        "repo_id string, package string, version string")
+    facts = spark.createDataFrame(
+        [("hot", "1", float(i), f"CVE-{i}") for i in range(20)] + [("hot", "1", 0.0, "CVE-0"), ("hot", "1", None, None),
+                                                                   ("rare", "2", 1.0, "CVE-9"), (None, "1", 1.0, "CVE-8"), ("other", "1", 1.0, "CVE-7")],
+        "package string, version string, cvss_score double, cve_id string")
+    plain = dependencies.vulnerable_packages(packages, facts)
+    cut = dependencies.vulnerable_packages(packages, facts, block=4)
+    assert cut.columns == plain.columns
+    assert sorted(map(str, cut.collect())) == sorted(map(str, plain.collect()))
+    hot = cut.filter("package = 'hot'").groupBy(F.spark_partition_id()).count().collect()
+    assert len(hot) > 1 and sum(r["count"] for r in hot) == 31 * 22
