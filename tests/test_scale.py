@@ -4,6 +4,8 @@ import datetime
 
 from pyspark.sql import functions as F
 
+from arrears.catalog import python_code
+from arrears.catalog.base import Tables
 from arrears.operators import dependencies, history, store
 from arrears.operators.common import spread
 
@@ -72,3 +74,11 @@ def test_a_popular_package_meets_its_advisories_in_blocks(spark):
     assert sorted(map(str, cut.collect())) == sorted(map(str, plain.collect()))
     hot = cut.filter("package = 'hot'").groupBy(F.spark_partition_id()).count().collect()
     assert len(hot) > 1 and sum(r["count"] for r in hot) == 31 * 22
+
+
+def test_tasks_that_parse_grow_with_the_files(spark, tmp_path):
+    n = python_code.FILES_A_TASK * (spark.sparkContext.defaultParallelism + 2)
+    spark.range(n).selectExpr("id AS p_partkey", "CAST(id % 50 AS INT) AS p_size").write.parquet(f"{tmp_path}/part.parquet")
+    files = python_code.source_files(Tables(spark, str(tmp_path)))
+    assert files.select("repo_id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism + 2
+    assert files.count() == n
