@@ -143,7 +143,10 @@ class Lattices:
     def _spread(self, weight, source, target, seeds, descending=False):
         """Sums over the arcs of short words; nodes of others hold one."""
         order, bounds, filled = self._groups
-        sums = np.zeros((int(self.offset[-1]), weight.shape[1]))
+        models = weight.shape[1]
+        if models == 1:    # plain numbers are added up faster than rows of one
+            weight = weight[:, 0]
+        sums = np.zeros((int(self.offset[-1]), *weight.shape[1:]))
         sums[seeds] = 1.0
         for w in self.long:
             sums[self.offset[w]:self.offset[w + 1]] = 1.0
@@ -151,7 +154,7 @@ class Lattices:
         for g in filled[::-1] if descending else filled:
             lo, hi = bounds[g], bounds[g + 1]
             sums[target[lo:hi]] += sums[source[lo:hi]] * weight[lo:hi]
-        return sums
+        return sums.reshape(-1, models)
 
     def forward(self, weight: np.ndarray) -> np.ndarray:
         """Summed weight of the ways from the first letter to each node; ``weight``: arcs x models."""

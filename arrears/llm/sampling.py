@@ -15,10 +15,11 @@ from __future__ import annotations
 
 import functools
 import re
-from array import array
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,6 +56,11 @@ def spelled(path: str = VOCABULARY) -> list[bytes]:
     return out
 
 
+@functools.lru_cache(maxsize=2)
+def spelled_pieces(path: str = VOCABULARY) -> pa.Array:
+    return pa.array(spelled(path), pa.large_binary())
+
+
 def decode(ids, path: str = VOCABULARY) -> str:
     """The text of piece ids; inverse of any segmentation that this module draws."""
     return b"".join(map(spelled(path).__getitem__, ids))[1:].decode("utf-8", "surrogatepass")
@@ -75,6 +81,37 @@ def cut_gumbel(phi: np.ndarray, most: np.ndarray, u: np.ndarray) -> np.ndarray:
         return phi - np.log(np.exp(phi - most) - np.log(u))
 
 
+def numbered(texts: list[str], path: str = VOCABULARY) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct units of the texts, the numbers of the units of one text after the other, and where each text begins and ends."""
+    if spans_words(path):
+        cut = [units(text, path) for text in texts]
+    else:
+        # Single spaces between words are cut all at once.
+        cut = [None if text and text[0] != " " != text[-1] and not ("  " in text or SPACE in text or "\ue000" in text) else units(text, path)
+               for text in texts]
+    try:
+        plain = pc.split_pattern(pa.array([text for text, found in zip(texts, cut) if found is None], pa.large_string()), " ")
+        rest = [unit[1:] for found in cut if found is not None for unit in found]   # each begins with a mark
+        words = pa.concat_arrays([plain.flatten(), pa.array(rest, pa.large_string())]).dictionary_encode()
+    except UnicodeEncodeError:   # halves of letters
+        index, cut = Index(), [found or units(text, path) for text, found in zip(texts, cut)]
+        flat = np.fromiter((index[unit] for found in cut for unit in found), np.int32)
+        return list(index), flat, np.cumsum([0, *map(len, cut)])
+    unit, names = words.indices.to_numpy(), [SPACE + name for name in words.dictionary.to_pylist()]
+    length = np.array([-1 if found is None else len(found) for found in cut], np.int64)
+    rows = np.flatnonzero(length < 0)
+    if len(rows) == len(cut):
+        return names, unit, plain.offsets.to_numpy().astype(np.int64)
+    # Units of plain texts come first; each text's are put in its place.
+    others = np.flatnonzero(length >= 0)
+    length[rows] = np.diff(plain.offsets.to_numpy())
+    bounds, order = np.r_[0, np.cumsum(length)], np.r_[rows, others]
+    held = np.cumsum(length[order]) - length[order]
+    came = np.empty(len(cut), np.int64)
+    came[order] = held
+    return names, unit[np.repeat(came - bounds[:-1], length) + np.arange(len(unit))], bounds
+
+
 class Index(dict):
     """Numbers of different keys in the order they are asked for."""
 
@@ -89,38 +126,39 @@ class Chain:
     def __init__(self, words: list[str], weight: np.ndarray, path: str):
         lat = Lattices(words, path)
         chance = lat.chances(weight[lat.piece])
+        # A letter that is spelled in bytes is known by its code, behind the pieces.
+        bare = np.flatnonzero(lat.piece < 0)
+        if len(bare):
+            letters = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+            lat.piece[bare] = letters[lat.source[bare] - lat.word[bare]].astype(np.int32) + len(weight)
         order = np.argsort(lat.source, kind="stable")
-        self.offset = lat.offset
-        self.source, self.target, self.piece, self.chance = lat.source[order], lat.target[order], lat.piece[order], chance[order]
+        source, self.chance = lat.source[order], chance[order]
+        self.offset, self.target, self.piece = lat.offset, lat.target[order], lat.piece[order]
         nodes = int(lat.offset[-1])
         del lat, chance, order
-        self.first = np.searchsorted(self.source, np.arange(nodes + 1)).astype(np.int32)
-        running = np.cumsum(self.chance)
-        before = np.r_[0.0, running][self.first[self.source]]
+        count = np.bincount(source, minlength=nodes)
+        self.first = np.r_[0, np.cumsum(count)].astype(np.int32)
+        some = np.flatnonzero(count)         # all nodes but the last of each word
+        begin, count = self.first[some], count[some]
         # Key of an arc: its node plus the summed chance up to it, the last one lifted to the next node.
-        self.key = self.source + np.minimum(running - before, 1.0)
-        last = self.first[1:][self.first[1:] > self.first[:-1]] - 1
-        self.key[last] = self.source[last] + 1.0
-        self.log = np.log(self.chance)
-        with np.errstate(divide="ignore"):
-            self.log_rest = np.log1p(-np.minimum(self.chance, 1.0))
-        self.log_rest[self.chance > 1 - 1e-12] = -np.inf
-        end = np.zeros(nodes, bool)
-        end[self.offset[1:] - 1] = True
-        self.is_end = end
-        del running, before
-
-        # The likeliest arc of each node and its part of the keys: most draws fall there.
-        self.best = np.zeros(nodes, np.int32)
-        some = np.flatnonzero(self.first[1:] > self.first[:-1])
-        most = np.zeros(nodes)
-        most[some] = np.maximum.reduceat(self.chance, self.first[some]) if len(some) else 0.0
-        top = np.flatnonzero(self.chance == most[self.source])
-        self.best[self.source[top]] = top
-        self.low, self.high = np.zeros(nodes), np.zeros(nodes)
-        arc = self.best[some]
-        self.low[some] = np.where(arc > self.first[some], self.key[np.maximum(arc - 1, 0)], some)
-        self.high[some] = self.key[arc]
+        self.key = np.cumsum(self.chance)
+        self.key -= np.repeat(np.r_[0.0, self.key][begin], count)
+        np.minimum(self.key, 1.0, out=self.key)
+        self.key += source
+        self.key[begin + count - 1] = some + 1.0
+        # The likeliest arc of each node and its part of the keys: most draws fall there. The end of a word has none (-1).
+        self.best, self.low, self.high = np.full(nodes, -1, np.int32), np.zeros(nodes), np.zeros(nodes)
+        if len(some):
+            top = np.flatnonzero(self.chance == np.maximum.reduceat(self.chance, begin).repeat(count))
+            self.best[source[top]] = top
+            arc = self.best[some]
+            self.low[some] = np.where(arc > begin, self.key[np.maximum(arc - 1, 0)], some)
+            self.high[some] = self.key[arc]
+
+    def arcs_of(self, arc: int) -> range:
+        """All arcs of the node that an arc begins at."""
+        node = int(np.searchsorted(self.first, np.int32(arc), "right")) - 1
+        return range(int(self.first[node]), int(self.first[node + 1]))
 
     def pick(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         at, arc = node + u, self.best[node]
@@ -131,15 +169,15 @@ class Chain:
 
 def draw(chain: Chain, node: np.ndarray, key: np.ndarray, place: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
     """Arcs from each node to the end of its word, in order, and how many each word got."""
-    n = len(node)
-    steps, count, active, at = [], np.zeros(n, np.int64), np.flatnonzero(~chain.is_end[node]), node.copy()
-    while len(active):
-        u = uniform(key[active], place[active] * np.int64(STEPS) + count[active], salt)
-        arc = chain.pick(at[active], u)
-        steps.append((active, arc))
-        at[active] = chain.target[arc]
-        count[active] += 1
-        active = active[~chain.is_end[at[active]]]
+    steps, count, who = [], np.zeros(len(node), np.int64), np.flatnonzero(chain.best[node] >= 0)
+    at, place, key = node[who], place[who] * np.int64(STEPS), key[who]
+    while len(who):
+        arc = chain.pick(at, uniform(key, place + len(steps), salt))
+        steps.append((who, arc))
+        count[who] += 1
+        at = chain.target[arc]
+        on = np.flatnonzero(chain.best[at] >= 0)
+        who, at, place, key = who[on], at[on], place[on], key[on]
     start = np.cumsum(count) - count
     out = np.empty(int(count.sum()), np.int32)
     for step, (who, arc) in enumerate(steps):
@@ -170,13 +208,17 @@ class Search:
         owner = np.repeat(where, count)
         number = np.bincount(owner, minlength=len(docs))
         base = np.cumsum(number) - number
-        total = np.cumsum(self.chain.log[arcs])
-        behind = total - self.chain.log[arcs]
+        chance = self.chain.chance[arcs]
+        log = np.log(chance)
+        total = np.cumsum(log)
+        behind = total - log
         behind -= np.r_[0.0, total][base][owner] - start_log[owner]     # log probability before each step
         step = np.arange(len(arcs)) - base[owner]
-        u = uniform(self.keys[docs][owner], step + 1, 3 * salt + 1)
-        aside = np.where(np.isneginf(self.chain.log_rest[arcs]), -np.inf,
-                         cut_gumbel(behind + self.chain.log_rest[arcs], score[owner], u))
+        # Where another arc can be taken at all.
+        fork = np.flatnonzero(chance <= 1 - 1e-12)
+        of, aside = owner[fork], np.full(len(arcs), -np.inf)
+        u = uniform(self.keys[docs][of], step[fork] + 1, 3 * salt + 1)
+        aside[fork] = cut_gumbel(behind[fork] + np.log1p(-chance[fork]), score[of], u)
         words = np.repeat(place.astype(np.int32), count)
         for i in range(len(docs)):
             lo, hi = base[i], base[i] + number[i]
@@ -195,14 +237,15 @@ class Search:
         self._extend(every, np.full(len(every), -1), np.zeros(len(every), np.int64), np.zeros(len(every)), top, 1, begin)
         closed: list[list] = [[] for _ in every]   # nodes with several arcs left out: (score, prefix arcs, arcs out, log, word)
         for sample in range(1, samples):
-            picks = []
+            picks, salt = [], 3 * (sample + 1) + 2
+            draws = np.stack([uniform(self.keys, np.full(len(every), n), salt) for n in (0, 1)], axis=1)
             for i in range(len(every)):
                 best = self._best(i, closed[i])
                 if best is None:
                     continue
                 score, take = best
                 prefix, out, log, word = take()
-                picks.append((i, score, *self._branch(i, score, prefix, out, log, word, sample, closed[i])))
+                picks.append((i, score, *self._branch(score, prefix, out, log, word, draws[i], closed[i])))
             if not picks:
                 break
             docs = np.array([p[0] for p in picks])
@@ -239,20 +282,17 @@ class Search:
             return take[1:]
         return best, open_node
 
-    def _branch(self, i, score, prefix, out, log, word, sample, closed):
+    def _branch(self, score, prefix, out, log, word, u, closed):
         """Take one of the arcs not left out yet; the others stay set aside."""
         chain = self.chain
-        node = chain.source[out[0]]
-        arcs = np.arange(chain.first[node], chain.first[node + 1])
-        arcs = arcs[~np.isin(arcs, out)]
+        arcs = [arc for arc in chain.arcs_of(out[0]) if arc not in out]
         chance = chain.chance[arcs]
-        u = uniform(self.keys[i:i + 1], np.array([0, 1]), 3 * (sample + 1) + 2)
         pick = int(min(np.searchsorted(np.cumsum(chance), u[0] * chance.sum(), "right"), len(arcs) - 1))
-        arc, rest = int(arcs[pick]), chance.sum() - chance[pick]
+        arc, rest = arcs[pick], chance.sum() - chance[pick]
         if len(arcs) > 1 and rest > 0:
             aside = float(cut_gumbel(np.array([log + np.log(rest)]), np.array([score]), u[1:])[0])
             closed.append([aside, prefix, [*out, arc], log, word])
-        return np.r_[prefix, arc], int(chain.target[arc]), word, log + float(chain.log[arc])
+        return np.r_[prefix, np.int32(arc)], int(chain.target[arc]), word, log + float(np.log(chain.chance[arc]))
 
 
 def weights(path: str, temperature: float = 1.0) -> np.ndarray:
@@ -262,7 +302,39 @@ def weights(path: str, temperature: float = 1.0) -> np.ndarray:
 
 
 def row_key(doc_id, seed: int) -> int:
-    return xxhash.xxh64_intdigest(str(doc_id), seed)
+    return xxhash.xxh64_intdigest(str(pd.NA if doc_id is None else doc_id), seed)
+
+
+def spell(ids: np.ndarray, length: np.ndarray, path: str = VOCABULARY) -> tuple[np.ndarray, np.ndarray]:
+    """Ids with the bytes of letters in the place of their codes, and the lengths of the rows they lie in."""
+    known = len(pieces(path)[1]) + 1
+    bare = np.flatnonzero(ids >= known)
+    if not len(bare):
+        return ids, length
+    letters, which = np.unique(ids[bare] - known, return_inverse=True)
+    spelt = [byte_ids(path)[list(chr(letter).translate(UNMARK).encode("utf-8", "surrogatepass"))] for letter in letters.tolist()]
+    size = np.array([len(s) for s in spelt])[which]
+    count = np.ones(len(ids), np.int64)
+    count[bare] = size
+    out, start = np.repeat(ids, count), (np.cumsum(count) - count)[bare]
+    for n in range(int(size.max())):
+        some = np.flatnonzero(size > n)
+        out[start[some] + n] = np.array([s[n] if len(s) > n else 0 for s in spelt])[which[some]]
+    row = np.searchsorted(np.cumsum(length), bare, "right")
+    return out, length + np.bincount(row, size - 1, len(length)).astype(np.int64)
+
+
+def drawn(texts: list[str], keys: list[int], samples: int, weight: np.ndarray, path: str):
+    """Ids of the segmentations of all texts, one after the other; of each its length and (text, number, log_prob, perturbed, inclusion)."""
+    words, unit, bounds = numbered(texts, path)
+    chain = Chain(words, weight, path)
+    arcs, told = [np.zeros(0, np.int32)], []
+    for row, (got, threshold) in enumerate(Search(chain, unit, bounds, np.array(keys, dtype=np.uint64)).run(samples)):
+        for number, (way, log_prob, perturbed) in enumerate(got, 1):
+            arcs.append(way)
+            told.append((row, number, log_prob, perturbed, 1.0 if threshold == -np.inf else float(-np.expm1(-np.exp(log_prob - threshold)))))
+    length = np.array([len(a) for a in arcs[1:]], np.int64)
+    return *spell(chain.piece[np.concatenate(arcs)], length, path), told
 
 
 def segmentations(texts: list[str], keys: list[int], samples: int = SAMPLES, path: str = VOCABULARY, temperature: float = 1.0):
@@ -271,32 +343,19 @@ def segmentations(texts: list[str], keys: list[int], samples: int = SAMPLES, pat
     ``inclusion`` is the chance that a segmentation of this probability is above the threshold, the
     perturbed score of the first one left out; with nothing left out it is 1.
     """
-    index, unit, bounds = Index(), array("i"), [0]
-    for text in texts:
-        unit.extend(map(index.__getitem__, units(text, path)))
-        bounds.append(len(unit))
-    unit, bounds = np.frombuffer(unit, np.int32), np.array(bounds)
-    chain = Chain(list(index), weights(path, temperature), path)
-    search = Search(chain, unit, bounds, np.array(keys, dtype=np.uint64))
-    by_byte = byte_ids(path)
-    letters = "".join(index)
-    for got, threshold in search.run(samples):
-        out = []
-        for arcs, log_prob, perturbed in got:
-            ids = chain.piece[arcs]
-            bare = np.flatnonzero(ids < 0)
-            if len(bare):
-                # Every word before has one node more than letters.
-                node = chain.source[arcs[bare]]
-                where = node - (np.searchsorted(chain.offset, node, "right") - 1)
-                parts, last = [], 0
-                for at, letter in zip(bare, where):
-                    spelled = letters[letter].translate(UNMARK).encode("utf-8", "surrogatepass")
-                    parts += [ids[last:at], by_byte[list(spelled)]]
-                    last = at + 1
-                ids = np.concatenate([*parts, ids[last:]])
-            out.append((ids, log_prob, perturbed, 1.0 if threshold == -np.inf else float(-np.expm1(-np.exp(log_prob - threshold)))))
-        yield out
+    ids, length, told = drawn(texts, keys, samples, weights(path, temperature), path)
+    out: list[list] = [[] for _ in texts]
+    for (row, _, *scores), end, size in zip(told, np.cumsum(length).tolist(), length.tolist()):
+        out[row].append((ids[end - size:end], *scores))
+    yield from out
+
+
+def decoded(ids: np.ndarray, length: np.ndarray, texts: list[str], path: str = VOCABULARY) -> list[bool]:
+    """Whether the ids of each row (of ``length`` each, one row after the other) give its text back."""
+    taken = spelled_pieces(path).take(pa.array(ids))
+    raw, offsets = taken.buffers()[2].to_pybytes(), np.frombuffer(taken.buffers()[1], np.int64)
+    ends = offsets[np.r_[0, np.cumsum(length)]].tolist()
+    return [raw[lo + 1:hi] == text.encode("utf-8", "surrogatepass") for lo, hi, text in zip(ends, ends[1:], texts)]
 
 
 def slices(texts, ids, seed):
@@ -321,29 +380,23 @@ def encode(documents: DataFrame, samples: int = SAMPLES, seed: int = 17, path: s
     ``checked`` a column ``decodes`` says whether the ids give the text back. Other columns are not looked
     at. An empty table gives no rows. Texts are segmented whole, over their whole lattice.
     """
-    names = ["doc_id", "sample", "ids", *(["decodes"] if checked else []), "log_prob", "perturbed", "inclusion"]
-
     def sampled(batches):
-        for frame in batches:
-            texts, ids = [t if isinstance(t, str) else None for t in frame["text"]], frame["doc_id"].astype("Int64").tolist()
-            del frame
+        weight = weights(path)
+        for batch in batches:
+            texts, ids = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
             for rows, some, keys in slices(texts, ids, seed):
-                out, held = [], 0
-                for row, text, got in zip(rows, some, segmentations(some, keys, samples, path)):
-                    for number, (found, *scores) in enumerate(got, 1):
-                        out.append((ids[row], number, found, *([decode(found.tolist(), path) == text] if checked else []), *scores))
-                        held += len(found)
-                    if held >= EMITTED:
-                        yield _frame(out, names)
-                        out, held = [], 0
-                if out:
-                    yield _frame(out, names)
+                found, length, told = drawn(some, keys, samples, weight, path)
+                row, number, *scores = zip(*told)
+                ends = np.r_[0, np.cumsum(length)]
+                cuts = np.r_[0, np.flatnonzero(np.diff(ends[1:] // EMITTED)) + 1, len(told)]
+                for lo, hi in zip(cuts, cuts[1:]):
+                    part = found[ends[lo]:ends[hi]]
+                    columns = [pa.array([ids[rows[r]] for r in row[lo:hi]], pa.int64()), pa.array(number[lo:hi], pa.int32()),
+                               pa.ListArray.from_arrays(pa.array(ends[lo:hi + 1] - ends[lo], pa.int32()), pa.array(part, pa.int32()))]
+                    if checked:
+                        columns.append(pa.array(decoded(part, length[lo:hi], [some[r] for r in row[lo:hi]], path), pa.bool_()))
+                    yield pa.RecordBatch.from_arrays([*columns, *(pa.array(s[lo:hi], pa.float64()) for s in scores)], names)
 
+    names = ["doc_id", "sample", "ids", *(["decodes"] if checked else []), "log_prob", "perturbed", "inclusion"]
     schema = f"doc_id long, sample int, ids array<int>{', decodes boolean' if checked else ''}, log_prob double, perturbed double, inclusion double"
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(sampled, schema)
-
-
-def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=names)
-    frame["doc_id"] = pd.array(frame["doc_id"], dtype="Int64")
-    return frame
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sampled, schema)
