@@ -21,12 +21,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arrears.llm.common import fold, stage, words_of
+from arrears.llm.common import fold, stage
 
 BLOCK_CHARS = 10_000_000
 HEAD = 200            # words with a symbol of their own, at least
@@ -41,18 +43,16 @@ TRAIN_TOGETHER = 512
 LONG = 1024           # steps of a document that training runs in one piece
 RATE = 0.01
 STRETCH = 65_536      # parameters averaged together
-SLICE = 4096          # rows of logits at a time
+SLICE = 2048          # rows of logits at a time
+PIECE = 16_384        # parameters moved at a time
+TEXTS = 500           # texts split at a time
+EXTREME = 80.0        # logits beyond are shifted before exp
 TOKENS_A_WEIGHT = 2.0 # tokens a task trains on for each parameter it sends
 LEAST_TOKENS = 200_000
 ROUNDS = 3            # each on its own part of the training documents, which together are all of them
 
 
-class Index(dict):
-    """Numbers of different words in the order they are met."""
-
-    def __missing__(self, word):
-        self[word] = number = len(self)
-        return number
+_GATES = np.arange(3)[:, None]
 
 
 def squeeze(values: np.ndarray) -> bytes:
@@ -178,24 +178,32 @@ class Network:
             at += size
         return out
 
-    def step(self, h, x):
-        g = self.x.take(x, axis=0)
-        u = h @ self.u
-        zr = g[:, :2 * HIDDEN]
-        zr += u[:, :2 * HIDDEN]
+    def step(self, h, x, u=None):
+        """The next states, and what a step back needs. Each gate lies in one piece; ``u`` is ``gates()``, if at hand."""
+        g = self.x.reshape(-1, HIDDEN).take(_GATES + 3 * x, axis=0)
+        u = np.matmul(h, self.gates() if u is None else u)
+        zr, n, un = g[:2], g[2], u[2]
+        zr += u[:2]
         np.negative(zr, out=zr)
         np.exp(zr, out=zr)
         zr += 1
         np.reciprocal(zr, out=zr)
-        z, r, un = zr[:, :HIDDEN], zr[:, HIDDEN:], u[:, 2 * HIDDEN:]
-        n = r * un
-        n += g[:, 2 * HIDDEN:]
+        z, r = zr
+        n += r * un
         np.tanh(n, out=n)
         new = h - n
         new *= z
         new += n
         return new, z, r, n, un
 
+    def gates(self) -> np.ndarray:
+        """The weights of the state, one matrix a gate."""
+        return np.ascontiguousarray(self.u.reshape(HIDDEN, 3, HIDDEN).swapaxes(0, 1))
+
+    def _calm(self) -> bool:
+        """Whether no logit can be extreme: a state has no entry beyond one, so its length is at most the root of their number."""
+        return max(float(np.einsum("ij,ij->i", w, w).max()) for w in (self.wc, self.ws)) * (HIDDEN + 1) < EXTREME ** 2
+
     def _by_class(self, klass):
         """Order of targets by class, and (class, from, to) in it of each class of several symbols that occurs."""
         order = np.argsort(klass.astype(np.uint16) if len(self.wc) <= 1 << 16 else klass, kind="stable")
@@ -207,16 +215,16 @@ class Network:
         """Natural log probability of each target after the states ``h``, with or without their column of ones."""
         if h.shape[1] == HIDDEN:
             h = np.hstack([h, np.ones((len(h), 1), np.float32)])
-        klass, place, out = self.klass[target], self.place[target], np.empty(len(h))
+        klass, place, out, calm = self.klass[target], self.place[target], np.empty(len(h)), self._calm()
         for lo in range(0, len(h), SLICE):
             some = slice(lo, lo + SLICE)
-            out[some] = _log_share(h[some] @ self.wc.T, klass[some])
+            out[some] = _log_share(h[some] @ self.wc.T, klass[some], calm)
         order, groups = self._by_class(klass)
         ranked, place, inside = h.take(order, axis=0), place[order], np.zeros(len(h))
         for c, lo, hi in groups:
             for at in range(lo, hi, SLICE):
                 some = slice(at, min(at + SLICE, hi))
-                inside[some] = _log_share(ranked[some] @ self.ws[self.first[c]:self.first[c + 1]].T, place[some] - self.first[c])
+                inside[some] = _log_share(ranked[some] @ self.ws[self.first[c]:self.first[c + 1]].T, place[some] - self.first[c], calm)
         out[order] += inside
         return out
 
@@ -227,15 +235,16 @@ class Network:
         for lo in range(0, len(order), TOGETHER):
             group = order[lo:lo + TOGETHER]
             flat, start, length = _flat([documents[i] for i in group])
-            h = np.zeros((len(group), HIDDEN), np.float32)
-            total = np.zeros(len(group))
+            h, u = np.zeros((len(group), HIDDEN), np.float32), self.gates()
+            total, x = np.zeros(len(group)), flat[start]
             for at in range(0, int(length[0]), WINDOW):
                 running = _running(length, at, WINDOW)
                 states, targets = np.ones((sum(running), HIDDEN + 1), np.float32), np.empty(sum(running), np.int64)
                 end = 0
                 for t, n in enumerate(running, at):   # documents longer than t come first
-                    h = self.step(h[:n], flat[start[:n] + t])[0]
-                    states[end:end + n, :HIDDEN], targets[end:end + n] = h, flat[start[:n] + t + 1]
+                    h = self.step(h[:n], x[:n], u)[0]
+                    x = flat[start[:n] + (t + 1)]
+                    states[end:end + n, :HIDDEN], targets[end:end + n] = h, x
                     end += n
                 owners = np.concatenate([np.arange(n) for n in running])
                 total += np.bincount(owners, self.log_prob(states, targets), len(group))
@@ -245,7 +254,7 @@ class Network:
     def train(self, documents: list[np.ndarray], rate: float = RATE, together: int = TRAIN_TOGETHER) -> None:
         """One pass of truncated backpropagation with Adam."""
         m, v, count = np.zeros_like(self.flat), np.zeros_like(self.flat), 0
-        rows, rest = self.x.size, slice(self.x.size, None)
+        rows = self.x.size
         m_x, v_x = m[:rows].reshape(self.x.shape), v[:rows].reshape(self.x.shape)
 
         def moved(flat, m, v, gradient, some):
@@ -279,8 +288,11 @@ class Network:
                 of_rest *= scale
                 count += 1
                 # Rows of symbols that the window lacks rest, so a step does not grow with the symbols' number of inputs.
-                moved(self.x, m_x, v_x, of_x, seen)
-                moved(self.flat, m, v, of_rest, rest)
+                for lo in range(0, len(seen), PIECE // (3 * HIDDEN)):
+                    some = slice(lo, lo + PIECE // (3 * HIDDEN))
+                    moved(self.x, m_x, v_x, of_x[some], seen[some])
+                for lo in range(rows, len(self.flat), PIECE):
+                    moved(self.flat, m, v, of_rest[lo - rows:lo - rows + PIECE], slice(lo, lo + PIECE))
 
     def gradient(self, h, flat, start, length, at):
         """Gradient of the mean loss of a window for all parameters, and the last state."""
@@ -295,13 +307,14 @@ class Network:
         running = _running(length, at, TRAIN_WINDOW)
         total = sum(running)
         bounds = np.r_[0, np.cumsum(running)]
-        x, goal = np.empty(total, np.int64), np.empty(total, np.int64)
-        before, z, r, c, un = (np.empty((total, HIDDEN), np.float32) for _ in range(5))
-        every = np.ones((total, HIDDEN + 1), np.float32)
+        x, goal, before = np.empty(total, np.int64), np.empty(total, np.int64), np.empty((total, HIDDEN), np.float32)
+        every, steps, u, read = np.ones((total, HIDDEN + 1), np.float32), [], self.gates(), flat[start[:running[0]] + at]
         for t, n in enumerate(running):
             some = slice(bounds[t], bounds[t + 1])
-            x[some], goal[some], before[some] = flat[start[:n] + at + t], flat[start[:n] + at + t + 1], h[:n]
-            h, z[some], r[some], c[some], un[some] = self.step(h[:n], x[some])
+            x[some], before[some] = read[:n], h[:n]
+            h, *kept = self.step(h[:n], read[:n], u)
+            steps.append(kept)
+            goal[some] = read = flat[start[:n] + (at + t + 1)]
             every[some, :HIDDEN] = h
         grad = np.zeros(self.flat.size - self.x.size, np.float32)
         g, begins = {}, 0
@@ -309,49 +322,59 @@ class Network:
             size = int(np.prod(self.shapes[name]))
             g[name] = grad[begins:begins + size].reshape(self.shapes[name])
             begins += size
-        klass, place = self.klass[goal], self.place[goal]
+        klass, place, calm = self.klass[goal], self.place[goal], self._calm()
         dh = np.empty((total, HIDDEN), np.float32)
         for lo in range(0, total, SLICE):
             some = slice(lo, lo + SLICE)
-            d = _softmax(every[some] @ self.wc.T)
+            d = _softmax(every[some] @ self.wc.T, calm)
             d.ravel()[np.arange(len(d)) * d.shape[1] + klass[some]] -= 1
             g["wc"] += d.T @ every[some]
             np.matmul(d, self.wc[:, :HIDDEN], out=dh[some])
         order, groups = self._by_class(klass)
-        ranked, place, inside = every.take(order, axis=0), place[order], np.zeros((total, HIDDEN), np.float32)
+        ranked, inside = every.take(order, axis=0), np.zeros((total, HIDDEN), np.float32)
+        ranks, told = np.arange(total), klass[order]
+        row = ranks - np.searchsorted(told, told)     # in its group, whose logits lie in one piece
+        chosen = row * np.diff(self.first)[told] + place[order] - self.first[told]
         for k, lo, hi in groups:
             m, states = slice(self.first[k], self.first[k + 1]), ranked[lo:hi]
-            e = _softmax(states @ self.ws[m].T)
-            e.ravel()[np.arange(hi - lo) * e.shape[1] + (place[lo:hi] - m.start)] -= 1
-            g["ws"][m] = e.T @ states
+            e = _softmax(states @ self.ws[m].T, calm)
+            e.ravel()[chosen[lo:hi]] -= 1
+            np.matmul(e.T, states, out=g["ws"][m])
             np.matmul(e, self.ws[m, :HIDDEN], out=inside[lo:hi])
         back = np.empty(total, np.int64)
-        back[order] = np.arange(total)
+        back[order] = ranks
         dh += inside.take(back, axis=0)
         dh *= np.float32(1 / total)
         g["wc"] *= np.float32(1 / total)
         g["ws"] *= np.float32(1 / total)
-        # What a step back multiplies with, for all steps at once.
-        by_z = (before - c) * z * (1 - z)
-        by_n = (1 - z) * (1 - c * c)
-        by_r = un * r * (1 - r)
-        into, du = np.empty((total, 3 * HIDDEN), np.float32), np.empty((total, 3 * HIDDEN), np.float32)
-        carried, back = np.zeros((0, HIDDEN), np.float32), np.ascontiguousarray(self.u.T)
+        into, by_state = np.empty((3, total, HIDDEN), np.float32), np.empty((total, HIDDEN), np.float32)
+        carried, back = np.zeros((0, HIDDEN), np.float32), np.ascontiguousarray(u.swapaxes(1, 2))
         for t in range(len(running) - 1, -1, -1):
             some = slice(bounds[t], bounds[t + 1])
-            d = dh[some]
+            (z, r, c, un), d, (dz, dr, dn) = steps[t], dh[some], into[:, some]
             d[:len(carried)] += carried
-            dz, dn = d * by_z[some], d * by_n[some]
-            dr = dn * by_r[some]
-            into[some, :HIDDEN], into[some, HIDDEN:2 * HIDDEN], into[some, 2 * HIDDEN:] = dz, dr, dn
-            du[some, :2 * HIDDEN] = into[some, :2 * HIDDEN]
-            np.multiply(dn, r[some], out=du[some, 2 * HIDDEN:])
-            carried = du[some] @ back
-            carried += d * z[some]
-        g["u"] += before.T @ du
+            dzh = d * z
+            np.subtract(d, dzh, out=dn)     # d (1 - z)
+            np.subtract(before[some], c, out=dz)
+            dz *= z
+            dz *= dn
+            c *= c
+            np.subtract(1, c, out=c)
+            dn *= c
+            np.multiply(dn, r, out=by_state[some])
+            np.subtract(1, r, out=r)
+            r *= un
+            np.multiply(by_state[some], r, out=dr)
+            carried = dz @ back[0]
+            carried += dr @ back[1]
+            carried += by_state[some] @ back[2]
+            carried += dzh
+        for k, part in enumerate((into[0], into[1], by_state)):
+            np.matmul(before.T, part, out=g["u"][:, k * HIDDEN:(k + 1) * HIDDEN])
         order = np.argsort(x.astype(np.uint16) if len(self.x) <= 1 << 16 else x, kind="stable")
         seen, starts = np.unique(x[order], return_index=True)
-        return seen, _sums(into.take(order, axis=0), starts), grad, h
+        by_symbol = into.reshape(-1, HIDDEN).take(order[:, None] + total * _GATES.T, axis=0).reshape(total, 3 * HIDDEN)
+        return seen, _sums(by_symbol, starts), grad, h
 
 
 def _sums(rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -375,26 +398,26 @@ def _running(length: np.ndarray, at: int, steps: int) -> list[int]:
     return [int(np.searchsorted(-length, -t, "left")) for t in range(at, min(at + steps, int(length[0])))]
 
 
-def _exp(logits):
-    """exp in place and its row sums; rows are shifted by their greatest only where that is needed."""
-    if logits.size and (logits.max() > 80 or logits.min() < -80):
+def _exp(logits, calm):
+    """exp in place and its row sums; rows are shifted by their greatest only where that is needed, which a ``calm`` network never does."""
+    if not calm and logits.size and (logits.max() > EXTREME or logits.min() < -EXTREME):
         logits -= logits.max(axis=1, keepdims=True)
     np.exp(logits, out=logits)
     return logits @ np.ones(logits.shape[1], np.float32)
 
 
-def _softmax(logits):
-    total = _exp(logits)
+def _softmax(logits, calm=False):
+    total = _exp(logits, calm)
     logits *= (1 / total)[:, None]
     return logits
 
 
-def _log_share(logits, at):
+def _log_share(logits, at, calm=False):
     """Natural log of the softmax at one place of each row."""
     chosen = logits[np.arange(len(logits)), at]
-    if logits.size and (logits.max() > 80 or logits.min() < -80):
+    if not calm and logits.size and (logits.max() > EXTREME or logits.min() < -EXTREME):
         chosen = chosen - logits.max(axis=1)
-    return chosen - np.log(_exp(logits))
+    return chosen - np.log(_exp(logits, calm))
 
 
 def _flat(documents: list[np.ndarray], before=0):
@@ -410,54 +433,82 @@ def _flat(documents: list[np.ndarray], before=0):
 
 def code_blocks(documents: DataFrame) -> DataFrame:
     """Rows of two kinds: documents coded by their block's dictionary, and its words with counts."""
+    schema = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("train", pa.bool_()), ("ids", pa.binary()), ("idx", pa.int64()), ("word", pa.binary()), ("n", pa.int64())])
+
     def coded(batches):
-        part, number = TaskContext.get().partitionId(), 0
-        index, docs, chars = Index(), [], 0
+        part, number, held, chars = TaskContext.get().partitionId(), 0, [], 0
+
+        def rows(size, **columns):
+            return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(size, f.type) for f in schema], schema=schema)
 
         def flush():
             block = part << 24 | number
-            yield pd.DataFrame({"block": block, "doc_id": pd.array([d for d, _, _ in docs], dtype="Int64"), "train": [t for _, t, _ in docs],
-                                "ids": [squeeze(i) for _, _, i in docs], "idx": pd.array([None] * len(docs), dtype="Int64"), "word": None, "n": 0})
-            known = [ids for _, train, ids in docs if train]
-            counts = np.bincount(np.concatenate(known) if known else np.zeros(0, np.uint32), minlength=len(index))
-            words = list(index)
+            doc_id, train = pa.concat_arrays([d for d, _, _, _ in held]), pa.concat_arrays([t for _, t, _, _ in held])
+            index = pa.concat_arrays([w for _, _, w, _ in held]).dictionary_encode()
+            ids, words = index.indices.to_numpy(), index.dictionary.cast(pa.binary())
+            lengths = np.concatenate([n for _, _, _, n in held])
+            ends, known = np.cumsum(lengths), train.to_numpy(zero_copy_only=False)
+            yield rows(len(train), block=pa.repeat(pa.scalar(block, pa.int64()), len(train)), doc_id=doc_id, train=train,
+                       ids=pa.array([squeeze(ids[e - n:e]) for e, n in zip(ends, lengths)], pa.binary()), n=pa.array(np.zeros(len(train), np.int64)))
+            counts = np.bincount(ids[np.repeat(known, lengths)], minlength=len(words))
             for lo in range(0, len(words), 50_000):
-                some = words[lo:lo + 50_000]
-                yield pd.DataFrame({"block": block, "doc_id": pd.array([None] * len(some), dtype="Int64"), "train": False, "ids": None,
-                                    "idx": pd.array(range(lo, lo + len(some)), dtype="Int64"), "word": some, "n": counts[lo:lo + len(some)]})
-
-        for frame in batches:
-            for doc, train, text in zip(frame["doc_id"].astype("Int64"), frame["train"], frame["text"]):
-                words = words_of(text if isinstance(text, str) else None)
-                docs.append((doc, bool(train), np.fromiter(map(index.__getitem__, words), np.uint32, len(words))))
-                chars += len(text) if isinstance(text, str) else 0
+                n = min(50_000, len(words) - lo)
+                yield rows(n, block=pa.repeat(pa.scalar(block, pa.int64()), n), train=pa.repeat(pa.scalar(False), n),
+                           idx=pa.array(np.arange(lo, lo + n)), word=words[lo:lo + n], n=pa.array(counts[lo:lo + n]))
+
+        for batch in batches:
+            size, at = pc.fill_null(pc.utf8_length(batch["text"]), 0).to_numpy().astype(np.int64), 0
+            while at < len(size):
+                upto = at + int(np.searchsorted(chars + np.cumsum(size[at:]), BLOCK_CHARS)) + 1   # with the row that fills the block
+                some = batch.slice(at, upto - at)
+                for lo in range(0, some.num_rows, TEXTS):
+                    few = some.slice(lo, TEXTS)
+                    # Copies: a column that is kept would keep its whole batch.
+                    held.append((*(pc.take(few[c], np.arange(few.num_rows)) for c in ("doc_id", "train")), *split(few["text"])))
+                chars += int(size[at:upto].sum())
+                at = upto
                 if chars >= BLOCK_CHARS:
                     yield from flush()
-                    index, docs, chars, number = Index(), [], 0, number + 1
-        if docs:
+                    number, held, chars = number + 1, [], 0
+                    pa.default_memory_pool().release_unused()
+            batch = some = few = None
+        if held:
             yield from flush()
+        held = []
+        pa.default_memory_pool().release_unused()
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), (fold("doc_id", 7) != 2).alias("train"), "text")
-    return rows.mapInPandas(coded, "block long, doc_id long, train boolean, ids binary, idx long, word binary, n long")
+    return rows.mapInArrow(coded, "block long, doc_id long, train boolean, ids binary, idx long, word binary, n long")
+
+
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of texts as ``words_of`` has them, one after another, and how many each text has."""
+    plain = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    lists = pc.ascii_split_whitespace(plain)
+    empty, lengths, words = pc.equal(plain, ""), pc.list_value_length(lists).to_numpy().astype(np.int64), lists.flatten()
+    if pc.any(empty).as_py():
+        words, lengths = words.filter(pc.not_equal(words, "")), np.where(empty.to_numpy(zero_copy_only=False), 0, lengths)
+    return words, lengths
 
 
 def count(coded: DataFrame) -> tuple[DataFrame, Counts, Letters]:
     """Corpus count and own symbol of each word of each block, what the counts add up to, and the letters of words.
 
-    A word has a row per block, so the rows of a common word grow with the blocks, not with its uses. They are summed
-    by a grouping, which folds them in each task first, and joined back to the sums, a join whose hot
-    keys adaptive execution splits.
+    A word has a row per block, so the rows of a common word grow with the blocks, not with its uses, and no word has more
+    rows than there are blocks. They meet once: each takes the word's sum along and one of them stands for the word.
     """
     words = coded.filter("word is not null").select("block", "idx", "word", "n")
-    sums = stage(words.groupBy("word").agg(F.sum("n").alias("c")))
-    distinct = sums.filter("c > 0")
+    of_word = Window.partitionBy("word").orderBy("block", "idx")
+    whole = of_word.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    met = stage(words.select("block", "idx", "word", F.sum("n").over(whole).alias("c"), (F.row_number().over(of_word) == 1).alias("first")))
+    distinct = met.filter("first and c > 0").select("word", "c")
     size = head_size(distinct.count())
     head = distinct.filter("c > 1").orderBy(F.desc("c"), "word").limit(size).select("word", "c").collect()
     session = coded.sparkSession
     numbers = session.createDataFrame([(bytes(r.word), i) for i, r in enumerate(head, 1)], "word binary, head int")
-    marked = sums.join(F.broadcast(numbers), "word", "left")
+    marked = met.join(F.broadcast(numbers), "word", "left")
     level = F.least(F.lit(BINS), F.floor(F.log2(F.col("c").cast("double"))).cast("int"))
-    bins = {r.level: r for r in marked.filter("c > 0").groupBy(F.when(F.col("head").isNull(), level).alias("level")).agg(
+    bins = {r.level: r for r in marked.filter("first and c > 0").groupBy(F.when(F.col("head").isNull(), level).alias("level")).agg(
         F.sum("c").alias("tokens"), F.sum(F.col("c") + 1).alias("mass"), F.count("*").alias("different")).collect()}
     twice = distinct.filter("c = 2").count()
     docs = coded.filter("word is null and train").count()
@@ -470,8 +521,7 @@ def count(coded: DataFrame) -> tuple[DataFrame, Counts, Letters]:
     found = Counts(tokens, different, docs, np.array([r.c for r in head], float), of("tokens"), of("mass"),
                    bins[0].tokens if 0 in bins else 0, twice)
     # Only words that will be spelled travel on with their letters.
-    counted = words.select(F.col("block").alias("of"), "idx", "word").join(marked, "word").select(
-        F.col("of").alias("block"), "idx", "c", F.coalesce("head", F.lit(0)).alias("head"), F.when(F.col("c") == 0, F.col("word")).alias("word"))
+    counted = marked.select("block", "idx", "c", F.coalesce("head", F.lit(0)).alias("head"), F.when(F.col("c") == 0, F.col("word")).alias("word"))
     return counted, found, letters(distinct)
 
 
