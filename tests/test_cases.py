@@ -4,6 +4,7 @@ import datetime
 import json
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from arrears.functions import scoring
@@ -245,6 +246,22 @@ def test_rules_defaults(spark):
     assert rows == {"low": 10.0, "medium": 20.0, "high": 60.0, "critical": 120.0}
 
 
+def test_repo_totals_price_import_cycles(spark, tree, commits, monkeypatch):
+    """The totals of a repository hold all of the estimate: its import cycles are counted and priced."""
+    from arrears.catalog import composites
+
+    files = tree({"app/a.py": "import app.b\ndef one(a):\n    return a\n", "app/b.py": "import app.a\ndef two(a):\n    return a\n"})
+    rules = spark.createDataFrame([], "rule_key string, minutes int, severity string, type string")
+    log = commits([(1, "a@x", "app/a.py")])
+    monkeypatch.setattr(composites, "inputs", lambda t: Inputs(files, log, rules))
+    row = composites.full_totals(None).first()
+    items = [r for r in estimate(Inputs(files, log, rules)).items.collect()]
+    assert [r["type"] for r in items].count("cyclic_dependency") == 1
+    assert row["issues_found"] == len(items)
+    assert row["total_hours"] >= 10
+    assert float(row["cost_per_function"]) == pytest.approx(float(row["total_cost_usd"]) / 2, abs=0.01)
+
+
 def test_full_estimate(spark, tree, commits, tmp_path):
     dup = "def {}(a):\n    b = a + 1\n    return b\n"
     files = tree({"app/a.py": "import app.b\n" + dup.format("one"),
