@@ -14,7 +14,10 @@ with more keeps them all. Which shingles are common is read off a sample of docu
 decides how many candidates there are, never which links are found.
 
 Sets that share signatures form candidate groups, joined through the smallest member of each bucket,
-so their number is linear in the signatures. Groups are then checked exactly, in blocks of documents.
+so their number is linear in the signatures. One group may hold a good part of all documents, tied by
+passages they share. Such a group is parted by sketches first: a bit for each class of shingles, odd or
+even. Two sets differ in at least as many shingles as their sketches in bits, so no link is lost.
+Groups are then checked exactly, in blocks of documents.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ from arrears.llm.common import components, groups_of, local_roots, stage, words_
 
 BAND = 1.5            # ratio of the sizes in a band
 GROUP_ROWS = 1024     # documents of a block
+SKETCH_ROWS = 4096    # sketches of a block
 SAMPLE = 16           # one in so many documents tells which shingles are common
 COMMON = 100_000      # common shingles that are told apart, 8 bytes each
 SEEN = 200_000        # set keys a task remembers, to sign equal sets once
@@ -79,6 +83,43 @@ def set_key(shingles: np.ndarray) -> int:
     return int(mix(total).view(np.int64)[0])
 
 
+def sketch_of(shingles: np.ndarray) -> bytes:
+    """Parities of the counts of shingles by their low bits, in about one bit for each shingle."""
+    bits = 1 << max(6, (len(shingles) - 1).bit_length())
+    cells = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((cells & 1).astype(bool), bitorder="little").tobytes()
+
+
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of 64-bit words, all as short as the shortest; a half has the parities of both halves."""
+    words = min(map(len, sketches)) // 8
+    out = np.empty((len(sketches), words), np.uint64)
+    for i, sketch in enumerate(sketches):
+        out[i] = np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint64).reshape(-1, words), axis=0)
+    return out
+
+
+def near_sketches(sketches: list[bytes], sizes: np.ndarray, percent: int) -> np.ndarray:
+    """The smallest position reachable over all pairs that may link, as far as their sketches tell."""
+    words, n, step = folded(sketches), len(sketches), GROUP_ROWS // 2
+    found = [np.zeros((2, 0), np.int64)]
+    for lo in range(0, n, step):
+        for at in range(lo, n, step):
+            mine, theirs = words[lo:lo + step], words[at:at + step]
+            apart = np.zeros((len(mine), len(theirs)), np.int32)
+            for w in range(words.shape[1]):
+                apart += np.bitwise_count(mine[:, w, None] ^ theirs[None, :, w])
+            both = sizes[lo:lo + step, None] + sizes[None, at:at + step]
+            a, b = np.nonzero((100 + percent) * apart <= (100 - percent) * both)
+            b = b + len(mine) * (at > lo)
+            root = local_roots(len(mine) + len(theirs) * (at > lo), a, b)
+            moved = np.flatnonzero(root != np.arange(len(root)))
+            pairs = np.stack([moved, root[moved]])
+            found.append(np.where(pairs < len(mine), pairs + lo, pairs - len(mine) + at))
+    a, b = np.concatenate(found, axis=1)
+    return local_roots(n, a, b)
+
+
 class Signer:
     def __init__(self, percent: int, common: np.ndarray | None = None):
         self.percent = percent
@@ -171,7 +212,8 @@ def classes_of_rows(documents: DataFrame, width: int, percent: int) -> DataFrame
         for frame in batches:
             sets = [shingle(t) for t in frame["text"]]
             yield pd.DataFrame({"doc_id": frame["doc_id"].array, "n": [len(s) for s in sets],
-                                "node": pd.array([set_key(s) if len(s) else None for s in sets], dtype="Int64")})
+                                "node": pd.array([set_key(s) if len(s) else None for s in sets], dtype="Int64"),
+                                "sketch": [sketch_of(s) if len(s) else None for s in sets]})
 
     common = common_shingles(texts, width)
 
@@ -196,16 +238,16 @@ def classes_of_rows(documents: DataFrame, width: int, percent: int) -> DataFrame
             if held:
                 yield _rows(keys, found)
 
-    base = stage(texts.mapInPandas(sized, "doc_id long, n long, node long"))
+    base = stage(texts.mapInPandas(sized, "doc_id long, n long, node long, sketch binary"))
     signatures = texts.mapInPandas(signed, "sig long, node long, low long")
     # Rows of a bucket: one for each time a task hands on what it holds, however many sets are in it.
     lowest = F.expr("least(low, min(node) over (partition by sig))")
     grouped = components(signatures.select("node", lowest.alias("low")).filter("node <> low")
                          .select(F.col("node").alias("a"), F.col("low").alias("b")).distinct())
-    edges = verified(texts, base, stage(grouped), width, percent)
+    edges = verified(texts, base, parted(base, stage(grouped), percent), width, percent)
     # Both tables are written: a join of plain scans is one whose hot keys adaptive execution splits.
     joined = stage(components(edges).withColumnRenamed("id", "node").withColumnRenamed("component_id", "root"))
-    rooted = base.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = base.drop("sketch").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = stage(rooted.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("first")))
     return rooted.join(first, "root", "left").select("doc_id", "node", F.col("n").alias("n_shingles"),
                                                      F.when(F.col("doc_id").isNotNull(), F.coalesce("first", "doc_id")).alias("component_id"))
@@ -243,33 +285,77 @@ def _rows(keys, found) -> pd.DataFrame:
                          "low": np.r_[low[first], ties[:, 1]]})
 
 
-def verified(texts: DataFrame, base: DataFrame, grouped: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) between set keys, enough to join what is linked, checked exactly.
+def members(base: DataFrame, grouped: DataFrame, *more: str) -> DataFrame:
+    """Sets of the groups: node, comp, a document that has it, its size and other columns of ``base``."""
+    one = base.filter("node is not null and doc_id is not null").groupBy("node").agg(
+        F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", *more)])
+    return grouped.select(F.col("id").alias("node"), F.col("component_id").alias("comp")).join(one, "node")
 
-    A group of up to ``GROUP_ROWS`` sets is one block. A larger one is cut by size, and sizes with many
-    sets by hash; blocks meet in pairs where sizes allow a link.
+
+def blocks(nodes: DataFrame, whole: int, rows: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Sets with the block they lie in (comp, block, salt), and the pairs of blocks that may hold a link.
+
+    A group of up to ``whole`` sets is one block. A larger one is cut by size, and sizes with more than ``rows`` sets by
+    hash; blocks meet where sizes allow a link.
     """
     step = float(np.log(100 / percent))
-    one = base.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
-    nodes = grouped.select(F.col("id").alias("node"), F.col("component_id").alias("comp")).join(one, "node")
     nodes = stage(nodes.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(step)).cast("int")))
     sizes = nodes.groupBy("comp", "band").agg(F.count("*").alias("_rows"))
     total = sizes.groupBy("comp").agg(F.sum("_rows").alias("_all"))
-    plan = stage(sizes.join(total, "comp").withColumn("block", F.when(F.col("_all") <= GROUP_ROWS, F.lit(-1)).otherwise(F.col("band")))
-                 .withColumn("_c", F.when(F.col("_all") <= GROUP_ROWS, F.lit(1)).otherwise(F.ceil(F.col("_rows") / (GROUP_ROWS // 2)).cast("int"))))
+    plan = stage(sizes.join(total, "comp").withColumn("block", F.when(F.col("_all") <= whole, F.lit(-1)).otherwise(F.col("band")))
+                 .withColumn("_c", F.when(F.col("_all") <= whole, F.lit(1)).otherwise(F.ceil(F.col("_rows") / rows).cast("int"))))
     chunks = plan.select("comp", "block", F.explode(F.sequence(F.lit(0), F.col("_c") - 1)).alias("salt")).distinct()
     other = chunks.select("comp", F.col("block").alias("block2"), F.col("salt").alias("salt2"))
     # Sizes a link allows differ by one band at most.
     near = chunks.join(other, "comp").filter("abs(block - block2) <= 1")
-    keyed = nodes.join(plan.select("comp", "band", "block", "_c"), ["comp", "band"]).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("_c")).cast("int"))
+    return nodes.join(plan.select("comp", "band", "block", "_c"), ["comp", "band"]).withColumn(
+        "salt", F.pmod(F.xxhash64("node"), F.col("_c")).cast("int")), near
+
+
+def meeting(rows: DataFrame, near: DataFrame, *columns: str) -> DataFrame:
+    """Rows once for each pair of blocks that theirs is in, sorted by that pair (comp, lo, hi)."""
+    # A block's number: its size band above, its salt below.
+    mine, theirs = ((F.col(f"block{x}").cast("long") + 1) * 2**31 + F.col(f"salt{x}") for x in ("", "2"))
+    return (rows.join(near, ["comp", "block", "salt"]).withColumn("lo", F.least(mine, theirs)).withColumn("hi", F.greatest(mine, theirs))
+            .select("comp", "lo", "hi", *columns)
+            .repartition("comp", "lo", "hi").sortWithinPartitions("comp", "lo", "hi"))
+
+
+def parted(base: DataFrame, grouped: DataFrame, percent: int) -> DataFrame:
+    """The candidate groups, those of more than ``GROUP_ROWS`` sets parted by sketches.
+
+    Sets of a group that may link, as far as their sketches tell, stay together; a set that can link with none leaves.
+    A sketch is some twentieth of a text, so all pairs of blocks can meet where texts would fill the disk.
+    """
+    large = stage(grouped.groupBy("component_id").count().filter(F.col("count") > GROUP_ROWS).select("component_id"))
+    if large.isEmpty():
+        return grouped
+    keyed, near = blocks(members(base, grouped.join(F.broadcast(large), "component_id", "left_semi"), "sketch"), 0, SKETCH_ROWS, percent)
+    dealt = meeting(keyed, near, "node", "n", "sketch")
+
+    def tied(batches):
+        for group in groups_of(batches, ["comp", "lo", "hi"]):
+            root = near_sketches(list(group["sketch"]), group["n"].to_numpy(), percent)
+            moved = root != np.arange(len(root))
+            if moved.any():
+                ids = group["node"].to_numpy()
+                yield pd.DataFrame({"a": ids[moved], "b": ids[root[moved]]})
+
+    ties = stage(dealt.mapInPandas(tied, "a long, b long"))
+    return stage(grouped.join(F.broadcast(large), "component_id", "left_anti").unionByName(components(ties)))
+
+
+def verified(texts: DataFrame, base: DataFrame, grouped: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between set keys, enough to join what is linked, checked exactly.
+
+    A group of up to ``GROUP_ROWS`` sets is one block. A larger one is cut by size, and sizes with many
+    sets by hash; blocks meet in pairs where sizes allow a link.
+    """
+    keyed, near = blocks(members(base, grouped), GROUP_ROWS, GROUP_ROWS // 2, percent)
     few = keyed.count() <= BROADCAST_ROWS
     slim = keyed.select("doc_id", "node", "comp", "block", "salt")
     whole = texts.filter("doc_id is not null").join(F.broadcast(slim) if few else slim, "doc_id")
-    # A block's number: its size band above, its salt below.
-    mine, theirs = ((F.col(f"block{x}").cast("long") + 1) * 2**31 + F.col(f"salt{x}") for x in ("", "2"))
-    dealt = (whole.join(near, ["comp", "block", "salt"]).withColumn("lo", F.least(mine, theirs)).withColumn("hi", F.greatest(mine, theirs))
-             .select("comp", "lo", "hi", "node", "text")
-             .repartition("comp", "lo", "hi").sortWithinPartitions("comp", "lo", "hi"))
+    dealt = meeting(whole, near, "node", "text")
 
     def checked(batches):
         shingle = Shingler(width)

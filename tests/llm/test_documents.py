@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import string
 import re
 import zlib
 
@@ -168,6 +169,64 @@ def test_similar_sets_share_a_signature(size, seed, percent):
         assert set(sign(np.unique(a)).tolist()) & set(sign(np.unique(b)).tolist())
 
 
+def test_sketches_never_part_what_may_link():
+    """Sketches of one size or two differ in no more bits than their sets in shingles; unrelated sets are told apart."""
+    rng = np.random.default_rng(3)
+    sets, sizes = [], []
+    for n in (1, 5, 40, 63, 64, 65, 500, 640):
+        whole = rng.integers(0, 2**63, n, dtype=np.uint64)
+        other = np.r_[whole[: n - n // 12], rng.integers(0, 2**63, n // 12 + n // 20, dtype=np.uint64)]
+        sets += [np.unique(whole), np.unique(other)]
+    sizes = np.array([len(s) for s in sets])
+    roots = {}
+    for lo in range(0, len(sets), 2):   # near copies meet, also across the lengths of sketches
+        pair = slice(lo, lo + 2)
+        union = len(np.union1d(*sets[pair]))
+        linked = 100 * len(np.intersect1d(*sets[pair])) >= 80 * union
+        roots[lo] = partenum.near_sketches([partenum.sketch_of(s) for s in sets[pair]], sizes[pair], 80)
+        assert not linked or (roots[lo] == 0).all()
+    apart = [np.unique(rng.integers(0, 2**63, int(n), dtype=np.uint64)) for n in rng.integers(400, 600, 50)]
+    root = partenum.near_sketches([partenum.sketch_of(s) for s in apart], np.array([len(s) for s in apart]), 80)
+    assert len(set(root)) == 50
+
+
+def test_a_large_candidate_group_is_parted(spark, documents, monkeypatch):
+    """Texts tied by a passage they share leave a large group before its texts are dealt to pairs of blocks."""
+    monkeypatch.setattr(partenum, "GROUP_ROWS", 8)
+    monkeypatch.setattr(partenum, "SKETCH_ROWS", 4)
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices(string.ascii_lowercase, k=60)) for _ in range(20)]
+    rows = [(2 * i + j, text + " x" * j) for i, text in enumerate(texts) for j in (0, 1)]
+    docs, shingle = documents(rows), partenum.Shingler(3)
+    sets = {i: shingle(text) for i, text in rows}
+    base = spark.createDataFrame([(i, len(s), partenum.set_key(s), bytearray(partenum.sketch_of(s))) for i, s in sets.items()],
+                                 "doc_id long, n long, node long, sketch binary")
+    grouped = spark.createDataFrame([(partenum.set_key(s), 1) for s in sets.values()], "id long, component_id long")
+    found = {}
+    for r in partenum.parted(base, grouped, 80).collect():
+        found.setdefault(r.component_id, set()).add(r.id)
+    twins = {frozenset((partenum.set_key(sets[2 * i]), partenum.set_key(sets[2 * i + 1]))) for i in range(20)}
+    assert {frozenset(g) for g in found.values()} == twins
+
+
+def test_texts_with_a_common_passage_do_not_meet(documents, monkeypatch):
+    """Texts that share a passage are tied by signatures; before their texts are compared they are told apart."""
+    monkeypatch.setattr(partenum, "GROUP_ROWS", 8)
+    rng, sizes, verified = random.Random(6), [], partenum.verified
+
+    def watched(texts, base, grouped, *rest):
+        sizes.extend(r["count"] for r in grouped.groupBy("component_id").count().collect())
+        return verified(texts, base, grouped, *rest)
+
+    monkeypatch.setattr(partenum, "verified", watched)
+    passage = " ".join(f"p{i}" for i in range(70))
+    rows = [(i, passage + " " + " ".join(f"u{rng.randrange(10**6)}" for _ in range(40))) for i in range(40)]
+    rows += [(40 + i, text + " end") for i, (_, text) in enumerate(rows[:3])]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in partenum.similarity_classes(documents(rows), 3, 80).collect()}
+    assert got == classes_of(rows, 3, 80)
+    assert sorted(sizes)[-3:] == [2, 2, 2]
+
+
 def test_signatures_are_combined_before_they_leave_a_task():
     """What is handed on joins the same sets, with one row for each signature."""
     rng = np.random.default_rng(4)
