@@ -2,11 +2,14 @@
 
 import datetime
 import json
+import os
+import time
 from decimal import Decimal
 
 from pyspark.sql import functions as F
 
 from arrears.operators import dependencies, store
+from arrears.operators.common import DROP_SHUFFLES
 from arrears.sources import readers, scan_store, schemas
 
 
@@ -215,3 +218,23 @@ def test_findings_in_order_are_not_moved_again(spark, tmp_path, capsys):
     for r in found.select("repo_id", "scan_id", "seq", F.input_file_name().alias("file")).collect():
         by_file.setdefault(r["file"], []).append((r["repo_id"], r["scan_id"], r["seq"]))
     assert sum(map(len, by_file.values())) == 40 and all(part == sorted(part) for part in by_file.values())
+
+
+def test_landed_tables_leave_no_shuffle(spark, tmp_path):
+    """Files of a shuffle go with the table that needed it, not when the driver happens to collect its garbage."""
+    folders = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+
+    def kept():
+        return {n for top in folders for _, _, names in os.walk(top) for n in names if n.startswith("shuffle")}
+
+    before = kept()
+    rows = spark.range(300_000).selectExpr("CAST(id % 7 AS STRING) AS repo_id", "CAST(id AS STRING) AS scan_id", "'a.py' AS file")
+    scan_store.write_batch(rows, str(tmp_path), "debt_items", "one")
+    for _ in range(50):   # executors delete in the background
+        left = kept() - before
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left
+    assert scan_store.read_table(spark, str(tmp_path), "debt_items").count() == 300_000
+    assert spark.conf.get(DROP_SHUFFLES, "false") == "false"
