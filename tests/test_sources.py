@@ -228,7 +228,7 @@ def test_landed_tables_leave_no_shuffle(spark, tmp_path):
         return {n for top in folders for _, _, names in os.walk(top) for n in names if n.startswith("shuffle")}
 
     before = kept()
-    rows = spark.range(300_000).selectExpr("CAST(id % 7 AS STRING) AS repo_id", "CAST(id AS STRING) AS scan_id", "'a.py' AS file")
+    rows = spark.range(300_000).selectExpr("CAST(id % 7 AS STRING) AS repo_id", "uuid() AS scan_id", "'a.py' AS file")
     scan_store.write_batch(rows, str(tmp_path), "debt_items", "one")
     for _ in range(50):   # executors delete in the background
         left = kept() - before
