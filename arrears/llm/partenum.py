@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arrears.llm.common import components, groups_of, local_roots, stage, words_of
+from arrears.operators.common import shuffles_dropped
 
 BAND = 1.5            # ratio of the sizes in a band
 GROUP_ROWS = 1024     # documents of a block
@@ -264,8 +265,9 @@ def common_shingles(texts: DataFrame, width: int) -> np.ndarray:
                 yield pd.DataFrame({"shingle": values.view(np.int64), "n": n})
 
     sample = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("text")
-    table = (sample.mapInPandas(counted, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter("n >= 3")
-             .orderBy(F.desc("n"), "shingle").limit(COMMON).select("shingle").collect())
+    with shuffles_dropped(texts.sparkSession):
+        table = (sample.mapInPandas(counted, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter("n >= 3")
+                 .orderBy(F.desc("n"), "shingle").limit(COMMON).select("shingle").collect())
     return np.array([r.shingle for r in table], dtype=np.int64).view(np.uint64)
 
 
